@@ -36,26 +36,27 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 class OrderedBuckets:
     """Splits the rows of a table into consecutive ranges of an integer key.
 
-    The key's range is cut into at most ``CELLS`` equal cells, which are counted in one aggregation (at most
-    ``CELLS`` rows reach the driver, whatever the input's size) and joined to buckets of about ``target`` rows.
-    Rows without a key come after all others, in a bucket of their own.
+    The key's range is cut into equal cells, one for about ``target / 4`` rows but at most ``MOST``; they are counted in
+    one aggregation (so many small rows reach the driver at most, whatever the input's size) and joined to buckets of
+    about ``target`` rows. Rows without a key come after all others, in a bucket of their own.
     """
 
-    CELLS = 32768
+    MOST = 1 << 18
 
     def __init__(self, df: DataFrame, key: str, target: int = 2000):
         spark, column = df.sparkSession, F.col(key)
-        low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+        rows, low, high = df.agg(F.count(F.lit(1)), F.min(column).cast("double"), F.max(column).cast("double")).first()
+        self.parts = min(self.MOST, max(256, 4 * rows // target))
         low, high = (0.0, 0.0) if low is None else (low, high)
-        width = max(1.0, (high - low + 1) / self.CELLS)
-        self.cell = F.least(F.lit(self.CELLS), F.floor((column.cast("double") - F.lit(low)) / F.lit(width)).cast("long")).cast("int")
-        counted = df.select(column).groupBy(F.coalesce(self.cell, F.lit(self.CELLS + 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("high")).collect()
+        width = max(1.0, (high - low + 1) / self.parts)
+        self.cell = F.least(F.lit(self.parts), F.floor((column.cast("double") - F.lit(low)) / F.lit(width)).cast("long")).cast("int")
+        counted = df.select(column).groupBy(F.coalesce(self.cell, F.lit(self.parts + 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("high")).collect()
         #: (cell, bucket) pairs; of each bucket its highest key
         self.cells: list[tuple[int, int]] = []
         self.highest: list[int | None] = []
         filled = target
         for row in sorted(counted, key=lambda r: r["cell"]):
-            if filled >= target or row["cell"] > self.CELLS:
+            if filled >= target or row["cell"] > self.parts:
                 self.highest.append(None)
                 filled = 0
             filled += row["n"]
@@ -68,8 +69,8 @@ class OrderedBuckets:
         return len(self.highest)
 
     def add(self, df: DataFrame) -> DataFrame:
-        """``df`` with its ``bucket``; the looked-up table has at most ``CELLS`` + 2 rows."""
-        cell = F.coalesce(self.cell, F.lit(self.CELLS + 1))
+        """``df`` with its ``bucket``; the looked-up table has at most ``MOST`` + 2 rows."""
+        cell = F.coalesce(self.cell, F.lit(self.parts + 1))
         return df.withColumn("_cell", cell).join(F.broadcast(self.table), "_cell").drop("_cell")
 
 

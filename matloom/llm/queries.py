@@ -5,33 +5,93 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matloom.llm.common import fold
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matloom.llm.packing import pack
 
     return pack(_documents(spark, sf_dir))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm import toxicity
+
+    documents = _documents(spark, sf_dir)
+    net = toxicity.fit(documents, _labels(spark, sf_dir))
+    return _decided(toxicity.with_toxicity(documents.select("doc_id", "text"), net), 3, 1, 0.7)
+
+
+def _decided(scored: DataFrame, folds: int, held: int, least: float) -> DataFrame:
+    return scored.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.ngram_join import jaccard_components
+
+    return jaccard_components(_documents(spark, sf_dir), words=4, percent=85)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matloom.llm.token_store import store_and_read
 
     return store_and_read(_documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.bpe import encode_and_decode
+
+    return encode_and_decode(_documents(spark, sf_dir), keep=False)
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.media import media_features, with_media
+
+    return media_features(with_media(_documents(spark, sf_dir))).drop("tile")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matloom.llm.token_counts import count_tokens
 
     return count_tokens(_documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm import quality
+
+    documents = _documents(spark, sf_dir)
+    model = quality.fit(documents, _labels(spark, sf_dir))
+    return _decided(quality.with_quality(documents.select("doc_id", "text"), model), 5, 0, 0.3)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.licenses import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.fingerprint import compare_with_edits
+
+    return compare_with_edits(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_token_store, op7_token_counts)}
+    found = (op1_packing, op2_toxicity, op3_ngram_join, op4_token_store, op5_bpe, op6_media, op7_token_counts, op8_quality, op9_licenses, op10_fingerprints)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from matloom.llm import licenses
+
+    return {"op9_licenses": licenses.oracle()}

@@ -61,7 +61,8 @@ def write_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield np.frombuffer(ids + end, "<u4").astype(kind)
 
     # at most `sample` texts; of each, at most the first 20,000 characters help to train the dictionary
-    picked = [r["text"] for r in bounded_sample(texts.select("doc_id", F.substring("text", 1, 20000).alias("text")), sample, "doc_id").collect()]
+    ids = F.broadcast(bounded_sample(texts.select("doc_id").where("doc_id is not null").distinct(), sample, "doc_id"))
+    picked = [r["text"] for r in texts.join(ids, "doc_id").select(F.substring("text", 1, 20000).alias("text")).limit(sample).collect()]
     data = train_dictionary([x.tobytes() for x in serialized(picked)])
     spark.createDataFrame([(dictionary_hash(data), data)], "hash string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     name = dictionary_hash(data)
