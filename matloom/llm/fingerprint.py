@@ -1,7 +1,7 @@
 """Document fingerprints: homomorphic multiset hashes of paragraphs, by DataFrame functions alone.
 
-A text is cut into paragraphs: at line ends, and at ends of sentences within a line. Every paragraph is hashed to a wide
-vector, and the vectors are added lane by lane modulo 2^60. The sum doesn't depend on the paragraphs' order, equal
+A text is cut into paragraphs: at line ends and, so that short texts have some as well, at blanks behind any punctuation.
+Every paragraph is hashed to a wide vector, and the vectors are added lane by lane modulo 2^60. The sum doesn't depend on the paragraphs' order, equal
 multisets have equal sums, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 Lanes: 1 counts the paragraphs, 4 are full hashes under different seeds, 20 hold three counters each of 20 bits, one for
@@ -25,7 +25,7 @@ from matloom.llm.common import OrderedBuckets
 MODULUS = 1 << 60
 STRONG, PACKED, FIELD = 4, 20, 20
 ONES = 1 | 1 << FIELD | 1 << 2 * FIELD
-CUT = r"[\n\r]+|(?<=[.!?])[ \t]+"
+CUT = r"[\n\r]+|(?<=[^\p{L}\p{N}\s])[ \t]+"
 
 
 def paragraphs(text: Column) -> Column:

@@ -20,8 +20,6 @@ columns are not read.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +61,11 @@ def band_keys(hashes: Column, step: int) -> Column:
     """The minima of all windows: BANDS for each, the band mixed in."""
     last = F.greatest(F.size(hashes) - WINDOW, F.lit(0))
     starts = F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))
-    minima = lambda s: F.array(*[F.xxhash64(F.array_min(F.transform(F.slice(hashes, s + 1, WINDOW), lambda h, b=b: h.bitwiseXOR(F.lit(_constant(b))))), F.lit(b)) for b in range(BANDS)])
-    return F.flatten(F.transform(starts, minima))
+
+    def minimum(window: Column, band: int) -> Column:
+        return F.xxhash64(F.array_min(F.transform(window, lambda h: h.bitwiseXOR(F.lit(_constant(band))))), F.lit(band))
+
+    return F.flatten(F.transform(starts, lambda s: F.array(*[minimum(F.slice(hashes, s + 1, WINDOW), b) for b in range(BANDS)])))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> list:
@@ -104,7 +105,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def oracle(templates: dict[str, str] | None = None, least: float = 0.8) -> str:
     """SQL for DuckDB by brute force: every stretch of every text against every template."""
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted((TEMPLATES if templates is None else templates).items()))
-    words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')"
+    words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
 own AS (SELECT license, {words.format("text")} AS w FROM (VALUES {rows}) AS t(license, text)),

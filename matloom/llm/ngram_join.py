@@ -118,7 +118,7 @@ def tile_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     for band in range(band_of(size), band_of(max(size, size * 100 // percent)) + 1):
         parts = parts_of(band, percent)
         if parts:
-            dealt = mixed(shingles + np.uint64(band + 1) * np.uint64(0xA0761D6478BD642F))
+            dealt = mixed(shingles + np.uint64((band + 1) * 0xA0761D6478BD642F % (1 << 64)))
             sums = np.zeros(parts, np.uint64)
             np.add.at(sums, (dealt >> np.uint64(11)) % np.uint64(parts), mixed(dealt))
             found.append(mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64) * np.uint64(4096) + np.uint64(band))))
