@@ -63,7 +63,7 @@ def to_blocks(m: Matrix, side: int = SIDE) -> DataFrame:
 
 
 def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE) -> Matrix:
-    left, right = to_blocks(a, side), to_blocks(b, side)
+    left, right, height, width = to_blocks(a, side), to_blocks(b, side), a.nrow, b.ncol
     pairs = left.select("bi", F.col("bj").alias("k"), F.col("data").alias("x")).join(right.select(F.col("bi").alias("k"), "bj", F.col("data").alias("y")), "k")
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +88,7 @@ def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE) -> Matrix:
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                block = np.frombuffer(row.data).reshape(side, side)[: int(min(side, a.nrow - row.bi * side)), : int(min(side, b.ncol - row.bj * side))]
+                block = np.frombuffer(row.data).reshape(side, side)[: int(min(side, height - row.bi * side)), : int(min(side, width - row.bj * side))]
                 r, c = np.indices(block.shape)
                 yield pd.DataFrame({"bi": row.bi, "bj": row.bj, "i": r.ravel() + row.bi * side, "j": (c.ravel() + row.bj * side).astype(np.int32), "v": block.ravel()})
 

@@ -493,7 +493,7 @@ def _moments(spark: SparkSession, d: np.ndarray) -> DataFrame:
 
 def _checks(spark, m: Matrix, q: Matrix, r: np.ndarray) -> DataFrame:
     back = factor.project(q, r).df.withColumnRenamed("vec", "w")
-    apart = m.to_rows().df.join(back, "i").agg(F.max(F.aggregate(F.zip_with("vec", "w", lambda a, b: F.abs(a - b)), F.lit(0.0), F.greatest))).first()[0]
+    apart = m.to_rows().df.join(back, "i").agg(F.max(F.aggregate(F.zip_with("vec", "w", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, a: F.greatest(t, a)))).first()[0]
     gram = products.crossprod(q).to_numpy()
     return _row(spark, reconstructs=bool(apart < 1e-8), orthonormal=bool(np.abs(gram - np.eye(len(gram))).max() < 1e-10))
 
@@ -567,11 +567,11 @@ def eigen_values(spark, d):
 
 @query("SELECT true AS dominant, true AS satisfies")
 def eigen_power(spark, d):
-    g = products.crossprod(em(spark, d))
+    g = products.crossprod(sp(spark, d))
     value, vector = factor.power_iteration(g, tol=1e-12, max_iter=60)
     a = g.to_numpy()
     top = np.linalg.eigvalsh(a)[-1]
-    return _row(spark, dominant=bool(abs(value - top) < 1e-4 * top), satisfies=bool(np.linalg.norm(a @ vector - value * vector) < 0.05 * top))
+    return _row(spark, dominant=bool(abs(value - top) < 1e-6 * top), satisfies=bool(np.linalg.norm(a @ vector - value * vector) < 1e-3 * top))
 
 
 @query(_GRAM + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) AS v FROM g")
@@ -580,13 +580,13 @@ def chol_product(spark, d):
     return _cells(Matrix.from_numpy(spark, u.T @ u), 5)
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM range(64) AS a(i), range(64) AS b(j)")
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
 def inverse_product(spark, d):
     g = products.crossprod(em(spark, d))
     return _cells(g.to_rows() @ Matrix.from_numpy(spark, factor.inverse(g)), 6)
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM range(64) AS a(i), range(64) AS b(j)")
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
 def pseudoinverse_product(spark, d):
     m = em(spark, d)
     return _cells(products.matmul(factor.pseudoinverse(m).to_rows(), m), 6)
@@ -600,7 +600,7 @@ def least_squares(spark, d):
     return _rounded(_rounded(_row(spark, intercept=float(b[0]), slope=float(b[1])), 3, "intercept"), 4, "slope")
 
 
-@query(f"WITH {EM}, n AS (SELECT a.j AS j, sum(a.v * CASE b.j WHEN 0 THEN 1.0 ELSE 0.0 END) AS v FROM ec a JOIN ec b USING (i) GROUP BY a.j) SELECT CAST(j AS BIGINT) AS i, 0 AS j, CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END AS v FROM n")
+@query(f"WITH {EM} SELECT DISTINCT CAST(j AS BIGINT) AS i, 0 AS j, CAST(CASE WHEN j = 0 THEN 1 ELSE 0 END AS DOUBLE) AS v FROM ec")
 def linear_solve(spark, d):
     m = em(spark, d)
     x = factor.solve(products.crossprod(m), products.crossprod(m, m[:, :1]))
