@@ -227,5 +227,14 @@ def chain(matrices: list[Matrix]) -> Matrix:
     return build(0, n - 1)
 
 
+#: Rows up to which a table whose size is known is broadcast.
+SMALL_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has few rows; else the optimizer decides how it joins."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matloom.matrix import Matrix, same_shape
+from matloom.matrix import Matrix, same_shape, small
 from matloom.operators.aggregates import col_stats, row_stats
 
 NAMES = {"add": "+", "subtract": "-", "multiply": "*", "divide": "/", "power": "pow", "^": "pow"}
@@ -105,7 +105,7 @@ def sweep(m: Matrix, stats: DataFrame | Matrix, margin: int = 2, fun: str = "*",
     if margin != 2:
         raise ValueError("margin is 1 or 2")
     if m.layout == "coo":
-        return replace(m, df=m.df.join(stats.withColumnRenamed("k", "j"), "j").select("i", "j", f(F.col("v"), F.col("w")).alias("v")))
+        return replace(m, df=m.df.join(small(stats.withColumnRenamed("k", "j"), m.ncol), "j").select("i", "j", f(F.col("v"), F.col("w")).alias("v")))
     held = stats.agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))  # ncol entries
     row = held.select(F.transform(F.sequence(F.lit(0), F.lit(m.ncol - 1)), lambda j: F.try_element_at("m", j.cast("long"))).alias("s"))
     crossed = m.df.join(F.broadcast(row))  # one row

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matloom.matrix import Matrix
+from matloom.matrix import Matrix, small
 from matloom.plans.durable import durable
 from matloom.plans.index import with_position
 
@@ -35,7 +35,7 @@ def _keep(m: Matrix, by_cols: bool, drop: Column, aggregates: dict[str, Column])
     flags = durable(cells.groupBy(axis).agg(*[c.alias(n) for n, c in aggregates.items()]).select(axis, drop.alias("gone")), "flags")
     kept = with_position(flags.where(~F.col("gone")).select(axis), [axis], "_new")
     n_kept = kept.count()
-    df = cells.join(kept, axis).drop(axis).withColumn(axis, F.col("_new").cast("int" if by_cols else "long"))
+    df = cells.join(small(kept, n_kept), axis).drop(axis).withColumn(axis, F.col("_new").cast("int" if by_cols else "long"))
     shape = (m.nrow, n_kept) if by_cols else (n_kept, m.ncol)
     return Filtered(Matrix(df.select("i", "j", "v"), *shape, "coo"), (m.ncol if by_cols else m.nrow) - n_kept)
 
@@ -79,7 +79,7 @@ def impute(m: Matrix, by_cols: bool = True, *, strategy: str = "random", seed: i
         new = F.try_divide(F.col("n1") + 2 * F.col("n2"), seen)
     else:
         raise ValueError("strategy is random, mode or mean")
-    df = cells.join(stats, axis).select("i", "j", F.when((F.col("v") == 3) & (seen > 0), new).otherwise(F.col("v")).alias("v"))
+    df = cells.join(small(stats, m.ncol if by_cols else m.nrow), axis).select("i", "j", F.when((F.col("v") == 3) & (seen > 0), new).otherwise(F.col("v")).alias("v"))
     return Matrix(df, *m.dim, "coo", m.row_labels, m.col_labels)
 
 

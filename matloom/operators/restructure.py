@@ -7,7 +7,7 @@ from functools import reduce as fold
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.matrix import Matrix, same_shape, union_all
+from matloom.matrix import Matrix, same_shape, small, union_all
 
 
 def cbind(*matrices: Matrix) -> Matrix:
@@ -95,7 +95,7 @@ def permute(m: Matrix, order: DataFrame | list[int], *, by_cols: bool = False) -
         order = m.df.sparkSession.createDataFrame([(k, int(x)) for k, x in enumerate(order)], "pos long, old long")
     order = order.toDF("_pos", "_old")
     if by_cols:
-        df = m.to_coo().df.join(order, F.col("j") == F.col("_old")).select("i", F.col("_pos").cast("int").alias("j"), "v")
+        df = m.to_coo().df.join(small(order, m.ncol), F.col("j") == F.col("_old")).select("i", F.col("_pos").cast("int").alias("j"), "v")
         return Matrix(df, *m.dim, "coo", m.row_labels)
     df = m.df.join(order, F.col("i") == F.col("_old")).withColumn("i", F.col("_pos")).drop("_pos", "_old")
     return Matrix(df, *m.dim, m.layout, None, m.col_labels)
