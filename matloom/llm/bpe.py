@@ -19,6 +19,8 @@ import hashlib
 import heapq
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,22 @@ from pyspark.sql import functions as F
 from matloom.llm.token_cache import GROUP_CHARS, default_path
 
 #: Distinct pieces of text whose ids a worker keeps; beyond it starts anew.
-KEPT = 400_000
+KEPT = 600_000
+#: Pieces of plain Latin letters, digits and signs alone: composed already, with the same classes in every library.
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
 _coders: dict[str, "PairIndexCoder"] = {}
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are kept as little-endian integers of 32 bits")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, others for letters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_LETTERS = byte_letters()
 
 
 class PairIndexCoder:
@@ -66,9 +82,23 @@ class PairIndexCoder:
             self.left.append(left)
             self.right.append(right)
             self.made.append(made)
-        self.words: dict[str, list[int]] = {}
+        self.plain = self._plain_pattern(spec)
+        self.words: dict[str, tuple[bytes, str]] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
 
+    @staticmethod
+    def _plain_pattern(spec: dict):
+        """The file's own pattern if it composes and lower-cases texts, joins white space and matches words bytewise."""
+        import regex
+
+        steps = (spec.get("normalizer") or {}).get("normalizers") or []
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]:
+            split, letters = cuts
+            if split["behavior"] == "Removed" and split["invert"] and not letters["add_prefix_space"] and not letters["use_regex"]:
+                return regex.compile(split["pattern"]["Regex"])
+        return None
+
     @classmethod
     def of(cls, path: str) -> "PairIndexCoder":
         if path not in _coders:
@@ -136,6 +166,9 @@ class PairIndexCoder:
 
     def _split(self, piece: str) -> list[str | int]:
         """Pre-tokens (in the byte alphabet) and ids of special tokens."""
+        if self.plain is not None and _PLAIN.fullmatch(piece) and not (self.cut and self.cut.search(piece)):
+            words = self.plain.findall(piece.lower())
+            return [w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in words]
         found: list[str | int] = []
         for part in self.cut.split(piece) if self.cut else [piece]:
             if part in self.special:
@@ -153,11 +186,14 @@ class PairIndexCoder:
             self.words.clear()
             new = list(pieces)
         split = [self._split(p) for p in new]
-        unknown = list({w for s in split for w in s if isinstance(w, str) and w not in self.words})
-        self.words.update(zip(unknown, self.merge(unknown)))
+        unknown = list({w for s in split for w in s if w.__class__ is str and w not in self.words})
+        self.words.update(zip(unknown, map(self._told, self.merge(unknown))))
         for piece, parts in zip(new, split):
-            ids = [i for part in parts for i in ([part] if isinstance(part, int) else self.words[part])]
-            self.pieces[piece] = np.array(ids, "<u4").tobytes(), " ".join([self.tokens[i] for i in ids])
+            told = [self.words[part] if part.__class__ is str else self._told([part]) for part in parts]
+            self.pieces[piece] = told[0] if len(told) == 1 else (b"".join([t[0] for t in told]), " ".join([t[1] for t in told if t[1]]))
+
+    def _told(self, ids: list[int]) -> tuple[bytes, str]:
+        return array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[str]]]:
         """Of each text its ids as bytes, and its pieces' tokens (joined by blanks)."""
