@@ -4,13 +4,17 @@ Method
 1. Each text becomes its set of word shingles (64-bit hashes, distinct, sorted). Documents with equal sets are one
    class; all later work is on classes.
 2. Tiles. Two sets x and y link only if their sizes are near and their symmetric difference is at most
-   d = |x| + |y| - 2 ceil(p(|x| + |y|) / (100 + p)). Sizes are banded (ratio 1.5); in a band all pairs have d < K for a
-   fixed K, so of K hash-dealt parts of the shingles at least one is equal in both sets. A tile is (band, part, hash of the
-   part's shingles); a set enters the tiles of its own band and of the next one if a larger partner can be there. No
-   link is lost. Only tiles with two classes or more go on.
-3. First, each class meets a few leaders of its tiles; verified links give it a label. Then every pair of a tile
-   with different labels is bounded by bitmaps: a bit that is set in one signature and not in the other shows at least
-   one shingle that the other set lacks. Large tiles are dealt into blocks, and pairs of blocks.
+   d = |x| + |y| - 2 ceil(p(|x| + |y|) / (100 + p)). Sizes are banded (ratio 1.5). In a band the shingles are dealt by hash
+   into K = d + 1 + s parts, d the band's largest and s a few, so linked sets have s + 1 equal parts at least. A tile
+   is (band, part, hash of the part's shingles); a set enters the tiles of its own band and of the next one if a larger
+   partner can be there. Parts with fewer than two shingles, which would meet by chance, are left out by sets that have
+   s of them at most: such a set has another part equal to any partner's. No link is lost. Only tiles with two classes
+   or more go on.
+3. First, each class meets a few leaders of its tiles; components of the verified links are its label. Then every pair of
+   a tile with different labels is bounded by bitmaps. A bit is the parity of the shingles that hash to it, so each bit in which
+   two signatures differ shows a shingle that one set lacks: the count bounds the overlap from above. A signature has
+   two bits or more for each shingle; a wider one is folded to meet a narrower one. Large tiles are dealt into blocks,
+   and pairs of blocks.
 4. Pairs within the bound are intersected exactly, as sorted arrays.
 5. Components by propagating the least label along links with pointer jumping, as joins; no links reach the driver.
 
@@ -32,13 +36,18 @@ from pyspark.sql import functions as F
 
 from matloom.llm.common import durable
 
-#: Bits of a signature: a multiple of 64.
-BITS = 1024
+#: Bits of the narrowest signature.
+LEAST_BITS = 512
 #: Rows of a tile that are compared in one task; larger tiles are dealt into pairs of blocks.
 BLOCK = 1024
+#: Members of a group of pairs that are intersected in one task.
+PART = 512
+#: Sets that may be broadcast, to be looked up where the texts are read; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Leaders of a tile that its classes meet before pairs are listed.
 LEADERS = 3
 _WORDS_KEPT = 1_000_000
+GROUP_WORDS = 100_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,37 +62,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """64-bit hashes of words, each computed once."""
+    """64-bit hashes of words (as signed numbers), each computed once."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > _WORDS_KEPT:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         return value
 
 
 _words = _Words()
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct hashes of the text's shingles of ``n`` words (A-Z lower-cased, cut at ASCII white space)."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.array([_words[w] for w in words], np.uint64)
-    span = min(n, len(words))
-    rolled = np.full(len(words) - span + 1, span, np.uint64)
+def _rolled(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Hashes of all runs of ``span`` words."""
+    rolled = np.full(len(hashes) - span + 1, span, np.uint64)
     for k in range(span):
-        rolled = mixed(rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(words) - span + 1 + k])
-    return np.unique(rolled)
-
-
-def set_key(shingles: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = mixed(shingles ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-    return int(mixed(np.array([total ^ np.uint64(len(shingles))], np.uint64))[0].astype(np.int64))
+        rolled = mixed(rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - span + 1 + k])
+    return rolled
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    return values[first]
+
+
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles of ``n`` words (A-Z lower-cased, cut at ASCII white
+    space). Texts are taken in groups of about ``GROUP_WORDS`` words."""
+    at = 0
+    while at < len(texts):
+        group, held = [], 0
+        while at < len(texts) and held < GROUP_WORDS:
+            text = texts[at]
+            group.append(text.encode("utf-8", "surrogatepass").lower().split() if text else [])
+            held += len(group[-1])
+            at += 1
+        hashes = np.array([_words[w] for words in group for w in words], np.int64).view(np.uint64)
+        whole = _rolled(hashes, n) if held >= n else hashes
+        start = 0
+        for words in group:
+            size = len(words)
+            if size >= n:
+                yield _distinct(whole[start : start + size - n + 1])
+            elif size:
+                yield _rolled(hashes[start : start + size], size)
+            else:
+                yield np.zeros(0, np.uint64)
+            start += size
+
+
+def set_keys(sets: list[np.ndarray]) -> list[int]:
+    """64-bit names of sets that aren't empty."""
+    if not sets:
+        return []
+    lengths = np.array([len(s) for s in sets])
+    hashed = mixed(np.concatenate(sets) ^ np.uint64(0xD6E8FEB86659FD93))
+    totals = np.add.reduceat(hashed, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
+    return mixed(totals ^ lengths.astype(np.uint64)).view(np.int64).tolist()
 
 
 def most_apart(sizes: int, percent: int) -> int:
@@ -105,10 +145,12 @@ def band_of(size: int) -> int:
 
 
 @cache
-def parts_of(band: int, percent: int) -> int:
-    """How many parts the shingles of a band's sets are dealt into; 0 if distinct sets can't link there."""
+def parts_of(band: int, percent: int) -> tuple[int, int]:
+    """How many parts the shingles of a band's sets are dealt into, and the spare ones of these; 0 if distinct sets
+    can't link there."""
     apart = most_apart(2 * (band_start(band + 1) - 1), percent)
-    return apart + 1 if apart > 0 else 0
+    spare = 1 + apart // 16
+    return (apart + 1 + spare, spare) if apart > 0 else (0, 0)
 
 
 def tile_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -116,27 +158,43 @@ def tile_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     found = []
     size = len(shingles)
     for band in range(band_of(size), band_of(max(size, size * 100 // percent)) + 1):
-        parts = parts_of(band, percent)
+        parts, spare = parts_of(band, percent)
         if parts:
             dealt = mixed(shingles + np.uint64((band + 1) * 0xA0761D6478BD642F % (1 << 64)))
             sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, (dealt >> np.uint64(11)) % np.uint64(parts), mixed(dealt))
-            found.append(mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64) * np.uint64(4096) + np.uint64(band))))
+            part = ((dealt >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
+            np.add.at(sums, part, mixed(dealt))
+            keys = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64) * np.uint64(4096) + np.uint64(band)))
+            low = np.bincount(part, minlength=parts) < 2
+            found.append(keys[~low] if low.sum() <= spare else keys)
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """Parities of hash buckets, a power of two of them, as 64-bit words."""
+    width = max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length())
+    bucket = (mixed(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=width) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A signature as it would be with so many words."""
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
 
 
-def within_bound(a: np.ndarray, size_a: int, b: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
-    """Of signatures ``b``, those whose overlap with ``a`` may suffice by the counts of bits that one of both has."""
-    only_a = np.bitwise_count(a & ~b).sum(1)
-    only_b = np.bitwise_count(~a & b).sum(1)
-    most = np.minimum(size_a - only_a.astype(np.int64), sizes_b - only_b.astype(np.int64))
-    return 100 * most >= percent * (size_a + sizes_b - most)
+def stacked(signatures: list[bytes], words: int | None = None) -> np.ndarray:
+    """Signatures one below the other, folded to the narrowest."""
+    words = words or min(map(len, signatures)) // 8
+    return np.stack([folded(np.frombuffer(x, np.uint64), words) for x in signatures])
+
+
+def within_bound(differing: np.ndarray, sizes_a, sizes_b, percent: int) -> np.ndarray:
+    """Whether so many differing bits leave an overlap that may suffice."""
+    most = np.minimum((sizes_a + sizes_b - differing) // 2, np.minimum(sizes_a, sizes_b))
+    return 100 * most >= percent * (sizes_a + sizes_b - most)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -148,15 +206,16 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def shingled(texts: DataFrame, n: int) -> DataFrame:
-    """``doc_id, row, n_shingles, set`` (null without shingles) of rows ``doc_id, row, text``."""
+    """``doc_id, row, n_shingles, set, bits`` (the last two null without shingles) of rows ``doc_id, row, text``."""
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            sets = [shingle_set(t, n) for t in frame["text"].tolist()]
-            keys = pd.array([set_key(s) if len(s) else None for s in sets], "Int64")
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"], "n_shingles": [len(s) for s in sets], "set": keys})
+            sets = list(shingle_sets(frame["text"].tolist(), n))
+            keys = iter(set_keys([s for s in sets if len(s)]))
+            names = pd.array([next(keys) if len(s) else None for s in sets], "Int64")
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"], "n_shingles": [len(s) for s in sets], "set": names, "bits": [signature(s).tobytes() if len(s) else None for s in sets]})
 
-    return texts.mapInPandas(describe, "doc_id long, row long, n_shingles long, set long")
+    return texts.mapInPandas(describe, "doc_id long, row long, n_shingles long, set long, bits binary")
 
 
 def tiles_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -166,9 +225,9 @@ def tiles_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for frame in frames:
             names, keys, held = [], [], 0
-            for text in frame["text"].tolist():
-                shingles = shingle_set(text, n)
-                if not len(shingles) or (name := set_key(shingles)) in seen:
+            sets = [x for x in shingle_sets(frame["text"].tolist(), n) if len(x)]
+            for name, shingles in zip(set_keys(sets), sets):
+                if name in seen:
                     continue
                 seen.add(name)
                 own = tile_keys(shingles, percent)
@@ -211,31 +270,66 @@ def shared_tiles(tiles: DataFrame, partitions: int) -> DataFrame:
     return tiles.repartition(partitions, "tile").sortWithinPartitions("tile", "set").mapInPandas(shared, "tile long, set long")
 
 
-def with_arrays(texts: DataFrame, n: int) -> DataFrame:
-    """``set, size, shingles, bits`` of one text for each set."""
-
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sets = [shingle_set(t, n) for t in frame["text"].tolist()]
-            yield pd.DataFrame({"set": [set_key(s) for s in sets], "size": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "bits": [signature(s).tobytes() for s in sets]})
-
-    return texts.mapInPandas(build, "set long, size long, shingles binary, bits binary")
-
-
-def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct ``a, b`` pairs that link: by their bits first, then exactly."""
+def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Those of the ``a, b`` pairs that their signatures don't rule out."""
 
     def test(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keep = []
-            for a, b, x, y in zip(frame["bits_a"], frame["bits_b"], frame["shingles_a"], frame["shingles_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                near = within_bound(np.frombuffer(a, np.uint64), len(x), np.frombuffer(b, np.uint64)[None], np.array([len(y)]), percent)[0]
-                keep.append(bool(near) and linked(x, y, percent))
-            yield frame.loc[keep, ["a", "b"]]
+            if len(frame):
+                words = np.minimum(frame["bits_a"].str.len(), frame["bits_b"].str.len()).to_numpy() // 8
+                differing = np.zeros(len(frame), np.int64)
+                for own in np.unique(words):
+                    at = np.flatnonzero(words == own)
+                    sides = [stacked(frame[side].iloc[at].tolist(), int(own)) for side in ("bits_a", "bits_b")]
+                    differing[at] = np.bitwise_count(sides[0] ^ sides[1]).sum(1)
+                sizes = [frame[side].to_numpy(np.int64) for side in ("size_a", "size_b")]
+                yield frame.loc[within_bound(differing, *sizes, percent), ["a", "b"]]
+
+    of = lambda side: known.select(F.col("set").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}"))
+    return pairs.join(of("b"), "b").join(of("a"), "a").mapInPandas(test, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the distinct ``a, b`` pairs that link, by exact intersection of sorted arrays.
+
+    Pairs are grouped by a, large groups in salted parts. Where a text stands it is turned into its array and sent to the
+    groups that need it, so each pair moves one array, and each part of a group its first one. A task holds one array
+    while those of a part pass by.
+    """
+    partitions = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    ends = dealt.select(F.col("b").alias("set"), "a", "part").union(dealt.select(F.col("a").alias("set"), "a", "part").distinct())
+    wanted = durable(ends.join(known.select("set", "row"), "set").groupBy("row", "set").agg(F.collect_list(F.struct("a", "part")).alias("groups")), "wanted")
+    rows, groups = wanted.agg(F.count(F.lit(1)), F.sum(F.size("groups"))).first()
+    if rows <= MOST_BROADCAST and (groups or 0) <= 4 * MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            sets = list(shingle_sets(frame["text"].tolist(), n))
+            names = iter(set_keys([s for s in sets if len(s)]))
+            for shingles, name, groups in zip(sets, frame["set"].tolist(), frame["groups"].tolist()):
+                if len(shingles) and next(names) == name:
+                    data = shingles.tobytes()
+                    out += [(g["a"], g["part"], int(g["a"] != name), name, data) for g in groups]
+            yield pd.DataFrame(out, columns=["a", "part", "follows", "b", "shingles"])
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, first = None, None
+        for frame in frames:
+            found = []
+            for a, part, follows, b, data in frame.itertuples(index=False):
+                array = np.frombuffer(data, np.uint64)
+                if not follows:
+                    group, first = (a, part), array
+                elif (a, part) == group and linked(first, array, percent):
+                    found.append((a, b))
+            yield pd.DataFrame(found, columns=["a", "b"])
 
-    of = lambda side: arrays.select(F.col("set").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("shingles").alias(f"shingles_{side}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bits_a", "bits_b", "shingles_a", "shingles_b").mapInPandas(test, "a long, b long")
+    sent = texts.select("row", "text").join(wanted, "row").select("text", "set", "groups").mapInPandas(send, "a long, part long, follows int, b long, shingles binary")
+    return sent.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", "follows").mapInPandas(compare, "a long, b long").distinct()
 
 
 def tile_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
@@ -249,19 +343,27 @@ def tile_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
         name = np.array([r[1] for r in rows], np.int64)
         label = np.array([r[2] for r in rows], np.int64)
         size = np.array([r[3] for r in rows], np.int64)
-        bits = np.stack([np.frombuffer(r[4], np.uint64) for r in rows])
+        bits = stacked([r[4] for r in rows])
         across = len(np.unique(block)) > 1
-        a, b = [], []
-        for k in range(len(rows) - 1):
-            others = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        step = max(1, (1 << 18) // bits.size)
+        found = []
+        for at in range(0, len(rows), step):
+            own = slice(at, at + step)
+            open_ = label[own, None] != label[None, at:]
             if across:
-                others = others[block[others] != block[k]]
-            if len(others):
-                others = others[within_bound(bits[k], size[k], bits[others], size[others], percent)]
-                a.append(np.minimum(name[k], name[others]))
-                b.append(np.maximum(name[k], name[others]))
-        if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+                open_ &= block[own, None] != block[None, at:]
+            i, j = np.nonzero(open_)
+            i, j = i + at, j + at
+            i, j = i[i < j], j[i < j]
+            differing = np.zeros(len(i), np.int64)
+            for part in range(0, len(i), 1 << 15):
+                few = slice(part, part + (1 << 15))
+                differing[few] = np.bitwise_count(bits[i[few]] ^ bits[j[few]]).sum(1)
+            near = within_bound(differing, size[i], size[j], percent)
+            found.append(np.stack([np.minimum(name[i], name[j])[near], np.maximum(name[i], name[j])[near]]))
+        pairs = np.concatenate(found, 1)
+        if pairs.shape[1]:
+            yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
@@ -293,33 +395,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = lowered.select("set", "root")
 
 
-def find_links(texts: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b``: links between sets that connect all that any links connect."""
-    spark = texts.sparkSession
-    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def find_links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b``: links between sets that connect all that any links connect. ``known``: set, row, size, bits."""
+    partitions = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tiles = durable(shared_tiles(tiles_of(texts.select("text"), n, percent), partitions), "tiles")
-    # one text for each set that shares a tile
-    wanted = tiles.select("set").distinct().join(sets.where("set is not null").groupBy("set").agg(F.min("row").alias("row")), "set").select("row")
-    arrays = durable(with_arrays(texts.join(wanted, "row", "left_semi").select("text"), n), "arrays")
-
-    seed = F.pmod("tile", F.lit(LEADERS))
-    leaders = tiles.groupBy("tile").agg(F.min_by("set", F.xxhash64("set", seed)).alias("leader"))
-    met = tiles.join(leaders, "tile").where("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b"), "leader").distinct()
-    first = durable(verified(met.select("a", "b").distinct(), arrays, percent), "first-links")
-    ends = first.select("a", "b").union(first.select(F.col("b"), F.col("a")))
-    near = ends.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("low")).select("set", F.least("set", "low").alias("label"))
-    further = near.select(F.col("set").alias("label"), F.col("label").alias("next"))
-    labels = near.join(further, "label", "left").select("set", F.coalesce("next", "label").alias("label"))
+
+    leaders = tiles.groupBy("tile").agg(F.min_by("set", F.xxhash64("set", F.pmod("tile", F.lit(LEADERS)))).alias("leader"))
+    met = tiles.join(leaders, "tile").where("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
+    near = durable(bounded(met, known, percent), "near")
+    first = durable(verified(near, texts, known, n, percent), "first-links")
+    labels = components(first).withColumnRenamed("root", "label")
 
     labelled = durable(tiles.join(labels, "set", "left").select("tile", "set", F.coalesce("label", "set").alias("label")), "labelled")
-    mixed_tiles = labelled.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    blocks = F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int")
-    members = labelled.join(mixed_tiles.select("tile", blocks.alias("blocks")), "tile").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    several = labelled.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high and rows > 2")  # two have met
+    members = labelled.join(several.select("tile", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int").alias("blocks")), "tile")
+    members = members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("tile", "set", "label", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
-    members = members.join(arrays.select("set", "size", "bits"), "set")
-    second = durable(verified(tile_pairs(members, percent, partitions), arrays, percent), "second-links")
-    return first.union(second)
+    pairs = durable(tile_pairs(members.join(known.select("set", "size", "bits"), "set"), percent, partitions).join(near, ["a", "b"], "left_anti"), "pairs")
+    return first.union(durable(verified(pairs, texts, known, n, percent), "second-links"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -332,17 +425,36 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     doc_id = F.col(id_col).cast("long")
     texts = df.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text_col)).alias("row"), F.col(text_col).alias("text"))
     sets = durable(shingled(texts, words), "sets")
-    known = sets.where("set is not null")
-    roots = components(find_links(texts.where("text is not null"), known, words, percent))
-    named = known.groupBy("set").agg(F.min("doc_id").alias("own"))
+    there = sets.where("set is not null")
+    one = there.groupBy("set").agg(F.min(F.struct("row", "n_shingles", "bits")).alias("k"))
+    known = durable(one.select("set", "k.row", F.col("k.n_shingles").alias("size"), "k.bits"), "known")
+    roots = components(find_links(texts.where("text is not null").select("row", "text"), known, words, percent))
+    named = there.groupBy("set").agg(F.min("doc_id").alias("own"))
     least = named.join(roots, "set").groupBy("root").agg(F.min("own").alias("least"))
     of_set = named.join(roots, "set", "left").join(least, "root", "left").select("set", F.coalesce("least", "own").alias("component_id"))
     return sets.join(of_set, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose document has its component's least id, one row for each; rows without an id or
-    without words stay."""
+    """The rows of ``df`` whose document has its component's least id; repeated rows of that document, and rows
+    without an id or without words, stay. An id that stands on several texts goes if all of them have a lesser one."""
     found = jaccard_components(df, id_col, text_col, **options)
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone")
+    gone = durable(gone.select(F.col("doc_id").alias(id_col)), "gone")
+    return df.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, id_col, "left_anti").select(df.columns)
+
+
+def oracle(words: int = 4, percent: int = 85) -> str:
+    """SQL for DuckDB: all pairs that share a shingle, and what they reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i : i + {words - 1}], ' '))) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON r.doc_id = e.x)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""

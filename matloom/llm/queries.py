@@ -92,6 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from matloom.llm import licenses
+    from matloom.llm import licenses, ngram_join
 
-    return {"op9_licenses": licenses.oracle()}
+    return {"op3_ngram_join": ngram_join.oracle(words=4, percent=85), "op9_licenses": licenses.oracle()}
