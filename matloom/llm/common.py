@@ -49,8 +49,9 @@ class OrderedBuckets:
         self.parts = min(self.MOST, max(256, 4 * rows // target))
         low, high = (0.0, 0.0) if low is None else (low, high)
         width = max(1.0, (high - low + 1) / self.parts)
-        self.cell = F.least(F.lit(self.parts), F.floor((column.cast("double") - F.lit(low)) / F.lit(width)).cast("long")).cast("int")
-        counted = df.select(column).groupBy(F.coalesce(self.cell, F.lit(self.parts + 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("high")).collect()
+        inside = F.least(F.lit(self.parts), F.floor((column.cast("double") - F.lit(low)) / F.lit(width)).cast("long")).cast("int")
+        self.cell = F.when(column.isNull(), F.lit(self.parts + 1)).otherwise(inside)
+        counted = df.select(column).groupBy(self.cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("high")).collect()
         #: (cell, bucket) pairs; of each bucket its highest key
         self.cells: list[tuple[int, int]] = []
         self.highest: list[int | None] = []
@@ -70,8 +71,7 @@ class OrderedBuckets:
 
     def add(self, df: DataFrame) -> DataFrame:
         """``df`` with its ``bucket``; the looked-up table has at most ``MOST`` + 2 rows."""
-        cell = F.coalesce(self.cell, F.lit(self.parts + 1))
-        return df.withColumn("_cell", cell).join(F.broadcast(self.table), "_cell").drop("_cell")
+        return df.withColumn("_cell", self.cell).join(F.broadcast(self.table), "_cell").drop("_cell")
 
 
 def fold(doc_id: str, folds: int):

@@ -1,8 +1,9 @@
 """Document fingerprints: homomorphic multiset hashes of paragraphs, by DataFrame functions alone.
 
 A text is cut into paragraphs: at line ends and, so that short texts have some as well, at blanks behind any punctuation.
-Every paragraph is hashed to a wide vector, and the vectors are added lane by lane modulo 2^60. The sum doesn't depend on the paragraphs' order, equal
-multisets have equal sums, and a paragraph is inserted or deleted by adding or subtracting its vector.
+Every paragraph is hashed to a wide vector, and the vectors are added lane by lane modulo 2^60. The sum doesn't depend on
+the paragraphs' order, equal multisets have equal sums, and a paragraph is inserted or deleted by adding or subtracting
+its vector.
 
 Lanes: 1 counts the paragraphs, 4 are full hashes under different seeds, 20 hold three counters each of 20 bits, one for
 each of 60 bits of another hash. A counter's difference between two texts, taken as +1 or -1 for each paragraph, is a
@@ -59,7 +60,7 @@ def likeness(a: Column, b: Column) -> Column:
     first = 1 + STRONG
 
     def apart(x: Column, y: Column) -> Column:
-        fields = [(F.shiftrightunsigned(v, k * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)) for v in (x, y)) for k in range(3)]
+        fields = [[F.shiftrightunsigned(v, k * FIELD).bitwiseAND(F.lit((1 << FIELD) - 1)) for v in (x, y)] for k in range(3)]
         steps = [(2 * (p - q) - (count_a - count_b)).cast("double") for p, q in fields]
         return sum(s * s for s in steps)
 

@@ -142,7 +142,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 def score_texts(model: Neighbours, texts: list[str]) -> np.ndarray:
     found = [model.vote(model.embed(np.stack([term_counts(t) for t in texts[at : at + BLOCK]]))) for at in range(0, len(texts), BLOCK)]
-    return np.concatenate(found) if found else np.zeros(0)
+    return np.round(np.concatenate(found), 5) if found else np.zeros(0)
 
 
 def with_quality(df: DataFrame, model: Neighbours | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:

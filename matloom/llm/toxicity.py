@@ -66,10 +66,10 @@ class Vocabulary:
             if n in GRAMS:
                 inside = left[:size] >= n
                 hashes.append(_bucket(rolled[inside] + np.uint64(n)))
-                owners.append(owner[:size][inside])
+                owners.append(owner[:size][inside].astype(np.int32))
         whole = np.add.reduceat(data * _powers(lengths), starts) if len(data) else np.zeros(0, np.uint64)
-        grams = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
-        of = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        grams = np.concatenate(hashes) if hashes else np.zeros(0, np.int32)
+        of = np.concatenate(owners) if owners else np.zeros(0, np.int32)
         order = np.argsort(of, kind="stable")
         counts = np.bincount(of, minlength=len(coded))
         return _bucket(whole), grams[order], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
@@ -83,7 +83,7 @@ def _powers(lengths: np.ndarray) -> np.ndarray:
 
 def _bucket(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 def segment_mean(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def segment_mean(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def segment_max(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if not len(values):
         return np.zeros(len(starts) - 1, np.float32)
-    most = np.maximum.reduceat(np.append(values, values.dtype.type(0)), starts[:-1])
+    most = np.maximum.reduceat(np.append(values, values.dtype.type(-np.inf)), starts[:-1])
     return np.where(np.diff(starts) > 0, most, values.dtype.type(0))
 
 
@@ -152,9 +152,13 @@ class Network:
         bucket, grams, starts = features
         table = np.zeros((len(bucket) + 1, INPUTS), np.float32)
         table[1:, :WIDTH] = self.word[bucket]
-        table[1:, WIDTH : 2 * WIDTH] = segment_mean(self.gram[grams], starts)
         table[1:, -2] = self.word_odds[bucket]
-        table[1:, -1] = segment_max(self.gram_odds[grams], starts)
+        for at in range(0, len(bucket), 20_000):  # bounds what is gathered of the n-grams at a time
+            own = starts[at : at + 20_001]
+            part = grams[own[0] : own[-1]]
+            rows = slice(at + 1, at + len(own))
+            table[rows, WIDTH : 2 * WIDTH] = segment_mean(self.gram[part], own - own[0])
+            table[rows, -1] = segment_max(self.gram_odds[part], own - own[0])
         return table
 
     def logits(self, table: np.ndarray, windows: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -327,7 +331,7 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 4, seed: int =
 
 
 def score_texts(net: Network, texts: list[str]) -> np.ndarray:
-    """The score of each text, from all of its windows."""
+    """The score of each text, from all of its windows, to five places (sums of single precision vary beyond)."""
     scores, group, held = [], [], 0
 
     def close() -> None:
@@ -337,7 +341,7 @@ def score_texts(net: Network, texts: list[str]) -> np.ndarray:
         found = net.logits(net.inputs(vocabulary.features()), windows)
         best = np.maximum.reduceat(found, np.searchsorted(owner, np.arange(len(documents))))
         a, b = net.scale
-        scores.append(1 / (1 + np.exp(-np.clip(a * best.astype(float) + b, -40, 40))))
+        scores.append(np.round(1 / (1 + np.exp(-np.clip(a * best.astype(float) + b, -40, 40))), 5))
 
     for text in texts:
         group.append(words_of(text))
