@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     folder = tmp_path_factory.mktemp("shared")
     session = (
-        SparkSession.builder.master("local[8]").appName("matloom-tests").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        SparkSession.builder.master("local[4]").appName("matloom-tests").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").config("spark.checkpoint.dir", f"file://{folder}").config("spark.sql.warehouse.dir", str(folder / "warehouse")).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
