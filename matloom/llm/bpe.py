@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matloom.llm.common import own_cache, texts_for_python
 from matloom.llm.token_cache import GROUP_CHARS, default_path
 
 #: Distinct pieces of text whose ids a worker keeps; beyond it starts anew.
@@ -103,8 +104,13 @@ class PairIndexCoder:
     def of(cls, path: str) -> "PairIndexCoder":
         if path not in _coders:
             _coders[path] = cls(path)
+        own_cache(f"bpe {path}", _coders[path].clear)
         return _coders[path]
 
+    def clear(self) -> None:
+        self.pieces.clear()
+        self.words.clear()
+
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by one pair index over all of them."""
         vocab, rank, suffix = self.vocab, self.rank, self.suffix
@@ -182,8 +188,7 @@ class PairIndexCoder:
         """Make ``self.pieces`` hold all of ``pieces``: ids as bytes, and the tokens as decode joins them."""
         new = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(new) > KEPT:
-            self.pieces.clear()
-            self.words.clear()
+            self.clear()
             new = list(pieces)
         split = [self._split(p) for p in new]
         unknown = list({w for s in split for w in s if w.__class__ is str and w not in self.words})
@@ -232,7 +237,7 @@ def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if keep else "")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(code, schema)
+    return texts_for_python(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(code, schema)
 
 
 def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", *, tokenizer: str | None = None) -> DataFrame:

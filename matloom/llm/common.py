@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +83,24 @@ def fold(doc_id: str, folds: int):
 def bounded_sample(df: DataFrame, rows: int, key: str) -> DataFrame:
     """At most ``rows`` rows, the same ones in every run: those with the lowest hash of ``key``."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+_cached: dict[str, Callable[[], None]] = {}
+
+
+def own_cache(name: str, clear: Callable[[], None]) -> None:
+    """Tell that this worker's memory now belongs to the cache ``name``: those of other operators, which ran in the
+    worker before, are cleared."""
+    for other in [k for k in _cached if k != name]:
+        _cached.pop(other)()
+    _cached[name] = clear
+
+
+def texts_for_python(df: DataFrame) -> DataFrame:
+    """``df``, whose texts go to Python workers: in batches of 500 rows at most, unless the session sets a size.
+
+    Texts may be long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "500")
+    return df

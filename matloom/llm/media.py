@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matloom.llm.common import texts_for_python
+
 ROW = 192
 
 
@@ -123,7 +125,7 @@ def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
             media = [encode(np.frombuffer(payload_of(x), np.uint8).reshape(-1, ROW // 3, 3)) for x in texts]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "n_bytes": list(map(len, texts)), "media": media})
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(store, "doc_id long, n_bytes long, media binary")
+    return texts_for_python(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(store, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(df: DataFrame, media_col: str = "media", *, tile: tuple[int, int] = (16, 16)) -> DataFrame:

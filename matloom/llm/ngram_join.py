@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.llm.common import durable
+from matloom.llm.common import durable, own_cache, texts_for_python
 
 #: Bits of the narrowest signature.
 LEAST_BITS = 512
@@ -46,7 +46,7 @@ PART = 512
 MOST_BROADCAST = 500_000
 #: Leaders of a tile that its classes meet before pairs are listed.
 LEADERS = 3
-_WORDS_KEPT = 1_000_000
+_WORDS_KEPT = 400_000
 GROUP_WORDS = 100_000
 
 
@@ -94,6 +94,7 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """Of each text the sorted distinct hashes of its shingles of ``n`` words (A-Z lower-cased, cut at ASCII white
     space). Texts are taken in groups of about ``GROUP_WORDS`` words."""
+    own_cache("shingles", _words.clear)
     at = 0
     while at < len(texts):
         group, held = [], 0
@@ -423,7 +424,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not 1 <= percent <= 100 or words < 1:
         raise ValueError("percent must be from 1 to 100, words at least 1")
     doc_id = F.col(id_col).cast("long")
-    texts = df.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text_col)).alias("row"), F.col(text_col).alias("text"))
+    texts = texts_for_python(df).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text_col)).alias("row"), F.col(text_col).alias("text"))
     sets = durable(shingled(texts, words), "sets")
     there = sets.where("set is not null")
     one = there.groupBy("set").agg(F.min(F.struct("row", "n_shingles", "bits")).alias("k"))

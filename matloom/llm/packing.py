@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matloom.llm.common import durable
+from matloom.llm.common import durable, texts_for_python
 from matloom.llm.token_cache import default_path, id_bytes
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -43,7 +43,7 @@ def pieces_of(df: DataFrame, id_col: str, text_col: str, *, window: int, end_id:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    return texts_for_python(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(cut, PIECES)
 
 
 def combinations(bins: np.ndarray, filled: int) -> np.ndarray:

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from matloom.llm.common import bounded_sample, fold
+from matloom.llm.common import bounded_sample, fold, own_cache, texts_for_python
 
 TERMS = 4096
 BLOCK = 256
-_KEPT = 500_000
+_KEPT = 150_000
 _RUNS = ((re.compile(r"[^\W\d_]+"), None), (re.compile(r"\d+"), "0"))
 
 
@@ -58,6 +58,7 @@ _terms = _Terms()
 
 def term_counts(text: str) -> np.ndarray:
     """Counts of the hashed terms of a text."""
+    own_cache("terms", _terms.clear)
     tokens = text.split()
     if not tokens:
         return np.zeros(TERMS, np.float32)
@@ -132,7 +133,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     """The labelled vectors, from at most ``sample`` labelled rows outside the held-out fold."""
     usable = labels.where((fold("doc_id", folds) != held) & F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null").distinct()
     picked = bounded_sample(usable, sample, "id")
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    texts = texts_for_python(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
     rows = sorted(texts.select("id", "label", "text").mapInPandas(_counted, "id long, label int, at binary, counts binary").dropDuplicates(["id", "label"]).collect(), key=lambda r: (r["id"], r["label"]))
     counts = np.zeros((len(rows), TERMS), np.float32)
     for k, r in enumerate(rows):
@@ -147,7 +148,7 @@ def score_texts(model: Neighbours, texts: list[str]) -> np.ndarray:
 
 def with_quality(df: DataFrame, model: Neighbours | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``df`` with the score of each row's text in ``score_col`` (which replaces a column of that name)."""
-    df = df.drop(score_col)
+    df = texts_for_python(df).drop(score_col)
     if model is None:
         return df.withColumn(score_col, F.lit(1.0))
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by `sample`, `rank` and the number of terms

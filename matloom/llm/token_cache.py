@@ -13,6 +13,8 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
+from matloom.llm.common import own_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Texts are taken in groups of about so many characters, which bounds the lists of pre-tokens in memory.
@@ -48,7 +50,13 @@ class PretokenCache:
         """The worker's own cache, kept from task to task."""
         if (path, kind) not in _caches:
             _caches[path, kind] = cls(path, finish)
-        return _caches[path, kind]
+        cache = _caches[path, kind]
+        own_cache(f"tokens {path} {kind}", cache.clear)
+        return cache
+
+    def clear(self) -> None:
+        self.led.clear()
+        self.first.clear()
 
     def _fill(self, known: dict[str, Any], parts: set[str], lead: str) -> None:
         new = [p for p in parts if p not in known]

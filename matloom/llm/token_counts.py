@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matloom.llm.common import texts_for_python
 from matloom.llm.token_cache import default_path, id_counts
 
 
@@ -27,7 +28,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_bytes": frame["n_bytes"], "n_tokens": pd.Series(list(id_counts(path, frame["text"].tolist())), dtype="int64")})
 
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts_for_python(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("n_bytes", F.octet_length("text").cast("long"))
     counted = texts.select("doc_id", "n_bytes", "text").mapInPandas(count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matloom.llm.common import OrderedBuckets, bounded_sample, shared_folder
+from matloom.llm.common import OrderedBuckets, bounded_sample, shared_folder, texts_for_python
 from matloom.llm.token_cache import default_path, id_bytes
 
 FRAMES = "bucket int, doc_id long, n_tokens long, frame binary"
@@ -53,7 +53,7 @@ def _zdict(data: bytes) -> dict:
 def write_store(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, end_id: int = 0, width: int = 2, sample: int = 1000) -> None:
     """Encode every text and write the store to the folder ``path``."""
     spark, tokenizer = df.sparkSession, tokenizer or default_path("byte_bpe_50k.json")
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = texts_for_python(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end, kind = np.array([end_id], "<u4").tobytes(), f"<u{width}"
 
     def serialized(values: list[str]) -> Iterator[np.ndarray]:

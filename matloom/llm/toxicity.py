@@ -24,14 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.llm.common import bounded_sample, fold
+from matloom.llm.common import bounded_sample, fold, own_cache, texts_for_python
 
 WINDOW, STEP = 24, 12
 HIDDEN = 8
 BUCKETS, WIDTH = 1 << 15, 8
 GRAMS = (3, 4, 5, 6)
 #: Words that are held at a time when texts are scored.
-GROUP_WORDS = 400_000
+GROUP_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 
 
@@ -332,6 +332,7 @@ def train(texts: list[str], labels: np.ndarray, *, rounds: int = 4, seed: int =
 
 def score_texts(net: Network, texts: list[str]) -> np.ndarray:
     """The score of each text, from all of its windows, to five places (sums of single precision vary beyond)."""
+    own_cache("windows", lambda: None)
     scores, group, held = [], [], 0
 
     def close() -> None:
@@ -369,7 +370,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
 
 def with_toxicity(df: DataFrame, net: Network | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``df`` with the score of each row's text in ``score_col`` (which replaces a column of that name)."""
-    df = df.drop(score_col)
+    df = texts_for_python(df).drop(score_col)
     if net is None:
         return df.withColumn(score_col, F.lit(0.0))
     shared = df.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the input
