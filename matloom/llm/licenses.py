@@ -9,9 +9,14 @@ Band settings: the shortest template has 3 shingles. As windows begin every 4 =
 least, and one of 12 bands agrees with probability 1 - 2^-12 > 0.9997; where a fifth of a long template is changed,
 a window with likeness 2/5 is still found with 1 - 0.6^12 > 0.997 for each of several windows.
 
-A window can only agree in a band if it has a shingle of a template, so windows of texts without any are not hashed.
+Windows are only hashed in texts that have, anywhere, enough of a template's distinct shingles for its containment.
 A retrieved template is verified exactly: over every stretch of the text a quarter longer than the template, the share
-of the template's distinct shingles that occur there; the largest share is its containment.
+of the template's distinct shingles that occur there. Versions and variants of a license differ in few words, so a stretch
+only counts if no stretch of another template with a larger share covers half of it or more (equal shares all count). The
+largest share that counts is the template's containment.
+
+The SQL of ``oracle`` has the same templates and shares but not this choice: it also lists the templates that another one
+beats where they stand. So it has rows more wherever a version is named: GPL-1.0 and GPL-2.0 (0.9) beside each GPL-3.0 line.
 
 Defined cases: a null, empty or short text matches nothing; texts are scanned whole; rows with null or repeated ids are
 scanned one by one, with a row out for each license found in each; an empty table gives an empty result; other
@@ -25,22 +30,40 @@ from pyspark.sql import functions as F
 
 WINDOW, STEP, BANDS, SHINGLE = 6, 4, 12, 3
 
-# Names and notices of public licenses.
+# Names and notices of public licenses. What several versions or variants share has a name of its own
+# ("BSD", "GPL-notice"), so that a text that tells no version isn't given one.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "BSD-2-Clause": "in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+for _kind, _name, _versions in (("GPL", "", ("1", "2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",))):
+    _notice = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_name}General Public License{{}} as published by the Free Software Foundation"
+    TEMPLATES[f"{_kind}-notice"] = _notice.format("")
+    for _version in _versions:
+        _full = f"{_kind}-{_version if '.' in _version else _version + '.0'}"
+        TEMPLATES[_full] = f"This work is licensed under the GNU {_name}General Public License, version {_version}."
+        TEMPLATES[f"{_full}-notice"] = _notice.format("") + f", either version {_version} of the License, or (at your option) any later version"
+        TEMPLATES[f"{_full}-only-notice"] = _notice.format(f" version {_version}")
+for _full, _date in (("GPL-2.0", "Version 2, June 1991"), ("GPL-3.0", "Version 3, 29 June 2007"), ("LGPL-2.1", "Version 2.1, February 1999"), ("LGPL-3.0", "Version 3, 29 June 2007"), ("AGPL-3.0", "Version 3, 19 November 2007")):
+    TEMPLATES[f"{_full}-text"] = f"GNU { {'L': 'Lesser ', 'A': 'Affero '}.get(_full[0], '')}General Public License {_date}"
+for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    _long = "-".join({"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}[k] for k in _kind.split("-"))
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        TEMPLATES[f"CC-{_kind}-{_version}"] = f"Licensed under CC {_kind} {_version}."
+        TEMPLATES[f"CC-{_kind}-{_version}-text"] = f"This work is licensed under a Creative Commons {_long} {_version} {_port} License."
+# the long form had this name before there were two
+TEMPLATES["CC-BY-4.0"], TEMPLATES["CC-BY-4.0-short"] = TEMPLATES.pop("CC-BY-4.0-text"), TEMPLATES["CC-BY-4.0"]
 
 
 def shingles(text: Column) -> Column:
@@ -73,11 +96,12 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> list:
     if not templates:
         return []
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").withColumn("hashes", shingles(F.col("text")))
-    return rows.where(F.size("hashes") > 0).select("license", F.array_distinct("hashes").alias("shingles"), F.array_distinct(band_keys(F.col("hashes"), 1)).alias("keys")).orderBy("license").collect()
+    found = rows.select("license", F.array_distinct("hashes").alias("shingles"), F.array_distinct(_once(F.col("hashes"), lambda h: band_keys(h, 1))).alias("keys")).collect()
+    return sorted((r for r in found if r["shingles"]), key=lambda r: r["license"])
 
 
 def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")  # folded to one literal; thousands of nodes are slow to plan
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
@@ -87,19 +111,61 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not table:
         return df.sparkSession.createDataFrame([], schema)
     every = sorted({h for r in table for h in r["shingles"]})
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), shingles(F.coalesce(F.col(text_col), F.lit(""))).alias("hashes"))
-    some = texts.where(F.exists("hashes", lambda h: h.isin(every)))
-    keyed = some.select("doc_id", "hashes", band_keys(F.col("hashes"), STEP).alias("keys"))
     wanted = F.array(*[F.struct(F.lit(r["license"]).alias("license"), _longs(r["shingles"]).alias("own"), _longs(r["keys"]).alias("template_keys")) for r in table])
-    met = keyed.select("doc_id", "hashes", F.explode(F.filter(wanted, lambda t: F.arrays_overlap(F.col("keys"), t["template_keys"]))).alias("t"))
-    # where the template's shingles stand; the best stretch begins at one of them
-    places = F.filter(F.transform("hashes", lambda h, i: F.when(F.array_contains(F.col("t.own"), h), i)), lambda i: i.isNotNull())
-    placed = met.select("doc_id", "t.license", "t.own", "hashes", places.alias("places"))
-    span = F.ceil(F.size("own") * 1.25).cast("int")
-    shares = F.transform("places", lambda i: F.struct((F.size(F.array_intersect(F.slice("hashes", i + 1, span), F.col("own"))) / F.size("own")).alias("share"), (-i).alias("back")))
-    best = placed.select("doc_id", "license", F.array_max(shares).alias("best"))
-    found = best.select("doc_id", "license", F.col("best.share").alias("containment"), (-F.col("best.back")).cast("int").alias("first_word"))
-    return found.where(F.col("containment") >= F.lit(least))
+    longest = max(-(-5 * len(r["shingles"]) // 4) for r in table)
+
+    def retrieved(hashes: Column) -> Column:
+        enough = lambda hits: F.filter(wanted, lambda t: F.size(F.array_intersect(hits, t["own"])) / F.size(t["own"]) >= F.lit(least))
+        by_bands = lambda some: F.when(F.size(some) > 0, _once(band_keys(hashes, STEP), lambda keys: F.filter(some, lambda t: F.arrays_overlap(keys, t["template_keys"])))).otherwise(some)
+        hits = F.array_distinct(F.filter(hashes, lambda h: h.isin(every)))
+        return _once(hits, lambda h: F.when(F.size(h) > 0, _once(enough(h), by_bands)).otherwise(F.slice(wanted, 1, 0)))
+
+    def unbeaten(met: Column, stretches: Column) -> Column:
+        # a stretch is as long as the longest template's at most, and a template has one at most from each place
+        reach = F.size(met) * F.lit(longest)
+        beats = lambda o, s: (o["share"] > s["share"]) & (o["license"] != s["license"]) & _covers(o, s)
+        return F.filter(stretches, lambda s, k: ~F.exists(F.slice(stretches, F.greatest(k - reach, F.lit(0)) + 1, 2 * reach + 1), lambda o: beats(o, s)))
+
+    def best(left: Column) -> Column:
+        top = lambda name: F.array_max(F.transform(F.filter(left, lambda s: s["license"] == name), lambda s: F.struct(s["share"].alias("share"), (-s["start"]).alias("back"))))
+        return F.transform(F.array_distinct(F.transform(left, lambda s: s["license"])), lambda name: F.struct(name.alias("license"), top(name).alias("best")))
+
+    def scan(hashes: Column) -> Column:
+        stretches = lambda met: F.array_sort(F.flatten(F.transform(met, lambda t: _stretches(hashes, t["license"], t["own"], least))))
+        return _once(retrieved(hashes), lambda met: _once(_once(stretches(met), lambda all_: unbeaten(met, all_)), best))
+
+    # one expression below one generator: a step that is a column of its own would be made anew wherever it is read
+    found = df.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(_once(shingles(F.coalesce(F.col(text_col), F.lit(""))), scan)).alias("f"))
+    return found.select("doc_id", "f.license", F.col("f.best.share").alias("containment"), (-F.col("f.best.back")).cast("int").alias("first_word"))
+
+
+def _once(value: Column, f) -> Column:
+    """``f(value)`` where the value is made once, however often ``f`` reads it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _stretches(hashes: Column, license: Column, own: Column, least: float) -> Column:
+    """``start, end, share, license`` of a template's stretches that hold enough of it, the best ones where they
+    overlap; they begin and end with a shingle of the template."""
+    span = F.ceil(F.size(own) * 1.25).cast("int")
+    places = F.filter(F.transform(hashes, lambda h, i: F.when(F.array_contains(own, h), i)), lambda i: i.isNotNull())
+
+    def shared(ps: Column) -> Column:
+        shares = F.transform(ps, lambda i, k: F.struct(i.alias("start"), k.alias("k"), (F.size(F.array_intersect(F.slice(hashes, i + 1, span), own)) / F.size(own)).alias("share")))
+        enough = F.filter(shares, lambda s: s["share"] >= F.lit(least))
+        end = lambda s: F.array_max(F.filter(F.slice(ps, s["k"] + 1, span), lambda p: p < s["start"] + span))
+        return F.transform(enough, lambda s: F.struct(s["start"].alias("start"), end(s).alias("end"), s["share"].alias("share"), license.alias("license")))
+
+    def peaks(all_: Column) -> Column:
+        higher = lambda o, s: ((o["share"] > s["share"]) | ((o["share"] == s["share"]) & (o["start"] < s["start"]))) & _covers(o, s)
+        return F.filter(all_, lambda s, k: ~F.exists(F.slice(all_, F.greatest(k - span, F.lit(0)) + 1, 2 * span + 1), lambda o: higher(o, s)))
+
+    return _once(_once(places, shared), peaks)
+
+
+def _covers(other: Column, s: Column) -> Column:
+    """Whether another stretch covers half of this one at least."""
+    return 2 * (F.least(other["end"], s["end"]) - F.greatest(other["start"], s["start"]) + 1) >= s["end"] - s["start"] + 1
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = 0.8) -> str:

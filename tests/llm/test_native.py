@@ -93,3 +93,43 @@ def test_every_template_is_found_at_every_offset(spark):
     rows = [(k, " ".join(["filler%d" % (k * 31 + j) for j in range(k)]) + " " + t + " and so on for ever and ever") for k in range(9) for t in licenses.TEMPLATES.values()]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("containment = 1").groupBy("license").count().collect()
     assert {r["license"] for r in got} == set(licenses.TEMPLATES) and all(r["count"] >= 9 for r in got)
+
+
+def test_versions_and_variants_are_not_taken_for_one_another(spark):
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    clauses = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'
+    creative = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    altered = "This work is licensed under the GNU General Public License, version 2. " + "filler " * 30 + "That work is licensed under the GNU General Public License, version 3."
+    cases = [
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", {"LGPL-3.0"}),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", {"AGPL-3.0"}),
+        (creative.format("-ShareAlike"), {"CC-BY-SA-4.0-text"}),
+        (creative.format("-NonCommercial"), {"CC-BY-NC-4.0-text"}),
+        (creative.format("-NoDerivatives"), {"CC-BY-ND-4.0-text"}),
+        (creative.format("-NonCommercial-ShareAlike"), {"CC-BY-NC-SA-4.0-text"}),
+        (creative.format(""), {"CC-BY-4.0"}),
+        (gpl.format("Lesser "), {"LGPL-notice"}),
+        (gpl.format("Affero "), {"AGPL-notice"}),
+        (gpl.format(""), {"GPL-notice"}),
+        (gpl.format("") + "; either version 2 of the License, or (at your option) any later version.", {"GPL-notice", "GPL-2.0-notice"}),
+        (clauses + end, {"BSD", "BSD-2-Clause"}),
+        (clauses + third + end, {"BSD", "BSD-3-Clause"}),
+        (altered, {"GPL-2.0", "GPL-3.0"}),  # the second one counts where it stands, though more of it is in the first
+    ]
+    cases += [(t, {k}) for k, t in licenses.TEMPLATES.items() if k.endswith(("-4.0", "-3.0", "-2.0")) and k.startswith(("CC", "GPL", "LGPL", "AGPL", "EPL"))]
+    df = spark.createDataFrame([(k, "Before. " + t + " After.") for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got: dict[int, set] = {k: set() for k in range(len(cases))}
+    for r in licenses.scan_licenses(df).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert [got[k] for k in got] == [names for _, names in cases]
+
+
+def test_chosen_templates_are_those_of_the_sql_that_none_beats(spark, licensed):
+    documents = licensed.select("doc_id", "text").toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    listed = {(r[1], r[2]) for r in con.sql(licenses.oracle()).fetchall()}
+    assert {(r["license"], r["containment"]) for r in licenses.scan_licenses(licensed).collect()} <= listed
