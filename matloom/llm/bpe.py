@@ -84,8 +84,8 @@ class PairIndexCoder:
             self.right.append(right)
             self.made.append(made)
         self.plain = self._plain_pattern(spec)
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     @staticmethod
     def _plain_pattern(spec: dict):
@@ -185,23 +185,20 @@ class PairIndexCoder:
         return found
 
     def learn(self, pieces: set[str]) -> None:
-        """Make ``self.pieces`` hold all of ``pieces``: ids as bytes, and the tokens as decode joins them."""
+        """Make ``self.pieces`` hold the ids of all of ``pieces``, as bytes."""
         new = [p for p in pieces if p not in self.pieces]
         if len(self.pieces) + len(new) > KEPT:
             self.clear()
             new = list(pieces)
         split = [self._split(p) for p in new]
         unknown = list({w for s in split for w in s if w.__class__ is str and w not in self.words})
-        self.words.update(zip(unknown, map(self._told, self.merge(unknown))))
+        self.words.update(zip(unknown, [array("I", ids).tobytes() for ids in self.merge(unknown)]))
         for piece, parts in zip(new, split):
-            told = [self.words[part] if part.__class__ is str else self._told([part]) for part in parts]
-            self.pieces[piece] = told[0] if len(told) == 1 else (b"".join([t[0] for t in told]), " ".join([t[1] for t in told if t[1]]))
+            told = [self.words[part] if part.__class__ is str else array("I", [part]).tobytes() for part in parts]
+            self.pieces[piece] = told[0] if len(told) == 1 else b"".join(told)
 
-    def _told(self, ids: list[int]) -> tuple[bytes, str]:
-        return array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, list[str]]]:
-        """Of each text its ids as bytes, and its pieces' tokens (joined by blanks)."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Of each text its ids as bytes."""
         at = 0
         while at < len(texts):
             group, chars, distinct = [], 0, set()
@@ -212,12 +209,11 @@ class PairIndexCoder:
                 at += 1
             self.learn(distinct)
             for split in group:
-                found = list(map(self.pieces.__getitem__, split))
-                yield b"".join([f[0] for f in found]), [f[1] for f in found if f[1]]
+                yield b"".join(map(self.pieces.__getitem__, split))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; ids that the vocabulary doesn't have are passed over."""
-        tokens = [self.tokens[i] for i in ids.tolist() if i in self.tokens]
+        tokens = [t for t in map(self.tokens.get, ids.tolist()) if t is not None]
         return self.decoder.decode(tokens) if self.decoder else " ".join(tokens)
 
 
@@ -229,8 +225,8 @@ def encode_and_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         coder = PairIndexCoder.of(path)
         for frame in frames:
             rows = []
-            for ids, tokens in coder.encode(frame["text"].tolist()):
-                text = " ".join(tokens) if coder.decoder is None else coder.decode(np.frombuffer(ids, "<u4"))
+            for ids in coder.encode(frame["text"].tolist()):
+                text = coder.decode(np.frombuffer(ids, "<u4"))
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *((ids, text) if keep else ())))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])])
             out.insert(0, "doc_id", frame["doc_id"].astype("Int64").values)

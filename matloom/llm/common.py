@@ -2,77 +2,102 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local runs."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; without one, a temporary folder in local
+    runs and an error on a cluster."""
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="matloom-")
         context.setCheckpointDir(found)
     return found
 
 
+class Tables:
+    """Intermediate tables of one job in the shared folder. Writing one cuts the lineage: a later loss of executors
+    costs no recomputation. A table that no unfinished plan reads is deleted."""
+
+    def __init__(self, spark: SparkSession, job: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/matloom/{job}-{uuid.uuid4().hex}"
+        self.written: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as a new table and read it back."""
+        path = f"{self.folder}/{len(self.written)}-{name}-{uuid.uuid4().hex[:8]}"
+        schema = df.schema
+        df.write.option("compression", "zstd").parquet(path)
+        self.written[name] = path
+        return self.spark.read.schema(schema).parquet(path)
+
+    def delete(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.written[name])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new Parquet table in the shared folder and read it back.
+    """``df`` as a table of its own in the shared folder."""
+    return Tables(df.sparkSession, name).write(df, name)
 
-    This cuts the lineage: a later loss of executors costs no recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/matloom/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with lines below it a name that no column of ``df`` has."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
 
 
 class OrderedBuckets:
-    """Splits the rows of a table into consecutive ranges of an integer key.
+    """Splits the rows of a table into consecutive ranges of (key, tie), rows without a key first.
 
-    The key's range is cut into equal cells, one for about ``target / 4`` rows but at most ``MOST``; they are counted in
-    one aggregation (so many small rows reach the driver at most, whatever the input's size) and joined to buckets of
-    about ``target`` rows. Rows without a key come after all others, in a bucket of their own.
+    The pair of numbers alone is range-partitioned by Spark, so ranges follow the rows, wherever the keys lie; the first
+    and the last pair of each range reach the driver, one for about ``target`` rows but at most ``MOST`` of them. Rows
+    with equal key and equal tie share a range.
     """
 
-    MOST = 1 << 18
-
-    def __init__(self, df: DataFrame, key: str, target: int = 2000):
-        spark, column = df.sparkSession, F.col(key)
-        rows, low, high = df.agg(F.count(F.lit(1)), F.min(column).cast("double"), F.max(column).cast("double")).first()
-        self.parts = min(self.MOST, max(256, 4 * rows // target))
-        low, high = (0.0, 0.0) if low is None else (low, high)
-        width = max(1.0, (high - low + 1) / self.parts)
-        inside = F.least(F.lit(self.parts), F.floor((column.cast("double") - F.lit(low)) / F.lit(width)).cast("long")).cast("int")
-        self.cell = F.when(column.isNull(), F.lit(self.parts + 1)).otherwise(inside)
-        counted = df.select(column).groupBy(self.cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.max(column).alias("high")).collect()
-        #: (cell, bucket) pairs; of each bucket its highest key
-        self.cells: list[tuple[int, int]] = []
-        self.highest: list[int | None] = []
-        filled = target
-        for row in sorted(counted, key=lambda r: r["cell"]):
-            if filled >= target or row["cell"] > self.parts:
-                self.highest.append(None)
-                filled = 0
-            filled += row["n"]
-            self.cells.append((row["cell"], len(self.highest) - 1))
-            self.highest[-1] = row["high"]
-        self.rows = sum(r["n"] for r in counted)
-        self.table = spark.createDataFrame(self.cells or [(0, 0)], "_cell int, bucket int")
+    MOST = 1 << 16
+
+    def __init__(self, df: DataFrame, key: Column, tie: Column, target: int = 2000):
+        pairs = df.select(key.isNotNull().cast("long").alias("there"), F.coalesce(key, F.lit(0)).cast("long").alias("key"), tie.cast("long").alias("tie"))
+        self.rows = pairs.count()
+        parts = max(1, min(self.MOST, self.rows // target))
+        ranged = pairs.repartitionByRange(parts, "there", "key", "tie").groupBy(F.spark_partition_id().alias("part"))
+        ends = ranged.agg(F.min(F.struct("there", "key", "tie")).alias("low"), F.max(F.struct("there", "key", "tie")).alias("high")).collect()
+        #: of each range, in ascending order, its first and last (there, key, tie)
+        self.ranges = sorted((tuple(r["low"]), tuple(r["high"])) for r in ends)
+        self.key, self.tie = key, tie
 
     def __len__(self) -> int:
-        return len(self.highest)
+        return len(self.ranges)
+
+    def place(self) -> tuple[Column, Column, Column]:
+        return self.key.isNotNull().cast("long"), F.coalesce(self.key, F.lit(0)).cast("long"), self.tie.cast("long")
+
+    def bucket(self) -> Column:
+        """The number of a row's range, by binary search among the ranges' first pairs."""
+        lows = [low for low, _ in self.ranges] or [(0, 0, 0)]
+        columns = [F.split(F.lit(",".join(str(x[k]) for x in lows)), ",").cast("array<bigint>") for k in range(3)]
+        there, key, tie = self.place()
+
+        def reached(at: Column) -> Column:
+            h, k, t = (F.element_at(c, at + 1) for c in columns)
+            return (there > h) | ((there == h) & ((key > k) | ((key == k) & (tie >= t))))
 
-    def add(self, df: DataFrame) -> DataFrame:
-        """``df`` with its ``bucket``; the looked-up table has at most ``MOST`` + 2 rows."""
-        return df.withColumn("_cell", self.cell).join(F.broadcast(self.table), "_cell").drop("_cell")
+        steps = [1 << k for k in reversed(range(max(1, (len(lows) - 1).bit_length())))]
+        search = lambda at, step: F.when(F.when(at + step < F.lit(len(lows)), reached(at + step)).otherwise(F.lit(False)), at + step).otherwise(at)
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)
 
 
 def fold(doc_id: str, folds: int):
@@ -99,8 +124,8 @@ def own_cache(name: str, clear: Callable[[], None]) -> None:
 def texts_for_python(df: DataFrame) -> DataFrame:
     """``df``, whose texts go to Python workers: in batches of 500 rows at most, unless the session sets a size.
 
-    Texts may be long, and a batch is held on both sides."""
+    Texts may be long, and a batch is held on both sides. The size belongs to the session, so it stays set."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
+    if name not in df.sparkSession.conf.getAll:
         df.sparkSession.conf.set(name, "500")
     return df

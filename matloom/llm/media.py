@@ -5,10 +5,11 @@ an integral image gives every output cell of a resized tile as an exact mean ove
 NPY bytes; the difference hash compares neighbouring cells of a 9 x 8 grey tile.
 
 A text as media: its UTF-8 bytes, blanks appended up to a positive multiple of 192, are the samples of a P6 image 64
-pixels wide. Everything after storing works on the stored bytes alone.
+pixels wide. ``stored`` writes a table of media to files; everything after that works on the bytes read back alone.
 
 Defined cases: a null or empty text is one row of blanks; bytes that are no image of these kinds give nulls in all
-decoded columns; repeated rows and null ids are kept; an empty table gives an empty result.
+decoded columns; repeated rows and null ids are kept; an empty table gives an empty result; columns that have the name
+of a decoded one are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.llm.common import texts_for_python
+from matloom.llm.common import durable, texts_for_python
 
 ROW = 192
 
@@ -128,10 +129,16 @@ def with_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return texts_for_python(df).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(store, "doc_id long, n_bytes long, media binary")
 
 
+def stored(media: DataFrame) -> DataFrame:
+    """``media`` written as a table of its own in the shared folder and read back."""
+    return durable(media, "media")
+
+
 def media_features(df: DataFrame, media_col: str = "media", *, tile: tuple[int, int] = (16, 16)) -> DataFrame:
     """``df`` (but its media column) with what reading the media gives: sizes, hashes, and the NPY ``tile``."""
-    others = [f for f in df.schema.fields if f.name != media_col]
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "height", "width", "channels", "feature", "tile"]
+    df = texts_for_python(df).drop(*[c for c in df.columns if c.lower() in names])
+    others = [f for f in df.schema.fields if f.name != media_col]
 
     def read(data: bytes | None) -> tuple:
         try:

@@ -10,13 +10,19 @@ Method
    partner can be there. Parts with fewer than two shingles, which would meet by chance, are left out by sets that have
    s of them at most: such a set has another part equal to any partner's. No link is lost. Only tiles with two classes
    or more go on.
-3. First, each class meets a few leaders of its tiles; components of the verified links are its label. Then every pair of
-   a tile with different labels is bounded by bitmaps. A bit is the parity of the shingles that hash to it, so each bit in which
-   two signatures differ shows a shingle that one set lacks: the count bounds the overlap from above. A signature has
-   two bits or more for each shingle; a wider one is folded to meet a narrower one. Large tiles are dealt into blocks,
-   and pairs of blocks.
-4. Pairs within the bound are intersected exactly, as sorted arrays.
-5. Components by propagating the least label along links with pointer jumping, as joins; no links reach the driver.
+3. A tile's leader is its class that shares most tiles with others. Tiles of one leader become one group where that
+   means fewer pairs (a family of near copies shares hundreds of tiles). Each class meets its leaders first; components
+   of the verified links are its label.
+4. In groups that still have several labels, each class proposes its nearest few of another label; the links found are
+   contracted into the labels, and classes that had more to propose than they were allowed do so again, sixteen times
+   as many. When none had more, every pair has been ruled out, verified or joined by other links. So what is listed
+   grows with a group's size, not with its square, and no link is lost.
+5. A pair is bounded by bitmaps before it is listed. A bit is the parity of the shingles that hash to it, so each bit in
+   which two signatures differ shows a shingle that one set lacks: the count bounds the overlap from above. A signature
+   has two bits or more for each shingle; a wider one is folded to meet a narrower one. Large groups are dealt into
+   blocks, and pairs of blocks.
+6. Listed pairs are intersected exactly, as sorted arrays.
+7. Components by propagating the least label along links with pointer jumping, as joins; no links reach the driver.
 
 Defined cases: a null or empty text, or one of white space only, has no shingles, links with nothing and is its own
 component; a text with fewer words than a shingle has one, its whole sequence; repeated doc_ids keep their rows; a null
@@ -34,18 +40,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.llm.common import durable, own_cache, texts_for_python
+from matloom.llm.common import Tables, own_cache, texts_for_python, unused
 
 #: Bits of the narrowest signature.
 LEAST_BITS = 512
-#: Rows of a tile that are compared in one task; larger tiles are dealt into pairs of blocks.
-BLOCK = 1024
+#: Rows, and bytes of signatures, of a group that are compared in one task; larger groups are dealt into pairs of blocks.
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
 #: Members of a group of pairs that are intersected in one task.
 PART = 512
-#: Sets that may be broadcast, to be looked up where the texts are read; more are joined by a shuffle.
+#: Rows of small tables that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
-#: Leaders of a tile that its classes meet before pairs are listed.
-LEADERS = 3
+#: Partners of another label that a class proposes in the first round, and how many times more in the next one.
+PROPOSED, MORE = 4, 16
+#: Bytes of arrays that a task holds before it sends them.
+SENT_BYTES = 1 << 24
 _WORDS_KEPT = 400_000
 GROUP_WORDS = 100_000
 
@@ -290,31 +298,43 @@ def bounded(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("b"), "b").join(of("a"), "a").mapInPandas(test, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the distinct ``a, b`` pairs that link, by exact intersection of sorted arrays.
+def small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-    Pairs are grouped by a, large groups in salted parts. Where a text stands it is turned into its array and sent to the
-    groups that need it, so each pair moves one array, and each part of a group its first one. A task holds one array
-    while those of a part pass by.
+
+def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, n: int, percent: int, tables: Tables) -> DataFrame:
+    """Those of the written, distinct ``a, b`` pairs that link, by exact intersection of sorted arrays; written.
+
+    Pairs are grouped by a, large groups in salted parts. Where a text stands it is turned into its array and sent to
+    the groups that need it: each pair moves b's array, and each part of a group a's. A task holds one array while those
+    of a part pass by.
     """
     partitions = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts"))
-    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    ends = dealt.select(F.col("b").alias("set"), "a", "part").union(dealt.select(F.col("a").alias("set"), "a", "part").distinct())
-    wanted = durable(ends.join(known.select("set", "row"), "set").groupBy("row", "set").agg(F.collect_list(F.struct("a", "part")).alias("groups")), "wanted")
-    rows, groups = wanted.agg(F.count(F.lit(1)), F.sum(F.size("groups"))).first()
-    if rows <= MOST_BROADCAST and (groups or 0) <= 4 * MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
+    large = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).alias("parts")).where("parts > 1")
+    large = tables.write(large, "large")
+    dealt = pairs.join(small(large), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    followers = dealt.select(F.col("b").alias("set"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(1).cast("long").alias("parts"))
+    leaders = dealt.select(F.col("a").alias("set"), "a", F.lit(0).cast("long").alias("part"), "parts").distinct()
+    wanted = tables.write(followers.union(leaders).join(known.select("set", "row"), "set"), "wanted")
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            sets = list(shingle_sets(frame["text"].tolist(), n))
-            names = iter(set_keys([s for s in sets if len(s)]))
-            for shingles, name, groups in zip(sets, frame["set"].tolist(), frame["groups"].tolist()):
-                if len(shingles) and next(names) == name:
-                    data = shingles.tobytes()
-                    out += [(g["a"], g["part"], int(g["a"] != name), name, data) for g in groups]
+            out, held = [], 0
+            places = frame.groupby("set", sort=False).indices
+            groups, part, parts = frame["a"].tolist(), frame["part"].tolist(), frame["parts"].tolist()
+            first = frame["text"].to_numpy()
+            for (name, rows), shingles in zip(places.items(), shingle_sets([first[r[0]] for r in places.values()], n)):
+                if not len(shingles) or set_keys([shingles]) != [name]:
+                    continue  # another text with the same row number
+                data = shingles.tobytes()
+                for k in rows:
+                    for own in range(parts[k]) if groups[k] == name else (part[k],):
+                        out.append((groups[k], own, int(groups[k] != name), name, data))
+                        held += len(data)
+                        if held >= SENT_BYTES:
+                            yield pd.DataFrame(out, columns=["a", "part", "follows", "b", "shingles"])
+                            out, held = [], 0
             yield pd.DataFrame(out, columns=["a", "part", "follows", "b", "shingles"])
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,91 +349,172 @@ def verified(pairs: DataFrame, texts: DataFrame, known: DataFrame, n: int, perce
                     found.append((a, b))
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    sent = texts.select("row", "text").join(wanted, "row").select("text", "set", "groups").mapInPandas(send, "a long, part long, follows int, b long, shingles binary")
-    return sent.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", "follows").mapInPandas(compare, "a long, b long").distinct()
-
-
-def tile_pairs(members: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Pairs of one tile, with different labels, that their signatures don't rule out.
-
-    ``members``: tile, block_a, block_b, block, set, label, size, bits. A task holds one pair of blocks at a time.
+    sent = texts.select("row", "text").join(small(wanted), "row").select("text", "set", "a", "part", "parts").mapInPandas(send, "a long, part long, follows int, b long, shingles binary")
+    links = sent.repartition(partitions, "a", "part").sortWithinPartitions("a", "part", "follows").mapInPandas(compare, "a long, b long").distinct()
+    links = tables.write(links, "links")
+    tables.delete("wanted", "large")
+    return links
+
+
+def nearest(i: np.ndarray, j: np.ndarray, differing: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of places (i, j): the pairs (nearer, own) in which one of the ``most`` nearest of ``own`` stands, each
+    pair once; and the places that have more."""
+    own, other, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differing, differing])
+    order = np.lexsort((other, apart, own))
+    own, other = own[order], other[order]
+    start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    sizes = np.diff(np.append(start, len(own)))
+    rank = np.arange(len(own)) - np.repeat(start, sizes)
+    near, by = other[rank < most], own[rank < most]
+    width = max(1, int(max(i.max(initial=0), j.max(initial=0))) + 1)
+    _, first = np.unique(np.minimum(near, by) * width + np.maximum(near, by), return_index=True)
+    return near[first], by[first], own[start[sizes > most]]
+
+
+def proposals(members: DataFrame, percent: int, most: int, partitions: int) -> DataFrame:
+    """``a, b``: of each class b its ``most`` nearest classes a in a pair of blocks that have another label and that
+    their signatures don't rule out; with a null a, the classes b that have more.
+
+    ``members``: leader, grp, block_a, block_b, block, set, label, size, bits. A task holds one pair of blocks at a time.
     """
 
-    def compare(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def compare(rows: list[tuple]) -> pd.DataFrame:
         block = np.array([r[0] for r in rows])
         name = np.array([r[1] for r in rows], np.int64)
         label = np.array([r[2] for r in rows], np.int64)
         size = np.array([r[3] for r in rows], np.int64)
         bits = stacked([r[4] for r in rows])
         across = len(np.unique(block)) > 1
-        step = max(1, (1 << 18) // bits.size)
+        step = max(1, (1 << 20) // len(rows))
         found = []
         for at in range(0, len(rows), step):
             own = slice(at, at + step)
-            open_ = label[own, None] != label[None, at:]
+            open_ = (label[own, None] != label[None, at:]) & (percent * np.maximum(size[own, None], size[None, at:]) <= 100 * np.minimum(size[own, None], size[None, at:]))
             if across:
                 open_ &= block[own, None] != block[None, at:]
             i, j = np.nonzero(open_)
             i, j = i + at, j + at
             i, j = i[i < j], j[i < j]
             differing = np.zeros(len(i), np.int64)
-            for part in range(0, len(i), 1 << 15):
-                few = slice(part, part + (1 << 15))
-                differing[few] = np.bitwise_count(bits[i[few]] ^ bits[j[few]]).sum(1)
+            few = max(1, (1 << 18) // bits.shape[1])
+            for part in range(0, len(i), few):
+                some = slice(part, part + few)
+                differing[some] = np.bitwise_count(bits[i[some]] ^ bits[j[some]]).sum(1)
             near = within_bound(differing, size[i], size[j], percent)
-            found.append(np.stack([np.minimum(name[i], name[j])[near], np.maximum(name[i], name[j])[near]]))
-        pairs = np.concatenate(found, 1)
-        if pairs.shape[1]:
-            yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+            found.append(np.stack([i[near], j[near], differing[near]]))
+        a, b, beyond = nearest(*np.concatenate(found, 1), most)
+        return pd.DataFrame({"a": pd.array([*name[a].tolist(), *[None] * len(beyond)], "Int64"), "b": np.concatenate([name[b], name[beyond]])})
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
         for frame in frames:
-            for tile, lo, hi, *row in frame[["tile", "block_a", "block_b", "block", "set", "label", "size", "bits"]].itertuples(index=False):
-                if (tile, lo, hi) != key:
+            for leader, grp, lo, hi, *row in frame[["leader", "grp", "block_a", "block_b", "block", "set", "label", "size", "bits"]].itertuples(index=False):
+                if (leader, grp, lo, hi) != key:
                     if len(rows) > 1:
-                        yield from compare(rows)
-                    key, rows = (tile, lo, hi), []
+                        yield compare(rows)
+                    key, rows = (leader, grp, lo, hi), []
                 rows.append(row)
         if len(rows) > 1:
-            yield from compare(rows)
+            yield compare(rows)
 
-    dealt = members.repartition(partitions, "tile", "block_a", "block_b").sortWithinPartitions("tile", "block_a", "block_b", "set")
-    return dealt.mapInPandas(stream, "a long, b long").distinct()
+    keys = ("leader", "grp", "block_a", "block_b")
+    return members.repartition(partitions, *keys).sortWithinPartitions(*keys, "set").mapInPandas(stream, "a long, b long").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """``set, root`` for each set that has links: the least name that it reaches."""
-    both = durable(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = durable(both.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("low")).select("set", F.least("set", "low").alias("root")), "labels")
+    tables = tables or Tables(links.sparkSession, "components")
+    both = tables.write(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "both")
+    labels = tables.write(both.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("low")).select("set", F.least("set", "low").alias("root")), "roots-0")
+    turn = 0
     while True:
+        turn += 1
         seen = both.join(labels.withColumnRenamed("set", "b"), "b").groupBy(F.col("a").alias("set")).agg(F.min("root").alias("near"))
         lowered = labels.join(seen, "set").select("set", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = labels.select(F.col("set").alias("root"), F.col("root").alias("further"))
-        lowered = durable(lowered.join(jump, "root", "left").select("set", "old", F.least("root", F.coalesce("further", "root")).alias("root")), "labels")
+        lowered = lowered.join(jump, "root", "left").select("set", "old", F.least("root", F.coalesce("further", "root")).alias("root"))
+        lowered = tables.write(lowered, f"roots-{turn}")
+        tables.delete(f"roots-{turn - 1}")
         if lowered.where("old <> root").isEmpty():
+            tables.delete("both")
             return lowered.select("set", "root")
         labels = lowered.select("set", "root")
 
 
-def find_links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
-    """``a, b``: links between sets that connect all that any links connect. ``known``: set, row, size, bits."""
-    partitions = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tiles = durable(shared_tiles(tiles_of(texts.select("text"), n, percent), partitions), "tiles")
-
-    leaders = tiles.groupBy("tile").agg(F.min_by("set", F.xxhash64("set", F.pmod("tile", F.lit(LEADERS)))).alias("leader"))
-    met = tiles.join(leaders, "tile").where("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
-    near = durable(bounded(met, known, percent), "near")
-    first = durable(verified(near, texts, known, n, percent), "first-links")
-    labels = components(first).withColumnRenamed("root", "label")
-
-    labelled = durable(tiles.join(labels, "set", "left").select("tile", "set", F.coalesce("label", "set").alias("label")), "labelled")
-    several = labelled.groupBy("tile").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high and rows > 2")  # two have met
-    members = labelled.join(several.select("tile", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int").alias("blocks")), "tile")
-    members = members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("tile", "set", "label", "block", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
-    pairs = durable(tile_pairs(members.join(known.select("set", "size", "bits"), "set"), percent, partitions).join(near, ["a", "b"], "left_anti"), "pairs")
-    return first.union(durable(verified(pairs, texts, known, n, percent), "second-links"))
+def grouped(tiles: DataFrame, tables: Tables) -> DataFrame:
+    """``leader, grp, set``: the distinct classes of each group, the leader's own row included; written."""
+    degrees = tiles.groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
+    order = F.shiftleft("degree", 32) + F.xxhash64("set").bitwiseAND(F.lit((1 << 32) - 1))
+    led = tiles.join(degrees, "set").groupBy("tile").agg(F.max_by("set", order).alias("leader"), F.count(F.lit(1)).alias("n"))
+    led = tables.write(led, "leaders")
+    whole = tables.write(tiles.join(led, "tile").select("leader", "set").distinct(), "whole")
+    alone = led.groupBy("leader").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs"))
+    pairs = whole.groupBy("leader").agg(F.count(F.lit(1)).cast("double").alias("classes")).join(alone, "leader")
+    apart = tables.write(pairs.where("classes * classes > pairs").select("leader"), "apart")  # their tiles stay groups of their own
+    one = whole.join(small(apart), "leader", "left_anti").select("leader", F.col("leader").alias("grp"), "set")
+    several = tiles.join(led.join(small(apart), "leader", "left_semi"), "tile").select("leader", F.col("tile").alias("grp"), "set")
+    found = tables.write(one.union(several), "groups")
+    tables.delete("leaders", "whole", "apart")
+    return found
+
+
+def classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, n_shingles, set`` of each row, and ``set, root`` of each class that has links. ``row`` names the id
+    and the text."""
+    if not 1 <= percent <= 100 or words < 1:
+        raise ValueError("percent must be from 1 to 100, words at least 1")
+    spark = df.sparkSession
+    tables = Tables(spark, "ngrams")
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    doc_id = F.col(id_col).cast("long")
+    texts = texts_for_python(df).select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    described = tables.write(shingled(texts, words), "described")
+    one = described.where("set is not null").groupBy("set").agg(F.min(F.struct("row", "n_shingles", "bits")).alias("k"))
+    known = tables.write(one.select("set", "k.row", F.col("k.n_shingles").alias("size"), "k.bits"), "known")
+    sets = tables.write(described.drop("bits"), "sets")
+    tables.delete("described")
+
+    texts = texts.where("text is not null")
+    tiles = tables.write(shared_tiles(tiles_of(texts.select("text"), words, percent), partitions), "tiles")
+    members = grouped(tiles, tables)
+    tables.delete("tiles")
+
+    met = members.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
+    tested = tables.write(bounded(met, known, percent), "met")
+    links = verified(tested, texts, known, words, percent, tables)
+    labels = components(links, tables)
+    most, again = PROPOSED, None
+    others = members.where("set <> leader")  # leaders have met all of their groups
+    while True:
+        own = others if again is None else others.join(small(again), "set", "left_semi")
+        own = own.join(known.select("set", "size"), "set").join(labels, "set", "left").select("leader", "grp", "set", "size", F.coalesce("root", "set").alias("label"))
+        several = own.groupBy("leader", "grp").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.greatest(F.lit(LEAST_BITS // 8), F.col("size") / 2)).alias("bytes"), F.min("label").alias("low"), F.max("label").alias("high"))
+        several = several.where("low < high").select("leader", "grp", F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+        open_ = own.join(several, ["leader", "grp"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
+        found = tables.write(proposals(open_.join(known.select("set", "bits"), "set"), percent, most, partitions), f"proposed-{most}")
+        new = found.where("a is not null")
+        if again is not None:
+            new = new.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+        new = tables.write(new, f"new-{most}")
+        if new.isEmpty():
+            return sets, labels
+        fresh = verified(new, texts, known, words, percent, tables)
+        labels = contracted(labels, fresh, tables)
+        again = tables.write(found.where("a is null").select(F.col("b").alias("set")).distinct(), f"again-{most}")
+        if again.isEmpty():
+            return sets, labels
+        tested, most = tested.union(new), most * MORE
+
+
+def contracted(labels: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """``labels`` after further links: components of the labels that they connect."""
+    root_of = lambda end: labels.select(F.col("set").alias(end), F.col("root").alias(f"root_{end}"))
+    ends = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    roots = components(ends.where("a <> b").distinct(), tables).select(F.col("set").alias("old"), F.col("root").alias("new"))
+    moved = labels.join(roots, F.col("root") == F.col("old"), "left").select("set", F.coalesce("new", "root").alias("root"))
+    alone = roots.join(labels.select(F.col("set").alias("old")), "old", "left_anti").select(F.col("old").alias("set"), F.col("new").alias("root"))
+    return tables.write(moved.union(alone), "labels")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -421,28 +522,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their sets of ``words``-word shingles.
     """
-    if not 1 <= percent <= 100 or words < 1:
-        raise ValueError("percent must be from 1 to 100, words at least 1")
-    doc_id = F.col(id_col).cast("long")
-    texts = texts_for_python(df).select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text_col)).alias("row"), F.col(text_col).alias("text"))
-    sets = durable(shingled(texts, words), "sets")
-    there = sets.where("set is not null")
-    one = there.groupBy("set").agg(F.min(F.struct("row", "n_shingles", "bits")).alias("k"))
-    known = durable(one.select("set", "k.row", F.col("k.n_shingles").alias("size"), "k.bits"), "known")
-    roots = components(find_links(texts.where("text is not null").select("row", "text"), known, words, percent))
-    named = there.groupBy("set").agg(F.min("doc_id").alias("own"))
+    sets, roots = classes(df, id_col, text_col, words, percent)
+    named = sets.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("own"))
     least = named.join(roots, "set").groupBy("root").agg(F.min("own").alias("least"))
     of_set = named.join(roots, "set", "left").join(least, "root", "left").select("set", F.coalesce("least", "own").alias("component_id"))
     return sets.join(of_set, "set", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose document has its component's least id; repeated rows of that document, and rows
-    without an id or without words, stay. An id that stands on several texts goes if all of them have a lesser one."""
-    found = jaccard_components(df, id_col, text_col, **options)
-    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("gone")).where("gone")
-    gone = durable(gone.select(F.col("doc_id").alias(id_col)), "gone")
-    return df.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, id_col, "left_anti").select(df.columns)
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component: the one with the least id (rows without an id come after all others), of several texts
+    under it the one with the lowest hash. Of rows that repeat that id and that text one stays. Rows without words stay,
+    all of them. All columns are kept."""
+    sets, roots = classes(df, id_col, text_col, words, percent)
+    rooted = sets.where("set is not null").join(roots, "set", "left").select("row", "doc_id", F.coalesce("root", "set").alias("root"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    stay = best.select("best.row")
+    tables = Tables(df.sparkSession, "copies")
+    gone = tables.write(rooted.select("row").distinct().join(stay, "row", "left_anti"), "gone")
+    repeated = tables.write(rooted.groupBy("row").count().where("count > 1").join(stay, "row", "left_semi").select("row"), "repeated")
+    row = unused(df, "_row")
+    kept = df.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).join(small(gone.withColumnRenamed("row", row)), row, "left_anti")
+    if not repeated.isEmpty():
+        again = small(repeated.withColumnRenamed("row", row))
+        kept = kept.join(again, row, "left_anti").unionByName(kept.join(again, row, "left_semi").dropDuplicates([row]))
+    return kept.select(df.columns)
 
 
 def oracle(words: int = 4, percent: int = 85) -> str:

@@ -58,20 +58,28 @@ def combinations(bins: np.ndarray, filled: int) -> np.ndarray:
     return np.array(found, int).reshape(-1, 3)
 
 
-def nonnegative_least_squares(a: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """x >= 0 with the least |a x - h|, by an active set of columns."""
-    gram, right = a.T @ a, a.T @ h
-    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    for _ in range(3 * a.shape[0] + 10):
-        gain = right - gram @ x
+def nonnegative_least_squares(slots: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """x >= 0 with the least |a x - h|, by an active set of columns. A column of ``a`` counts the rows that a row of
+    ``slots`` names (-1: none); only active columns, never more than rows, are written out."""
+
+    def columns(at: np.ndarray) -> np.ndarray:
+        a = np.zeros((len(h) + 1, len(at)))
+        np.add.at(a, (slots[at], np.arange(len(at))[:, None]), 1)
+        return a[:-1]
+
+    x, active = np.zeros(len(slots)), np.zeros(len(slots), bool)
+    left = np.append(h, 0.0)
+    least = 1e-9 * (1 + np.abs(h).max(initial=0))
+    for _ in range(3 * len(h) + 10):
+        gain = left[slots].sum(1)
         gain[active] = -np.inf
         enters = int(np.argmax(gain)) if len(gain) else 0
-        if not len(gain) or gain[enters] <= 1e-9 * (1 + np.abs(right).max()):
+        if not len(gain) or gain[enters] <= least:
             break
         active[enters] = True
         while True:
             at = np.flatnonzero(active)
-            best = np.linalg.lstsq(gram[np.ix_(at, at)], right[at], rcond=None)[0]
+            best = np.linalg.lstsq(columns(at), h, rcond=None)[0]
             if (best > 1e-12).all():
                 x[:] = 0
                 x[at] = best
@@ -83,6 +91,8 @@ def nonnegative_least_squares(a: np.ndarray, h: np.ndarray) -> np.ndarray:
             if not len(gone):
                 gone = at[low]
             x[gone], active[gone] = 0, False
+        at = np.flatnonzero(active)
+        left[:-1] = h - columns(at) @ x[at]
     return x
 
 
@@ -95,18 +105,14 @@ def plan_patterns(histogram: dict[int, int], window: int, grain: int = GRAIN) ->
     if left[window]:
         patterns.append(([(window, 1)], int(left[window])))
         left[window] = 0
-    per = -(-window // grain)
     bins = np.add.reduceat(left[1:], np.arange(0, window, grain))
-    listed = combinations(np.flatnonzero(bins) + 1, per)
-    if len(listed) and window % grain == 0:
+    per = window // grain  # lengths beyond the last whole bin are left to the residual
+    listed = combinations(np.flatnonzero(bins[:per]) + 1, per) if per else np.zeros((0, 3), int)
+    if len(listed):
         used = np.unique(listed[listed > 0])
         row = np.full(per + 1, -1)
         row[used] = np.arange(len(used))
-        matrix = np.zeros((len(used), len(listed)))
-        for k, combination in enumerate(listed):
-            for b in combination[combination > 0]:
-                matrix[row[b], k] += 1
-        repeats = np.floor(nonnegative_least_squares(matrix, bins[used - 1].astype(float)) + 1e-6).astype(np.int64)
+        repeats = np.floor(nonnegative_least_squares(row[listed], bins[used - 1].astype(float)) + 1e-6).astype(np.int64)
         for k in np.argsort(-repeats, kind="stable"):
             slots, todo = [int(b) for b in listed[k] if b > 0], int(repeats[k])
             while todo > 0:
@@ -158,9 +164,9 @@ def plan_rows(patterns: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[i
 
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """``rank`` of each piece among those of its length, from 0. A length may hold any share of the rows, so
-    rows are numbered in hashed parts of about a thousand, which are then shifted by what is before them."""
-    parts = max(64, total // 1000)
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)))
+    rows are numbered in hashed parts of at most some hundred thousand, which are then shifted by what is before them."""
+    parts = max(256, total // 200_000)
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
     own = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))

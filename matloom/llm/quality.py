@@ -7,8 +7,9 @@ most ``sample`` (4000 by default) of ``rank`` numbers each, are broadcast; every
 exact cosine products, and its ``neighbours`` nearest vote with their label, weighted by similarity.
 
 Defined cases: a null or empty text has no terms, all similarities are 0 and its score is the labels' mean; without
-labelled rows every score is 1; rows with null or repeated ids are scored like others; an empty table gives an empty
-result; labels, language, source and id are never inputs.
+labelled rows every score is 1; rows with null or repeated ids are scored like others (of labelled ones with equal ids and
+labels the least counts are learned); an empty table gives an empty result; labels, language, source and id are never
+inputs; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from matloom.llm.common import bounded_sample, fold, own_cache, texts_for_python
+from matloom.llm.common import bounded_sample, fold, own_cache, texts_for_python, unused
 
 TERMS = 4096
 BLOCK = 256
@@ -37,7 +38,7 @@ def _shape(token: str) -> str:
         run = m.group()
         return "a" if run.islower() else "A" if run.isupper() and len(run) > 1 else "Aa" if run[0].isupper() and run[1:].islower() else "A" if run.isupper() else "x"
 
-    return _RUNS[1][0].sub("0", _RUNS[0][0].sub(letters, token))[:12]
+    return _RUNS[1][0].sub("0", _RUNS[0][0].sub(letters, token))
 
 
 class _Terms(dict):
@@ -134,7 +135,8 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     usable = labels.where((fold("doc_id", folds) != held) & F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null").distinct()
     picked = bounded_sample(usable, sample, "id")
     texts = texts_for_python(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    rows = sorted(texts.select("id", "label", "text").mapInPandas(_counted, "id long, label int, at binary, counts binary").dropDuplicates(["id", "label"]).collect(), key=lambda r: (r["id"], r["label"]))
+    counted = texts.select("id", "label", "text").mapInPandas(_counted, "id long, label int, at binary, counts binary").groupBy("id", "label").agg(F.min(F.struct("at", "counts")).alias("k"))
+    rows = sorted(counted.select("id", "label", "k.*").collect(), key=lambda r: (r["id"], r["label"]))
     counts = np.zeros((len(rows), TERMS), np.float32)
     for k, r in enumerate(rows):
         counts[k, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["counts"], np.float32)
@@ -153,9 +155,11 @@ def with_quality(df: DataFrame, model: Neighbours | None, *, text_col: str = "te
         return df.withColumn(score_col, F.lit(1.0))
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by `sample`, `rank` and the number of terms
 
+    scored = unused(df, "_scored")
+
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{score_col: score_texts(shared.value, frame["_text"].tolist())}).drop(columns="_text")
+            yield frame.assign(**{score_col: score_texts(shared.value, frame[scored].tolist())}).drop(columns=scored)
 
     schema = StructType([*df.schema.fields]).add(score_col, DoubleType())
-    return df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).mapInPandas(score, schema)
+    return df.withColumn(scored, F.coalesce(F.col(text_col), F.lit(""))).mapInPandas(score, schema)

@@ -45,7 +45,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from matloom.llm.token_store import store_and_read
 
-    return store_and_read(_documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return store_and_read(_documents(spark, sf_dir), ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from matloom.llm.media import media_features, with_media
+    from matloom.llm.media import media_features, stored, with_media
 
-    return media_features(with_media(_documents(spark, sf_dir))).drop("tile")
+    found = media_features(stored(with_media(_documents(spark, sf_dir))))
+    return found.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

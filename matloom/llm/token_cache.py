@@ -1,28 +1,40 @@
-"""Token ids of whole texts, by the tokenizers library, encoding each distinct pre-token once for a worker.
+"""Token ids of whole texts by the tokenizers library, each distinct pre-token encoded once for a worker.
 
-A pre-token here is a run of text that begins with the single space before a word and ends before the next one.
-The byte-level pre-tokenizer always cuts between a character that isn't white space and a single space followed by
-another such character, so ids of a text are those of its pre-tokens one after the other. Texts with other runs of
-white space, or with a special token's string, go to the library as a whole.
+Texts are cut, as one array of bytes, where the byte-level pre-tokenizer always cuts as well, whatever stands around:
+before a single blank or line end between two characters that aren't white space, and before one of ``,.;:!?)`` after a
+Latin letter. Ids of a text are therefore those of its pieces one after the other. Runs of white space stay within a
+piece. Tokenizers of another kind get whole texts.
+
+New pieces that begin with a blank go to the library many at a time, as one text; a token whose string begins with the
+blank's letter begins a piece.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from matloom.llm.common import own_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Texts are taken in groups of about so many characters, which bounds the lists of pre-tokens in memory.
+#: Texts are taken in groups of about so many characters, which bounds the lists of pieces in memory.
 GROUP_CHARS = 1_000_000
-#: Distinct pre-tokens that a worker keeps; beyond it starts anew.
-KEPT = 700_000
-_RUNS = re.compile(r"\s\s")
-_caches: dict[tuple, "PretokenCache"] = {}
+#: Distinct pieces, and bytes of them, that a worker keeps; beyond it starts anew.
+KEPT, KEPT_BYTES = 900_000, 32_000_000
+#: New pieces that the library gets as one text.
+JOINED = 500
+_WIDE_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_SOLID = np.array([33 <= b <= 126 or b >= 128 for b in range(256)])
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_BREAK = np.isin(np.arange(256), [10, 32])
+_STOP = np.isin(np.arange(256), list(b",.;:!?)"))
+_indexes: dict[tuple[str, bool], "PretokenIndex"] = {}
 
 
 def default_path(name: str) -> str:
@@ -31,43 +43,113 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PretokenCache:
-    """``value`` of each distinct pre-token: what ``finish`` makes of its ids."""
+def safe_cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes before which the pre-tokenizer always cuts."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    solid = _SOLID[data]
+    for found in _WIDE_SPACES.finditer(data):
+        solid[found.start() : found.end()] = False
+    blank = _BREAK[data[1:-1]] & solid[:-2] & solid[2:]
+    stop = _STOP[data[1:-1]] & _LETTER[data[:-2]]
+    return np.flatnonzero(blank | stop) + 1
+
+
+class _Numbers(dict):
+    """Numbers of distinct pieces; those that are new are listed."""
+
+    def __init__(self) -> None:
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
+class PretokenIndex:
+    """The number of tokens of each distinct piece and, if ``keep_ids``, its ids."""
 
-    def __init__(self, path: str, finish: Callable[[list[int]], Any]):
+    def __init__(self, path: str, keep_ids: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.finish = finish
-        self.led: dict[str, Any] = {}
-        self.first: dict[str, Any] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens") or []
+        self.cuttable = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer")
+        self.cuttable = self.cuttable and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"] or len(t["content"].split()) != 1 or t["content"] != t["content"].strip() for t in added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # the letter that stands for a blank
+        self.keep_ids = keep_ids
+        self.clear()
 
     @classmethod
-    def of(cls, path: str, kind: str, finish: Callable[[list[int]], Any]) -> "PretokenCache":
-        """The worker's own cache, kept from task to task."""
-        if (path, kind) not in _caches:
-            _caches[path, kind] = cls(path, finish)
-        cache = _caches[path, kind]
-        own_cache(f"tokens {path} {kind}", cache.clear)
-        return cache
+    def of(cls, path: str, keep_ids: bool) -> "PretokenIndex":
+        """The worker's own index, kept from task to task."""
+        if (path, keep_ids) not in _indexes:
+            _indexes[path, keep_ids] = cls(path, keep_ids)
+        index = _indexes[path, keep_ids]
+        own_cache(f"tokens {path} {keep_ids}", index.clear)
+        return index
 
     def clear(self) -> None:
-        self.led.clear()
-        self.first.clear()
-
-    def _fill(self, known: dict[str, Any], parts: set[str], lead: str) -> None:
-        new = [p for p in parts if p not in known]
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list(parts)
-        encoded = self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)
-        known.update((p, self.finish(e.ids)) for p, e in zip(new, encoded))
-
-    def values(self, texts: list[str]) -> Iterator[list[Any]]:
-        """For each text the values of its pre-tokens, in order."""
+        self.numbers = _Numbers()
+        self.held = 0
+        #: by number: how many tokens a piece has, and where its ids begin
+        self.counts = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.used = self.used_ids = 0
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of tokens of each piece, and all their ids in order."""
+        texts = [p.decode() for p in pieces]
+        simple = [k for k, t in enumerate(texts) if self.cuttable and t[:1] == " " and t.split() == [t[1:]]]
+        counts = np.zeros(len(texts), np.int32)
+        ids: list[np.ndarray | None] = [None] * len(texts)
+        rest = set(range(len(texts)))
+        joined = [simple[at : at + JOINED] for at in range(0, len(simple), JOINED)]
+        for own, encoded in zip(joined, self.tokenizer.encode_batch_fast(["".join([texts[k] for k in own]) for own in joined], add_special_tokens=False)):
+            found = np.array(encoded.ids, np.uint32)
+            first = np.flatnonzero(self.leads[found])
+            if len(first) == len(own) and first[0] == 0:
+                counts[own] = np.diff(np.append(first, len(found)))
+                for k, part in zip(own, np.split(found, first[1:])):
+                    ids[k] = part
+                rest.difference_update(own)
+        left = sorted(rest)
+        for k, encoded in zip(left, self.tokenizer.encode_batch_fast([texts[k] for k in left], add_special_tokens=False)):
+            ids[k] = np.array(encoded.ids, np.uint32)
+            counts[k] = len(ids[k])
+        return counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        if not new:
+            return
+        counts, ids = self._encoded(new)
+        self.held += sum(map(len, new))
+        upto = self.used + len(new)
+        if upto > len(self.counts):
+            self.counts = np.concatenate([self.counts[: self.used], np.zeros(upto, np.int32)])
+            self.starts = np.concatenate([self.starts[: self.used], np.zeros(upto, np.int64)])
+        self.counts[self.used : upto] = counts
+        if self.keep_ids:
+            self.starts[self.used : upto] = self.used_ids + np.cumsum(counts) - counts
+            if self.used_ids + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used_ids], np.zeros(self.used_ids + len(ids), np.uint32)])
+            self.ids[self.used_ids : self.used_ids + len(ids)] = ids
+            self.used_ids += len(ids)
+        self.used = upto
+
+    def numbered(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each group of texts: the numbers of their pieces, in order, and where each text's pieces begin (with
+        their end)."""
         at = 0
         while at < len(texts):
             group, chars = [], 0
@@ -75,41 +157,42 @@ class PretokenCache:
                 chars += len(texts[at])
                 group.append(texts[at])
                 at += 1
-            parts: list[list[str] | None] = []
-            led: set[str] = set()
-            first: set[str] = set()
-            for text in group:
-                if _RUNS.search(text) or any(s in text for s in self.special):
-                    parts.append(None)
-                    continue
-                split = text.split(" ")
-                first.add(split[0])
-                parts.append(split)
-                led.update(split[1:])
-            self._fill(self.first, first, "")
-            self._fill(self.led, led, " ")
-            for text, split in zip(group, parts):
-                if split is None:
-                    yield [self.finish(self.tokenizer.encode(text, add_special_tokens=False).ids)]
-                else:
-                    whole = list(map(self.led.__getitem__, split[1:]))
-                    whole.insert(0, self.first[split[0]])
-                    yield whole
-
-
-def ids_as_bytes(ids: list[int]) -> bytes:
-    import numpy as np
-
-    return np.array(ids, "<u4").tobytes()
+            coded = pa.array(group, pa.large_string())
+            bounds = np.frombuffer(coded.buffers()[1], np.int64, len(group) + 1)
+            data = np.frombuffer(coded.buffers()[2] or b"", np.uint8)[: bounds[-1]]
+            edges = np.sort(np.concatenate([bounds, safe_cuts(data)]), kind="stable") if self.cuttable else bounds  # merges two sorted runs
+            edges = np.concatenate([edges[:1], edges[1:][edges[1:] > edges[:-1]]])
+            if len(self.numbers) > KEPT or self.held > KEPT_BYTES:
+                self.clear()
+            if len(edges) > 1:
+                pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).to_numpy(zero_copy_only=False)
+                numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces))
+                self._learn()
+            else:
+                numbers = np.zeros(0, np.int32)
+            yield numbers, np.searchsorted(edges, bounds)
 
 
 def id_bytes(path: str, texts: list[str]) -> Iterator[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
-    for values in PretokenCache.of(path, "bytes", ids_as_bytes).values(texts):
-        yield b"".join(values)
+    index = PretokenIndex.of(path, True)
+    for numbers, bounds in index.numbered(texts):
+        counts = index.counts[numbers].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(index.starts[numbers] - ends[:-1], counts)
+        places += np.arange(ends[-1])
+        ids = index.ids[places].astype("<u4")
+        for start, end in zip(ends[bounds[:-1]], ends[bounds[1:]]):
+            yield ids[start:end].tobytes()
 
 
 def id_counts(path: str, texts: list[str]) -> Iterator[int]:
-    """Each text's number of ids: counts of distinct pre-tokens, summed by how often each occurs."""
-    for values in PretokenCache.of(path, "count", len).values(texts):
-        yield sum(values)
+    """Each text's number of tokens: how often it has each distinct piece, joined to the pieces' counts, summed."""
+    index = PretokenIndex.of(path, False)
+    for numbers, bounds in index.numbered(texts):
+        size = max(1, index.used)
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        pairs, often = np.unique(owner * size + numbers, return_counts=True)
+        document, piece = np.divmod(pairs, size)
+        totals = np.bincount(document, often * index.counts[piece], len(bounds) - 1)
+        yield from totals.astype(np.int64).tolist()

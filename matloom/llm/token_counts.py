@@ -1,8 +1,9 @@
 """Token counts: pieces are counted once per distinct pre-token and summed by document, ids are never kept.
 
-Method: a task's texts are cut at the pre-tokens; pieces of every distinct pre-token are counted once and joined to
-the pre-tokens of each document, whose counts are summed. The join stays in the task: a shuffle of all pre-tokens
-would move more than the texts.
+Method: a task cuts its texts at pre-tokens and numbers the distinct ones; the library counts the tokens of each one
+once. A document's numbers become its frequencies, one row for each distinct pre-token that it has; these are joined to
+the counts by number, multiplied and summed. Both sides of the join are columns of numbers in the task: a shuffle of all
+documents' pre-tokens would move more than the texts.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; rows with a null or repeated id are counted like
 others, one row out for each row in; an empty table gives an empty result; other columns are not read.

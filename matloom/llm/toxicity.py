@@ -1,16 +1,19 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-Inputs of a word: a hashed word embedding, the mean of its hashed character n-gram embeddings (with marks for its
-beginning and end), and two log-odds of labels, of the word and of its most telling n-gram. A text is read in
-windows of 24 words that overlap by half; all windows are scored and the highest one, calibrated, is the text's score.
+Inputs of a word: a hashed word embedding and the mean of its hashed character n-gram embeddings (with marks for its
+beginning and end); all are learned with the network, nothing else is. A text is read in windows of 24 words that
+overlap by half; all windows are scored and the highest one, calibrated, is the text's score.
 
 Training takes at most ``sample`` labelled rows (2400 by default, half of them of each label if there are so many),
-those with the lowest hashes of their ids: a documented bound. As labels are given by text and not by window, training
-alternates: the windows that the model finds most toxic stand for a text.
+those with the lowest hashes of their ids, and of each at most ``spread`` windows (96 by default), evenly spread over the
+whole text: documented bounds. Labels are given by text and not by window: a first pass takes all windows under their
+text's label, which clean words survive because they stand under both; then, turn by turn, the windows that the model
+finds most toxic stand for a text, of clean ones also some at random.
 
 Defined cases: a null text or one without words is one window without words and gets the network's score of it;
-without labelled rows of both labels every score is 0; rows with null or repeated ids are scored like others; an empty
-table gives an empty result; labels, language, source and id are never inputs.
+without labelled rows of both labels every score is 0; rows with null or repeated ids are scored like others (of
+labelled ones with equal ids and labels the least windows are learned); an empty table gives an empty result; labels,
+language, source and id are never inputs; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.llm.common import bounded_sample, fold, own_cache, texts_for_python
+from matloom.llm.common import bounded_sample, fold, own_cache, texts_for_python, unused
 
 WINDOW, STEP = 24, 12
 HIDDEN = 8
-BUCKETS, WIDTH = 1 << 15, 8
+BUCKETS, WIDTH = 1 << 16, 8
 GRAMS = (3, 4, 5, 6)
 #: Words that are held at a time when texts are scored.
 GROUP_WORDS = 100_000
@@ -96,11 +99,13 @@ def segment_mean(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums / np.maximum(counts, 1).reshape(-1, *[1] * (values.ndim - 1))
 
 
-def segment_max(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    if not len(values):
-        return np.zeros(len(starts) - 1, np.float32)
-    most = np.maximum.reduceat(np.append(values, values.dtype.type(-np.inf)), starts[:-1])
-    return np.where(np.diff(starts) > 0, most, values.dtype.type(0))
+def spread_windows(words: list[str], most: int) -> list[list[str]]:
+    """All overlapping windows of a text, or ``most`` of them from end to end."""
+    last = max(0, len(words) - WINDOW)
+    starts = [*range(0, last, STEP), last]
+    if len(starts) > most:
+        starts = [starts[k] for k in np.linspace(0, len(starts) - 1, most).astype(int)]
+    return [words[at : at + WINDOW] for at in starts]
 
 
 def windows_of(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,15 +122,13 @@ def windows_of(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(padded)[np.array(starts)[:, None] + np.arange(WINDOW)], np.array(owner)
 
 
-INPUTS = 2 * WIDTH + 2
+INPUTS = 2 * WIDTH
 
 
 @dataclass
 class Network:
     word: np.ndarray
     gram: np.ndarray
-    word_odds: np.ndarray
-    gram_odds: np.ndarray
     #: by direction: input and state weights of the gates z, r, n, and biases
     wx: list[np.ndarray] = field(default_factory=list)
     wh: list[np.ndarray] = field(default_factory=list)
@@ -136,10 +139,10 @@ class Network:
     scale: tuple[float, float] = (1.0, 0.0)
 
     @classmethod
-    def fresh(cls, word_odds: np.ndarray, gram_odds: np.ndarray, seed: int = 7) -> "Network":
+    def fresh(cls, seed: int = 7) -> "Network":
         rng = np.random.default_rng(seed)
         normal = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-        net = cls(normal(BUCKETS, WIDTH, s=0.05), normal(BUCKETS, WIDTH, s=0.05), word_odds, gram_odds)
+        net = cls(normal(BUCKETS, WIDTH, s=0.05), normal(BUCKETS, WIDTH, s=0.05))
         for _ in range(2):
             net.wx.append(normal(INPUTS, 3 * HIDDEN, s=0.3))
             net.wh.append(normal(HIDDEN, 3 * HIDDEN, s=0.3))
@@ -152,13 +155,11 @@ class Network:
         bucket, grams, starts = features
         table = np.zeros((len(bucket) + 1, INPUTS), np.float32)
         table[1:, :WIDTH] = self.word[bucket]
-        table[1:, -2] = self.word_odds[bucket]
         for at in range(0, len(bucket), 20_000):  # bounds what is gathered of the n-grams at a time
             own = starts[at : at + 20_001]
             part = grams[own[0] : own[-1]]
             rows = slice(at + 1, at + len(own))
-            table[rows, WIDTH : 2 * WIDTH] = segment_mean(self.gram[part], own - own[0])
-            table[rows, -1] = segment_max(self.gram_odds[part], own - own[0])
+            table[rows, WIDTH:] = segment_mean(self.gram[part], own - own[0])
         return table
 
     def logits(self, table: np.ndarray, windows: np.ndarray, block: int = 4096) -> np.ndarray:
@@ -262,7 +263,7 @@ def _step(net: Network, vocabulary_features, windows: np.ndarray, labels: np.nda
         value -= rate * gradient / np.sqrt(past)
     d_word, d_gram = np.zeros_like(net.word), np.zeros_like(net.gram)
     np.add.at(d_word, bucket[words], d_table[1:, :WIDTH])
-    np.add.at(d_gram, own_grams, np.repeat(d_table[1:, WIDTH : 2 * WIDTH] / np.maximum(counts, 1)[:, None], counts, 0))
+    np.add.at(d_gram, own_grams, np.repeat(d_table[1:, WIDTH:] / np.maximum(counts, 1)[:, None], counts, 0))
     for value, gradient, rows, name in ((net.word, d_word, np.unique(bucket[words]), "word"), (net.gram, d_gram, np.unique(own_grams), "gram")):
         past = memory.setdefault(name, np.full_like(value, 1e-4))
         past[rows] += gradient[rows] ** 2
@@ -270,57 +271,49 @@ def _step(net: Network, vocabulary_features, windows: np.ndarray, labels: np.nda
     return loss
 
 
-def log_odds(buckets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Smoothed log-odds of label 1 by documents that have a bucket; halved towards none for rare ones."""
-    seen = np.zeros((2, BUCKETS))
-    for own, label in zip(buckets, labels):
-        seen[int(label), np.unique(own)] += 1
-    totals = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    rates = (seen + 2 * totals[:, None] / totals.sum()) / (totals[:, None] + 4 * totals[:, None] / totals.sum())
-    sure = seen.sum(0) / (seen.sum(0) + 3)
-    return np.clip(np.log(rates[1] / rates[0]) * sure, -3, 5).astype(np.float32)
-
-
-def train(texts: list[str], labels: np.ndarray, *, rounds: int = 4, seed: int = 7) -> Network | None:
-    """A network from labelled texts; None without both labels."""
+def train(documents: list[list[list[str]]], labels: np.ndarray, *, turns: int = 4, first: int = 60_000, seed: int = 7) -> Network | None:
+    """A network from labelled documents, each a list of windows; None without both labels. ``first`` bounds the windows
+    of the first pass; with more, a random choice of them."""
     labels = np.asarray(labels, np.float32)
     if not len(labels) or labels.min() == labels.max():
         return None
     rng = np.random.default_rng(seed)
     vocabulary = Vocabulary()
-    documents = [vocabulary.number(words_of(t)) for t in texts]
+    windows = np.zeros((sum(map(len, documents)), WINDOW), np.int32)
+    owner = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
+    for k, words in enumerate(w for d in documents for w in d):
+        windows[k, : len(words)] = vocabulary.number(words)
     features = vocabulary.features()
-    bucket, grams, starts = features
-    distinct = [np.unique(d) - 1 for d in documents]
-    spread = lambda words: np.concatenate([grams[starts[w] : starts[w + 1]] for w in words]) if len(words) else np.zeros(0, np.int64)
-    net = Network.fresh(log_odds([bucket[w] for w in distinct], labels), log_odds([spread(w) for w in distinct], labels), seed)
-    windows, owner = windows_of(documents)
-    table = net.inputs(features)
-    heat = table[:, -1] + table[:, -2]
-    score, memory = np.sort(heat[windows], 1)[:, -2:].sum(1), {}
-    first = np.searchsorted(owner, np.arange(len(documents)))
-    upto = np.append(first[1:], len(owner))
-    for turn in range(rounds):
+    net, memory = Network.fresh(seed), {}
+
+    def learn(chosen: np.ndarray, target: np.ndarray, rate: float) -> None:
+        order = rng.permutation(len(chosen))
+        for at in range(0, len(order), 128):
+            part = order[at : at + 128]
+            _step(net, features, windows[chosen[part]], target[part], memory, rate)
+
+    every = rng.permutation(len(windows))[:first]
+    for _ in range(max(1, min(6, first // len(every)))):
+        learn(every, labels[owner[every]], 0.05)
+    start = np.searchsorted(owner, np.arange(len(documents)))
+    upto = np.append(start[1:], len(owner))
+    for turn in range(turns):
+        score = net.logits(net.inputs(features), windows)
         chosen, target = [], []
         for k, label in enumerate(labels):
-            own = np.arange(first[k], upto[k])
-            best = own[np.argsort(-score[own])[: 1 if label else 2]]
-            other = own if label else rng.choice(own, min(2, len(own)), replace=False)
-            picks = best if label else np.union1d(best, other)
+            own = np.arange(start[k], upto[k])
+            picks = own[np.argsort(-score[own], kind="stable")[: 1 if label else 2]]
+            if not label:
+                picks = np.union1d(picks, rng.choice(own, min(2, len(own)), replace=False))
             chosen += picks.tolist()
             target += [label] * len(picks)
         chosen, target = np.array(chosen), np.array(target, np.float32)
         weight = max(1, round((target == 0).sum() / max(1, (target == 1).sum()) / 2))
         chosen = np.concatenate([chosen, np.repeat(chosen[target == 1], weight - 1)])
         target = np.concatenate([target, np.ones(len(chosen) - len(target), np.float32)])
-        passes = max(2, min(12, 24000 // max(1, len(chosen))))
-        for _ in range(passes):
-            order = rng.permutation(len(chosen))
-            for at in range(0, len(order), 128):
-                part = order[at : at + 128]
-                _step(net, features, windows[chosen[part]], target[part], memory, 0.06 if turn < 2 else 0.03)
-        score = net.logits(net.inputs(features), windows)
-    best = np.maximum.reduceat(score, first)
+        for _ in range(max(2, min(12, 24000 // max(1, len(chosen))))):
+            learn(chosen, target, 0.06 if turn < 2 else 0.03)
+    best = np.maximum.reduceat(net.logits(net.inputs(features), windows), start)
     a, b = 1.0, 0.0
     for _ in range(400):  # calibrates the highest window's logit
         chance = 1 / (1 + np.exp(-np.clip(a * best + b, -30, 30)))
@@ -355,17 +348,25 @@ def score_texts(net: Network, texts: list[str]) -> np.ndarray:
     return np.concatenate(scores) if scores else np.zeros(0)
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, folds: int, held: int, sample: int) -> tuple[list[str], np.ndarray]:
-    """At most ``sample`` labelled rows whose fold isn't held out, half of them of each label at most."""
-    usable = labels.where((fold("doc_id", folds) != held) & F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null").distinct()
-    picked = bounded_sample(usable.where("_label = 1"), sample // 2, "_id").union(bounded_sample(usable.where("_label = 0"), sample - sample // 2, "_id"))
-    rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id").dropDuplicates(["_id", "_label"]).orderBy("_id", "_label").collect()
-    return [r["_text"] for r in rows], np.array([r["_label"] for r in rows], np.float32)
+def labelled_sample(df: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, folds: int, held: int, sample: int, spread: int) -> tuple[list[list[list[str]]], np.ndarray]:
+    """Windows and labels of at most ``sample`` labelled rows whose fold isn't held out, half of them of each label at
+    most. Texts are cut where they stand: at most ``spread`` windows of each reach the driver."""
+    usable = labels.where((fold("doc_id", folds) != held) & F.col(label_col).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null").distinct()
+    picked = bounded_sample(usable.where("label = 1"), sample // 2, "id").union(bounded_sample(usable.where("label = 0"), sample - sample // 2, "id"))
+    texts = texts_for_python(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"id": frame["id"], "label": frame["label"], "windows": [[" ".join(w) for w in spread_windows(words_of(t), spread)] for t in frame["text"]]})
+
+    found = texts.select("id", "label", "text").mapInPandas(cut, "id long, label int, windows array<string>").groupBy("id", "label").agg(F.min("windows").alias("windows"))
+    rows = sorted(found.collect(), key=lambda r: (r["id"], r["label"]))
+    return [[w.split() for w in r["windows"]] for r in rows], np.array([r["label"] for r in rows], np.float32)
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, sample: int = 2400) -> Network | None:
+def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, sample: int = 2400, spread: int = 96) -> Network | None:
     """Train on labelled rows outside the held-out fold."""
-    return train(*labelled_sample(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, held=held, sample=sample))
+    return train(*labelled_sample(df, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, held=held, sample=sample, spread=spread))
 
 
 def with_toxicity(df: DataFrame, net: Network | None, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -374,12 +375,13 @@ def with_toxicity(df: DataFrame, net: Network | None, *, text_col: str = "text",
     if net is None:
         return df.withColumn(score_col, F.lit(0.0))
     shared = df.sparkSession.sparkContext.broadcast(net)  # a few MB, whatever the input
+    scored = unused(df, "_scored")
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(**{score_col: score_texts(shared.value, [t or "" for t in frame["_text"].tolist()])}).drop(columns="_text")
+            yield frame.assign(**{score_col: score_texts(shared.value, frame[scored].tolist())}).drop(columns=scored)
 
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType([*df.schema.fields]).add(score_col, DoubleType())
-    return df.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).mapInPandas(score, schema)
+    return df.withColumn(scored, F.coalesce(F.col(text_col), F.lit(""))).mapInPandas(score, schema)

@@ -21,7 +21,7 @@ def test_gradients_are_those_of_the_loss():
     vocabulary = toxicity.Vocabulary()
     vocabulary.number(words)
     features = vocabulary.features()
-    net = toxicity.Network.fresh(np.zeros(toxicity.BUCKETS, np.float32), np.zeros(toxicity.BUCKETS, np.float32))
+    net = toxicity.Network.fresh()
     for name in ("word", "gram", "attend", "out", "base"):
         setattr(net, name, getattr(net, name).astype(np.float64))
     net.wx, net.wh, net.bias = ([w.astype(np.float64) for w in side] for side in (net.wx, net.wh, net.bias))
@@ -73,8 +73,18 @@ def labelled(column, folds, held):
 
 def test_toxicity_on_held_out_rows():
     train, held = labelled("toxic", 3, 1)
-    net = toxicity.train(train["text"].tolist(), train["y"].to_numpy())
-    assert area(held["y"].to_numpy(), toxicity.score_texts(net, held["text"].tolist())) > 0.85
+    net = toxicity.train([toxicity.spread_windows(toxicity.words_of(t), 96) for t in train["text"]], train["y"].to_numpy())
+    assert area(held["y"].to_numpy(), toxicity.score_texts(net, held["text"].tolist())) >= 0.9
+    bare = toxicity.Network.fresh()  # without what the network has learned nothing is left
+    assert area(held["y"].to_numpy(), toxicity.score_texts(bare, held["text"].tolist())) < 0.7
+
+
+def test_spread_windows():
+    words = [str(k) for k in range(1000)]
+    every = toxicity.spread_windows(words, 10_000)
+    assert {w for x in every for w in x} == set(words) and max(map(len, every)) == toxicity.WINDOW
+    some = toxicity.spread_windows(words, 7)
+    assert len(some) == 7 and some[0] == every[0] and some[-1] == every[-1] and toxicity.spread_windows([], 5) == [[]]
 
 
 def test_quality_on_held_out_rows():
@@ -113,13 +123,38 @@ def test_scores_of_a_text_do_not_depend_on_its_neighbours(odd, labels):
 def test_held_out_rows_are_not_learned(spark, odd, labels):
     import zlib
 
-    texts, _ = toxicity.labelled_sample(odd, labels, id_col="doc_id", text_col="text", label_col="toxic", folds=3, held=1, sample=100)
-    allowed = [r["text"] or "" for r in odd.collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
-    assert set(texts) <= set(allowed)
-    few, y = toxicity.labelled_sample(odd, labels, id_col="doc_id", text_col="text", label_col="toxic", folds=3, held=1, sample=2)
+    options = dict(id_col="doc_id", text_col="text", label_col="toxic", folds=3, held=1, spread=1000)
+    found, _ = toxicity.labelled_sample(odd, labels, sample=100, **options)
+    allowed = [toxicity.spread_windows(toxicity.words_of(r["text"] or ""), 1000) for r in odd.collect() if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    assert found and all(windows in allowed for windows in found)
+    few, y = toxicity.labelled_sample(odd, labels, sample=2, **options)
     assert len(few) <= 2 and len(y) == len(few)
 
 
+def test_clashing_names_and_repeated_labelled_ids(spark, labels):
+    rows = [(k % 12, f"text {k % 5} of some words", "kept", "also", 1.5) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _scored string, label double")
+    for module, add in ((toxicity, toxicity.with_toxicity), (quality, quality.with_quality)):
+        got = add(df, module.fit(df, labels)).collect()
+        assert len(got) == 30 and {(r["_text"], r["_scored"], r["label"]) for r in got} == {("kept", "also", 1.5)}
+        again = add(df, module.fit(df.orderBy(df.text.desc()), labels)).collect()
+        assert {(r["doc_id"], r["text"]): r["score"] for r in got} == {(r["doc_id"], r["text"]): r["score"] for r in again}
+
+
+def test_quality_is_the_vote_of_all_pairs():
+    train, held = labelled("quality", 5, 0)
+    counts = np.stack([quality.term_counts(t) for t in train["text"]])
+    model = quality.train(counts, train["y"].to_numpy())
+    own, other = model.embed(counts), model.embed(np.stack([quality.term_counts(t) for t in held["text"]]))
+    expected = []
+    for v in other:  # one document against all labelled ones
+        near = sorted(((float(v @ w), int(y)) for w, y in zip(own, train["y"])), reverse=True)[: model.count]
+        weights = [max(s, 0) ** 4 for s, _ in near]
+        expected.append(sum(w * y for w, (_, y) in zip(weights, near)) / sum(weights))
+    got = quality.score_texts(model, held["text"].tolist())
+    assert np.mean(np.abs(got - expected) < 1e-3) > 0.98  # ties at the last place
+
+
 def test_votes():
     model = quality.Neighbours(np.ones(2, np.float32), np.eye(2, dtype=np.float32), np.array([[1, 0], [0, 1]], np.float32), np.array([1.0, 0.0]), 2)
     got = model.vote(np.array([[1, 0], [0.6, 0.8], [0, 0]], np.float32))

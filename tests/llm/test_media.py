@@ -36,7 +36,7 @@ def test_header_with_comments():
 
 def test_texts(odd, none):
     for form in ("netpbm", "bmp"):
-        rows = media.media_features(media.with_media(odd, form=form)).collect()
+        rows = media.media_features(media.stored(media.with_media(odd, form=form))).collect()
         assert len(rows) == odd.count()
         for r in rows:
             text = next((x["text"] or "").encode() for x in odd.collect() if x["doc_id"] == r["doc_id"])
@@ -50,3 +50,9 @@ def test_what_is_no_image(spark):
     df = spark.createDataFrame([(1, b"no image"), (2, None), (3, media.encode_netpbm(np.zeros((2, 2, 1), np.uint8)))], "width2 long, media binary")
     rows = {r["width2"]: r for r in media.media_features(df).collect()}
     assert rows[1]["payload_bytes"] is None and rows[2]["feature"] is None and rows[3]["payload_bytes"] == 4
+
+
+def test_columns_of_the_same_name_are_replaced(spark):
+    df = spark.createDataFrame([("x", 5, media.encode_netpbm(np.zeros((2, 3, 1), np.uint8)))], "Feature string, height long, media binary")
+    row = media.media_features(df).first()
+    assert row["height"] == 2 and row["width"] == 3 and len(row["feature"]) == 16

@@ -46,7 +46,8 @@ def test_likeness_follows_shared_paragraphs(spark):
 
 def check_edits(df):
     rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
-    order = sorted([r for r in rows if r[0] is not None], key=lambda r: (-r[0], r[1])) + [r for r in rows if r[0] is None]
+    tie = {(r["doc_id"], r["t"]): r["h"] for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r]), reverse=True)
     wanted = []
     for k, (doc_id, text) in enumerate(order):
         after, half = order[(k + 1) % len(order)][1], len(text) // 2
@@ -63,6 +64,40 @@ def test_edits(spark, odd, none):
     assert fingerprint.compare_with_edits(none).count() == 0
 
 
+def test_likeness_is_near_the_exact_one(spark):
+    import re
+    from collections import Counter
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    cut = lambda t: Counter(p for p in re.split(r"[\n\r]+|(?<=[^\w\s])[ \t]+", t) if p.strip(" "))
+    order = sorted(texts, reverse=True)
+    errors = []
+    for r in fingerprint.compare_with_edits(df).collect():
+        text, after = texts[r["doc_id"]], texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        half = len(text) // 2
+        for other, got in ((text[: len(text) - half] + after[:half], r["near_edited"]), (after, r["near_next"])):
+            a, b = cut(text), cut(other)
+            exact = 2 * sum(n * b[p] for p, n in a.items()) / max(1, sum(n * n for n in a.values()) + sum(n * n for n in b.values()))
+            errors.append(abs(got - exact))
+    errors = sorted(errors)
+    assert sum(errors) / len(errors) < 0.06 and errors[int(0.95 * len(errors))] < 0.2 and errors[-1] < 0.5
+
+
+def test_ranges_follow_the_rows(spark):
+    from pyspark.sql import functions as F
+
+    from matloom.llm.common import OrderedBuckets
+
+    rows = [(k, f"t{k}") for k in range(6000)] + [(10**15, "far")] + [(None, f"n{k}") for k in range(6000)] + [(7, f"again {k}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    buckets = OrderedBuckets(df, F.col("doc_id"), F.xxhash64("text"), target=1000)
+    sizes = [r["count"] for r in df.groupBy(buckets.bucket().alias("b")).count().collect()]
+    assert len(sizes) == len(buckets) > 12 and sum(sizes) == len(rows) and max(sizes) < 3000
+    few = df.where("doc_id is null or doc_id < 40 or doc_id > 5990")
+    check_edits(few)
+
+
 @pytest.fixture(scope="module")
 def licensed(spark):
     texts = [
