@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +122,24 @@ def own_cache(name: str, clear: Callable[[], None]) -> None:
     _cached[name] = clear
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of so many rows for Python workers while a table is written; afterwards the session's size holds again."""
+    before = spark.conf.getAll.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before) if before is not None else spark.conf.unset(_BATCH)
+
+
 def texts_for_python(df: DataFrame) -> DataFrame:
     """``df``, whose texts go to Python workers: in batches of 500 rows at most, unless the session sets a size.
 
     Texts may be long, and a batch is held on both sides. The size belongs to the session, so it stays set."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if name not in df.sparkSession.conf.getAll:
-        df.sparkSession.conf.set(name, "500")
+    if _BATCH not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(_BATCH, "500")
     return df

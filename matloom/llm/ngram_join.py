@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.llm.common import Tables, own_cache, texts_for_python, unused
+from matloom.llm.common import Tables, batches_of, own_cache, texts_for_python, unused
 
 #: Bits of the narrowest signature.
 LEAST_BITS = 512
@@ -196,7 +196,10 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 def stacked(signatures: list[bytes], words: int | None = None) -> np.ndarray:
     """Signatures one below the other, folded to the narrowest."""
-    words = words or min(map(len, signatures)) // 8
+    lengths = set(map(len, signatures))
+    words = words or min(lengths) // 8
+    if lengths == {8 * words}:
+        return np.frombuffer(b"".join(signatures), np.uint64).reshape(-1, words)
     return np.stack([folded(np.frombuffer(x, np.uint64), words) for x in signatures])
 
 
@@ -214,42 +217,23 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def shingled(texts: DataFrame, n: int) -> DataFrame:
-    """``doc_id, row, n_shingles, set, bits`` (the last two null without shingles) of rows ``doc_id, row, text``."""
+def described(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id, row, n_shingles, set, bits, tiles`` (the last three null without shingles) of rows ``doc_id, row, text``.
+    A task gives the tiles of a set once."""
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for frame in frames:
             sets = list(shingle_sets(frame["text"].tolist(), n))
             keys = iter(set_keys([s for s in sets if len(s)]))
-            names = pd.array([next(keys) if len(s) else None for s in sets], "Int64")
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"], "n_shingles": [len(s) for s in sets], "set": names, "bits": [signature(s).tobytes() if len(s) else None for s in sets]})
-
-    return texts.mapInPandas(describe, "doc_id long, row long, n_shingles long, set long, bits binary")
-
-
-def tiles_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """``tile, set`` for each tile that a set enters; once for each set in a task."""
-
-    def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for frame in frames:
-            names, keys, held = [], [], 0
-            sets = [x for x in shingle_sets(frame["text"].tolist(), n) if len(x)]
-            for name, shingles in zip(set_keys(sets), sets):
-                if name in seen:
-                    continue
+            names = [next(keys) if len(s) else None for s in sets]
+            tiles = []
+            for name, shingles in zip(names, sets):
+                tiles.append(None if name is None or name in seen else tile_keys(shingles, percent).view(np.int64))
                 seen.add(name)
-                own = tile_keys(shingles, percent)
-                keys.append(own)
-                names.append(np.full(len(own), name, np.int64))
-                held += len(own)
-                if held > 200_000:
-                    yield pd.DataFrame({"tile": np.concatenate(keys).view(np.int64), "set": np.concatenate(names)})
-                    names, keys, held = [], [], 0
-            if keys:
-                yield pd.DataFrame({"tile": np.concatenate(keys).view(np.int64), "set": np.concatenate(names)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "row": frame["row"], "n_shingles": [len(s) for s in sets], "set": pd.array(names, "Int64"), "bits": [signature(s).tobytes() if len(s) else None for s in sets], "tiles": tiles})
 
-    return texts.mapInPandas(enter, "tile long, set long")
+    return texts.mapInPandas(describe, "doc_id long, row long, n_shingles long, set long, bits binary, tiles array<long>")
 
 
 def shared_tiles(tiles: DataFrame, partitions: int) -> DataFrame:
@@ -378,16 +362,12 @@ def proposals(members: DataFrame, percent: int, most: int, partitions: int) -> D
     ``members``: leader, grp, block_a, block_b, block, set, label, size, bits. A task holds one pair of blocks at a time.
     """
 
-    def compare(rows: list[tuple]) -> pd.DataFrame:
-        block = np.array([r[0] for r in rows])
-        name = np.array([r[1] for r in rows], np.int64)
-        label = np.array([r[2] for r in rows], np.int64)
-        size = np.array([r[3] for r in rows], np.int64)
-        bits = stacked([r[4] for r in rows])
-        across = len(np.unique(block)) > 1
-        step = max(1, (1 << 20) // len(rows))
+    def compare(block: np.ndarray, name: np.ndarray, label: np.ndarray, size: np.ndarray, signatures: list[bytes]) -> tuple[list, np.ndarray]:
+        bits = stacked(signatures)
+        across = block.min() < block.max()
+        step = max(1, (1 << 20) // len(name))
         found = []
-        for at in range(0, len(rows), step):
+        for at in range(0, len(name), step):
             own = slice(at, at + step)
             open_ = (label[own, None] != label[None, at:]) & (percent * np.maximum(size[own, None], size[None, at:]) <= 100 * np.minimum(size[own, None], size[None, at:]))
             if across:
@@ -402,20 +382,34 @@ def proposals(members: DataFrame, percent: int, most: int, partitions: int) -> D
                 differing[some] = np.bitwise_count(bits[i[some]] ^ bits[j[some]]).sum(1)
             near = within_bound(differing, size[i], size[j], percent)
             found.append(np.stack([i[near], j[near], differing[near]]))
+        if not any(f.shape[1] for f in found):
+            return [], name[:0]
         a, b, beyond = nearest(*np.concatenate(found, 1), most)
-        return pd.DataFrame({"a": pd.array([*name[a].tolist(), *[None] * len(beyond)], "Int64"), "b": np.concatenate([name[b], name[beyond]])})
+        return [*name[a].tolist(), *[None] * len(beyond)], np.concatenate([name[b], name[beyond]])
 
     def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows = None, []
+        values = ["block", "set", "label", "size"]
+        held: tuple | None = None  # the group at the end of the last frame, which may go on
         for frame in frames:
-            for leader, grp, lo, hi, *row in frame[["leader", "grp", "block_a", "block_b", "block", "set", "label", "size", "bits"]].itertuples(index=False):
-                if (leader, grp, lo, hi) != key:
-                    if len(rows) > 1:
-                        yield compare(rows)
-                    key, rows = (leader, grp, lo, hi), []
-                rows.append(row)
-        if len(rows) > 1:
-            yield compare(rows)
+            if not len(frame):
+                continue
+            key = frame[list(keys)].to_numpy(np.int64)
+            rest, bits = frame[values].to_numpy(np.int64), frame["bits"].to_numpy()
+            if held is not None:
+                key, rest, bits = (np.concatenate(x) for x in zip(held, (key, rest, bits)))
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            held = key[starts[-1] :], rest[starts[-1] :], bits[starts[-1] :]
+            near, own = [], []
+            for at, upto in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if upto - at > 1:
+                    a, b = compare(*rest[at:upto].T, bits[at:upto].tolist())
+                    near += a
+                    own.append(b)
+            if near:
+                yield pd.DataFrame({"a": pd.array(near, "Int64"), "b": np.concatenate(own)})
+        if held is not None and len(held[0]) > 1:
+            a, b = compare(*held[1].T, held[2].tolist())
+            yield pd.DataFrame({"a": pd.array(a, "Int64"), "b": b})
 
     keys = ("leader", "grp", "block_a", "block_b")
     return members.repartition(partitions, *keys).sortWithinPartitions(*keys, "set").mapInPandas(stream, "a long, b long").distinct()
@@ -468,19 +462,20 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     doc_id = F.col(id_col).cast("long")
     texts = texts_for_python(df).select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
-    described = tables.write(shingled(texts, words), "described")
-    one = described.where("set is not null").groupBy("set").agg(F.min(F.struct("row", "n_shingles", "bits")).alias("k"))
+    found = tables.write(described(texts, words, percent), "described")
+    one = found.where("set is not null").groupBy("set").agg(F.min(F.struct("row", "n_shingles", "bits")).alias("k"))
     known = tables.write(one.select("set", "k.row", F.col("k.n_shingles").alias("size"), "k.bits"), "known")
-    sets = tables.write(described.drop("bits"), "sets")
+    sets = tables.write(found.select("doc_id", "row", "n_shingles", "set"), "sets")
+    with batches_of(spark, 20_000):
+        tiles = tables.write(shared_tiles(found.where("tiles is not null").select(F.explode("tiles").alias("tile"), "set"), partitions), "tiles")
     tables.delete("described")
-
     texts = texts.where("text is not null")
-    tiles = tables.write(shared_tiles(tiles_of(texts.select("text"), words, percent), partitions), "tiles")
     members = grouped(tiles, tables)
     tables.delete("tiles")
 
     met = members.where("set <> leader").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
-    tested = tables.write(bounded(met, known, percent), "met")
+    with batches_of(spark, 2000):
+        tested = tables.write(bounded(met, known, percent), "met")
     links = verified(tested, texts, known, words, percent, tables)
     labels = components(links, tables)
     most, again = PROPOSED, None
@@ -492,7 +487,8 @@ def classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int)
         several = several.where("low < high").select("leader", "grp", F.ceil(F.greatest(F.col("rows") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
         open_ = own.join(several, ["leader", "grp"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
         open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"block_a": F.least("block", "other"), "block_b": F.greatest("block", "other")})
-        found = tables.write(proposals(open_.join(known.select("set", "bits"), "set"), percent, most, partitions), f"proposed-{most}")
+        with batches_of(spark, 4000):
+            found = tables.write(proposals(open_.join(known.select("set", "bits"), "set"), percent, most, partitions), f"proposed-{most}")
         new = found.where("a is not null")
         if again is not None:
             new = new.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")

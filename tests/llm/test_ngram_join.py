@@ -118,3 +118,50 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     got = {r["set"]: r["root"] for r in nj.components(links).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def test_a_family_lists_few_pairs(spark, monkeypatch):
+    """Copies that are near the threshold of each other: pairs grow with the family, not with its square."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 9000, 240)]
+    rows = []
+    for k in range(260):
+        own = list(base)
+        for at in rng.integers(0, len(base), int(rng.integers(1, 9))):
+            own[int(at)] = f"x{rng.integers(0, 10**6)}"
+        rows.append((k, " ".join(own)))
+    listed = []
+    real = nj.verified
+
+    def counted(pairs, *rest):
+        listed.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(nj, "verified", counted)
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85) == brute(rows, 4, 85)
+    assert 260 <= sum(listed) < 12 * 260
+
+
+def test_rounds_until_nothing_is_left(spark, monkeypatch):
+    monkeypatch.setattr(nj, "PROPOSED", 1)
+    monkeypatch.setattr(nj, "MORE", 2)
+    monkeypatch.setattr(nj, "BLOCK", 8)
+    rows = corpus(11)
+    assert ours(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85) == brute(rows, 4, 85)
+
+
+def test_nearest_partners():
+    i, j, apart = np.array([0, 0, 0, 1, 2]), np.array([1, 2, 3, 2, 3]), np.array([5, 1, 3, 2, 9])
+    near, own, beyond = nj.nearest(i, j, apart, 1)
+    assert {frozenset(p) for p in zip(near.tolist(), own.tolist())} == {frozenset((0, 2)), frozenset((1, 2)), frozenset((0, 3))}
+    assert beyond.tolist() == [0, 1, 2, 3]
+    near, own, beyond = nj.nearest(i, j, apart, 3)
+    assert len(near) == 5 and not len(beyond)
+
+
+def test_one_id_on_many_texts_and_one_text_on_many_rows(spark):
+    rows = [(7, f"these are {k % 3} words of a text that is number {k}") for k in range(60)] + [(None, "the same text without an id, again and again")] * 60 + [(k, "x y z w v u t s r q") for k in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ours(df, words=4, percent=85) == brute(rows, 4, 85)
+    kept = nj.one_of_each(df, words=4, percent=85).collect()
+    assert sorted((r["doc_id"] for r in kept if r["doc_id"] != 7), key=str) == [100, None]
