@@ -5,11 +5,11 @@ Method
    class; all later work is on classes.
 2. Tiles. Two sets x and y link only if their sizes are near and their symmetric difference is at most
    d = |x| + |y| - 2 ceil(p(|x| + |y|) / (100 + p)). Sizes are banded (ratio 1.5). In a band the shingles are dealt by hash
-   into K = d + 1 + s parts, d the band's largest and s a few, so linked sets have s + 1 equal parts at least. A tile
-   is (band, part, hash of the part's shingles); a set enters the tiles of its own band and of the next one if a larger
-   partner can be there. Parts with fewer than two shingles, which would meet by chance, are left out by sets that have
-   s of them at most: such a set has another part equal to any partner's. No link is lost. Only tiles with two classes
-   or more go on.
+   into K = d + 1 + s parts, d the band's largest and s a third of it, so linked sets have s + 1 equal parts at least. A
+   tile is (band, part, hash of the part's shingles); a set enters the tiles of its own band and of the next one if a
+   larger partner can be there. A set leaves out its s least parts, by number of shingles and then by hash: empty ones
+   and those of one shingle, which would meet by chance. Of s + 1 equal parts the greatest has s lesser ones on both
+   sides, so neither set leaves it out and no link is lost. Only tiles with two classes or more go on.
 3. A tile's leader is its class that shares most tiles with others. Tiles of one leader become one group where that
    means fewer pairs (a family of near copies shares hundreds of tiles). Each class meets its leaders first; components
    of the verified links are its label.
@@ -45,7 +45,7 @@ from matloom.llm.common import Tables, batches_of, own_cache, texts_for_python,
 #: Bits of the narrowest signature.
 LEAST_BITS = 512
 #: Rows, and bytes of signatures, of a group that are compared in one task; larger groups are dealt into pairs of blocks.
-BLOCK, BLOCK_BYTES = 1024, 1 << 24
+BLOCK, BLOCK_BYTES = 4096, 1 << 24
 #: Members of a group of pairs that are intersected in one task.
 PART = 512
 #: Rows of small tables that may be broadcast; more are joined by a shuffle.
@@ -158,7 +158,7 @@ def parts_of(band: int, percent: int) -> tuple[int, int]:
     """How many parts the shingles of a band's sets are dealt into, and the spare ones of these; 0 if distinct sets
     can't link there."""
     apart = most_apart(2 * (band_start(band + 1) - 1), percent)
-    spare = 1 + apart // 16
+    spare = 1 + apart // 3
     return (apart + 1 + spare, spare) if apart > 0 else (0, 0)
 
 
@@ -174,8 +174,7 @@ def tile_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
             part = ((dealt >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
             np.add.at(sums, part, mixed(dealt))
             keys = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64) * np.uint64(4096) + np.uint64(band)))
-            low = np.bincount(part, minlength=parts) < 2
-            found.append(keys[~low] if low.sum() <= spare else keys)
+            found.append(keys[np.lexsort((keys, np.bincount(part, minlength=parts)))[spare:]])
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
