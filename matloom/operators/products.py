@@ -2,7 +2,8 @@
 
 * a small right factor (``SMALL`` cells at most) is broadcast and multiplies row blocks in numpy
 * ``crossprod`` of up to ``WIDE`` columns is one aggregation of column products, of more one Gram matrix per task
-* two large factors are cut into square blocks that join on the inner block index, multiply in numpy and add up
+* two large factors are cut into square blocks; each goes to all cells of the grid of output blocks that need it, where
+  products are added up in numpy, so that no inner index gathers a task's worth of rows
 * sparse factors join cell by cell
 """
 
@@ -26,17 +27,17 @@ def _check(a: int, b: int) -> None:
         raise ValueError(f"non-conformable: inner dimensions {a} and {b}")
 
 
-def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool = False, strategy: str = "auto") -> Matrix:
-    """``a @ b``; transposed factors only swap indices. ``strategy``: auto, broadcast, block or cells."""
+def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool = False, strategy: str = "auto", side: int = SIDE) -> Matrix:
+    """``a @ b``; transposed factors only swap indices. ``strategy``: auto, broadcast, block (of ``side`` rows) or cells."""
     if transpose_a and not transpose_b and strategy == "auto" and a.layout != "coo" and b.layout != "coo":
         return crossprod(a, b)
-    a, b = a.t() if transpose_a else a, b.t() if transpose_b else b
-    _check(a.ncol, b.nrow)
+    _check(a.nrow if transpose_a else a.ncol, b.ncol if transpose_b else b.nrow)
     if strategy == "auto":
         strategy = "broadcast" if len(b) <= SMALL else "block"
-    if strategy == "broadcast":
-        return _by_broadcast(a, b)
-    return _by_blocks(a, b) if strategy == "block" else multiply_sparse(a, b)
+    if strategy == "block":
+        return _by_blocks(a, b, side, transpose_a, transpose_b)
+    a, b = a.t() if transpose_a else a, b.t() if transpose_b else b
+    return _by_broadcast(a, b) if strategy == "broadcast" else multiply_sparse(a, b)
 
 
 def _by_broadcast(a: Matrix, b: Matrix) -> Matrix:
@@ -50,51 +51,66 @@ def _by_broadcast(a: Matrix, b: Matrix) -> Matrix:
     return Matrix(a.to_rows().df.mapInPandas(multiply, "i long, vec array<double>"), a.nrow, b.ncol, "rows", a.row_labels, b.col_labels)
 
 
-def to_blocks(m: Matrix, side: int = SIDE) -> DataFrame:
-    """``bi, bj, data``: square blocks, row-major; a block gathers side * side cells at most."""
-    cells = m.to_coo().df.select(F.floor(F.col("i") / side).alias("bi"), F.floor(F.col("j") / side).cast("long").alias("bj"), (F.col("i") % side).cast("int").alias("r"), (F.col("j") % side).cast("int").alias("c"), "v")
+def to_blocks(m: Matrix, side: int = SIDE, transpose: bool = False) -> DataFrame:
+    """``bi, bj, nr, nc, data``: blocks of at most side * side cells, row-major, of the matrix or its transposed one.
+
+    Rows are gathered whole, ``side`` of them in a group; of the ``coo`` layout the cells of a block."""
+    height, width = m.dim
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        block = np.zeros((side, side))
-        block[frame["r"], frame["c"]] = frame["v"]
-        return pd.DataFrame({"bi": [frame["bi"].iloc[0]], "bj": [frame["bj"].iloc[0]], "data": [block.tobytes()]})
+    def told(bi: int, bj: int, block: np.ndarray) -> tuple:
+        return (bj, bi, *block.T.shape, np.ascontiguousarray(block.T).tobytes()) if transpose else (bi, bj, *block.shape, np.ascontiguousarray(block).tobytes())
 
-    return cells.groupBy("bi", "bj").applyInPandas(build, "bi long, bj long, data binary")
+    def of_rows(frame: pd.DataFrame) -> pd.DataFrame:
+        bi = int(frame["i"].iloc[0]) // side
+        whole = np.zeros((min(side, height - bi * side), width))
+        whole[frame["i"].to_numpy() - bi * side] = np.stack(frame["vec"].to_list())
+        return pd.DataFrame([told(bi, at // side, whole[:, at : at + side]) for at in range(0, width, side)], columns=["bi", "bj", "nr", "nc", "data"])
 
+    def of_cells(frame: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(frame["i"].iloc[0]) // side, int(frame["j"].iloc[0]) // side
+        block = np.zeros((min(side, height - bi * side), min(side, width - bj * side)))
+        block[frame["i"] - bi * side, frame["j"] - bj * side] = frame["v"]
+        return pd.DataFrame([told(bi, bj, block)], columns=["bi", "bj", "nr", "nc", "data"])
 
-def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE) -> Matrix:
-    left, right, height, width = to_blocks(a, side), to_blocks(b, side), a.nrow, b.ncol
-    pairs = left.select("bi", F.col("bj").alias("k"), F.col("data").alias("x")).join(right.select(F.col("bi").alias("k"), "bj", F.col("data").alias("y")), "k")
+    schema, row = "bi long, bj long, nr int, nc int, data binary", F.floor(F.col("i") / side)
+    if m.layout == "coo":
+        return m.df.select("i", "j", "v").groupBy(row, F.floor(F.col("j") / side)).applyInPandas(of_cells, schema)
+    return m.to_rows().df.select("i", "vec").groupBy(row).applyInPandas(of_rows, schema)
+
+
+def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE, transpose_a: bool = False, transpose_b: bool = False) -> Matrix:
+    height, width = a.ncol if transpose_a else a.nrow, b.nrow if transpose_b else b.ncol
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // side)) - 1).cast("long")))
+    left = to_blocks(a, side, transpose_a).select("bi", F.col("bj").alias("k"), "nr", "nc", "data", every(width).alias("bj"), F.lit(0).alias("right"))
+    right = to_blocks(b, side, transpose_b).select(F.col("bi").alias("k"), "bj", "nr", "nc", "data", every(height).alias("bi"), F.lit(1).alias("right"))
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        key, total, first, at = None, None, None, -1
 
         def told() -> pd.DataFrame:
-            return pd.DataFrame({"bi": [k[0] for k in sums], "bj": [k[1] for k in sums], "data": [s.tobytes() for s in sums.values()]})
+            r, c = np.indices(total.shape)
+            return pd.DataFrame({"i": r.ravel() + key[0] * side, "j": (c.ravel() + key[1] * side).astype(np.int32), "v": total.ravel()})
 
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                product = np.frombuffer(row.x).reshape(side, side) @ np.frombuffer(row.y).reshape(side, side)
-                if (row.bi, row.bj) in sums:
-                    sums[row.bi, row.bj] += product
-                else:
-                    sums[row.bi, row.bj] = product
-                if len(sums) >= 64:
-                    yield told()
-                    sums.clear()
-        if sums:
+            for bi, bj, k, is_right, nr, nc, data in frame.itertuples(index=False):
+                if (bi, bj) != key:
+                    if total is not None:
+                        yield told()
+                    key, total, at = (bi, bj), None, -1
+                block = np.frombuffer(data).reshape(nr, nc)
+                if not is_right:
+                    first, at = block, k
+                elif k == at:  # a block without a partner is one of zeros
+                    product = first @ block
+                    total = product if total is None else total + product
+        if total is not None:
             yield told()
 
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                block = np.frombuffer(row.data).reshape(side, side)[: int(min(side, height - row.bi * side)), : int(min(side, width - row.bj * side))]
-                r, c = np.indices(block.shape)
-                yield pd.DataFrame({"bi": row.bi, "bj": row.bj, "i": r.ravel() + row.bi * side, "j": (c.ravel() + row.bj * side).astype(np.int32), "v": block.ravel()})
-
-    parts = pairs.select("bi", "k", "bj", "x", "y").mapInPandas(multiply, "bi long, bj long, data binary")
-    spread = parts.mapInPandas(cells, "bi long, bj long, i long, j int, v double")
-    return Matrix(spread.groupBy("i", "j").agg(F.sum("v").alias("v")), a.nrow, b.ncol, "coo", a.row_labels, b.col_labels)
+    names = ["bi", "bj", "k", "right", "nr", "nc", "data"]
+    parts = max(1, int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = left.select(names).union(right.select(names)).repartition(parts, "bi", "bj").sortWithinPartitions("bi", "bj", "k", "right")
+    labels = a.col_labels if transpose_a else a.row_labels, b.row_labels if transpose_b else b.col_labels
+    return Matrix(dealt.mapInPandas(multiply, "i long, j int, v double"), height, width, "coo", *labels)
 
 
 def multiply_sparse(a: Matrix, b: Matrix) -> Matrix:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matloom.matrix import Matrix
 
 
+#: Booleans that are recycled as an expression; more are listed.
+MOST_RECYCLED = 1000
+
+
 def positions(index, n: int) -> list[int] | range:
     """0-based positions: None or ``:`` is all; booleans are recycled; a tuple ("not", positions) excludes."""
     if index is None:
@@ -30,13 +34,34 @@ def positions(index, n: int) -> list[int] | range:
     return values
 
 
+def recycled(mask: list, n: int) -> tuple[Column, Column, int]:
+    """Of booleans that recycle over n rows: whether row ``i`` is kept, its new position, and how many are kept."""
+    before = np.concatenate([[0], np.cumsum(mask)]).astype(int).tolist()
+    place = (F.col("i") % len(mask)).cast("int")
+    kept = F.get(F.array(*[F.lit(bool(x)) for x in mask]), place)
+    turn = F.floor(F.col("i") / len(mask)).cast("long")
+    return kept, turn * before[-1] + F.get(F.array(*[F.lit(x) for x in before[:-1]]), place), n // len(mask) * before[-1] + before[n % len(mask)]
+
+
 def subset(m: Matrix, rows=None, cols=None) -> Matrix:
-    """``m[rows, cols]``; order and duplicates are kept. A run of rows is a range filter, which reaches the scan; other
-    row lists join as a table of positions. Columns are projected."""
-    i, j = positions(rows, m.nrow), positions(cols, m.ncol)
+    """``m[rows, cols]``; order and duplicates are kept. A run of rows is a range filter, which reaches the scan; recycled
+    booleans are an expression of the row number; a list, which the caller holds, joins as a table of positions. Columns
+    are projected."""
+    mask = list(rows) if not isinstance(rows, (slice, range, tuple, int, np.integer, type(None))) and len(rows) and isinstance(rows[0], (bool, np.bool_)) else None
+    j = positions(cols, m.ncol)
     m = m.to_rows() if m.layout == "coo" else m
     df = m.df
-    if isinstance(i, range) and i.step == 1:
+    if mask is not None and len(mask) <= MOST_RECYCLED:
+        kept, place, count = recycled(mask, m.nrow)
+        df = df.where(kept).withColumn("i", place)
+        i = range(count)
+        if m.row_labels is not None:
+            m = replace(m, row_labels=m.row_labels.withColumnRenamed("idx", "i").where(kept).select(place.alias("idx"), "name"))
+    else:
+        i = positions(rows, m.nrow)
+    if mask is not None and len(mask) <= MOST_RECYCLED:
+        pass
+    elif isinstance(i, range) and i.step == 1:
         if len(i) < m.nrow:
             df = df.where((F.col("i") >= i.start) & (F.col("i") < i.stop)).withColumn("i", F.col("i") - i.start)
     else:
@@ -50,6 +75,8 @@ def subset(m: Matrix, rows=None, cols=None) -> Matrix:
     def labels(table: DataFrame | None, at) -> DataFrame | None:
         if table is None:
             return None
+        if isinstance(at, range) and at.step == 1:
+            return table.where((F.col("idx") >= at.start) & (F.col("idx") < at.stop)).select((F.col("idx") - at.start).alias("idx"), "name")
         order = table.sparkSession.createDataFrame([(k, int(x)) for k, x in enumerate(at)], "_pos long, idx long")
         return table.join(order, "idx").select(F.col("_pos").alias("idx"), "name")
 
@@ -76,6 +103,10 @@ def assign(m: Matrix, rows, cols, value) -> Matrix:
         chosen = set(j)
         if wide.layout == "wide":
             return replace(wide, df=wide.df.select("i", *[F.when(inside, F.lit(float(flat[0]))).otherwise(F.col(c)).alias(c) if k in chosen else F.col(c) for k, c in enumerate(wide.names)]))
+        target = F.array(*[F.lit(k) for k in sorted(chosen)]).cast("array<int>")
+        every = len(chosen) == m.ncol
+        vec = F.transform("vec", lambda v, k: F.lit(float(flat[0])) if every else F.when(F.array_contains(target, k), F.lit(float(flat[0]))).otherwise(v))
+        return replace(wide, df=wide.df.select("i", F.when(inside, vec).otherwise(F.col("vec")).alias("vec")))
     patch = [(int(x), int(y), float(flat[(b * len(i) + k) % len(flat)])) for b, y in enumerate(j) for k, x in enumerate(i)]
     table = m.df.sparkSession.createDataFrame(patch or [(-1, -1, 0.0)], "i long, j int, w double")
     return assign_cells(m, table)

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet to the folder in ``spark.checkpoint.dir`` (a temporary one in local runs) and read it back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; without one, a temporary folder in local runs and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="matloom-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/matloom/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/matloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ embeddings by id; ``sp`` quantities summed by supplier and line number; ``ge`` g
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from matloom.matrix import Matrix
 from matloom.operators import aggregates, batch, correlation, elementwise, factor, genotype, products, restructure, subset
+from matloom.plans.durable import shared_folder
 from matloom.plans.index import with_position
 from matloom.sources.store import Store
 from matloom.sources.text import read_text, write_text
@@ -244,10 +245,10 @@ def crossprod_rows(spark, d):
     return _cells(products.crossprod(em(spark, d)), 5)
 
 
-@query(f"WITH {EM} SELECT CAST(a.j AS BIGINT) AS i, b.j - 56 AS j, round(sum(a.v * b.v), 5) AS v FROM ec a JOIN ec b USING (i) WHERE a.j < 8 AND b.j >= 56 GROUP BY a.j, b.j")
+@query(f"WITH {EM} SELECT CAST(a.j AS BIGINT) AS i, b.j - 32 AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM ec a JOIN ec b USING (i) WHERE a.j < 32 AND b.j >= 32 GROUP BY a.j, b.j")
 def crossprod_of_two(spark, d):
     m = em(spark, d)
-    return _cells(products.crossprod(m[:, :8], m[:, 56:]), 5)
+    return _cells(products.crossprod(m[:, :32], m[:, 32:]), 5)
 
 
 @query(f"WITH {EM} SELECT i, CAST(l AS INTEGER) AS j, round(sum(v * ((j * 3 + l) % 5)), 5) AS v FROM ec, range(3) AS r(l) GROUP BY i, l")
@@ -262,6 +263,18 @@ def matmul_blocks(spark, d):
     return _cells(products.matmul(m, m.t(), strategy="block"), 2)
 
 
+@query(f"WITH {EM} SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM ec a JOIN ec b USING (i) GROUP BY a.j, b.j")
+def matmul_block_grid(spark, d):
+    m = em(spark, d)
+    return _cells(products.matmul(m, m, transpose_a=True, strategy="block", side=20), 5)
+
+
+@query(f"WITH {EM} SELECT a.i AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM ec a JOIN ec b USING (j) GROUP BY a.i, b.i")
+def matmul_transposed_blocks(spark, d):
+    m = em(spark, d)
+    return _cells(products.matmul(m, m, transpose_b=True, strategy="block", side=24), 5)
+
+
 @query(f"WITH {SP} SELECT a.i AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.v * b.v), 2) AS v FROM sp a JOIN sp b USING (j) GROUP BY a.i, b.i")
 def tcrossprod(spark, d):
     return _cells(products.tcrossprod(sp(spark, d).to_rows()), 2)
@@ -325,10 +338,10 @@ def cor_spearman(spark, d):
     return _r(correlation.cor(pt(spark, d), method="spearman"))
 
 
-@query(f"WITH {EM}, x AS (SELECT * FROM ec WHERE j < 5), y AS (SELECT i, j - 60 AS j, v FROM ec WHERE j >= 60) " + _PAIRS.format("corr(a.v, b.v)", "x", "y", ""))
+@query(f"WITH {EM}, x AS (SELECT * FROM ec WHERE j < 32), y AS (SELECT i, j - 32 AS j, v FROM ec WHERE j >= 32) " + _PAIRS.format("corr(a.v, b.v)", "x", "y", ""))
 def cor_cross(spark, d):
     m = em(spark, d)
-    return _r(correlation.cor(m[:, :5], m[:, 60:]))
+    return _r(correlation.cor(m[:, :32], m[:, 32:]))
 
 
 @query(f"WITH {SP}, t AS (SELECT j AS i, CAST(i AS INTEGER) AS j, v FROM sp) " + _PAIRS.format("corr(a.v, b.v)", "t", "t", ""))
@@ -336,9 +349,9 @@ def cor_of_rows(spark, d):
     return _r(correlation.cor(sp(spark, d), transpose_x=True))
 
 
-@query(f"WITH {EM} SELECT j, l, round(abs(r) * sqrt(n - 2) / sqrt(1 - r * r), 4) AS t, true AS in_range, true AS symmetric FROM (SELECT a.j AS j, b.j AS l, corr(a.v, b.v) AS r, count(*) AS n FROM ec a JOIN ec b USING (i) WHERE a.j < 6 AND b.j < 6 AND a.j <> b.j GROUP BY a.j, b.j)")
+@query(f"WITH {EM} SELECT j, l, round(abs(r) * sqrt(n - 2) / sqrt(1 - r * r), 4) AS t, true AS in_range, true AS symmetric FROM (SELECT a.j AS j, b.j AS l, corr(a.v, b.v) AS r, count(*) AS n FROM ec a JOIN ec b USING (i) WHERE a.j <> b.j GROUP BY a.j, b.j)")
 def cor_p_values(spark, d):
-    cells = correlation.cor(em(spark, d)[:, :6]).cells.where("j <> l")
+    cells = correlation.cor(em(spark, d)).cells.where("j <> l")
     other = cells.select(F.col("l").alias("j"), F.col("j").alias("l"), F.col("p").alias("q"))
     t = F.abs("r") * F.sqrt(F.col("n") - 2) / F.sqrt(1 - F.col("r") * F.col("r"))
     return cells.join(other, ["j", "l"]).select("j", "l", F.round(t, 4).alias("t"), F.col("p").between(0, 1).alias("in_range"), (F.abs(F.col("p") - F.col("q")) < 1e-9).alias("symmetric"))
@@ -619,20 +632,30 @@ def canonical_correlation(spark, d):
 def _by_label(spark: SparkSession, d: str) -> DataFrame:
     t = with_position(_table(spark, d, "embeddings").select("label", "vec_id", "embedding"), ["label", "vec_id"], "at")
     first = t.groupBy("label").agg(F.min("at").alias("first"))
-    t = t.join(first, "label").select(F.col("label").cast("string").alias("dataset"), F.lit(0).alias("side"), (F.col("at") - F.col("first")).alias("i"), F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 5)).alias("j", "v"))
+    t = t.join(first, "label").select(F.col("label").cast("string").alias("dataset"), F.lit(0).alias("side"), (F.col("at") - F.col("first")).alias("i"), F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "v"))
     return t
 
 
-@query("WITH x AS (SELECT label, vec_id, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 6) AS r(k)) SELECT CAST(a.label AS VARCHAR) AS dataset, 'CrossProd_' || CAST(a.label AS VARCHAR) AS result, CAST(a.j AS BIGINT) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.v * b.v), 5) AS v FROM x a JOIN x b USING (vec_id) GROUP BY a.label, a.j, b.j")
+@query("WITH x AS (SELECT label, vec_id, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(k)) SELECT CAST(a.label AS VARCHAR) AS dataset, 'CrossProd_' || CAST(a.label AS VARCHAR) AS result, CAST(a.j AS BIGINT) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM x a JOIN x b USING (vec_id) GROUP BY a.label, a.j, b.j")
 def batch_crossprod(spark, d):
     return _rounded(batch.apply_to_groups(_by_label(spark, d), "CrossProd"), 5, "v")
 
 
-@query("WITH x AS (SELECT label, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 6) AS r(k)), s AS (SELECT CAST(label AS VARCHAR) AS dataset, j, avg(v) AS m, stddev_samp(v) AS s FROM x GROUP BY label, j) SELECT dataset, 'sdmean_' || dataset || '.mean' AS result, CAST(0 AS BIGINT) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS v FROM s UNION ALL SELECT dataset, 'sdmean_' || dataset || '.sd', 0, CAST(j AS INTEGER), round(s, 6) FROM s")
+@query("WITH x AS (SELECT label, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(k)), s AS (SELECT CAST(label AS VARCHAR) AS dataset, j, avg(v) AS m, stddev_samp(v) AS s FROM x GROUP BY label, j) SELECT dataset, 'sdmean_' || dataset || '.mean' AS result, CAST(0 AS BIGINT) AS i, CAST(j AS INTEGER) AS j, round(m, 6) AS v FROM s UNION ALL SELECT dataset, 'sdmean_' || dataset || '.sd', 0, CAST(j AS INTEGER), round(s, 6) FROM s")
 def batch_mean_sd(spark, d):
     return _rounded(batch.apply_to_groups(_by_label(spark, d), "sdmean"), 6, "v")
 
 
+@query("WITH x AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, vec_id, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(k)) SELECT CAST(label AS VARCHAR) AS dataset, 'normalize_' || CAST(label AS VARCHAR) AS result, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, CAST(j AS INTEGER) AS j, round((v - avg(v) OVER (PARTITION BY label, j)) / stddev_samp(v) OVER (PARTITION BY label, j), 5) + 0.0 AS v FROM x")
+def batch_normalize(spark, d):
+    return _rounded(batch.apply_to_groups(_by_label(spark, d), "normalize"), 5, "v")
+
+
+@query("WITH x AS (SELECT label, vec_id, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(k)) SELECT CAST(a.label AS VARCHAR) AS dataset, 'tCrossProd_' || CAST(a.label AS VARCHAR) AS result, a.i AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM x a JOIN x b USING (label, j) GROUP BY a.label, a.i, b.i")
+def batch_tcrossprod(spark, d):
+    return _rounded(batch.apply_to_groups(_by_label(spark, d), "tCrossProd"), 5, "v")
+
+
 @query(f"WITH {PC} SELECT i, j, v FROM pc")
 def store_round_trip(spark, d):
     store = Store(spark, _folder(spark))
@@ -651,16 +674,13 @@ def store_list(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/matloom/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="matloom-")
+    return f"{shared_folder(spark)}/matloom/{uuid.uuid4().hex}"
 
 
 @query(f"WITH {PC} SELECT i, j, v FROM pc")
 def text_import(spark, d):
     path = f"{_folder(spark)}/parts.csv"
-    write_text(pt(spark, d), path)
+    write_text(pt(spark, d), path, files=7)
     return _cells(read_text(spark, path))
 
 

@@ -23,7 +23,8 @@ def separator(path: str) -> str:
 def read_text(spark: SparkSession, path: str, *, sep: str | None = None, header: bool = True, rownames: bool = False) -> Matrix:
     """All columns numeric (a cell that isn't fails the read); with ``rownames`` the first column holds names.
 
-    Rows keep the file's order: byte positions order the lines of several partitions."""
+    Rows keep the order of the files' names and, within a file, of its lines: a line's place is its file, the byte at
+    which its split begins, and its number within the split. Every file has its own header."""
     sep = sep or separator(path)
     first = spark.read.text(path).first()
     if first is None:
@@ -35,7 +36,8 @@ def read_text(spark: SparkSession, path: str, *, sep: str | None = None, header:
     table = spark.read.csv(path, sep=sep, header=header, schema=StructType(fields), mode="FAILFAST", enforceSchema=True)
     own = names[1:] if rownames else names
     values = F.array(*[F.col(f.name) for f in fields if isinstance(f.dataType, DoubleType)])
-    placed = with_position(table.select(F.monotonically_increasing_id().alias("_line"), *([F.col("_0").alias("name")] if rownames else []), values.alias("vec")), ["_line"])
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line")]
+    placed = with_position(table.select(*place, *([F.col("_0").alias("name")] if rownames else []), values.alias("vec")), ["_file", "_split", "_line"])
     m = Matrix(placed.select("i", "vec"), placed.count(), len(own), "rows")
     return m.with_labels(placed.select(F.col("i").alias("idx"), "name") if rownames else None, own)
 
@@ -47,6 +49,8 @@ def read_many(spark: SparkSession, paths: list[str], names: list[str], **options
     return {n.rsplit("/", 1)[-1]: read_text(spark, p, **options) for p, n in zip(paths, names)}
 
 
-def write_text(m: Matrix, path: str, *, sep: str = ",") -> None:
+def write_text(m: Matrix, path: str, *, sep: str = ",", files: int | None = None) -> None:
+    """A folder of files in row order, each with a header; about ``files`` of them if given."""
     wide = m.to_wide()
-    wide.df.orderBy("i").select(*wide.names).write.csv(path, sep=sep, header=True)
+    rows = wide.df.orderBy("i") if files is None else wide.df.repartitionByRange(files, "i").sortWithinPartitions("i")
+    rows.select(*wide.names).write.csv(path, sep=sep, header=True)

@@ -54,3 +54,19 @@ def test_text(spark, tmp_path):
         read_text(spark, str(tmp_path / "c.csv"), header=False).to_numpy()
     with pytest.raises(ValueError):
         read_many(spark, ["a"], [])
+
+
+def test_text_keeps_the_order_of_files_and_lines(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    at = 0
+    for name, lines in (("a", 3), ("b", 3000), ("c", 30), ("d", 1)):
+        (folder / f"{name}.csv").write_text("x,y\n" + "".join(f"{at + k},{-(at + k)}\n" for k in range(lines)))
+        at += lines
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several splits of a file
+    try:
+        m = read_text(spark, f"file://{folder}", sep=",")
+        got = m.to_numpy()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[:, 0].tolist() == list(range(at)) and got[:, 1].tolist() == [-k for k in range(at)]
