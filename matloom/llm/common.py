@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +119,12 @@ _cached: dict[str, Callable[[], None]] = {}
 def own_cache(name: str, clear: Callable[[], None]) -> None:
     """Tell that this worker's memory now belongs to the cache ``name``: those of other operators, which ran in the
     worker before, are cleared."""
-    for other in [k for k in _cached if k != name]:
+    others = [k for k in _cached if k != name]
+    for other in others:
         _cached.pop(other)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     _cached[name] = clear
 
 

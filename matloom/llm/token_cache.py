@@ -26,7 +26,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Texts are taken in groups of about so many characters, which bounds the lists of pieces in memory.
 GROUP_CHARS = 1_000_000
 #: Distinct pieces, and bytes of them, that a worker keeps; beyond it starts anew.
-KEPT, KEPT_BYTES = 900_000, 32_000_000
+KEPT, KEPT_BYTES = 800_000, 32_000_000
 #: New pieces that the library gets as one text.
 JOINED = 500
 _WIDE_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
@@ -113,9 +113,9 @@ class PretokenIndex:
         counts = np.zeros(len(texts), np.int32)
         ids: list[np.ndarray | None] = [None] * len(texts)
         rest = set(range(len(texts)))
-        joined = [simple[at : at + JOINED] for at in range(0, len(simple), JOINED)]
-        for own, encoded in zip(joined, self.tokenizer.encode_batch_fast(["".join([texts[k] for k in own]) for own in joined], add_special_tokens=False)):
-            found = np.array(encoded.ids, np.uint32)
+        for at in range(0, len(simple), JOINED):
+            own = simple[at : at + JOINED]
+            found = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in own])], add_special_tokens=False)[0].ids, np.uint32)
             first = np.flatnonzero(self.leads[found])
             if len(first) == len(own) and first[0] == 0:
                 counts[own] = np.diff(np.append(first, len(found)))
@@ -123,9 +123,11 @@ class PretokenIndex:
                     ids[k] = part
                 rest.difference_update(own)
         left = sorted(rest)
-        for k, encoded in zip(left, self.tokenizer.encode_batch_fast([texts[k] for k in left], add_special_tokens=False)):
-            ids[k] = np.array(encoded.ids, np.uint32)
-            counts[k] = len(ids[k])
+        for at in range(0, len(left), JOINED):  # what the library makes of them is large
+            own = left[at : at + JOINED]
+            for k, encoded in zip(own, self.tokenizer.encode_batch_fast([texts[k] for k in own], add_special_tokens=False)):
+                ids[k] = np.array(encoded.ids, np.uint32)
+                counts[k] = len(ids[k])
         return counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
 
     def _learn(self) -> None:
