@@ -99,10 +99,10 @@ def with_next(df: DataFrame, key: str, tie: Column, carried: list[str]) -> DataF
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("guest"))
     guest = F.struct(F.pmod(F.col("_bucket") + 1, F.lit(n)).alias("bucket"), F.lit(1).alias("guest"))
     dealt = dealt.withColumn("_place", F.explode(F.when(head, F.array(own, guest)).otherwise(F.array(own))))
-    window = Window.partitionBy("_place.bucket").orderBy("_place.guest", F.desc("_there"), F.desc("_key"), F.desc("_tie"))
-    for column in carried:
-        dealt = dealt.withColumn(f"next_{column}", F.lead(column).over(window))
-    return dealt.where("_place.guest = 0").drop("_bucket", "_there", "_key", "_tie", "_place")
+    dealt = dealt.withColumns({"_bucket": F.col("_place.bucket"), "_guest": F.col("_place.guest")}).drop("_place")
+    window = Window.partitionBy("_bucket").orderBy("_guest", F.desc("_there"), F.desc("_key"), F.desc("_tie"))
+    dealt = dealt.withColumns({f"next_{column}": F.lead(column).over(window) for column in carried})  # one shuffle for all
+    return dealt.where("_guest = 0").drop("_bucket", "_guest", "_there", "_key", "_tie")
 
 
 def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

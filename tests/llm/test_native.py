@@ -168,3 +168,8 @@ def test_chosen_templates_are_those_of_the_sql_that_none_beats(spark, licensed):
     con.register("documents", documents)
     listed = {(r[1], r[2]) for r in con.sql(licenses.oracle()).fetchall()}
     assert {(r["license"], r["containment"]) for r in licenses.scan_licenses(licensed).collect()} <= listed
+
+
+def test_texts_are_shuffled_once(odd):
+    text = fingerprint.compare_with_edits(odd)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("+- Window") == 1
