@@ -23,6 +23,7 @@ from matloom.operators.aggregates import row_sds as rowSds
 from matloom.operators.aggregates import row_sums as rowSums
 from matloom.operators.aggregates import row_vars as rowVars
 from matloom.operators.batch import apply_function, apply_to_groups, map_blocks
+from matloom.operators.blocks import chol_blocks, inverse_blocks, solve_blocks
 from matloom.operators.correlation import cor, ranks
 from matloom.operators.elementwise import diag, diag_op, diag_scale, diagonal_matrix, scalar_product, scale, set_diag, sweep, vector_op
 from matloom.operators.factor import cca, chol, eigen, inverse, ols, pca, power_iteration, pseudoinverse, qr, solve, svd

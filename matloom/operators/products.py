@@ -80,9 +80,15 @@ def to_blocks(m: Matrix, side: int = SIDE, transpose: bool = False) -> DataFrame
 
 def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE, transpose_a: bool = False, transpose_b: bool = False) -> Matrix:
     height, width = a.ncol if transpose_a else a.nrow, b.nrow if transpose_b else b.ncol
+    labels = a.col_labels if transpose_a else a.row_labels, b.row_labels if transpose_b else b.col_labels
+    return Matrix(multiply_blocks(to_blocks(a, side, transpose_a), to_blocks(b, side, transpose_b), height, width, side), height, width, "coo", *labels)
+
+
+def multiply_blocks(a: DataFrame, b: DataFrame, height: int, width: int, side: int) -> DataFrame:
+    """``i, j, v``: the product, of ``height`` x ``width``, of two tables of blocks; absent blocks are zeros."""
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // side)) - 1).cast("long")))
-    left = to_blocks(a, side, transpose_a).select("bi", F.col("bj").alias("k"), "nr", "nc", "data", every(width).alias("bj"), F.lit(0).alias("right"))
-    right = to_blocks(b, side, transpose_b).select(F.col("bi").alias("k"), "bj", "nr", "nc", "data", every(height).alias("bi"), F.lit(1).alias("right"))
+    left = a.select("bi", F.col("bj").alias("k"), "nr", "nc", "data", every(width).alias("bj"), F.lit(0).alias("right"))
+    right = b.select(F.col("bi").alias("k"), "bj", "nr", "nc", "data", every(height).alias("bi"), F.lit(1).alias("right"))
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, total, first, at = None, None, None, -1
@@ -107,10 +113,9 @@ def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE, transpose_a: bool = False
             yield told()
 
     names = ["bi", "bj", "k", "right", "nr", "nc", "data"]
-    parts = max(1, int(a.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = left.select(names).union(right.select(names)).repartition(parts, "bi", "bj").sortWithinPartitions("bi", "bj", "k", "right")
-    labels = a.col_labels if transpose_a else a.row_labels, b.row_labels if transpose_b else b.col_labels
-    return Matrix(dealt.mapInPandas(multiply, "i long, j int, v double"), height, width, "coo", *labels)
+    return dealt.mapInPandas(multiply, "i long, j int, v double")
 
 
 def multiply_sparse(a: Matrix, b: Matrix) -> Matrix:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matloom.matrix import Matrix
-from matloom.operators import aggregates, batch, correlation, elementwise, factor, genotype, products, restructure, subset
+from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, products, restructure, subset
 from matloom.plans.durable import shared_folder
 from matloom.plans.index import with_position
 from matloom.sources.store import Store
@@ -599,6 +599,24 @@ def inverse_product(spark, d):
     return _cells(g.to_rows() @ Matrix.from_numpy(spark, factor.inverse(g)), 6)
 
 
+@query(_GRAM + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) AS v FROM g")
+def chol_blocks_product(spark, d):
+    u = blocks.chol_blocks(products.crossprod(em(spark, d)), side=20)
+    return _cells(products.crossprod(u.to_rows()), 5)
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
+def inverse_blocks_product(spark, d):
+    g = products.crossprod(em(spark, d))
+    return _cells(g.to_rows() @ blocks.inverse_blocks(g, side=20), 6)
+
+
+@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
+def solve_blocks_identity(spark, d):
+    g = products.crossprod(em(spark, d))
+    return _cells(blocks.solve_blocks(g, g, side=20), 6)
+
+
 @query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
 def pseudoinverse_product(spark, d):
     m = em(spark, d)

@@ -10,7 +10,7 @@ from matloom.functions import options
 from matloom.functions.student import correlation_p_values, incomplete_beta
 from matloom.matrix import Matrix, chain
 from matloom.operators import aggregates as ag
-from matloom.operators import batch, correlation, elementwise, factor, genotype, products, restructure, subset
+from matloom.operators import batch, blocks, correlation, elementwise, factor, genotype, products, restructure, subset
 
 few = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 matrices = arrays(float, st.tuples(st.integers(2, 6), st.integers(1, 5)), elements=st.integers(-20, 20).map(float))
@@ -267,3 +267,27 @@ def test_options():
             options.set_options(**wrong)
     options.set_options(compression=None, block_size=None)
     assert options.total_ram_mb() > 0 and options.can_allocate(1) and options.system_info()["cores"] >= 1
+
+
+@pytest.mark.parametrize("side", [3, 4, 16])
+def test_blocks_of_a_positive_definite_matrix(spark, side):
+    x = np.random.default_rng(5).standard_normal((30, 11))
+    a = x.T @ x
+    b = np.random.default_rng(6).standard_normal((11, 5))
+    for m in (of(spark, a), products.crossprod(of(spark, x))):
+        low = blocks.chol_blocks(m, lower=True, side=side)
+        np.testing.assert_allclose(low.to_numpy(), np.linalg.cholesky(a), atol=1e-10)
+    np.testing.assert_allclose(blocks.chol_blocks(m, side=side).to_numpy(), np.linalg.cholesky(a).T, atol=1e-10)
+    np.testing.assert_allclose(blocks.inverse_blocks(m, side=side).to_numpy(), np.linalg.inv(a), atol=1e-10)
+    np.testing.assert_allclose(blocks.solve_blocks(m, of(spark, b), side=side).to_numpy(), np.linalg.solve(a, b), atol=1e-10)
+
+
+def test_blocks_of_other_matrices(spark):
+    with pytest.raises(np.linalg.LinAlgError):
+        blocks.chol_blocks(of(spark, np.diag([1.0, 2.0, -1.0])), side=2)
+    with pytest.raises(np.linalg.LinAlgError):  # no stored cell in the last block
+        blocks.chol_blocks(Matrix.from_coo(spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "i long, j int, v double"), 3, 3), side=2)
+    with pytest.raises(ValueError):
+        blocks.inverse_blocks(of(spark, np.ones((2, 3))))
+    with pytest.raises(ValueError):
+        blocks.solve_blocks(of(spark, np.eye(3)), of(spark, np.ones((2, 1))))
