@@ -238,7 +238,7 @@ def _collected(m: Matrix) -> np.ndarray:
     if m.nrow != m.ncol:
         raise ValueError("square matrices only")
     if m.nrow > LARGEST:
-        raise ValueError(f"more than {LARGEST} rows")
+        raise ValueError(f"more than {LARGEST} rows; operators.blocks has factors of positive definite matrices of any size")
     return m.to_numpy(force=True)
 
 
@@ -305,10 +305,10 @@ def inverse(m: Matrix) -> np.ndarray:
 
 
 def solve(a: Matrix, b: Matrix) -> np.ndarray:
-    """X with A X = B for a square A."""
+    """X with A X = B for a square A. Larger ones and more right-hand sides than the driver holds: ``blocks.solve_blocks``."""
     if a.nrow != b.nrow:
         raise ValueError("non-conformable")
-    return np.linalg.solve(_collected(a), b.to_numpy(force=True))
+    return np.linalg.solve(_collected(a), b.to_numpy())
 
 
 def pseudoinverse(m: Matrix) -> Matrix:
