@@ -29,7 +29,9 @@ GROUP_CHARS = 1_000_000
 KEPT, KEPT_BYTES = 800_000, 32_000_000
 #: New pieces that the library gets as one text.
 JOINED = 500
-_WIDE_SPACES = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: White space beyond ASCII, as the first three bytes of its UTF-8 (two and a zero).
+_WIDE_SPACES = np.array([int.from_bytes(chr(c).encode().ljust(3, b"\0"), "big") for c in range(128, 1 << 14) if chr(c).isspace()])
+_STOPPED = re.compile(r"[A-Za-z][,.;:!?)]")
 _SOLID = np.array([33 <= b <= 126 or b >= 128 for b in range(256)])
 _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _BREAK = np.isin(np.arange(256), [10, 32])
@@ -43,13 +45,25 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Which UTF-8 bytes belong to neither white space nor a control character."""
+    solid = _SOLID[data]
+    at = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    at = at[at + 1 < len(data)]
+    if len(at):
+        lead, second = data[at].astype(np.int64), data[at + 1].astype(np.int64)
+        third = np.where(lead == 0xC2, 0, data[np.minimum(at + 2, len(data) - 1)])
+        wide = np.isin(lead << 16 | second << 8 | third, _WIDE_SPACES)
+        at, lead = at[wide], lead[wide]
+        solid[at] = solid[at + 1] = solid[at[lead != 0xC2] + 2] = False
+    return solid
+
+
 def safe_cuts(data: np.ndarray) -> np.ndarray:
     """Places in UTF-8 bytes before which the pre-tokenizer always cuts."""
     if len(data) < 3:
         return np.zeros(0, np.int64)
-    solid = _SOLID[data]
-    for found in _WIDE_SPACES.finditer(data):
-        solid[found.start() : found.end()] = False
+    solid = _solid(data)
     blank = _BREAK[data[1:-1]] & solid[:-2] & solid[2:]
     stop = _STOP[data[1:-1]] & _LETTER[data[:-2]]
     return np.flatnonzero(blank | stop) + 1
@@ -81,7 +95,7 @@ class PretokenIndex:
         cut = spec.get("pre_tokenizer") or {}
         added = spec.get("added_tokens") or []
         self.cuttable = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer")
-        self.cuttable = self.cuttable and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"] or len(t["content"].split()) != 1 or t["content"] != t["content"].strip() for t in added)
+        self.cuttable = self.cuttable and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or not t["content"] or len(t["content"].split()) != 1 or t["content"] != t["content"].strip() or _STOPPED.search(t["content"]) for t in added)
         vocabulary = self.tokenizer.get_vocab()
         self.leads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True  # the letter that stands for a blank
@@ -106,35 +120,42 @@ class PretokenIndex:
         self.ids = np.zeros(0, np.uint32)
         self.used = self.used_ids = 0
 
-    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of tokens of each piece, and all their ids in order."""
-        texts = [p.decode() for p in pieces]
-        simple = [k for k, t in enumerate(texts) if self.cuttable and t[:1] == " " and t.split() == [t[1:]]]
-        counts = np.zeros(len(texts), np.int32)
-        ids: list[np.ndarray | None] = [None] * len(texts)
-        rest = set(range(len(texts)))
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of tokens of each piece, where its ids begin, and all ids."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        begins = np.cumsum([0, *map(len, pieces)])[:-1]
+        counts, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        found: list[np.ndarray] = []
+        have = 0
+        words = np.zeros(len(pieces), bool)  # one blank, then nothing but solid characters
+        if self.cuttable:
+            words = (data[begins] == 32) & (np.add.reduceat(~_solid(data), begins) == 1) & (np.diff(np.append(begins, len(data))) > 1)
+        rest, simple = [np.flatnonzero(~words)], np.flatnonzero(words)
         for at in range(0, len(simple), JOINED):
             own = simple[at : at + JOINED]
-            found = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in own])], add_special_tokens=False)[0].ids, np.uint32)
-            first = np.flatnonzero(self.leads[found])
-            if len(first) == len(own) and first[0] == 0:
-                counts[own] = np.diff(np.append(first, len(found)))
-                for k, part in zip(own, np.split(found, first[1:])):
-                    ids[k] = part
-                rest.difference_update(own)
-        left = sorted(rest)
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([pieces[k] for k in own.tolist()]).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            first = np.flatnonzero(self.leads[ids])
+            if len(first) != len(own) or first[0] != 0:
+                rest.append(own)
+                continue
+            counts[own], starts[own] = np.diff(np.append(first, len(ids))), have + first
+            found.append(ids)
+            have += len(ids)
+        left = np.concatenate(rest).tolist()
         for at in range(0, len(left), JOINED):  # what the library makes of them is large
             own = left[at : at + JOINED]
-            for k, encoded in zip(own, self.tokenizer.encode_batch_fast([texts[k] for k in own], add_special_tokens=False)):
-                ids[k] = np.array(encoded.ids, np.uint32)
-                counts[k] = len(ids[k])
-        return counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            for k, encoded in zip(own, self.tokenizer.encode_batch_fast([pieces[k].decode() for k in own], add_special_tokens=False)):
+                ids = np.array(encoded.ids, np.uint32)
+                counts[k], starts[k] = len(ids), have
+                found.append(ids)
+                have += len(ids)
+        return counts, starts, np.concatenate(found) if found else np.zeros(0, np.uint32)
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        counts, ids = self._encoded(new)
+        counts, starts, ids = self._encoded(new)
         self.held += sum(map(len, new))
         upto = self.used + len(new)
         if upto > len(self.counts):
@@ -142,7 +163,7 @@ class PretokenIndex:
             self.starts = np.concatenate([self.starts[: self.used], np.zeros(upto, np.int64)])
         self.counts[self.used : upto] = counts
         if self.keep_ids:
-            self.starts[self.used : upto] = self.used_ids + np.cumsum(counts) - counts
+            self.starts[self.used : upto] = self.used_ids + starts
             if self.used_ids + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids[: self.used_ids], np.zeros(self.used_ids + len(ids), np.uint32)])
             self.ids[self.used_ids : self.used_ids + len(ids)] = ids
@@ -167,9 +188,11 @@ class PretokenIndex:
             if len(self.numbers) > KEPT or self.held > KEPT_BYTES:
                 self.clear()
             if len(edges) > 1:
-                pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).to_numpy(zero_copy_only=False)
-                numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces))
+                pieces = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+                distinct = pieces.dictionary.to_numpy(zero_copy_only=False)
+                own = np.fromiter(map(self.numbers.__getitem__, distinct), np.int32, len(distinct))
                 self._learn()
+                numbers = own[pieces.indices.to_numpy()]
             else:
                 numbers = np.zeros(0, np.int32)
             yield numbers, np.searchsorted(edges, bounds)

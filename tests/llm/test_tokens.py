@@ -1,6 +1,7 @@
 """Token counts, token store, packing and byte-pair encoding against the tokenizers library."""
 
 import hashlib
+import json
 import zlib
 from collections import Counter
 
@@ -65,6 +66,22 @@ def test_texts_with_blank_lines_share_their_pieces():
     assert sum(map(len, index.numbers)) < 80
 
 
+def test_special_strings_that_hold_a_border_are_kept_whole(tmp_path):
+    with open(BYTES, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({"id": 60000, "content": "end.of", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    some = ["the end.of it, the end. of it", "end.of", "no such thing."]
+    library = Tokenizer.from_file(str(path))
+    assert [np.frombuffer(b, "<u4").tolist() for b in token_cache.id_bytes(str(path), some)] == [ids(t, library) for t in some]
+
+
+def test_wide_spaces_stay_within_a_piece():
+    some = ["a\u3000 b", "a\u2003\u2028 b\u00a0c \u1680d", "\u0085 x", "é \u00e9 ́ y", "a \u205f", "\u3000", "x\u00a0"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in token_cache.id_bytes(BYTES, some)] == [ids(t) for t in some]
+
+
 def test_a_tokenizer_of_another_kind_gets_whole_texts(odd):
     some = [r["text"] or "" for r in odd.collect()]
     assert list(token_cache.id_counts(WORDS, some)) == [len(ids(t, word_level)) for t in some]
