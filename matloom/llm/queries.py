@@ -87,12 +87,33 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.vector_codes import vector_codes
+
+    return vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from matloom.llm.secrets import scan_secrets
+
+    return scan_secrets(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_toxicity, op3_ngram_join, op4_token_store, op5_bpe, op6_media, op7_token_counts, op8_quality, op9_licenses, op10_fingerprints)
+    found = (op1_packing, op2_toxicity, op3_ngram_join, op4_token_store, op5_bpe, op6_media, op7_token_counts, op8_quality, op9_licenses, op10_fingerprints, op11_vector_codes, op12_prefix_trie, op13_secrets)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from matloom.llm import licenses, ngram_join
+    from matloom.llm import licenses, ngram_join, prefix_trie, secrets, vector_codes
 
-    return {"op3_ngram_join": ngram_join.oracle(words=4, percent=85), "op9_licenses": licenses.oracle()}
+    return {
+        "op3_ngram_join": ngram_join.oracle(words=4, percent=85), "op9_licenses": licenses.oracle(), "op11_vector_codes": vector_codes.oracle(),
+        "op12_prefix_trie": prefix_trie.oracle(), "op13_secrets": secrets.oracle(),
+    }
