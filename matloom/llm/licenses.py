@@ -1,22 +1,21 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
 DataFrame functions alone. Words are runs of letters and digits, lower-cased; a shingle is three words. A window has
-``WINDOW`` = 6 shingles (8 words) and the next one begins 4 shingles later. Each of ``BANDS`` = 12 bands is one minimum,
-of the shingles' hashes under its own permutation (an exclusive-or with a constant).
+``WINDOW`` = 3 shingles (5 words) and one begins at every shingle of texts and templates. Each of ``BANDS`` = 4 bands is one
+minimum, of the window's shingle hashes under the band's own permutation (an exclusive-or with a constant). A template is
+retrieved by the table of band keys alone: where any window of the text has a key of any of the template's windows.
 
-Band settings: the shortest template has 3 shingles. As windows begin every 4 = 6 - 3 + 1 shingles, some window holds any
-3 neighbouring shingles of the text whole, so where a template stands its likeness to a window of its own is 1/2 at
-least, and one of 12 bands agrees with probability 1 - 2^-12 > 0.9997; where a fifth of a long template is changed,
-a window with likeness 2/5 is still found with 1 - 0.6^12 > 0.997 for each of several windows.
+Band settings: where three neighbouring shingles of a template stand in the text, the windows are equal and all bands agree
+for certain. So every whole template is retrieved (the shortest has 3 shingles), and so is one with changed words, as
+containment of 0.8 leaves runs of that length: a changed word costs 3 shingles, so a template of n shingles has n / 15 of
+them at most. A window that has two of three shingles in common has likeness 1/2, and one of 4 bands agrees with
+probability 1 - 2^-4 = 0.94 for each such window.
 
-Windows are only hashed in texts that have, anywhere, enough of a template's distinct shingles for its containment.
 A retrieved template is verified exactly: over every stretch of the text a quarter longer than the template, the share
 of the template's distinct shingles that occur there. Versions and variants of a license differ in few words, so a stretch
 only counts if no stretch of another template with a larger share covers half of it or more (equal shares all count). The
-largest share that counts is the template's containment.
-
-The SQL of ``oracle`` has the same templates and shares but not this choice: it also lists the templates that another one
-beats where they stand. So it has rows more wherever a version is named: GPL-1.0 and GPL-2.0 (0.9) beside each GPL-3.0 line.
+largest share that counts is the template's containment. The SQL of ``oracle`` has the same choice, by joins over every
+shingle of every text.
 
 Defined cases: a null, empty or short text matches nothing; texts are scanned whole; rows with null or repeated ids are
 scanned one by one, with a row out for each license found in each; an empty table gives an empty result; other
@@ -28,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WINDOW, STEP, BANDS, SHINGLE = 6, 4, 12, 3
+WINDOW, BANDS, SHINGLE = 3, 4, 3
 
 # Names and notices of public licenses. What several versions or variants share has a name of its own
 # ("BSD", "GPL-notice"), so that a text that tells no version isn't given one.
@@ -38,14 +37,21 @@ TEMPLATES = {
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BSD-2-Clause": "in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
     "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "Artistic-2.0": "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "BSL-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "EPL-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
     "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT-condition": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "PostgreSQL": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Zlib-condition": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
 }
 for _kind, _name, _versions in (("GPL", "", ("1", "2", "3")), ("LGPL", "Lesser ", ("2.1", "3")), ("AGPL", "Affero ", ("3",))):
     _notice = f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_name}General Public License{{}} as published by the Free Software Foundation"
@@ -80,23 +86,24 @@ def _constant(band: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def band_keys(hashes: Column, step: int) -> Column:
-    """The minima of all windows: BANDS for each, the band mixed in."""
-    last = F.greatest(F.size(hashes) - WINDOW, F.lit(0))
-    starts = F.array_union(F.sequence(F.lit(0), last, F.lit(step)), F.array(last))
+def band_keys(hashes: Column) -> list[Column]:
+    """For each band the minima of all windows; those at the end are shorter."""
 
-    def minimum(window: Column, band: int) -> Column:
-        return F.xxhash64(F.array_min(F.transform(window, lambda h: h.bitwiseXOR(F.lit(_constant(band))))), F.lit(band))
+    def minima(band: int) -> Column:
+        permuted = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(_constant(band))))
+        later = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
+        lower = lambda a, b: F.least(a, b)  # noqa: E731  of a missing one the other
+        return _once(permuted, lambda x: F.zip_with(F.zip_with(x, later(x, 1), lower), later(x, 2), lower))
 
-    return F.flatten(F.transform(starts, lambda s: F.array(*[minimum(F.slice(hashes, s + 1, WINDOW), b) for b in range(BANDS)])))
+    return [minima(band) for band in range(BANDS)]
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> list:
-    """(license, distinct shingles, keys of all windows at every offset) of each template; a bounded list."""
+    """(license, distinct shingles, keys of all windows by band) of each template; a bounded list."""
     if not templates:
         return []
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").withColumn("hashes", shingles(F.col("text")))
-    found = rows.select("license", F.array_distinct("hashes").alias("shingles"), F.array_distinct(_once(F.col("hashes"), lambda h: band_keys(h, 1))).alias("keys")).collect()
+    found = rows.select("license", F.array_distinct("hashes").alias("shingles"), _once(F.col("hashes"), lambda h: F.array(*map(F.array_distinct, band_keys(h)))).alias("keys")).collect()
     return sorted((r for r in found if r["shingles"]), key=lambda r: r["license"])
 
 
@@ -110,15 +117,14 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "doc_id long, license string, containment double, first_word int"
     if not table:
         return df.sparkSession.createDataFrame([], schema)
-    every = sorted({h for r in table for h in r["shingles"]})
-    wanted = F.array(*[F.struct(F.lit(r["license"]).alias("license"), _longs(r["shingles"]).alias("own"), _longs(r["keys"]).alias("template_keys")) for r in table])
+    keys = [sorted({k for r in table for k in r["keys"][band]}) for band in range(BANDS)]
+    wanted = F.array(*[F.struct(F.lit(r["license"]).alias("license"), _longs(r["shingles"]).alias("own"), _longs(sorted({k for band in r["keys"] for k in band})).alias("template_keys")) for r in table])
     longest = max(-(-5 * len(r["shingles"]) // 4) for r in table)
 
     def retrieved(hashes: Column) -> Column:
-        enough = lambda hits: F.filter(wanted, lambda t: F.size(F.array_intersect(hits, t["own"])) / F.size(t["own"]) >= F.lit(least))
-        by_bands = lambda some: F.when(F.size(some) > 0, _once(band_keys(hashes, STEP), lambda keys: F.filter(some, lambda t: F.arrays_overlap(keys, t["template_keys"])))).otherwise(some)
-        hits = F.array_distinct(F.filter(hashes, lambda h: h.isin(every)))
-        return _once(hits, lambda h: F.when(F.size(h) > 0, _once(enough(h), by_bands)).otherwise(F.slice(wanted, 1, 0)))
+        met = lambda minima, known: F.filter(minima, lambda k: k.isin(known))
+        hits = F.flatten(F.array(*map(met, band_keys(hashes), keys)))
+        return _once(hits, lambda h: F.when(F.size(h) > 0, F.filter(wanted, lambda t: F.arrays_overlap(h, t["template_keys"]))).otherwise(F.slice(wanted, 1, 0)))
 
     def unbeaten(met: Column, stretches: Column) -> Column:
         # a stretch is as long as the longest template's at most, and a template has one at most from each place
@@ -169,7 +175,7 @@ def _covers(other: Column, s: Column) -> Column:
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = 0.8) -> str:
-    """SQL for DuckDB by brute force: every stretch of every text against every template."""
+    """SQL for DuckDB by brute force: every stretch of every text against every template, then the choice among them."""
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted((TEMPLATES if templates is None else templates).items()))
     words = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     return f"""
@@ -181,9 +187,12 @@ sizes AS (SELECT license, count(*) AS n FROM parts GROUP BY license),
 spread AS (SELECT r, doc_id, i - 1 AS p, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
            FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
 hits AS (SELECT r, doc_id, p, s, license FROM spread JOIN parts USING (s)),
-shares AS (SELECT a.r, a.doc_id, a.license, a.p, count(DISTINCT b.s) / any_value(n) AS share
+shares AS MATERIALIZED (SELECT a.r, a.doc_id, a.license, a.p, max(b.p) AS e, count(DISTINCT b.s) / any_value(n) AS share
            FROM hits a JOIN sizes USING (license) JOIN hits b ON a.r = b.r AND a.license = b.license AND b.p >= a.p AND b.p < a.p + ceil(n * 1.25)
-           GROUP BY a.r, a.doc_id, a.license, a.p),
-best AS (SELECT r, doc_id, license, max(share) AS containment, arg_max(p, struct_pack(share := share, back := -p)) AS p FROM shares GROUP BY r, doc_id, license)
-SELECT doc_id, license, CAST(containment AS DOUBLE) AS containment, CAST(p AS INTEGER) AS first_word FROM best WHERE containment >= {least}
+           GROUP BY a.r, a.doc_id, a.license, a.p HAVING share >= {least}),
+peaks AS MATERIALIZED (SELECT * FROM shares s WHERE NOT EXISTS (SELECT 1 FROM shares o WHERE o.r = s.r AND o.license = s.license
+           AND (o.share > s.share OR o.share = s.share AND o.p < s.p) AND 2 * (least(o.e, s.e) - greatest(o.p, s.p) + 1) >= s.e - s.p + 1)),
+chosen AS (SELECT * FROM peaks s WHERE NOT EXISTS (SELECT 1 FROM peaks o WHERE o.r = s.r AND o.license <> s.license
+           AND o.share > s.share AND 2 * (least(o.e, s.e) - greatest(o.p, s.p) + 1) >= s.e - s.p + 1))
+SELECT doc_id, license, CAST(max(share) AS DOUBLE) AS containment, CAST(arg_max(p, struct_pack(share := share, back := -p)) AS INTEGER) AS first_word FROM chosen GROUP BY r, doc_id, license
 """
