@@ -100,6 +100,13 @@ class Matrix:
         vec = F.transform(F.sequence(F.lit(0), F.lit(self.ncol - 1)), lambda j: F.coalesce(F.try_element_at(F.col("m"), j.cast("int")), F.lit(0.0)))
         return replace(self, df=every.select("i", vec.alias("vec")), layout="rows")
 
+    def every_cell(self) -> "Matrix":
+        """In the ``coo`` layout with all cells stored, for operators that don't map zero to zero."""
+        if self.layout != "coo":
+            return self.to_coo()
+        grid = self.df.sparkSession.range(self.nrow).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(self.ncol - 1))).alias("j"))
+        return replace(self, df=grid.join(self.df, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v")))
+
     def to_wide(self) -> "Matrix":
         if self.layout == "wide":
             return self

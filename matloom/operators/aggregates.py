@@ -22,26 +22,28 @@ def _stat(value: Column, stat: str, na_rm: bool = False) -> Column:
     return {"sum": lambda: F.coalesce(F.sum(v), F.lit(0.0)), "mean": lambda: _nan(F.avg(v)), "min": lambda: F.min(v), "max": lambda: F.max(v), "var": lambda: _nan(F.var_samp(v)), "sd": lambda: _nan(F.stddev_samp(v))}[stat]()
 
 
-def _sparse(stat: str, size: int) -> Column:
-    """The aggregate of the stored cells ``v`` of a group of ``size`` cells, the others zero."""
+def _sparse(stat: str, cells: int, na_rm: bool = False) -> Column:
+    """The aggregate of the stored cells ``v`` of a group of ``cells`` cells, the others zero; ``na_rm`` takes NaN cells
+    out of the group."""
     if stat not in STATS:
         raise ValueError(f"unknown statistic {stat!r}")
-    n, total = F.count("v"), F.coalesce(F.sum("v"), F.lit(0.0))
-    zero = F.when(n < size, F.lit(0.0))
+    v, size = F.col("v"), F.lit(cells).cast("double")
+    if na_rm:
+        v, size = F.when(~F.isnan("v"), F.col("v")), size - F.count(F.when(F.isnan("v"), 1))
+    n, total = F.count(v), F.coalesce(F.sum(v), F.lit(0.0))
     if stat == "sum":
         return total
+    mean_all = _nan(F.try_divide(total, size))
     if stat == "mean":
-        return total / F.lit(float(size))
+        return mean_all
     if stat in ("min", "max"):
-        return (F.least if stat == "min" else F.greatest)(F.min("v") if stat == "min" else F.max("v"), zero)
-    if size < 2:
-        return F.lit(float("nan"))
-    mean_all = total / F.lit(float(size))
+        zero = F.when(n < size, F.lit(0.0))
+        return F.least(F.min(v), zero) if stat == "min" else F.greatest(F.max(v), zero)
     # squares about the stored cells' own mean, then shifted: no cancellation of large sums
-    about = F.coalesce(F.var_pop("v"), F.lit(0.0)) * n
-    own_mean = F.coalesce(F.avg("v"), F.lit(0.0))
-    squares = about + n * (own_mean - mean_all) * (own_mean - mean_all) + (F.lit(size) - n) * mean_all * mean_all
-    var = squares / F.lit(float(size - 1))
+    about = F.coalesce(F.var_pop(v), F.lit(0.0)) * n
+    own_mean = F.coalesce(F.avg(v), F.lit(0.0))
+    squares = about + n * (own_mean - mean_all) * (own_mean - mean_all) + (size - n) * mean_all * mean_all
+    var = F.when(size < 2, F.lit(float("nan"))).otherwise(F.try_divide(squares, size - 1))
     return F.sqrt(var) if stat == "sd" else var
 
 
@@ -50,18 +52,17 @@ def col_stats(m: Matrix, stats: list[str], *, na_rm: bool = False) -> DataFrame:
     if m.layout == "wide":
         row = m.df.agg(*[_stat(F.col(c), s, na_rm).alias(f"{s}_{c}") for c in m.names for s in stats])
         return row.select(F.inline(F.array(*[F.struct(F.lit(j).alias("j"), *[F.col(f"{s}_c{j}").alias(s) for s in stats]) for j in range(m.ncol)])))
-    if m.layout == "rows" or na_rm:
+    if m.layout == "rows":
         return m.to_coo().df.groupBy("j").agg(*[_stat(F.col("v"), s, na_rm).alias(s) for s in stats])
     every = m.df.sparkSession.range(m.ncol).select(F.col("id").cast("int").alias("j"))
-    return every.join(m.df, "j", "left").groupBy("j").agg(*[_sparse(s, m.nrow).alias(s) for s in stats])
+    return every.join(m.df, "j", "left").groupBy("j").agg(*[_sparse(s, m.nrow, na_rm).alias(s) for s in stats])
 
 
 def row_stats(m: Matrix, stats: list[str], *, na_rm: bool = False) -> DataFrame:
     """``i`` and a column for each statistic of every row; without any shuffle unless cells are stored one by one."""
     if m.layout == "coo":
         every = m.df.sparkSession.range(m.nrow).withColumnRenamed("id", "i")
-        aggregates = [_stat(F.col("v"), s, True).alias(s) if na_rm else _sparse(s, m.ncol).alias(s) for s in stats]
-        return every.join(m.df, "i", "left").groupBy("i").agg(*aggregates)
+        return every.join(m.df, "i", "left").groupBy("i").agg(*[_sparse(s, m.ncol, na_rm).alias(s) for s in stats])
     vec = F.col("vec")
     if na_rm:
         vec = F.filter(vec, lambda x: ~F.isnan(x))
@@ -77,8 +78,8 @@ def row_stats(m: Matrix, stats: list[str], *, na_rm: bool = False) -> DataFrame:
 
 def total_stats(m: Matrix, stats: list[str], *, na_rm: bool = False) -> DataFrame:
     """One row: statistics over all cells (variance with N - 1)."""
-    if m.layout == "coo" and not na_rm:
-        return m.df.agg(*[_sparse(s, len(m)).alias(s) for s in stats])
+    if m.layout == "coo":
+        return m.df.agg(*[_sparse(s, len(m), na_rm).alias(s) for s in stats])
     return m.to_coo().df.agg(*[_stat(F.col("v"), s, na_rm).alias(s) for s in stats])
 
 

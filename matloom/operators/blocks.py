@@ -1,9 +1,15 @@
-"""Cholesky factor, inverse and solutions of symmetric positive definite matrices that the driver can't hold.
+"""Factors, inverses and solutions of matrices that the driver can't hold: Cholesky for symmetric positive definite ones, LU
+with tournament pivoting for any others.
 
-The matrix is a table of square blocks (``products.to_blocks``), of which the lower triangle is read. A step finishes one
+Cholesky: the matrix is a table of square blocks (``products.to_blocks``), of which the lower triangle is read. A step finishes one
 column (Cholesky) or one row (inverse of the factor) of blocks from the finished ones by a join on the inner index and a
 sum in numpy, and appends it to a table in the shared folder, so that lineage never exceeds one step and a lost executor
 costs one step at most. One block of ``side`` x ``side`` cells reaches the driver at a time.
+
+LU: rows keep their numbers and never move. A step takes one column of blocks; tasks choose ``side`` pivot rows among their
+own by partial pivoting, and the chosen ones of several tasks play again in a tree, until ``side`` rows are left. They leave
+the blocks and, eliminated, become a row of the upper factor; the other blocks are updated and written as the next step's
+table. Right-hand sides are further columns, so only a back substitution is left.
 """
 
 from __future__ import annotations
@@ -17,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matloom.matrix import Matrix
-from matloom.operators.products import SIDE, multiply_blocks, to_blocks
-from matloom.plans.durable import durable, shared_folder
+from matloom.operators.products import SIDE, block_cells, multiply_blocks, to_blocks
+from matloom.plans.durable import Steps, durable, shared_folder
 
 BLOCK = "bi long, bj long, nr int, nc int, data binary"
 #: Cells of a row of blocks up to which it is broadcast to its join.
 MOST_SENT = 4_000_000
+#: Sets of candidate rows that meet in one task of a tournament.
+FANIN = 16
 
 
 def _block(data: bytes, nr: int, nc: int) -> np.ndarray:
@@ -96,13 +104,16 @@ def _factor(m: Matrix, side: int) -> _Grid:
             return own
         row = done.read().where(F.col("bi") == j).select("bj", F.col("nr").alias("nr2"), F.col("nc").alias("nc2"), F.col("data").alias("other"))
         pairs = done.read().where(rows).join(_sent(row, side * side * j), "bj")
-        sums = _sums(pairs, "bi", True).select("bi", F.col("data").alias("gone"))
+        sums = _sums(pairs, "bi", True).select("bi", F.col("nr").alias("nr2"), F.col("nc").alias("nc2"), F.col("data").alias("gone"))
 
         def less(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                yield pd.DataFrame([_told(bi, bj, _block(data, nr, nc) - _block(gone, nr, nc)) for bi, bj, nr, nc, data, gone in frame.itertuples(index=False)], columns=["bi", "bj", "nr", "nc", "data"])
+                made = [_told(bi, bj, (0.0 if data is None else _block(data, nr, nc)) - (0.0 if gone is None else _block(gone, nr, nc))) for bi, bj, nr, nc, data, gone in frame.itertuples(index=False)]
+                yield pd.DataFrame(made, columns=["bi", "bj", "nr", "nc", "data"])
 
-        return own.join(sums, "bi").select("bi", "bj", "nr", "nc", "data", "gone").mapInPandas(less, BLOCK)
+        # a block that the matrix doesn't store is one of zeros: what is left of it is fill-in; one without finished partners stays
+        both = own.join(sums, "bi", "full").select("bi", F.lit(j).cast("long").alias("bj"), F.coalesce("nr", "nr2").alias("nr"), F.coalesce("nc", "nc2").alias("nc"), "data", "gone")
+        return both.mapInPandas(less, BLOCK)
 
     for j in range(-(-m.nrow // side)):
         row = remaining(j, F.col("bi") == j).first()
@@ -171,7 +182,7 @@ def chol_blocks(m: Matrix, *, lower: bool = False, side: int = SIDE) -> Matrix:
 def inverse_blocks(m: Matrix, *, side: int = SIDE) -> Matrix:
     """The inverse: t(M) M for the inverse M of the lower factor."""
     blocks = _factor_inverse(m, side).read()
-    return Matrix(multiply_blocks(_turned(blocks), blocks, *m.dim, side), *m.dim, "coo", m.col_labels, m.row_labels)
+    return Matrix(multiply_blocks(_turned(blocks), blocks, *m.dim, side, m.nrow), *m.dim, "coo", m.col_labels, m.row_labels)
 
 
 def solve_blocks(a: Matrix, b: Matrix, *, side: int = SIDE) -> Matrix:
@@ -179,6 +190,184 @@ def solve_blocks(a: Matrix, b: Matrix, *, side: int = SIDE) -> Matrix:
     if a.nrow != b.nrow:
         raise ValueError("non-conformable")
     blocks = _factor_inverse(a, side).read()
-    half = Matrix(multiply_blocks(blocks, to_blocks(b, side), *b.dim, side), *b.dim, "coo")
-    found = multiply_blocks(_turned(blocks), to_blocks(half, side), *b.dim, side)
+    half = Matrix(multiply_blocks(blocks, to_blocks(b, side), *b.dim, side, a.nrow), *b.dim, "coo")
+    found = multiply_blocks(_turned(blocks), to_blocks(half, side), *b.dim, side, a.nrow)
     return Matrix(found, *b.dim, "coo", a.col_labels, b.col_labels)
+
+
+# ---- LU with tournament pivoting
+
+
+def _chosen(rows: np.ndarray) -> np.ndarray:
+    """The pivots, in order, that partial pivoting takes: as many as there are columns, if there are rows."""
+    left, order = rows.copy(), np.arange(len(rows))
+    k = min(rows.shape)
+    for at in range(k):
+        best = at + int(np.abs(left[at:, at]).argmax())
+        if best != at:
+            left[[at, best]], order[[at, best]] = left[[best, at]], order[[best, at]]
+        if left[at, at] != 0:
+            left[at + 1 :, at:] -= np.outer(left[at + 1 :, at] / left[at, at], left[at, at:])
+    return order[:k]
+
+
+def _eliminated(square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit lower and upper factor of rows that are in pivot order."""
+    upper, lower = square.copy(), np.eye(len(square))
+    for at in range(len(square)):
+        if upper[at, at] != 0:
+            lower[at + 1 :, at] = upper[at + 1 :, at] / upper[at, at]
+            upper[at + 1 :] -= np.outer(lower[at + 1 :, at], upper[at])
+    return lower, np.triu(upper)
+
+
+LU = "r long, c long, ids binary, nr int, nc int, data binary"
+
+
+def _tournament(panel: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pivot rows, in order, and the rows."""
+    schema = "part long, ids binary, data binary"
+
+    def play(ids: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes]:
+        won = _chosen(rows)
+        return ids[won].tobytes(), np.ascontiguousarray(rows[won]).tobytes()
+
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for frame in frames:
+            for ids, data in zip(frame["ids"], frame["data"]):
+                held.append((np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, width)))
+                if sum(len(x) for x, _ in held) > 4 * width:
+                    a, b = play(np.concatenate([x for x, _ in held]), np.vstack([x for _, x in held]))
+                    held = [(np.frombuffer(a, np.int64), np.frombuffer(b).reshape(-1, width))]
+        if held:
+            yield pd.DataFrame([(0, *play(np.concatenate([x for x, _ in held]), np.vstack([x for _, x in held])))], columns=["part", "ids", "data"])
+
+    def merged(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ids, rows = np.concatenate([np.frombuffer(x, np.int64) for x in frame["ids"]]), np.vstack([np.frombuffer(x).reshape(-1, width) for x in frame["data"]])
+        return pd.DataFrame([(int(key[0]), *play(ids, rows))], columns=["part", "ids", "data"])
+
+    sets = durable(panel.select("ids", "data").mapInPandas(local, schema), "candidates")
+    while (n := sets.count()) > FANIN:
+        sets = durable(sets.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(-(-n // (FANIN // 2))))).groupBy("part").applyInPandas(merged, schema), "candidates")
+    last = sorted((bytes(r["ids"]), bytes(r["data"])) for r in sets.collect())  # FANIN sets of rows at most
+    ids, rows = np.concatenate([np.frombuffer(x, np.int64) for x, _ in last]), np.vstack([np.frombuffer(x).reshape(-1, width) for _, x in last])
+    won = _chosen(rows)
+    return ids[won], rows[won]
+
+
+def _every_block(m: Matrix, side: int, first: int) -> DataFrame:
+    """All blocks of a matrix as rows ``LU``, absent ones zero; columns of blocks count from ``first``."""
+    rows, columns = -(-m.nrow // side), -(-m.ncol // side)
+    spark, (height, width) = m.df.sparkSession, m.dim
+    grid = spark.range(rows).select(F.col("id").alias("bi"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).alias("bj"))
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for bi, bj, data in frame.itertuples(index=False):
+                nr, nc = min(side, height - bi * side), min(side, width - bj * side)
+                made.append((bi, bj + first, np.arange(bi * side, bi * side + nr).tobytes(), nr, nc, data or bytes(8 * nr * nc)))
+            yield pd.DataFrame(made, columns=["r", "c", "ids", "nr", "nc", "data"])
+
+    return grid.join(to_blocks(m, side).select("bi", "bj", "data"), ["bi", "bj"], "left").mapInPandas(told, LU)
+
+
+def _row_of_upper(held, j: int, width: int):
+    """The function that gathers pivot rows of one column of blocks and eliminates them among themselves."""
+
+    def assembled(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        nc = int(frame["nc"].iloc[0])
+        whole = np.zeros((width, nc))
+        for ids, data in zip(frame["ids"], frame["data"]):
+            whole[np.frombuffer(ids, np.int64)] = np.frombuffer(data).reshape(-1, nc)
+        return pd.DataFrame([_told(j, int(key[0]), held.value[1] @ whole)], columns=["bi", "bj", "nr", "nc", "data"])
+
+    return assembled
+
+
+def solve_general(a: Matrix, b: Matrix, *, side: int = SIDE) -> Matrix:
+    """X with A X = B for any square matrix that isn't singular, symmetric or not, and any number of right-hand sides."""
+    if a.nrow != a.ncol:
+        raise ValueError("square matrices only")
+    if a.nrow != b.nrow:
+        raise ValueError("non-conformable")
+    spark, n = a.df.sparkSession, -(-a.nrow // side)
+    steps = Steps(spark, "lu")
+    state = steps.put(_every_block(a, side, 0).unionByName(_every_block(b, side, n)))
+    upper, inverses, largest = _Grid(state, "upper"), [], 0.0
+    for j in range(n):
+        width = min(side, a.nrow - j * side)
+        ids, rows = _tournament(state.where(F.col("c") == j), width)
+        lower, own = _eliminated(rows)
+        diagonal = np.abs(np.diag(own))
+        largest = max(largest, np.abs(rows).max(initial=0))
+        if len(ids) < width or diagonal.min() <= 1e-14 * largest:
+            raise np.linalg.LinAlgError("the matrix is singular")
+        inverses.append(np.linalg.inv(own))
+        held = spark.sparkContext.broadcast((dict(zip(ids.tolist(), range(width))), np.linalg.inv(lower), inverses[-1]))
+        rest = state.where(F.col("c") > j)
+
+        def pivots(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            places = held.value[0]
+            for frame in frames:
+                made = []
+                for c, ids, nr, nc, data in frame.itertuples(index=False):
+                    at = [(k, places[x]) for k, x in enumerate(np.frombuffer(ids, np.int64).tolist()) if x in places]
+                    if at:
+                        made.append((c, np.array([p for _, p in at]).tobytes(), nc, _block(data, nr, nc)[[k for k, _ in at]].tobytes()))
+                yield pd.DataFrame(made, columns=["c", "ids", "nc", "data"])
+
+        upper.append(rest.select("c", "ids", "nr", "nc", "data").mapInPandas(pivots, "c long, ids binary, nc int, data binary").groupBy("c").applyInPandas(_row_of_upper(held, j, width), BLOCK))
+        if j == n - 1:
+            break
+
+        def factors(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                made = []
+                for r, ids, nr, nc, data in frame.itertuples(index=False):
+                    stay = [x not in held.value[0] for x in np.frombuffer(ids, np.int64).tolist()]
+                    made.append((r, (_block(data, nr, nc)[stay] @ held.value[2]).tobytes()))
+                yield pd.DataFrame(made, columns=["r", "factor"])
+
+        def updated(frames: Iterator[pd.DataFrame], held=held, width=width) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                made = []
+                for r, c, ids, nr, nc, data, factor, row in frame.itertuples(index=False):
+                    numbers = np.frombuffer(ids, np.int64)
+                    stay = np.array([x not in held.value[0] for x in numbers.tolist()], bool)
+                    left = _block(data, nr, nc)[stay] - _block(factor, -1, width) @ _block(row, width, nc)
+                    if len(left):
+                        made.append((r, c, numbers[stay].tobytes(), *left.shape, left.tobytes()))
+                yield pd.DataFrame(made, columns=["r", "c", "ids", "nr", "nc", "data"])
+
+        column = state.where(F.col("c") == j).select("r", "ids", "nr", "nc", "data").mapInPandas(factors, "r long, factor binary")
+        row = upper.read().where(F.col("bi") == j).select(F.col("bj").alias("c"), F.col("data").alias("row"))
+        joined = rest.join(_sent(column, a.nrow * width), "r").join(_sent(row, width * (a.ncol + b.ncol)), "c")
+        state = steps.put(joined.select("r", "c", "ids", "nr", "nc", "data", "factor", "row").mapInPandas(updated, LU))
+    steps.end()
+
+    found = _Grid(state, "solution")
+    for j in reversed(range(n)):
+        own = upper.read().where((F.col("bi") == j) & (F.col("bj") >= n)).select((F.col("bj") - n).alias("bj"), "nr", "nc", "data")
+        if j < n - 1:
+            row = upper.read().where((F.col("bi") == j) & (F.col("bj") < n)).select(F.col("bj").alias("k"), "nr", "nc", "data")
+            below = found.read().select(F.col("bi").alias("k"), "bj", F.col("nr").alias("nr2"), F.col("nc").alias("nc2"), F.col("data").alias("other"))
+            own = own.join(_sums(below.join(_sent(row, side * a.ncol), "k"), "bj", False).select("bj", F.col("data").alias("gone")), "bj", "left")
+        else:
+            own = own.withColumn("gone", F.lit(None).cast("binary"))
+        held = spark.sparkContext.broadcast(inverses[j])
+
+        def solved(frames: Iterator[pd.DataFrame], held=held, j=j) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                yield pd.DataFrame([_told(j, bj, held.value @ (_block(data, nr, nc) - (0.0 if gone is None else _block(gone, nr, nc)))) for bj, nr, nc, data, gone in frame.itertuples(index=False)], columns=["bi", "bj", "nr", "nc", "data"])
+
+        found.append(own.select("bj", "nr", "nc", "data", "gone").mapInPandas(solved, BLOCK))
+    cells = block_cells(found.read().withColumn("planes", F.lit(1)), side)
+    return Matrix(cells, a.ncol, b.ncol, "coo", a.col_labels, b.col_labels)
+
+
+def inverse_general(a: Matrix, *, side: int = SIDE) -> Matrix:
+    """Of any square matrix that isn't singular."""
+    one = a.df.sparkSession.range(a.nrow).select(F.col("id").alias("i"), F.col("id").cast("int").alias("j"), F.lit(1.0).alias("v"))
+    return solve_general(a, Matrix(one, *a.dim, "coo", a.row_labels, a.col_labels), side=side)

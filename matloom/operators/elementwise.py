@@ -55,16 +55,11 @@ def binary(a: Matrix, b, op: str, *, swapped: bool = False) -> Matrix:
     zero = F.lit(0.0)
     joined = left.join(right, ["i", "j"], "full").select("i", "j", apply_op(F.coalesce("v", zero), F.coalesce("w", zero), op).alias("v"))
     if NAMES.get(op, op) in ("/", "pow"):  # cells that neither has aren't zero in the result
-        every = _grid(a).join(joined, ["i", "j"], "left")
+        every = a.every_cell().df.select("i", "j").join(joined, ["i", "j"], "left")
         joined = every.select("i", "j", F.coalesce("v", F.lit(float("nan") if NAMES.get(op, op) == "/" else 1.0)).alias("v"))
     return Matrix(joined, *a.dim, "coo", a.row_labels, a.col_labels)
 
 
-def _grid(m: Matrix) -> DataFrame:
-    rows = m.df.sparkSession.range(m.nrow).withColumnRenamed("id", "i")
-    return rows.select("i", F.explode(F.sequence(F.lit(0), F.lit(m.ncol - 1))).alias("j"))
-
-
 def _as_vector(v: Matrix) -> DataFrame:
     """``k, w`` of a matrix of one row or column."""
     coo = v.to_coo().df
@@ -86,7 +81,8 @@ def sweep(m: Matrix, stats: DataFrame | Matrix, margin: int = 2, fun: str = "*",
     """``x fun s`` with one statistic for each column (``margin`` 2) or row (1). ``stats``: ``k, w`` (or j/i and v).
 
     Statistics of columns are as many as the matrix is wide and join to its rows as one small row; those of rows join by
-    row, and the optimizer decides how."""
+    row, and the optimizer decides how. Of the ``coo`` layout products and quotients keep absent cells absent, except where
+    a statistic makes zero something else (0 / 0, 0 * Inf); the other operations store every cell."""
     op = NAMES.get(fun, fun)
     if isinstance(stats, Matrix):
         if len(stats) != (m.ncol if margin == 2 else m.nrow):
@@ -95,17 +91,15 @@ def sweep(m: Matrix, stats: DataFrame | Matrix, margin: int = 2, fun: str = "*",
     else:
         stats = stats.toDF("k", "w")
     f = (lambda x, s: apply_op(s, x, op)) if swapped else (lambda x, s: apply_op(x, s, op))
+    if margin not in (1, 2):
+        raise ValueError("margin is 1 or 2")
+    if m.layout == "coo":
+        return _sweep_cells(m, stats, margin, f, op == "*" or op == "/" and not swapped)
     if margin == 1:
         keyed = stats.withColumnRenamed("k", "i")
         if m.layout == "wide":
             return replace(m, df=m.df.join(keyed, "i").select("i", *[f(F.col(c), F.col("w")).alias(c) for c in m.names]))
-        if m.layout == "rows":
-            return replace(m, df=m.df.join(keyed, "i").select("i", F.transform("vec", lambda x: f(x, F.col("w"))).alias("vec")))
-        return replace(m, df=m.df.join(keyed, "i").select("i", "j", f(F.col("v"), F.col("w")).alias("v")))
-    if margin != 2:
-        raise ValueError("margin is 1 or 2")
-    if m.layout == "coo":
-        return replace(m, df=m.df.join(small(stats.withColumnRenamed("k", "j"), m.ncol), "j").select("i", "j", f(F.col("v"), F.col("w")).alias("v")))
+        return replace(m, df=m.df.join(keyed, "i").select("i", F.transform("vec", lambda x: f(x, F.col("w"))).alias("vec")))
     held = stats.agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))  # ncol entries
     row = held.select(F.transform(F.sequence(F.lit(0), F.lit(m.ncol - 1)), lambda j: F.try_element_at("m", j.cast("long"))).alias("s"))
     crossed = m.df.join(F.broadcast(row))  # one row
@@ -114,6 +108,19 @@ def sweep(m: Matrix, stats: DataFrame | Matrix, margin: int = 2, fun: str = "*",
     return replace(m, df=crossed.select("i", F.zip_with("vec", "s", f).alias("vec")))
 
 
+def _sweep_cells(m: Matrix, stats: DataFrame, margin: int, f, sparse: bool) -> Matrix:
+    """Cell by cell; ``sparse``: zeros stay zeros but for statistics that are zero or not finite."""
+    axis, other, size = ("j", "i", m.nrow) if margin == 2 else ("i", "j", m.ncol)
+    keyed = small(stats.select(F.col("k").cast("int" if margin == 2 else "long").alias(axis), "w"), m.ncol if margin == 2 else m.nrow)
+    cells = m if sparse else m.every_cell()
+    done = cells.df.join(keyed, axis).select("i", "j", f(F.col("v"), F.col("w")).alias("v"))
+    if sparse:
+        odd = keyed.where(F.isnan(f(F.lit(0.0), F.col("w"))))  # few or none
+        whole = odd.join(m.df.sparkSession.range(size).select(F.col("id").cast("int" if margin == 1 else "long").alias(other))).join(m.df, ["i", "j"], "left_anti")
+        done = done.unionByName(whole.select("i", "j", f(F.lit(0.0), F.col("w")).alias("v")))
+    return replace(m, df=done)
+
+
 def scale(m: Matrix, center: bool = True, scaled: bool = True, by_rows: bool = False, *, typify: bool = False) -> Matrix:
     """Centred and divided by the standard deviation (n - 1); by the root mean square if not centred.
 

@@ -26,13 +26,30 @@ def _missing(v: Column, missing: str) -> Column:
     raise ValueError("missing is code or nan")
 
 
-def _keep(m: Matrix, by_cols: bool, drop: Column, aggregates: dict[str, Column]) -> Filtered:
-    """Without the features (columns or rows) where ``drop`` holds; the others are numbered anew, in order.
+def _features(m: Matrix, by_cols: bool, counts: dict[str, Column]) -> DataFrame:
+    """Counts of each feature's stored cells by name (0 where it has none), and ``n``, the number of all its cells.
 
-    Features are as many as the matrix is wide (or tall); their aggregates take one pass with partial sums."""
+    Features are as many as the matrix is wide (or tall); their counts take one pass with partial sums."""
+    axis, features, n = ("j", m.ncol, m.nrow) if by_cols else ("i", m.nrow, m.ncol)
+    counted = m.to_coo().df.groupBy(axis).agg(*[c.alias(k) for k, c in counts.items()])
+    every = m.df.sparkSession.range(features).select(F.col("id").cast("int" if by_cols else "long").alias(axis))
+    return every.join(counted, axis, "left").na.fill(0, list(counts)).withColumn("n", F.lit(float(n)))
+
+
+def _count(condition: Column) -> Column:
+    return F.count(F.when(condition, 1)).cast("double")
+
+
+def _other() -> Column:
+    """Absent cells are of code 0, so those of code 0 are counted as the ones that aren't of another."""
+    return _count(F.col("v") != 0)
+
+
+def _keep(m: Matrix, by_cols: bool, drop: Column, counts: dict[str, Column]) -> Filtered:
+    """Without the features (columns or rows) where ``drop`` holds; the others are numbered anew, in order."""
     axis = "j" if by_cols else "i"
     cells = m.to_coo().df
-    flags = durable(cells.groupBy(axis).agg(*[c.alias(n) for n, c in aggregates.items()]).select(axis, drop.alias("gone")), "flags")
+    flags = durable(_features(m, by_cols, counts).select(axis, drop.alias("gone")), "flags")
     kept = with_position(flags.where(~F.col("gone")).select(axis), [axis], "_new")
     n_kept = kept.count()
     df = cells.join(small(kept, n_kept), axis).drop(axis).withColumn(axis, F.col("_new").cast("int" if by_cols else "long"))
@@ -44,8 +61,7 @@ def filter_low_coverage(m: Matrix, pcent: float = 0.05, by_cols: bool = True, *,
     """Removes features whose share of missing cells is ``pcent`` or more."""
     if not 0 <= pcent <= 1:
         raise ValueError("a share from 0 to 1")
-    share = F.avg(F.when(_missing(F.col("v"), missing), F.lit(1.0)).otherwise(F.lit(0.0)))
-    return _keep(m, by_cols, F.col("share") >= pcent, {"share": share})
+    return _keep(m, by_cols, F.col("missing") / F.col("n") >= pcent, {"missing": _count(_missing(F.col("v"), missing))})
 
 
 def allele_frequency(n0: Column, n1: Column, n: Column) -> Column:
@@ -56,8 +72,7 @@ def allele_frequency(n0: Column, n1: Column, n: Column) -> Column:
 
 def filter_maf(m: Matrix, threshold: float = 0.05, by_cols: bool = False) -> Filtered:
     """Removes features whose minor allele frequency is ``threshold`` or less."""
-    count = lambda code: F.count(F.when(F.col("v") == code, 1)).cast("double")
-    return _keep(m, by_cols, allele_frequency(F.col("n0"), F.col("n1"), F.col("n")) <= threshold, {"n0": count(0), "n1": count(1), "n": F.count(F.lit(1)).cast("double")})
+    return _keep(m, by_cols, allele_frequency(F.col("n") - F.col("other"), F.col("n1"), F.col("n")) <= threshold, {"other": _other(), "n1": _count(F.col("v") == 1)})
 
 
 def impute(m: Matrix, by_cols: bool = True, *, strategy: str = "random", seed: int = 1) -> Matrix:
@@ -67,8 +82,7 @@ def impute(m: Matrix, by_cols: bool = True, *, strategy: str = "random", seed: i
     axis = "j" if by_cols else "i"
     v = F.when(F.isnan("v"), F.raise_error(F.lit("NaN in genotypes"))).otherwise(F.col("v"))
     cells = m.to_coo().df.withColumn("v", v)
-    count = lambda code: F.count(F.when(F.col("v") == code, 1)).cast("double").alias(f"n{code}")
-    stats = cells.groupBy(axis).agg(count(0), count(1), count(2))
+    stats = _features(m, by_cols, {"other": _other(), "n1": _count(F.col("v") == 1), "n2": _count(F.col("v") == 2)}).withColumn("n0", F.col("n") - F.col("other"))
     seen = F.col("n0") + F.col("n1") + F.col("n2")
     if strategy == "random":
         u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("i"), F.col("j")), 11).cast("double") / F.lit(float(1 << 53)) * seen
@@ -85,4 +99,7 @@ def impute(m: Matrix, by_cols: bool = True, *, strategy: str = "random", seed: i
 
 def code_counts(m: Matrix, by_cols: bool = True) -> DataFrame:
     """``feature, v, n``: how often each code occurs."""
-    return m.to_coo().df.groupBy(F.col("j" if by_cols else "i").cast("long").alias("feature"), "v").agg(F.count(F.lit(1)).alias("n"))
+    axis = F.col("j" if by_cols else "i").cast("long").alias("feature")
+    others = m.to_coo().df.where("v <> 0").groupBy(axis, "v").agg(F.count(F.lit(1)).alias("n"))
+    zeros = _features(m, by_cols, {"other": _other()}).select(axis, F.lit(0.0).alias("v"), (F.col("n") - F.col("other")).cast("long").alias("n")).where("n > 0")
+    return zeros.unionByName(others)

@@ -1,9 +1,11 @@
 """Products: a join on the inner dimension and a sum, or its equivalents that move less.
 
 * a small right factor (``SMALL`` cells at most) is broadcast and multiplies row blocks in numpy
-* ``crossprod`` of up to ``WIDE`` columns is one aggregation of column products, of more one Gram matrix per task
-* two large factors are cut into square blocks; each goes to all cells of the grid of output blocks that need it, where
-  products are added up in numpy, so that no inner index gathers a task's worth of rows
+* ``crossprod`` of up to ``WIDE`` columns is one aggregation of column products, of up to a million products one Gram matrix
+  per task, of more one tile for each pair of column tiles, the symmetric half alone
+* two large factors are cut into square blocks; a block goes to all cells of the grid (output block, part of the inner
+  index) that need it. A cell adds up its products in numpy, and the parts' sums meet in a tree: so neither an inner index
+  nor an output block gathers a task's worth of rows, and few output blocks with a long inner index use all tasks
 * sparse factors join cell by cell
 """
 
@@ -20,6 +22,8 @@ from matloom.matrix import Matrix
 from matloom.operators.elementwise import sweep
 
 SMALL, WIDE, SIDE = 1_000_000, 48, 512
+#: Products of blocks that one task adds up at most, and partial sums that one task of the tree reads.
+LONGEST, FANIN = 64, 16
 
 
 def _check(a: int, b: int) -> None:
@@ -27,15 +31,17 @@ def _check(a: int, b: int) -> None:
         raise ValueError(f"non-conformable: inner dimensions {a} and {b}")
 
 
-def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool = False, strategy: str = "auto", side: int = SIDE) -> Matrix:
-    """``a @ b``; transposed factors only swap indices. ``strategy``: auto, broadcast, block (of ``side`` rows) or cells."""
+def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool = False, strategy: str = "auto", side: int = SIDE, splits: int | None = None) -> Matrix:
+    """``a @ b``; transposed factors only swap indices. ``strategy``: auto, broadcast, block (of ``side`` rows) or cells.
+
+    ``splits``: in how many parts the inner index of a product of blocks is cut; by itself as many as keep tasks busy."""
     if transpose_a and not transpose_b and strategy == "auto" and a.layout != "coo" and b.layout != "coo":
         return crossprod(a, b)
     _check(a.nrow if transpose_a else a.ncol, b.ncol if transpose_b else b.nrow)
     if strategy == "auto":
         strategy = "broadcast" if len(b) <= SMALL else "block"
     if strategy == "block":
-        return _by_blocks(a, b, side, transpose_a, transpose_b)
+        return _by_blocks(a, b, side, transpose_a, transpose_b, splits)
     a, b = a.t() if transpose_a else a, b.t() if transpose_b else b
     return _by_broadcast(a, b) if strategy == "broadcast" else multiply_sparse(a, b)
 
@@ -54,68 +60,129 @@ def _by_broadcast(a: Matrix, b: Matrix) -> Matrix:
 def to_blocks(m: Matrix, side: int = SIDE, transpose: bool = False) -> DataFrame:
     """``bi, bj, nr, nc, data``: blocks of at most side * side cells, row-major, of the matrix or its transposed one.
 
-    Rows are gathered whole, ``side`` of them in a group; of the ``coo`` layout the cells of a block."""
+    A task gathers one block at a time: rows are cut into pieces of ``side`` values before they move."""
     height, width = m.dim
 
-    def told(bi: int, bj: int, block: np.ndarray) -> tuple:
-        return (bj, bi, *block.T.shape, np.ascontiguousarray(block.T).tobytes()) if transpose else (bi, bj, *block.shape, np.ascontiguousarray(block).tobytes())
+    def told(bi: int, bj: int, block: np.ndarray) -> pd.DataFrame:
+        row = (bj, bi, *block.T.shape, np.ascontiguousarray(block.T).tobytes()) if transpose else (bi, bj, *block.shape, np.ascontiguousarray(block).tobytes())
+        return pd.DataFrame([row], columns=["bi", "bj", "nr", "nc", "data"])
+
+    def empty(bi: int, bj: int) -> np.ndarray:
+        return np.zeros((min(side, height - bi * side), min(side, width - bj * side)))
 
-    def of_rows(frame: pd.DataFrame) -> pd.DataFrame:
-        bi = int(frame["i"].iloc[0]) // side
-        whole = np.zeros((min(side, height - bi * side), width))
-        whole[frame["i"].to_numpy() - bi * side] = np.stack(frame["vec"].to_list())
-        return pd.DataFrame([told(bi, at // side, whole[:, at : at + side]) for at in range(0, width, side)], columns=["bi", "bj", "nr", "nc", "data"])
+    def of_pieces(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = map(int, key)
+        block = empty(bi, bj)
+        block[frame["i"].to_numpy() - bi * side] = np.stack(frame["piece"].to_list())
+        return told(bi, bj, block)
 
-    def of_cells(frame: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(frame["i"].iloc[0]) // side, int(frame["j"].iloc[0]) // side
-        block = np.zeros((min(side, height - bi * side), min(side, width - bj * side)))
+    def of_cells(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = map(int, key)
+        block = empty(bi, bj)
         block[frame["i"] - bi * side, frame["j"] - bj * side] = frame["v"]
-        return pd.DataFrame([told(bi, bj, block)], columns=["bi", "bj", "nr", "nc", "data"])
+        return told(bi, bj, block)
 
-    schema, row = "bi long, bj long, nr int, nc int, data binary", F.floor(F.col("i") / side)
+    schema, row = "bi long, bj long, nr int, nc int, data binary", F.floor(F.col("i") / side).alias("bi")
     if m.layout == "coo":
-        return m.df.select("i", "j", "v").groupBy(row, F.floor(F.col("j") / side)).applyInPandas(of_cells, schema)
-    return m.to_rows().df.select("i", "vec").groupBy(row).applyInPandas(of_rows, schema)
+        return m.df.select(row, F.floor(F.col("j") / side).alias("bj"), "i", "j", "v").groupBy("bi", "bj").applyInPandas(of_cells, schema)
+    places = F.sequence(F.lit(0), F.lit((width - 1) // side))
+    pieces = m.to_rows().df.select("i", row, F.posexplode(F.transform(places, lambda k: F.slice("vec", k * side + 1, side))).alias("bj", "piece"))
+    return pieces.groupBy("bi", "bj").applyInPandas(of_pieces, schema)
 
 
-def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE, transpose_a: bool = False, transpose_b: bool = False) -> Matrix:
+def _by_blocks(a: Matrix, b: Matrix, side: int = SIDE, transpose_a: bool = False, transpose_b: bool = False, splits: int | None = None) -> Matrix:
     height, width = a.ncol if transpose_a else a.nrow, b.nrow if transpose_b else b.ncol
     labels = a.col_labels if transpose_a else a.row_labels, b.row_labels if transpose_b else b.col_labels
-    return Matrix(multiply_blocks(to_blocks(a, side, transpose_a), to_blocks(b, side, transpose_b), height, width, side), height, width, "coo", *labels)
+    inner = a.nrow if transpose_a else a.ncol
+    return Matrix(multiply_blocks(to_blocks(a, side, transpose_a), to_blocks(b, side, transpose_b), height, width, side, inner, splits), height, width, "coo", *labels)
 
 
-def multiply_blocks(a: DataFrame, b: DataFrame, height: int, width: int, side: int) -> DataFrame:
-    """``i, j, v``: the product, of ``height`` x ``width``, of two tables of blocks; absent blocks are zeros."""
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // side)) - 1).cast("long")))
-    left = a.select("bi", F.col("bj").alias("k"), "nr", "nc", "data", every(width).alias("bj"), F.lit(0).alias("right"))
-    right = b.select(F.col("bi").alias("k"), "bj", "nr", "nc", "data", every(height).alias("bi"), F.lit(1).alias("right"))
+def _count(n: int, side: int) -> int:
+    return max(1, -(-n // side))
+
+
+def tasks_of(spark) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, total, first, at = None, None, None, -1
 
-        def told() -> pd.DataFrame:
-            r, c = np.indices(total.shape)
-            return pd.DataFrame({"i": r.ravel() + key[0] * side, "j": (c.ravel() + key[1] * side).astype(np.int32), "v": total.ravel()})
+def chosen_splits(spark, outputs: int, inner: int) -> int:
+    """Parts of an inner index of ``inner`` blocks, so that all tasks work and none adds up more than ``LONGEST`` products."""
+    return max(1, min(inner, max(-(-tasks_of(spark) // outputs), -(-inner // LONGEST))))
 
+
+def pairs_of_blocks(a: DataFrame, b: DataFrame, rows: int, columns: int, kernel, splits: int, *, upper: bool = False) -> DataFrame:
+    """``bi, bj, planes, nr, nc, data``: for each cell of a grid of ``rows`` x ``columns`` the sum over the inner index k
+    of ``kernel(a[bi, k], b[k, bj])``, arrays of planes x nr x nc; cells without a pair are absent. ``upper``: bi <= bj alone.
+
+    The inner index is dealt to ``splits`` parts; their sums are added ``FANIN`` at a time, level by level."""
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    across = F.sequence(F.col("bi"), F.lit(columns - 1).cast("long")) if upper else every(columns)
+    down = F.sequence(F.lit(0).cast("long"), F.least(F.col("bj"), F.lit(rows - 1).cast("long"))) if upper else every(rows)
+    left = a.select("bi", F.col("bj").alias("k"), "nr", "nc", "data", F.explode(across).alias("bj"), F.lit(0).alias("right"))
+    right = b.select(F.col("bi").alias("k"), "bj", "nr", "nc", "data", F.explode(down).alias("bi"), F.lit(1).alias("right"))
+
+    def told(key: tuple, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *total.shape, total.tobytes())], columns=["bi", "bj", "part", "planes", "nr", "nc", "data"])
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total, first, at = None, None, None, -1
         for frame in frames:
-            for bi, bj, k, is_right, nr, nc, data in frame.itertuples(index=False):
-                if (bi, bj) != key:
+            for bi, bj, part, k, is_right, nr, nc, data in frame.itertuples(index=False):
+                if (bi, bj, part) != key:
                     if total is not None:
-                        yield told()
-                    key, total, at = (bi, bj), None, -1
+                        yield told(key, total)
+                    key, total, at = (bi, bj, part), None, -1
                 block = np.frombuffer(data).reshape(nr, nc)
                 if not is_right:
                     first, at = block, k
                 elif k == at:  # a block without a partner is one of zeros
-                    product = first @ block
+                    product = kernel(first, block)
                     total = product if total is None else total + product
         if total is not None:
-            yield told()
+            yield told(key, total)
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+        for frame in frames:
+            for bi, bj, part, planes, nr, nc, data in frame.itertuples(index=False):
+                one = np.frombuffer(data).reshape(planes, nr, nc)
+                if (bi, bj, part) != key:
+                    if total is not None:
+                        yield told(key, total)
+                    key, total = (bi, bj, part), one
+                else:
+                    total = total + one
+        if total is not None:
+            yield told(key, total)
+
+    names, key = ["bi", "bj", "part", "k", "right", "nr", "nc", "data"], ["bi", "bj", "part"]
+    schema = "bi long, bj long, part long, planes int, nr int, nc int, data binary"
+    both = left.withColumn("part", F.col("k") % splits).select(names).union(right.withColumn("part", F.col("k") % splits).select(names))
+    tasks = tasks_of(a.sparkSession)  # a fixed number, as bytes say little about the work
+    sums = both.repartition(tasks, *key).sortWithinPartitions(*key, "k", "right").mapInPandas(multiply, schema)
+    while splits > 1:
+        splits = -(-splits // FANIN)
+        sums = sums.withColumn("part", F.col("part") % splits).repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(add, schema)
+    return sums.drop("part")
+
+
+def multiply_blocks(a: DataFrame, b: DataFrame, height: int, width: int, side: int, inner: int | None = None, splits: int | None = None) -> DataFrame:
+    """``i, j, v``: the product, of ``height`` x ``width``, of two tables of blocks; absent blocks are zeros."""
+    rows, columns = _count(height, side), _count(width, side)
+    splits = splits or (1 if inner is None else chosen_splits(a.sparkSession, rows * columns, _count(inner, side)))
+    return block_cells(pairs_of_blocks(a, b, rows, columns, lambda x, y: (x @ y)[None], splits), side)
 
-    names = ["bi", "bj", "k", "right", "nr", "nc", "data"]
-    parts = max(1, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = left.select(names).union(right.select(names)).repartition(parts, "bi", "bj").sortWithinPartitions("bi", "bj", "k", "right")
-    return dealt.mapInPandas(multiply, "i long, j int, v double")
+
+def block_cells(blocks: DataFrame, side: int) -> DataFrame:
+    """``i, j, v`` of the first plane of each block."""
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for bi, bj, planes, nr, nc, data in frame.itertuples(index=False):
+                r, c = np.indices((nr, nc))
+                yield pd.DataFrame({"i": r.ravel() + bi * side, "j": (c.ravel() + bj * side).astype(np.int32), "v": np.frombuffer(data).reshape(planes, nr, nc)[0].ravel()})
+
+    return blocks.select("bi", "bj", "planes", "nr", "nc", "data").mapInPandas(cells, "i long, j int, v double")
 
 
 def multiply_sparse(a: Matrix, b: Matrix) -> Matrix:
@@ -143,22 +210,24 @@ def gram_in_tasks(df: DataFrame, left: str, right: str, p: int, q: int, weight:
     return rows.mapInPandas(partial, "j int, l int, v double").groupBy("j", "l").agg(F.sum("v").alias("v"))
 
 
-def crossprod(x: Matrix, y: Matrix | None = None, *, weights: DataFrame | None = None) -> Matrix:
+def crossprod(x: Matrix, y: Matrix | None = None, *, weights: DataFrame | None = None, tile: int | None = None) -> Matrix:
     """``t(x) @ y`` (y: x itself), with row weights ``k, w`` between them if given.
 
-    Of x with itself only the upper triangle is computed, then mirrored."""
+    Of x with itself only the upper triangle is computed, then mirrored. ``tile`` forces tiles of so many columns."""
     other = x if y is None else y
     if x.nrow != other.nrow:
         raise ValueError(f"non-conformable: {x.nrow} and {other.nrow} rows")
-    if y is None and x.layout == "wide" and x.ncol <= WIDE:
+    if y is None and x.layout == "wide" and x.ncol <= WIDE and tile is None:
         df, w = (x.df, None) if weights is None else (x.df.join(weights.toDF("i", "w"), "i"), F.col("w"))
         pairs = [(j, k) for j in range(x.ncol) for k in range(j, x.ncol)]
         product = lambda j, k: F.col(f"c{j}") * F.col(f"c{k}") if w is None else w * F.col(f"c{j}") * F.col(f"c{k}")
         row = df.agg(*[F.sum(product(j, k)).alias(f"s{j}_{k}") for j, k in pairs])
         cells = [F.struct(F.lit(j).cast("long").alias("i"), F.lit(k).alias("j"), F.col(f"s{min(j, k)}_{max(j, k)}").alias("v")) for j in range(x.ncol) for k in range(x.ncol)]
         return Matrix(row.select(F.inline(F.array(*cells))), x.ncol, x.ncol, "coo", x.col_labels, x.col_labels)
-    if "coo" in (x.layout, other.layout) and weights is None:
+    if tile is None and "coo" in (x.layout, other.layout) and weights is None:
         return multiply_sparse(x.t(), other)
+    if tile is not None or x.ncol * other.ncol > SMALL:
+        return _crossprod_of_tiles(x, y, weights, SIDE if tile is None else tile)
     rows = x.to_rows().df
     both = rows.withColumn("right", F.col("vec")) if y is None else rows.join(y.to_rows().df.withColumnRenamed("vec", "right"), "i")
     both = both if weights is None else both.join(weights.toDF("i", "w"), "i")
@@ -166,6 +235,27 @@ def crossprod(x: Matrix, y: Matrix | None = None, *, weights: DataFrame | None =
     return Matrix(found.select(F.col("j").cast("long").alias("i"), F.col("l").alias("j"), "v"), x.ncol, other.ncol, "coo", x.col_labels, other.col_labels)
 
 
+def _crossprod_of_tiles(x: Matrix, y: Matrix | None, weights: DataFrame | None, tile: int) -> Matrix:
+    """By pairs of column tiles; no task holds more than three tiles."""
+    other = x if y is None else y
+    right = other if weights is None else sweep(other, weights, 1, "*")
+    a, b = to_blocks(x, tile, True), to_blocks(right, tile)
+    rows, columns = _count(x.ncol, tile), _count(other.ncol, tile)
+    outputs = rows * (rows + 1) // 2 if y is None else rows * columns
+    sums = pairs_of_blocks(a, b, rows, columns, lambda p, q: (p @ q)[None], chosen_splits(x.df.sparkSession, outputs, _count(x.nrow, tile)), upper=y is None)
+    cells = block_cells(sums, tile)
+    if y is None:
+        cells = mirrored(cells, tile)
+    return Matrix(cells, x.ncol, other.ncol, "coo", x.col_labels, other.col_labels)
+
+
+def mirrored(cells: DataFrame, tile: int, *values: str) -> DataFrame:
+    """With the cells of the tiles below the diagonal, from those above it; diagonal tiles are whole."""
+    above = F.floor(F.col("i") / tile) < F.floor(F.col("j") / tile)
+    below = cells.where(above).select(F.col("j").cast("long").alias("i"), F.col("i").cast("int").alias("j"), *(values or ("v",)))
+    return cells.unionByName(below)
+
+
 def tcrossprod(x: Matrix, y: Matrix | None = None) -> Matrix:
     """``x @ t(y)`` (y: x itself): broadcast if t(y) is small, else blocks."""
     other = x if y is None else y

@@ -20,6 +20,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no plan reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Steps:
+    """A table that every step replaces: the one before is deleted once the new one is written."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.path = spark, name, ""
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, before = f"{shared_folder(self.spark)}/matloom/{self.name}-{uuid.uuid4().hex}", self.path
+        df.write.parquet(path)
+        self.path = path
+        if before:
+            remove(self.spark, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def end(self) -> None:
+        if self.path:
+            remove(self.spark, self.path)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
