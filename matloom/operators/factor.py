@@ -21,7 +21,9 @@ from matloom.operators.elementwise import scale
 from matloom.operators.products import crossprod
 from matloom.plans.durable import durable
 
-FANOUT, LARGEST = 16, 20_000
+FANOUT, LARGEST = 16, 4096
+#: Rows up to which a few eigenvalues are taken from the whole matrix.
+COLLECTED = 1000
 #: Cells up to which a matrix is factored on the driver if its columns depend on each other.
 SMALL = 4_000_000
 
@@ -63,8 +65,10 @@ def r_factor(m: Matrix) -> np.ndarray:
     return _positive(None, np.linalg.qr(np.vstack(found), mode="r"))[1]
 
 
-def project(m: Matrix, right: np.ndarray) -> Matrix:
-    """``m @ right`` for a small matrix, block by block."""
+def project(m: Matrix, right: np.ndarray, *, left: bool = False) -> Matrix:
+    """``m @ right`` for a small matrix, block by block (``left``: ``right @ m``, by columns)."""
+    if left:
+        return project(m.t(), right.T).t()
     held = m.df.sparkSession.sparkContext.broadcast(np.asarray(right, float))
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +242,7 @@ def _collected(m: Matrix) -> np.ndarray:
     if m.nrow != m.ncol:
         raise ValueError("square matrices only")
     if m.nrow > LARGEST:
-        raise ValueError(f"more than {LARGEST} rows; operators.blocks has factors of positive definite matrices of any size")
+        raise ValueError(f"more than {LARGEST} rows; operators.blocks has factors and solutions, operators.krylov eigenvalues of larger ones")
     return m.to_numpy(force=True)
 
 
@@ -251,10 +255,16 @@ class Eigen:
 def eigen(m: Matrix, k: int = 0, which: str = "LM", *, vectors: bool = True, tol: float = 1e-10, max_iter: int = 1000) -> Eigen:
     """Eigenvalues, decreasing, of a square matrix; k of them by ``which``: LM, SM, LA, SA, LR, SR, LI, SI.
 
-    Symmetry is found out. Values of a matrix that isn't symmetric may be complex."""
+    Symmetry is found out. Values of a matrix that isn't symmetric may be complex. k of more than ``COLLECTED`` rows are
+    iterated by products alone (``krylov.eigs``), to ``tol`` in at most ``max_iter`` restarts; smaller matrices, and all
+    eigenvalues (of up to ``LARGEST`` rows), are exact on the driver."""
     keys = {"LM": lambda x: -np.abs(x), "SM": np.abs, "LA": lambda x: -x.real, "SA": lambda x: x.real, "LR": lambda x: -x.real, "SR": lambda x: x.real, "LI": lambda x: -np.abs(x.imag), "SI": lambda x: np.abs(x.imag)}
     if which not in keys:
         raise ValueError(f"unknown selection {which!r}")
+    if 0 < k < m.nrow and m.nrow > COLLECTED:
+        from matloom.operators.krylov import eigs
+
+        return eigs(m, k, which, tol=tol, max_iter=max_iter, vectors=vectors)
     a = _collected(m)
     symmetric = np.allclose(a, a.T, rtol=1e-12, atol=1e-12 * max(1.0, np.abs(a).max(initial=0)))
     values, found = np.linalg.eigh(a) if symmetric else np.linalg.eig(a)
@@ -305,7 +315,7 @@ def inverse(m: Matrix) -> np.ndarray:
 
 
 def solve(a: Matrix, b: Matrix) -> np.ndarray:
-    """X with A X = B for a square A. Larger ones and more right-hand sides than the driver holds: ``blocks.solve_blocks``."""
+    """X with A X = B for a square A. Larger ones and more right-hand sides than the driver holds: ``blocks.solve_general``."""
     if a.nrow != b.nrow:
         raise ValueError("non-conformable")
     return np.linalg.solve(_collected(a), b.to_numpy())
@@ -322,15 +332,30 @@ def pseudoinverse(m: Matrix) -> Matrix:
     return found if wide else found.t()
 
 
+def pseudoinverse_product(m: Matrix, b: Matrix) -> Matrix:
+    """The pseudoinverse times a matrix with the same rows, without the pseudoinverse: V D^-2 t(V) (t(X) B)."""
+    if m.nrow != b.nrow:
+        raise ValueError("non-conformable")
+    if m.ncol > m.nrow:
+        return pseudoinverse(m) @ b
+    _, d, vt = np.linalg.svd(r_factor(m.to_rows()), full_matrices=False)
+    weights = np.where(d > 1e-9, 1 / np.where(d > 1e-9, d, 1.0), 0.0)
+    return project(crossprod(m, None if b is m else b), (vt.T * weights**2) @ vt, left=True)
+
+
 def ols(x: Matrix, y: Matrix, *, intercept: bool = True) -> np.ndarray:
     """Least-squares coefficients (the intercept first) by R of (1, X, y)."""
     from matloom.operators.restructure import cbind
 
-    both = cbind(x, y)
+    return ols_of(cbind(x, y), y.ncol, intercept=intercept)
+
+
+def ols_of(m: Matrix, responses: int = 1, *, intercept: bool = True) -> np.ndarray:
+    """The same where X and y (the last ``responses`` columns) are columns of one matrix: no join, rows in any order."""
+    both, p = m.to_rows(), m.ncol - responses + int(intercept)
     if intercept:
         both = Matrix(both.df.select("i", F.concat(F.array(F.lit(1.0)), "vec").alias("vec")), both.nrow, both.ncol + 1, "rows")
     r = r_factor(both)
-    p = x.ncol + int(intercept)
     return np.linalg.lstsq(r[:p, :p], r[:p, p:], rcond=None)[0]
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matloom.matrix import Matrix
-from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, products, restructure, subset
-from matloom.plans.durable import shared_folder
+from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, krylov, products, restructure, subset
+from matloom.plans.durable import durable, shared_folder
 from matloom.plans.index import with_position
 from matloom.sources.store import Store
 from matloom.sources.text import read_text, write_text
@@ -34,6 +34,10 @@ SP = "sp AS (SELECT dense_rank() OVER (ORDER BY l_suppkey) - 1 AS i, CAST(l_line
 GE = "ge AS (SELECT i, CAST(j AS INTEGER) AS j, CAST(((p_partkey * 7 + j * 13 + (p_partkey // 3) * (j % 5)) % (2 + j % 4)) AS DOUBLE) AS v FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_partkey FROM part), range(20) AS r(j))"
 
 
+# quantities by part and supplier: most cells are absent
+PS = "ps AS (SELECT l_partkey AS i, CAST(l_suppkey AS INTEGER) AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL), pn AS (SELECT max(l_partkey) + 1 AS n, max(l_suppkey) + 1 AS p FROM lineitem), pd AS (SELECT r.i AS i, CAST(c.j AS INTEGER) AS j, coalesce(ps.v, 0) AS v FROM (SELECT unnest(range((SELECT n FROM pn))) AS i) r CROSS JOIN (SELECT unnest(range((SELECT p FROM pn))) AS j) c LEFT JOIN ps ON ps.i = r.i AND ps.j = c.j)"
+
+
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -66,6 +70,12 @@ def ge(spark: SparkSession, d: str) -> Matrix:
     return Matrix.from_coo(cells.select("i", "j", code.alias("v")), keys.count(), 20)
 
 
+def ps(spark: SparkSession, d: str) -> Matrix:
+    t = _table(spark, d, "lineitem")
+    size = t.agg(F.max("l_partkey") + 1, F.max("l_suppkey") + 1).first()
+    return Matrix.from_coo(t.groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("v")), *size)
+
+
 def query(sql: str | None = None):
     """Register a function under its name, with its SQL."""
 
@@ -118,11 +128,15 @@ def entry_col_stats(spark, d):
     return _rounded(aggregates.col_stats(li(spark, d), ["mean", "var"]), 4, "mean", "var")
 
 
-@query(f"WITH {SP}, s AS (SELECT i, j, v FROM sp WHERE CAST(v AS BIGINT) % 3 = 0), n AS (SELECT count(DISTINCT i) AS n FROM sp) SELECT CAST(k AS INTEGER) AS j, round(coalesce(sum(v), 0), 4) AS sum, round(coalesce(sum(v), 0) / any_value(n), 4) AS mean, round((coalesce(sum(v * v), 0) - coalesce(sum(v), 0) * coalesce(sum(v), 0) / any_value(n)) / (any_value(n) - 1), 2) AS var, round(CASE WHEN count(v) < any_value(n) THEN least(coalesce(min(v), 0), 0) ELSE min(v) END, 4) AS min FROM range(7) AS r(k) CROSS JOIN n LEFT JOIN s ON s.j = k GROUP BY k")
+@query(f"WITH {PS} SELECT j, round(sum(v), 4) AS sum, round(avg(v), 4) AS mean, round(var_samp(v), 2) AS var, round(min(v), 4) AS min FROM pd GROUP BY j")
 def col_stats_sparse(spark, d):
-    m = sp(spark, d)
-    m = Matrix(m.df.where(F.col("v").cast("long") % 3 == 0), *m.dim, "coo")
-    return _rounded(_rounded(aggregates.col_stats(m, ["sum", "mean", "var", "min"]), 4, "sum", "mean", "min"), 2, "var")
+    return _rounded(_rounded(aggregates.col_stats(ps(spark, d), ["sum", "mean", "var", "min"]), 4, "sum", "mean", "min"), 2, "var")
+
+
+@query(f"WITH {PS} SELECT i, round(avg(v), 6) AS mean, round(max(v), 6) AS max FROM (SELECT i, CASE WHEN v <> 7 THEN v END AS v FROM pd) GROUP BY i")
+def row_stats_sparse_na_rm(spark, d):
+    m = ps(spark, d).map_values(lambda v: F.when(v != 7, v).otherwise(F.lit(float("nan"))))
+    return _rounded(aggregates.row_stats(m, ["mean", "max"], na_rm=True), 6, "mean", "max")
 
 
 @query(f"WITH {EM} SELECT i, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM ec GROUP BY i")
@@ -280,13 +294,29 @@ def tcrossprod(spark, d):
     return _cells(products.tcrossprod(sp(spark, d).to_rows()), 2)
 
 
-@query(f"WITH {SP}, s AS (SELECT * FROM sp WHERE CAST(v AS BIGINT) % 3 = 0) SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 2) AS v FROM s a JOIN s b USING (i) GROUP BY a.j, b.j")
+@query(f"WITH {PS} SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 2) AS v FROM ps a JOIN ps b USING (i) GROUP BY a.j, b.j")
 def multiply_sparse(spark, d):
-    m = sp(spark, d)
-    m = Matrix(m.df.withColumn("v", F.when(F.col("v").cast("long") % 3 == 0, F.col("v")).otherwise(0.0)), *m.dim, "coo")
+    m = ps(spark, d)
     return _cells(products.multiply_sparse(m.t(), m), 2)
 
 
+@query(f"WITH {PS}, s AS (SELECT j, avg(v) AS m FROM pd GROUP BY j) SELECT i, j, round(v - m, 6) + 0.0 AS v FROM pd JOIN s USING (j)")
+def sweep_sparse(spark, d):
+    m = ps(spark, d)
+    return _cells(elementwise.sweep(m, aggregates.col_means(m), 2, "-"))
+
+
+@query(f"WITH {EM} SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM ec a JOIN ec b USING (i) GROUP BY a.j, b.j")
+def matmul_split_inner(spark, d):
+    m = em(spark, d)
+    return _cells(products.matmul(m, m, transpose_a=True, strategy="block", side=32, splits=5), 5)
+
+
+@query(f"WITH {EM} SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM ec a JOIN ec b USING (i) GROUP BY a.j, b.j")
+def crossprod_tiles(spark, d):
+    return _cells(products.crossprod(em(spark, d), tile=22), 5)
+
+
 @query(f"WITH {EM}, {PT.replace('pt AS', 'p2 AS')} SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum((a.i % 7) * a.v * b.v), 5) AS v FROM ec a JOIN ec b USING (i) GROUP BY a.j, b.j")
 def weighted_crossprod(spark, d):
     m = em(spark, d)
@@ -344,6 +374,31 @@ def cor_cross(spark, d):
     return _r(correlation.cor(m[:, :32], m[:, 32:]))
 
 
+@query(f"WITH {EM} " + _PAIRS.format("corr(a.v, b.v)", "ec", "ec", ""))
+def cor_tiles(spark, d):
+    return _r(correlation.cor(em(spark, d), tile=22))
+
+
+@query(f"WITH {EM}, ok AS (SELECT * FROM ec WHERE (i * 7 + j) % 11 <> 0) " + _PAIRS.format("corr(a.v, b.v)", "ok", "ok", ""))
+def cor_pairwise_tiles(spark, d):
+    return _r(correlation.cor(_with_nan(em(spark, d)), use="pairwise.complete.obs", tile=22))
+
+
+@query(f"WITH {EM}, x AS (SELECT * FROM ec WHERE j < 32), y AS (SELECT i, j - 32 AS j, v FROM ec WHERE j >= 32) " + _PAIRS.format("corr(a.v, b.v)", "x", "y", ""))
+def cor_cross_tiles(spark, d):
+    m = em(spark, d)
+    return _r(correlation.cor(m[:, :32], m[:, 32:], tile=12))
+
+
+@query(f"WITH {PS}, rk AS (SELECT i, j, CAST(row_number() OVER (PARTITION BY j ORDER BY v, i) AS DOUBLE) AS v FROM pd WHERE j > 0 AND i > 0) " + _PAIRS.format("corr(a.v, b.v)", "rk", "rk", ""))
+def cor_spearman_sparse(spark, d):
+    # parts and suppliers count from 1: number 0 of both is left out, as it has no cell
+    m = ps(spark, d)
+    shown = Matrix(m.df.where("v <> 0").select((F.col("i") - 1).alias("i"), (F.col("j") - 1).cast("int").alias("j"), "v"), m.nrow - 1, m.ncol - 1, "coo")
+    found = _r(correlation.cor(shown, method="spearman"))
+    return found.withColumns({c: F.col(c) + 1 for c in ("j", "l")})
+
+
 @query(f"WITH {SP}, t AS (SELECT j AS i, CAST(i AS INTEGER) AS j, v FROM sp) " + _PAIRS.format("corr(a.v, b.v)", "t", "t", ""))
 def cor_of_rows(spark, d):
     return _r(correlation.cor(sp(spark, d), transpose_x=True))
@@ -476,6 +531,12 @@ def filter_maf(spark, d):
     return _cells(genotype.filter_maf(ge(spark, d), 0.4).matrix)
 
 
+@query("SELECT * FROM (" + _KEEP.format(axis="i", flag="least(avg(CASE WHEN v = 0 THEN 1.0 WHEN v = 1 THEN 0.5 ELSE 0 END), 1 - avg(CASE WHEN v = 0 THEN 1.0 WHEN v = 1 THEN 0.5 ELSE 0 END)) <= 0.4", i="new", j="j") + ") WHERE v <> 0")
+def filter_maf_sparse(spark, d):
+    m = ge(spark, d)
+    return _cells(genotype.filter_maf(Matrix(m.df.where("v <> 0"), *m.dim, "coo"), 0.4).matrix)
+
+
 @query(f"WITH {GE}, c AS (SELECT j, count(*) FILTER (v = 0) AS n0, count(*) FILTER (v = 1) AS n1, count(*) FILTER (v = 2) AS n2 FROM ge GROUP BY j) SELECT i, j, CASE WHEN v = 3 AND n0 + n1 + n2 > 0 THEN (CASE WHEN n0 >= n1 AND n0 >= n2 THEN 0.0 WHEN n1 >= n2 THEN 1.0 ELSE 2.0 END) ELSE v END AS v FROM ge JOIN c USING (j)")
 def impute_mode(spark, d):
     return _cells(genotype.impute(ge(spark, d), strategy="mode"))
@@ -620,14 +681,12 @@ def solve_blocks_identity(spark, d):
 @query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
 def pseudoinverse_product(spark, d):
     m = em(spark, d)
-    return _cells(products.matmul(factor.pseudoinverse(m).to_rows(), m), 6)
+    return _cells(factor.pseudoinverse_product(m, m), 6)
 
 
 @query("SELECT round(regr_intercept(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 3) AS intercept, round(regr_slope(CAST(l_extendedprice AS DOUBLE), CAST(l_quantity AS DOUBLE)), 4) AS slope FROM lineitem")
 def least_squares(spark, d):
-    t = _table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
-    placed = Matrix.from_columns(with_position(t, ["l_quantity", "l_extendedprice"], "k"), ["l_quantity", "l_extendedprice"], "k", dense=False)
-    b = factor.ols(placed[:, :1], placed[:, 1:])[:, 0]
+    b = factor.ols_of(Matrix.from_columns(_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]))[:, 0]
     return _rounded(_rounded(_row(spark, intercept=float(b[0]), slope=float(b[1])), 3, "intercept"), 4, "slope")
 
 
@@ -644,6 +703,82 @@ def canonical_correlation(spark, d):
     return _rounded(_row(spark, r=float(factor.cca(m[:, :1], m[:, 1:2])[0])), 6, "r")
 
 
+# ---- solvers and spectra of matrices that nobody collects
+
+_OTHER_SIDE = "b AS (SELECT j, i % 3 AS c, sum(v) AS v FROM ec GROUP BY j, i % 3)"
+
+
+def _thirds(m: Matrix) -> Matrix:
+    """Column c: sums over the rows i with i % 3 = c."""
+    sums = m.to_coo().df.groupBy(F.col("j").cast("long").alias("i"), (F.col("i") % 3).cast("int").alias("j")).agg(F.sum("v").alias("v"))
+    return Matrix(sums, m.ncol, 3, "coo")
+
+
+def _residual(a: Matrix, b: Matrix) -> DataFrame:
+    """A X for the solution X of A X = B: all of B again."""
+    return _cells(products.matmul(a.to_rows(), blocks.solve_general(a, b, side=20)), 4)
+
+
+@query(f"WITH {EM}, {_OTHER_SIDE} SELECT CAST(j AS BIGINT) AS i, CAST(c AS INTEGER) AS j, round(v, 4) + 0.0 AS v FROM b")
+def solve_nonsymmetric(spark, d):
+    m = em(spark, d)
+    g = products.crossprod(m).df.withColumn("v", F.col("v") * (1 + (F.col("i") * 3 + F.col("j") * 5) % 7))
+    return _residual(Matrix(g, m.ncol, m.ncol, "coo"), _thirds(m))
+
+
+@query(f"WITH {EM}, {_OTHER_SIDE} SELECT CAST(j AS BIGINT) AS i, CAST(c AS INTEGER) AS j, round(v, 4) + 0.0 AS v FROM b")
+def solve_indefinite(spark, d):
+    m = em(spark, d)
+    signs = m.df.select("i", F.when(F.col("i") % 2 == 0, 1.0).otherwise(-1.0).alias("w"))
+    return _residual(products.weighted_product(m, signs, "XtwX"), _thirds(m))
+
+
+TRI = "tri AS (SELECT i, CAST(i AS INTEGER) AS j, 4.0 + c0 % 3 AS v FROM pt UNION ALL SELECT i, CAST(i + 1 AS INTEGER), 1.0 FROM pt WHERE i + 1 < (SELECT count(*) FROM pt) UNION ALL SELECT i + 1, CAST(i AS INTEGER), 1.0 FROM pt WHERE i + 1 < (SELECT count(*) FROM pt))"
+
+
+@query(f"WITH {PT}, {TRI} SELECT i, j, CAST(v AS DOUBLE) AS v FROM tri")
+def chol_blocks_sparse(spark, d):
+    m = pt(spark, d)
+    near = lambda i, j: m.df.where(f"i + 1 < {m.nrow}").select(i.alias("i"), j.cast("int").alias("j"), F.lit(1.0).alias("v"))
+    i = F.col("i")
+    cells = m.df.select("i", i.cast("int").alias("j"), (4 + F.col("c0") % 3).alias("v")).unionByName(near(i, i + 1)).unionByName(near(i + 1, i))
+    u = blocks.chol_blocks(Matrix(cells, m.nrow, m.nrow, "coo"))
+    return _cells(products.crossprod(u)).where("v <> 0")
+
+
+def _spectrum(k: int, squarings: int = 12) -> str:
+    """SQL: the k largest eigenvalues of ``g`` (j, l, v), each by squaring the matrix over and over, then taken out of it."""
+    steps = ["d0 AS MATERIALIZED (SELECT j, l, v FROM g)"]
+    for at in range(k):
+        steps.append(f"s{at}_0 AS MATERIALIZED (SELECT j, l, v / (SELECT max(abs(v)) FROM d{at}) AS v FROM d{at})")
+        for t in range(squarings):
+            square = f"(SELECT a.j AS j, b.l AS l, sum(a.v * b.v) AS v FROM s{at}_{t} a JOIN s{at}_{t} b ON a.l = b.j GROUP BY a.j, b.l)"
+            steps.append(f"q{at}_{t} AS MATERIALIZED {square}, s{at}_{t + 1} AS MATERIALIZED (SELECT j, l, v / (SELECT max(abs(v)) FROM q{at}_{t}) AS v FROM q{at}_{t})")
+        last = f"s{at}_{squarings}"
+        steps.append(f"x{at} AS MATERIALIZED (SELECT j, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE l = (SELECT arg_max(l, v) FROM {last} WHERE j = l))")
+        steps.append(f"e{at} AS MATERIALIZED (SELECT sum(a.v * g.v * b.v) AS v FROM g JOIN x{at} a ON a.j = g.j JOIN x{at} b ON b.j = g.l)")
+        steps.append(f"d{at + 1} AS MATERIALIZED (SELECT d.j AS j, d.l AS l, d.v - (SELECT v FROM e{at}) * a.v * b.v AS v FROM d{at} d JOIN x{at} a ON a.j = d.j JOIN x{at} b ON b.j = d.l)")
+    return ", ".join(steps)
+
+
+@query(_GRAM + ", " + _spectrum(3) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, round(v, 4) AS v FROM e{k}" for k in range(3)))
+def eigen_krylov(spark, d):
+    values = krylov.eigs(products.crossprod(em(spark, d)), 3, "LA", symmetric=True).values
+    return _rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k long, v double"), 4, "v")
+
+
+@query(_GRAM + ", " + _spectrum(3) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, round(sqrt(v), 5) AS v FROM e{k}" for k in range(3)))
+def svd_truncated(spark, d):
+    values = krylov.truncated_svd(em(spark, d), 3).d
+    return _rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k long, v double"), 5, "v")
+
+
+@query(_GRAM + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) + 0.0 AS v FROM g")
+def eigen_vectors(spark, d):
+    e = factor.eigen(products.crossprod(em(spark, d)))
+    return _cells(Matrix.from_numpy(spark, (e.vectors * e.values) @ e.vectors.T), 5)
+
+
 # ---- many matrices, files, streams
 
 
@@ -674,6 +809,65 @@ def batch_tcrossprod(spark, d):
     return _rounded(batch.apply_to_groups(_by_label(spark, d), "tCrossProd"), 5, "v")
 
 
+_LABELLED = "x AS (SELECT CAST(label AS VARCHAR) AS dataset, vec_id, dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS r(k)), gram AS (SELECT a.dataset, a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (dataset, vec_id) GROUP BY ALL)"
+
+
+def _told(df: DataFrame, digits: int = 5) -> DataFrame:
+    return df.select("dataset", F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.round(F.col("v") + 0.0, digits).alias("v"))
+
+
+def _side(df: DataFrame, side: int) -> DataFrame:
+    return df.select("dataset", F.lit(side).alias("side"), F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), "v")
+
+
+def _gram_plus_one(spark: SparkSession, d: str) -> DataFrame:
+    g = batch.apply_to_groups(_by_label(spark, d), "CrossProd")
+    return _side(g, 0).withColumn("v", F.col("v") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))
+
+
+_PLUS_ONE = "SELECT dataset, CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, round(v + CASE WHEN i = j THEN 1 ELSE 0 END, 5) + 0.0 AS v FROM gram"
+
+
+@query(f"WITH {_LABELLED} SELECT dataset, CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, round(v, 5) + 0.0 AS v FROM gram")
+def batch_qr(spark, d):
+    found = batch.apply_to_groups(_by_label(spark, d), "QR").where("result like '%.R'")
+    return _told(batch.apply_to_groups(_side(found, 0), "CrossProd"))
+
+
+@query(f"WITH {_LABELLED} SELECT dataset, i, CAST(j AS INTEGER) AS j, round(v, 5) + 0.0 AS v FROM x")
+def batch_qr_product(spark, d):
+    found = durable(batch.apply_to_groups(_by_label(spark, d), "QR"), "qr")
+    parts = [_side(found.where(f"result like '%.{name}'"), side) for side, name in enumerate("QR")]
+    return _told(batch.apply_to_groups(parts[0].unionByName(parts[1]), "blockmult"))
+
+
+@query(f"WITH {_LABELLED} SELECT a.dataset, CAST(a.j AS BIGINT) AS i, CAST(63 - b.j AS INTEGER) AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM x a JOIN x b USING (dataset, vec_id) GROUP BY ALL")
+def batch_crossprod_of_two(spark, d):
+    cells = _by_label(spark, d)
+    return _told(batch.apply_to_groups(_side(cells, 0).unionByName(_side(cells.withColumn("j", 63 - F.col("j")), 1)), "CrossProd_double"))
+
+
+@query(f"WITH {_LABELLED} {_PLUS_ONE}")
+def batch_chol(spark, d):
+    return _told(batch.apply_to_groups(_side(batch.apply_to_groups(_gram_plus_one(spark, d), "descChol"), 0), "CrossProd"))
+
+
+@query(f"WITH {_LABELLED} SELECT a.dataset, CAST(a.j AS BIGINT) AS i, CAST(c AS INTEGER) AS j, round(sum(v * ((j * 3 + c) % 5)), 5) + 0.0 AS v FROM x a, range(3) AS r(c) GROUP BY ALL")
+def batch_solve(spark, d):
+    # (G + 1) X = t(A) W, and (G + 1) X again
+    cells, g = _by_label(spark, d), durable(_gram_plus_one(spark, d), "gram")
+    right = cells.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2)))).groupBy("dataset", F.col("j").cast("long").alias("i"), F.col("c").alias("j")).agg(F.sum(F.col("v") * ((F.col("j") * 3 + F.col("c")) % 5)).alias("v"))
+    x = batch.apply_to_groups(g.unionByName(_side(right, 1)), "solve")
+    return _told(batch.apply_to_groups(g.unionByName(_side(x, 1)), "blockmult"))
+
+
+@query(f"WITH {_LABELLED} {_PLUS_ONE}")
+def batch_inverse(spark, d):
+    # the inverse of the inverse
+    inverse = batch.apply_to_groups(_gram_plus_one(spark, d), "invChol")
+    return _told(batch.apply_to_groups(_side(inverse, 0), "invChol"))
+
+
 @query(f"WITH {PC} SELECT i, j, v FROM pc")
 def store_round_trip(spark, d):
     store = Store(spark, _folder(spark))
