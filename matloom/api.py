@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matloom.functions.options import available_ram_mb, can_allocate, cpu_cores, get_options, memory_info, memory_thresholds, recommended_threads, set_options, system_info, total_ram_mb
+from matloom.functions.options import available_ram_mb, can_allocate, cpu_cores, get_options, may_collect, memory_info, memory_thresholds, recommended_threads, set_options, system_info, total_ram_mb
 from matloom.matrix import Matrix, chain
 from matloom.operators.aggregates import col_maxs as colMaxs
 from matloom.operators.aggregates import col_means as colMeans
@@ -23,12 +23,13 @@ from matloom.operators.aggregates import row_sds as rowSds
 from matloom.operators.aggregates import row_sums as rowSums
 from matloom.operators.aggregates import row_vars as rowVars
 from matloom.operators.batch import apply_function, apply_to_groups, map_blocks
-from matloom.operators.blocks import chol_blocks, inverse_blocks, solve_blocks
+from matloom.operators.blocks import chol_blocks, inverse_blocks, inverse_general, solve_blocks, solve_general
 from matloom.operators.correlation import cor, ranks
 from matloom.operators.elementwise import diag, diag_op, diag_scale, diagonal_matrix, scalar_product, scale, set_diag, sweep, vector_op
-from matloom.operators.factor import cca, chol, eigen, inverse, ols, pca, power_iteration, pseudoinverse, qr, solve, svd
+from matloom.operators.factor import cca, chol, eigen, inverse, ols, ols_of, pca, power_iteration, pseudoinverse, pseudoinverse_product, qr, solve, svd
 from matloom.operators.genotype import filter_low_coverage, filter_maf
 from matloom.operators.genotype import impute as impute_snps
+from matloom.operators.krylov import eigs, truncated_svd
 from matloom.operators.products import crossprod, matmul, multiply_sparse, tcrossprod, weighted_product
 from matloom.operators.restructure import bind_list, cbind, fill_triangle, permute, rbind, reduce, split
 from matloom.operators.subset import assign, assign_cells, subset

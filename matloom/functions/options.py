@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import platform
+import warnings
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import SparkSession
 
 @dataclass
 class Options:
-    """None: the session's own setting."""
+    """None: the session's own setting. ``block_size`` is the side of blocks, ``threads`` the number of tasks of products of
+    blocks (``parallel`` False: one), ``compression`` the codec of intermediate and stored tables."""
 
     parallel: bool | None = None
     block_size: int | None = None
@@ -47,6 +49,11 @@ def resolve(name: str, override=None, default=None):
     return override if override is not None else own if own is not None else default
 
 
+def tasks(default: int) -> int:
+    """Tasks of a product of blocks."""
+    return 1 if _options.parallel is False else resolve("threads", None, default)
+
+
 def apply_to(spark: SparkSession) -> None:
     if _options.threads:
         spark.conf.set("spark.sql.shuffle.partitions", _options.threads)
@@ -71,10 +78,30 @@ def can_allocate(mb: float, share: float = 0.8) -> bool:
     return mb <= available_ram_mb() * share
 
 
-def memory_thresholds() -> dict[str, float]:
-    """MB up to which collecting a matrix is silent, noted, warned of, and refused."""
-    free = available_ram_mb()
-    return {"silent": min(0.15 * free, 3072.0), "note": min(0.30 * free, 8192.0), "warn": min(0.50 * free, 16384.0), "refuse": 0.80 * free}
+# Shares of all memory, each with its greatest number of MB, up to which collecting a matrix is silent, noted,
+# warned of, and done when forced; and the hundreds of MB to which they are rounded.
+SHARES = {"silent": (0.15, 3072), "warning": (0.30, 8192), "force": (0.50, 16384), "blocked": (0.80, None)}
+ROUNDED = 100
+
+
+def memory_thresholds(total_mb: float | None = None) -> dict[str, float]:
+    """MB up to which collecting a matrix is silent, noted, warned of, and done when forced."""
+    total = total_ram_mb() if total_mb is None else total_mb
+    return {k: float(ROUNDED * round((total * share if most is None else min(total * share, most)) / ROUNDED)) for k, (share, most) in SHARES.items()}
+
+
+def may_collect(size_mb: float, *, force: bool = False, max_size_mb: float | None = None) -> None:
+    """Raise or warn by size: beyond ``force`` only when forced, beyond ``blocked`` never. ``max_size_mb`` sets the silent
+    size, the others are twice, four and eight times as much."""
+    limit = memory_thresholds() if max_size_mb is None else {k: max_size_mb * f for k, f in zip(SHARES, (1, 2, 4, 8))}
+    if size_mb > limit["blocked"]:
+        raise MemoryError(f"{size_mb:.0f} MB are more than {limit['blocked']:.0f}; take a subset or keep the matrix as it is")
+    if size_mb > limit["force"] and not force:
+        raise MemoryError(f"{size_mb:.0f} MB are more than {limit['force']:.0f}; use force=True")
+    if size_mb > limit["warning"]:
+        warnings.warn(f"{size_mb:.0f} MB are collected; that takes long", ResourceWarning, stacklevel=3)
+    elif size_mb > limit["silent"]:
+        warnings.warn(f"{size_mb:.0f} MB are collected", ResourceWarning, stacklevel=3)
 
 
 def memory_info() -> dict[str, float]:

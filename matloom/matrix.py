@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matloom.functions.options import may_collect
 from matloom.plans.index import with_position
 
 
@@ -140,10 +141,9 @@ class Matrix:
     def object_size(self, unit: str = "bytes") -> float:
         return self.nrow * self.ncol * 8 / 1024 ** ["bytes", "KB", "MB", "GB"].index(unit)
 
-    def to_numpy(self, *, force: bool = False, max_size_mb: float = 500) -> np.ndarray:
-        """Collect; refused above ``max_size_mb`` unless ``force``."""
-        if self.object_size("MB") > max_size_mb and not force:
-            raise MemoryError(f"{self.object_size('MB'):.0f} MB are more than {max_size_mb}; use force=True")
+    def to_numpy(self, *, force: bool = False, max_size_mb: float | None = None) -> np.ndarray:
+        """Collect, as far as ``options.may_collect`` lets."""
+        may_collect(self.object_size("MB"), force=force, max_size_mb=max_size_mb)
         out = np.zeros((self.nrow, self.ncol))
         if self.layout == "coo":
             table = self.df.toPandas()

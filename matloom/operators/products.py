@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matloom.functions.options import resolve, tasks
 from matloom.matrix import Matrix
 from matloom.operators.elementwise import sweep
 
@@ -31,7 +32,7 @@ def _check(a: int, b: int) -> None:
         raise ValueError(f"non-conformable: inner dimensions {a} and {b}")
 
 
-def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool = False, strategy: str = "auto", side: int = SIDE, splits: int | None = None) -> Matrix:
+def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool = False, strategy: str = "auto", side: int | None = None, splits: int | None = None) -> Matrix:
     """``a @ b``; transposed factors only swap indices. ``strategy``: auto, broadcast, block (of ``side`` rows) or cells.
 
     ``splits``: in how many parts the inner index of a product of blocks is cut; by itself as many as keep tasks busy."""
@@ -41,7 +42,7 @@ def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool
     if strategy == "auto":
         strategy = "broadcast" if len(b) <= SMALL else "block"
     if strategy == "block":
-        return _by_blocks(a, b, side, transpose_a, transpose_b, splits)
+        return _by_blocks(a, b, resolve("block_size", side, SIDE), transpose_a, transpose_b, splits)
     a, b = a.t() if transpose_a else a, b.t() if transpose_b else b
     return _by_broadcast(a, b) if strategy == "broadcast" else multiply_sparse(a, b)
 
@@ -102,7 +103,7 @@ def _count(n: int, side: int) -> int:
 
 
 def tasks_of(spark) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return tasks(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def chosen_splits(spark, outputs: int, inner: int) -> int:
@@ -158,11 +159,11 @@ def pairs_of_blocks(a: DataFrame, b: DataFrame, rows: int, columns: int, kernel,
     names, key = ["bi", "bj", "part", "k", "right", "nr", "nc", "data"], ["bi", "bj", "part"]
     schema = "bi long, bj long, part long, planes int, nr int, nc int, data binary"
     both = left.withColumn("part", F.col("k") % splits).select(names).union(right.withColumn("part", F.col("k") % splits).select(names))
-    tasks = tasks_of(a.sparkSession)  # a fixed number, as bytes say little about the work
-    sums = both.repartition(tasks, *key).sortWithinPartitions(*key, "k", "right").mapInPandas(multiply, schema)
+    parts = tasks_of(a.sparkSession)  # a fixed number, as bytes say little about the work
+    sums = both.repartition(parts, *key).sortWithinPartitions(*key, "k", "right").mapInPandas(multiply, schema)
     while splits > 1:
         splits = -(-splits // FANIN)
-        sums = sums.withColumn("part", F.col("part") % splits).repartition(tasks, *key).sortWithinPartitions(*key).mapInPandas(add, schema)
+        sums = sums.withColumn("part", F.col("part") % splits).repartition(parts, *key).sortWithinPartitions(*key).mapInPandas(add, schema)
     return sums.drop("part")
 
 
@@ -227,7 +228,7 @@ def crossprod(x: Matrix, y: Matrix | None = None, *, weights: DataFrame | None =
     if tile is None and "coo" in (x.layout, other.layout) and weights is None:
         return multiply_sparse(x.t(), other)
     if tile is not None or x.ncol * other.ncol > SMALL:
-        return _crossprod_of_tiles(x, y, weights, SIDE if tile is None else tile)
+        return _crossprod_of_tiles(x, y, weights, resolve("block_size", tile, SIDE))
     rows = x.to_rows().df
     both = rows.withColumn("right", F.col("vec")) if y is None else rows.join(y.to_rows().df.withColumnRenamed("vec", "right"), "i")
     both = both if weights is None else both.join(weights.toDF("i", "w"), "i")

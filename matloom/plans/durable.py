@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matloom.functions.options import resolve
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; without one, a temporary folder in local runs and an error on a cluster."""
@@ -49,5 +51,6 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/matloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    codec = resolve("compression")
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

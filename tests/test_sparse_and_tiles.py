@@ -228,3 +228,33 @@ def test_square_datasets_large_and_small(spark, monkeypatch):
         for k, o in zip(x, second or x):
             a = wanted(x[k], (second or x)[o])
             np.testing.assert_allclose(dense(found, f"{func}_{k}", a.shape), a, atol=1e-9)
+
+
+def test_options_act(spark, a):
+    from matloom.functions import options
+
+    m = Matrix.from_numpy(spark, a)
+    try:
+        options.set_options(block_size=2, threads=3, compression="gzip")
+        np.testing.assert_allclose(products.matmul(m, m, transpose_b=True, strategy="block").to_numpy(), a @ a.T)
+        assert products.tasks_of(spark) == 3
+        options.set_options(parallel=False)
+        assert products.tasks_of(spark) == 1
+    finally:
+        options.set_options(block_size=None, threads=None, compression=None, parallel=None)
+
+
+def test_sizes_that_may_be_collected(spark):
+    from matloom.functions import options
+
+    assert options.memory_thresholds(16 * 1024) == {"silent": 2500, "warning": 4900, "force": 8200, "blocked": 13100}
+    m = Matrix.create(spark, 400, 400)  # 1.22 MB
+    with pytest.warns(ResourceWarning, match="collected$"):
+        m.to_numpy(max_size_mb=1)
+    with pytest.warns(ResourceWarning, match="takes long"):
+        m.to_numpy(max_size_mb=0.5)
+    with pytest.raises(MemoryError, match="force=True"):
+        m.to_numpy(max_size_mb=0.2)
+    assert m.to_numpy(max_size_mb=0.2, force=True).shape == (400, 400)
+    with pytest.raises(MemoryError, match="subset"):
+        m.to_numpy(max_size_mb=0.1, force=True)
