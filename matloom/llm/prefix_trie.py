@@ -173,10 +173,11 @@ def conversation_trie(df: DataFrame, **columns: str) -> DataFrame:
 
     # points, and the representatives' ways through them
     key = ["d", "a", "b"]
-    points = branches(paths).where("d > 0").unionByName(of.where("len > 0").select(F.col("len").alias("d"), "a", "b")).distinct()
+    # tables of their own, so that Spark may split a join's heavy prefixes
+    points = tables.write(branches(paths).where("d > 0").unionByName(of.where("len > 0").select(F.col("len").alias("d"), "a", "b")).distinct(), "points")
     kept = ["c", "len", "m", "cum", *key]
     ways = tables.write(paths.join(points, key).select(kept), "ways")
-    sums = ways.groupBy(key).agg(F.sum("m").alias("n"), F.min("c").alias("owner"), F.max("len").alias("deepest"))
+    sums = tables.write(ways.groupBy(key).agg(F.sum("m").alias("n"), F.min("c").alias("owner"), F.max("len").alias("deepest")), "sums")
     top = of.agg(F.sum("m").alias("n"), F.min("c").alias("owner"), F.max("len").alias("deepest"))  # one row
     from_root = of.select("c", "len", "m", zero.alias("cum"), zero.alias("d"), zero.alias("a"), zero.alias("b")).crossJoin(F.broadcast(top))
     met = ways.join(sums, key).select(*kept, "n", "owner", "deepest").unionByName(from_root)
