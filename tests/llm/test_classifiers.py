@@ -46,6 +46,49 @@ def test_gradients_are_those_of_the_loss():
         assert abs(abs(above - below) / 2e-3 - size) < 2e-3 + 0.02 * size
 
 
+def plain_score(net, text):
+    """A text's score, word by word and gate by gate."""
+    words, sigmoid, n = toxicity.words_of(text), lambda x: 1 / (1 + np.exp(-x)), toxicity.HIDDEN
+    inputs = []
+    for word in words:
+        alone = toxicity.Vocabulary()
+        alone.number([word])
+        bucket, grams, _ = alone.features()
+        inputs.append(np.concatenate([net.word[bucket[0]], net.gram[grams].mean(0) if len(grams) else np.zeros(toxicity.WIDTH)]).astype(float))
+    last, best = max(0, len(words) - toxicity.WINDOW), -np.inf
+    for start in [*range(0, last, toxicity.STEP), last]:
+        window = inputs[start : start + toxicity.WINDOW]
+        window += [np.zeros(toxicity.INPUTS)] * (toxicity.WINDOW - len(window))
+        states = [[None] * toxicity.WINDOW, [None] * toxicity.WINDOW]
+        for side, order in enumerate((range(toxicity.WINDOW), reversed(range(toxicity.WINDOW)))):
+            h = np.zeros(n)
+            for t in order:
+                x, carried = window[t] @ net.wx[side] + net.bias[side], h @ net.wh[side]
+                z, r = sigmoid(x[:n] + carried[:n]), sigmoid(x[n : 2 * n] + carried[n : 2 * n])
+                new = np.tanh(x[2 * n :] + r * carried[2 * n :])
+                h = (1 - z) * new + z * h
+                states[side][t] = h
+        both = [np.concatenate([a, b]) for a, b in zip(*states)]
+        seen = both[: len(words) - start] if words else both
+        weights = np.exp([s @ net.attend for s in seen])
+        best = max(best, float(weights / weights.sum() @ [s @ net.out for s in seen] + net.base[0]))
+    a, b = net.scale
+    return 1 / (1 + np.exp(-(a * best + b)))
+
+
+def test_scores_are_those_of_a_plain_loop(spark, odd):
+    net = toxicity.Network.fresh(3)
+    net.base[0], net.scale = 0.3, (1.7, -0.2)
+    net.bias = [np.linspace(-1, 1, 3 * toxicity.HIDDEN).astype(np.float32) * (k + 1) for k in range(2)]
+    net.word *= 30
+    texts = ["", "one", "You, awful CLOWN!", "é \U0001f600 " * 9, " ".join(f"word{k % 13} x{k}" for k in range(60)), " ".join(f"a{k}" for k in range(toxicity.WINDOW))]
+    wanted = [plain_score(net, t) for t in texts]
+    np.testing.assert_allclose(toxicity.score_texts(net, texts), wanted, atol=2e-5)
+    assert max(wanted) - min(wanted) > 0.05
+    got = toxicity.with_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).orderBy("doc_id").collect()
+    np.testing.assert_allclose([r["score"] for r in got], wanted, atol=2e-5)
+
+
 def test_windows_cover_every_word():
     documents = [np.arange(1, n + 1, dtype=np.int32) for n in (0, 1, 23, 24, 25, 36, 37, 100)]
     windows, owner = toxicity.windows_of(documents)

@@ -55,4 +55,27 @@ def test_run_packs_what_is_left(spark, staged):
 def test_registered():
     import __spark_entry__
 
-    assert "pipeline" in __spark_entry__.queries() and {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
+    assert "pipeline" in __spark_entry__.queries() and {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in __spark_entry__.queries()}
+
+
+def folder(spark, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_odd_rows_and_clashing_names(spark, odd, tmp_path):
+    """Nulls, repeated rows, empty and long texts; without labels of both kinds nothing is toxic or poor."""
+    where = folder(spark, tmp_path, odd, [(1, None, 0), (2, None, None), (None, 1, 1)])
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, where)
+        assert docs.columns == odd.columns
+    rows = cp.run(spark, where).collect()
+    assert sorted({r["doc_id"] for r in rows}, key=str) == sorted([1, 3, 4, 5, 6, 7, 8, 9, None], key=str)
+    texts = {r["doc_id"]: r["text"] for r in odd.collect()}
+    check_packed(rows, [(d, ids(t) + [1]) for d, t in texts.items() if d != 2], 2048)
+
+
+def test_empty_table(spark, none, tmp_path):
+    assert cp.run(spark, folder(spark, tmp_path, none, [(1, 1, 0)])).collect() == []
