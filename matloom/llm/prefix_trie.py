@@ -153,7 +153,8 @@ def branches(paths: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(x) for x in (d[low] - 1, pa_[low], pb[low], a[low], b[low], a[high], b[high])], names=["d", "a", "b", "a1", "b1", "a2", "b2"])
 
     key = ["d", "pa", "pb", "a", "b"]
-    met = paths.select(*key).repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(neighbours, "d long, a long, b long, a1 long, b1 long, a2 long, b2 long")
+    # the representative is the last key, so that many with one beginning lie in several ranges
+    met = paths.select(*key, "c").repartitionByRange(*key, "c").sortWithinPartitions(*key).mapInArrow(neighbours, "d long, a long, b long, a1 long, b1 long, a2 long, b2 long")
     ends = met.groupBy("d", "a", "b").agg(F.min(F.struct("a1", "b1")).alias("low"), F.max(F.struct("a2", "b2")).alias("high"))
     return ends.where("low <> high").select("d", "a", "b")
 
