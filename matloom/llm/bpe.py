@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from matloom.llm.common import own_cache, texts_for_python
 from matloom.llm.token_cache import GROUP_CHARS, default_path
 
-#: Distinct pieces of text whose ids a worker keeps; beyond it starts anew.
-KEPT = 600_000
+#: Distinct pieces of text whose ids a worker keeps, and bytes of them and of their words; beyond either it starts anew.
+KEPT, KEPT_BYTES = 600_000, 400_000_000
+#: What an entry takes besides its text, and a character in all (as a piece, as a word, as ids of both).
+_ENTRY_BYTES, _CHAR_BYTES = 300, 16
 #: Pieces of plain Latin letters, digits and signs alone: composed already, with the same classes in every library.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u017f]+")
 _coders: dict[str, "PairIndexCoder"] = {}
@@ -40,6 +42,10 @@ if array("I").itemsize != 4 or sys.byteorder != "little":
     raise ImportError("ids are kept as little-endian integers of 32 bits")
 
 
+def _size(pieces: list[str]) -> int:
+    return _ENTRY_BYTES * len(pieces) + _CHAR_BYTES * sum(map(len, pieces))
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: printable ones for themselves, others for letters from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -86,6 +92,7 @@ class PairIndexCoder:
         self.plain = self._plain_pattern(spec)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _plain_pattern(spec: dict):
@@ -110,6 +117,7 @@ class PairIndexCoder:
     def clear(self) -> None:
         self.pieces.clear()
         self.words.clear()
+        self.held = 0
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by one pair index over all of them."""
@@ -187,9 +195,10 @@ class PairIndexCoder:
     def learn(self, pieces: set[str]) -> None:
         """Make ``self.pieces`` hold the ids of all of ``pieces``, as bytes."""
         new = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(new) > KEPT:
+        if len(self.pieces) + len(new) > KEPT or self.held + _size(new) > KEPT_BYTES:
             self.clear()
             new = list(pieces)
+        self.held += _size(new)
         split = [self._split(p) for p in new]
         unknown = list({w for s in split for w in s if w.__class__ is str and w not in self.words})
         self.words.update(zip(unknown, [array("I", ids).tobytes() for ids in self.merge(unknown)]))

@@ -1,9 +1,11 @@
-"""Token counts: pieces are counted once per distinct pre-token and summed by document, ids are never kept.
-
-Method: a task cuts its texts at pre-tokens and numbers the distinct ones; the library counts the tokens of each one
-once. A document's numbers become its frequencies, one row for each distinct pre-token that it has; these are joined to
-the counts by number, multiplied and summed. Both sides of the join are columns of numbers in the task: a shuffle of all
-documents' pre-tokens would move more than the texts.
+"""Token counts: distinct pieces are counted once and summed by document, ids are never kept.
+
+Method: a task cuts its texts where the pre-tokenizer always cuts as well, whatever stands around, so a piece is a run of one
+or more whole pre-tokens, mostly a word with its blank. It numbers the distinct pieces, and the library counts the tokens of
+each one once; a worker keeps counts while its cache lasts, so a piece is counted again by other workers or after the cache
+has started anew, never for another document alone. A document's numbers become its frequencies, one row for each distinct
+piece that it has; these are joined to the counts by number, multiplied and summed. Both sides of the join are columns of
+numbers in the task: a shuffle of all documents' pieces would move more than the texts.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; rows with a null or repeated id are counted like
 others, one row out for each row in; an empty table gives an empty result; other columns are not read.

@@ -229,3 +229,16 @@ def test_many_equal_lengths_pack_tightly():
     odd_window = packing.plan_patterns(Counter(rng.integers(1, 2044, 20000).tolist()), 2045)
     assert sum(len(slots) > 1 for slots, _ in odd_window) > len(odd_window) / 2
     assert sum(t for _, t in odd_window) * 2045 < 1.02 * sum(m * u * t for slots, t in odd_window for m, u in slots)
+
+
+def test_kept_bytes_are_bounded(monkeypatch):
+    from matloom.llm import bpe
+    from matloom.llm.token_cache import default_path
+
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 200_000)
+    coder = bpe.PairIndexCoder(default_path("word_bpe_49k.json"))
+    texts = [f"{'x' * 9000}{k} and word {k}" for k in range(30)]
+    whole = [ids for t in texts for ids in coder.encode([t])]  # a group of texts is learnt at once
+    assert coder.held <= 200_000 + 16 * 10_000 and sum(map(len, coder.pieces)) < 40_000
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 1 << 40)
+    assert whole == list(bpe.PairIndexCoder(default_path("word_bpe_49k.json")).encode(texts))
