@@ -13,13 +13,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matloom import api
 from matloom.matrix import Matrix
 from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, krylov, products, restructure, subset
 from matloom.plans.durable import durable, shared_folder
 from matloom.plans.index import with_position
 from matloom.sources.store import Store
 from matloom.sources.text import read_text, write_text
-from matloom.streaming.colstats import running_col_stats
+from matloom.streaming.colstats import running_col_stats, windowed_col_stats
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -510,9 +511,23 @@ def dimensions(spark, d):
     return _row(spark, nrow=m.nrow, ncol=m.ncol, length=len(m), bytes=float(m.object_size()))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST((j * 50 + i) % 7 AS DOUBLE) AS v FROM range(50) AS a(i), range(4) AS b(j)")
+@query("WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k, n_regionkey, count(*) OVER () AS m FROM nation), p AS (SELECT count(*) AS rows FROM part), c AS (SELECT unnest(range((SELECT rows FROM p))) AS i), g AS (SELECT i, j, (j * rows + i) % (SELECT any_value(m) FROM n) AS k FROM c, range(4) AS r(j), p) SELECT i, CAST(j AS INTEGER) AS j, CAST(n_regionkey AS DOUBLE) AS v FROM g JOIN n USING (k)")
 def create_recycled(spark, d):
-    return _cells(Matrix.create(spark, 50, 4, list(range(7))))
+    # as many rows as there are parts, the nations' regions recycled down the columns
+    regions = [r[0] for r in _table(spark, d, "nation").orderBy("n_nationkey").select("n_regionkey").collect()]
+    return _cells(api.create_matrix(Store(spark, _folder(spark)), "made/regions", _table(spark, d, "part").count(), 4, regions))
+
+
+@query(f"WITH {EM}, n AS (SELECT max(i) AS last FROM em) SELECT last - i AS i, j, round(v, 6) + 0.0 AS v FROM ec, n")
+def rows_by_a_table(spark, d):
+    m = em(spark, d)
+    return _cells(subset.select_rows(m, m.df.select((m.nrow - 1 - F.col("i")).alias("pos"), "i")))
+
+
+@query(f"WITH {PT} SELECT i AS k, round(c0 * c1, 4) AS v FROM pt")
+def vectors_multiplied(spark, d):
+    m = pt(spark, d).df
+    return _rounded(elementwise.vector_op(m.select("i", "c0"), m.select("i", "c1"), "*"), 4, "v")
 
 
 # ---- genotypes
@@ -876,15 +891,48 @@ def store_round_trip(spark, d):
     return _cells(store.open("parts/moved"))
 
 
-@query("SELECT 'a/x' AS name, CAST(2 AS BIGINT) AS nrow, CAST(3 AS BIGINT) AS ncol UNION ALL SELECT 'a/y', 2, 3 UNION ALL SELECT 'b/c/z', 2, 3")
+@query("SELECT 'a/parts' AS name, count(*) AS nrow, CAST(2 AS BIGINT) AS ncol FROM part UNION ALL SELECT 'a/vectors', count(*), CAST(max(len(embedding)) AS BIGINT) FROM embeddings UNION ALL SELECT 'b/c/suppliers', count(DISTINCT l_suppkey), CAST(7 AS BIGINT) FROM lineitem")
 def store_list(spark, d):
     store = Store(spark, _folder(spark))
-    for name in ("a/x", "a/y", "b/c/z", "b/gone"):
-        store.write(name, Matrix.create(spark, 2, 3, 1.0))
+    for name, m in (("a/parts", pt), ("a/vectors", em), ("b/c/suppliers", sp), ("b/gone", pt)):
+        store.write(name, m(spark, d))
     store.remove("b/gone")
     return store.list()
 
 
+@query(f"WITH {EM} SELECT j, count(*) * 2 AS n, round(2 * sum(v), 5) + 0.0 AS v FROM ec GROUP BY j")
+def store_append(spark, d):
+    store, m = Store(spark, _folder(spark)), em(spark, d)
+    store.write("vectors/twice", m)
+    found = store.append("vectors/twice", m)
+    return aggregates.col_sums(found).select("j", F.lit(found.nrow).cast("long").alias("n"), (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query(f"WITH {PC} SELECT i, j, v, 'part' AS source, CASE j WHEN 0 THEN 'size' ELSE 'price' END AS name FROM pc")
+def store_copy(spark, d):
+    store, other = Store(spark, _folder(spark)), Store(spark, _folder(spark))
+    store.write("parts/raw", pt(spark, d).with_labels(cols=["size", "price"]))
+    store.set_attribute("parts/raw", "source", "part")
+    copied = store.copy_to("parts/raw", other, "copied/raw")
+    cells = _cells(copied).withColumn("source", F.lit(other.attributes("copied/raw")["source"]))
+    return cells.join(F.broadcast(copied.col_labels.withColumnRenamed("idx", "j")), "j")
+
+
+@query(f"WITH {PC} SELECT i, j, round(6 * v, 6) AS v FROM pc")
+def store_reduce_group(spark, d):
+    store, m = Store(spark, _folder(spark)), pt(spark, d)
+    for k in (1, 2, 3):
+        store.write(f"parts/times {k}", elementwise.scalar_product(m, k))
+    return _cells(api.reduce_group(store, "parts"))
+
+
+@query(f"WITH {PC} SELECT i, j, v FROM pc")
+def store_import(spark, d):
+    folder = _folder(spark)
+    write_text(pt(spark, d), f"{folder}/parts.csv", files=3)
+    return _cells(api.import_into(Store(spark, _folder(spark)), f"{folder}/parts.csv", "text/parts"))
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/matloom/{uuid.uuid4().hex}"
 
@@ -905,6 +953,14 @@ def stream_col_stats(spark, d):
     return _rounded(_rounded(spark.table(name), 2, "sum"), 4, "mean", "sd").withColumn("n", F.col("n").cast("long"))
 
 
+@query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, 0 AS j, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def stream_windows(spark, d):
+    stream = spark.readStream.schema(_table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    name = "windows_" + uuid.uuid4().hex
+    windowed_col_stats(stream, ["value"], "ts", "1 day", "7 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return _rounded(spark.table(name).select(F.unix_timestamp("window.start").alias("day"), "j", F.col("n").cast("long").alias("n"), "mean"), 6, "mean")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -15,6 +15,7 @@ def running_col_stats(stream: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def windowed_col_stats(stream: DataFrame, columns: list[str], time: str, window: str, late: str) -> DataFrame:
-    """The same by time windows; rows later than ``late`` behind the newest are passed over."""
-    cells = stream.withWatermark(time, late).select(F.col(time).alias("t"), F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("v")) for j, c in enumerate(columns)])).alias("x"))
+    """The same by time windows; rows later than ``late`` behind the newest are passed over. A time without a zone is read
+    in the session's."""
+    cells = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).select(F.col(time).alias("t"), F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("v")) for j, c in enumerate(columns)])).alias("x"))
     return cells.groupBy(F.window("t", window), F.col("x.j").alias("j")).agg(F.count("x.v").alias("n"), F.avg("x.v").alias("mean"))
