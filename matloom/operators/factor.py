@@ -24,8 +24,6 @@ from matloom.plans.durable import durable
 FANOUT, LARGEST = 16, 4096
 #: Rows up to which a few eigenvalues are taken from the whole matrix.
 COLLECTED = 1000
-#: Cells up to which a matrix is factored on the driver if its columns depend on each other.
-SMALL = 4_000_000
 
 
 def _positive(q: np.ndarray | None, r: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
@@ -83,8 +81,11 @@ def qr(m: Matrix, *, thin: bool = False, method: str = "auto") -> tuple[Matrix,
     """Q (a Matrix) and R with a diagonal that isn't negative.
 
     ``tsqr`` (chosen for many more rows than columns) never holds Q: it is X R^-1, made orthogonal by a second
-    factorization. ``householder`` is for matrices that the driver holds; only it can give a full Q (m x m)."""
-    spark = m.df.sparkSession
+    factorization; columns that depend on each other go to the other method. ``householder`` keeps Q as a tree of
+    reflectors (``operators.reflectors``, which also applies Q without forming it, and pivots columns); only it can give a
+    full Q (m x m)."""
+    from matloom.operators.reflectors import reflectors
+
     if method == "auto":
         method = "tsqr" if thin and m.nrow > 5 * m.ncol and m.nrow > 1000 else "householder"
     if method == "tsqr":
@@ -97,15 +98,12 @@ def qr(m: Matrix, *, thin: bool = False, method: str = "auto") -> tuple[Matrix,
             q1 = project(m, np.linalg.inv(r1))
             r2 = r_factor(q1)
             return project(q1, np.linalg.inv(r2)), r2 @ r1
-        if len(m) > SMALL:
-            raise np.linalg.LinAlgError("columns depend on each other; Q isn't unique")
     elif method != "householder":
         raise ValueError(f"unknown method {method!r}")
-    q, r = np.linalg.qr(m.to_numpy(), mode="reduced" if thin else "complete")
-    k = min(m.dim)
-    signs = np.ones(q.shape[1])
-    signs[:k] = np.where(np.diag(r)[:k] < 0, -1.0, 1.0)
-    return Matrix.from_numpy(spark, q * signs), r * signs[: r.shape[0], None]
+    found = reflectors(m)
+    if thin:
+        return found.thin(), found.r
+    return found.full(), np.vstack([found.r, np.zeros((m.nrow - len(found.r), m.ncol))])
 
 
 @dataclass
