@@ -6,7 +6,7 @@
 * two large factors are cut into square blocks; a block goes to all cells of the grid (output block, part of the inner
   index) that need it. A cell adds up its products in numpy, and the parts' sums meet in a tree: so neither an inner index
   nor an output block gathers a task's worth of rows, and few output blocks with a long inner index use all tasks
-* sparse factors join cell by cell
+* sparse factors join cell by cell; an inner index with many cells on both sides is cut into parts
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matloom.functions.options import resolve, tasks
-from matloom.matrix import Matrix
+from matloom.matrix import Matrix, small
 from matloom.operators.elementwise import sweep
+from matloom.plans.durable import durable
 
 SMALL, WIDE, SIDE = 1_000_000, 48, 512
 #: Products of blocks that one task adds up at most, and partial sums that one task of the tree reads.
 LONGEST, FANIN = 64, 16
+#: Pairs of cells of one inner index that one task joins.
+MOST_PAIRS = 1 << 24
 
 
 def _check(a: int, b: int) -> None:
@@ -186,13 +189,40 @@ def block_cells(blocks: DataFrame, side: int) -> DataFrame:
     return blocks.select("bi", "bj", "planes", "nr", "nc", "data").mapInPandas(cells, "i long, j int, v double")
 
 
-def multiply_sparse(a: Matrix, b: Matrix) -> Matrix:
-    """The product by stored cells alone: zeros are filtered in the scan, cells join on k and add up."""
+def multiply_sparse(a: Matrix, b: Matrix, *, most: int = MOST_PAIRS) -> Matrix:
+    """The product by stored cells alone: zeros are filtered in the scan, cells join on the inner index k and add up.
+
+    A k with more than ``most`` pairs of cells is cut: the longer of its two sides is dealt to parts by the other index, the
+    shorter one copied to each, so that no task joins more than about ``most`` pairs of one k. Tables that are both long
+    for a k are dealt on both sides, as a grid. Weights are counted for every k and shuffled once, by k."""
     _check(a.ncol, b.nrow)
     left = a.to_coo().df.where("v <> 0").select("i", F.col("j").cast("long").alias("k"), "v")
     right = b.to_coo().df.where("v <> 0").select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
-    cells = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-    return Matrix(cells, a.nrow, b.ncol, "coo", a.row_labels, b.col_labels)
+    cells = left.join(right, "k")
+    heavy = durable(_heavy(left, right, most), "heavy")
+    found = heavy.count()
+    if found:
+        # parts over rows of the left (x) and over columns of the right (y); a k that isn't heavy has one of each
+        sizes = small(heavy, found)
+        one = lambda name: F.coalesce(name, F.lit(1))
+        every = lambda name: F.explode(F.sequence(F.lit(0), one(name) - 1))
+        mine = left.join(sizes, "k", "left").select("k", "i", "v", F.pmod(F.hash("i"), one("nx")).alias("x"), every("ny").alias("y"))
+        other = right.join(sizes, "k", "left").select("k", "j", "w", F.pmod(F.hash("j"), one("ny")).alias("y"), every("nx").alias("x"))
+        cells = mine.join(other, ["k", "x", "y"])
+    sums = cells.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    return Matrix(sums, a.nrow, b.ncol, "coo", a.row_labels, b.col_labels)
+
+
+def _heavy(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
+    """``k, nx, ny``: into how many parts both sides of a k are cut, of those with more than ``most`` pairs."""
+    count = lambda df, name: df.groupBy("k").agg(F.count(F.lit(1)).cast("double").alias(name))
+    pairs = count(left, "a").join(count(right, "b"), "k").where(F.col("a") * F.col("b") > most)
+    root = F.lit(float(most) ** 0.5)
+    # sides of a part: a square where both are long, else all of the shorter side
+    short = F.least("a", "b", root)
+    long_ = F.lit(float(most)) / short
+    part = lambda mine, other: F.greatest(F.lit(1), F.ceil(F.col(mine) / F.when(F.col(mine) >= F.col(other), long_).otherwise(short)).cast("int"))
+    return pairs.select("k", part("a", "b").alias("nx"), part("b", "a").alias("ny"))
 
 
 def gram_in_tasks(df: DataFrame, left: str, right: str, p: int, q: int, weight: str | None = None) -> DataFrame:

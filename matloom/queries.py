@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matloom import api
 from matloom.matrix import Matrix
-from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, krylov, products, restructure, subset
+from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, krylov, products, reflectors, restructure, subset
 from matloom.plans.durable import durable, shared_folder
 from matloom.plans.index import with_position
 from matloom.sources.store import Store
@@ -301,6 +301,13 @@ def multiply_sparse(spark, d):
     return _cells(products.multiply_sparse(m.t(), m), 2)
 
 
+@query(f"WITH {PS} SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 2) AS v FROM ps a JOIN ps b USING (i) GROUP BY a.j, b.j")
+def multiply_sparse_split(spark, d):
+    # most parts have more pairs of suppliers than one task may join here
+    m = ps(spark, d)
+    return _cells(products.multiply_sparse(m.t(), m, most=9), 2)
+
+
 @query(f"WITH {PS}, s AS (SELECT j, avg(v) AS m FROM pd GROUP BY j) SELECT i, j, round(v - m, 6) + 0.0 AS v FROM pd JOIN s USING (j)")
 def sweep_sparse(spark, d):
     m = ps(spark, d)
@@ -487,6 +494,29 @@ def subset_logical(spark, d):
     return _cells(em(spark, d)[[True, False], ("not", [62, 63])])
 
 
+@query(f"WITH {EM}, k AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS new FROM em WHERE i NOT BETWEEN 20 AND 39 AND i % 10 <> 3) SELECT new AS i, j, round(v, 6) + 0.0 AS v FROM ec JOIN k USING (i)")
+def subset_excluded(spark, d):
+    m = em(spark, d)
+    return _cells(m[("not", sorted({*range(20, 40), *range(3, m.nrow, 10)})), :])
+
+
+@query(f"WITH {EM}, n AS (SELECT count(*) AS n FROM em) SELECT (n - 1 - i) // 3 AS i, j, round(v, 6) + 0.0 AS v FROM ec, n WHERE (n - 1 - i) % 3 = 0")
+def subset_backwards(spark, d):
+    return _cells(em(spark, d)[::-3, :])
+
+
+@query(f"WITH {PC}, n AS (SELECT count(*) AS n FROM pt) SELECT i, j, CASE WHEN i % 4 = 1 AND j = 1 THEN -7.0 WHEN i % 100 = 0 THEN i * 2.0 + j WHEN i < 10 AND j = 1 THEN 999.0 ELSE v END AS v FROM pc")
+def store_assigned(spark, d):
+    m, store = pt(spark, d), Store(spark, _folder(spark))
+    store.write("g/parts", m)
+    store.assign("g/parts", slice(0, 10), [1], 999)
+    store.assign_cells("g/parts", m.df.where("i % 100 = 0").select("i", F.inline(F.array(*[F.struct(F.lit(j).alias("j"), (F.col("i") * 2 + j).alias("w")) for j in range(2)]))))
+    store.compact("g/parts")
+    # of two values for a cell the later one counts
+    doubled = m.df.where("i % 4 = 1").select("i", F.lit(1).alias("j"), F.inline(F.array(*[F.struct(F.lit(a).alias("at"), F.lit(w).alias("w")) for a, w in ((2, -7.0), (1, 5.0))])))
+    return _cells(store.assign_cells("g/parts", doubled))
+
+
 @query(f"WITH {PC} SELECT i, j, CASE WHEN i < 10 AND j = 1 THEN 999.0 ELSE v END AS v FROM pc")
 def assign_range(spark, d):
     return _cells(subset.assign(pt(spark, d), slice(0, 10), [1], 999))
@@ -593,6 +623,23 @@ def qr_householder(spark, d):
     return _checks(spark, m, *factor.qr(m, thin=True, method="householder"))
 
 
+@query(f"WITH {EM} SELECT i, j, round(v, 6) + 0.0 AS v FROM ec")
+def q_applied_and_undone(spark, d):
+    m = em(spark, d)
+    q = reflectors.reflectors(m, height=64)
+    return _cells(q.times(q.t_times(m)))
+
+
+@query(f"WITH {EM}, x AS (SELECT i, j, v FROM ec UNION ALL SELECT i, 64 + j AS j, v * 2 AS v FROM ec WHERE j < 8) SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 5) + 0.0 AS v, CAST(64 AS BIGINT) AS rank FROM x a JOIN x b USING (i) GROUP BY a.j, b.j")
+def qr_dependent_columns(spark, d):
+    m = em(spark, d)
+    both = restructure.cbind(m, elementwise.scalar_product(m[:, 0:8], 2.0))
+    found = reflectors.reflectors(both, pivoted=True, height=80)
+    r = np.zeros_like(found.r)
+    r[:, found.pivot] = found.r
+    return _cells(Matrix.from_numpy(spark, r.T @ r), 5).withColumn("rank", F.lit(found.rank).cast("long"))
+
+
 @query(_TRUE)
 def qr_tall(spark, d):
     m = em(spark, d)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from matloom.functions.options import resolve
 from matloom.matrix import Matrix
+from matloom.operators.subset import assign_cells, last_cells, patch_of
 
 
 class Store:
@@ -55,8 +57,6 @@ class Store:
 
     def append(self, path: str, m: Matrix, *, by_cols: bool = False) -> Matrix:
         """Rows (or columns, if cells are stored one by one) behind the dataset's; what is there isn't rewritten."""
-        from pyspark.sql import functions as F
-
         meta = self._meta(path)
         old = self.open(path)
         if (old.nrow != m.nrow) if by_cols else (old.ncol != m.ncol):
@@ -65,14 +65,58 @@ class Store:
             raise ValueError("columns can be appended to the coo layout only")
         m = {"coo": m.to_coo, "rows": m.to_rows, "wide": m.to_wide}[old.layout]()
         df = m.df.withColumn("j", (F.col("j") + old.ncol).cast("int")) if by_cols else m.df.withColumn("i", F.col("i") + old.nrow)
-        df.write.mode("append").parquet(self._at(path, "_cells"))
+        df.write.mode("append").parquet(self._at(path, meta.get("cells", "_cells")))
         self._write_meta(path, meta | ({"ncol": old.ncol + m.ncol} if by_cols else {"nrow": old.nrow + m.nrow}))
         return self.open(path)
 
-    def open(self, path: str) -> Matrix:
+    def open(self, path: str, *, version: int | None = None) -> Matrix:
+        """The dataset with the cells assigned up to ``version`` (all by default; 0: as written) merged while it is read.
+
+        The plan is the same however many assignments there were: one scan of their cells, one aggregation, one join."""
         meta = self._meta(path)
         labels = [self.spark.read.parquet(self._at(path, s)) if self._fs.exists(self._path(self._at(path, s))) else None for s in ("_rows", "_cols")]
-        return Matrix(self.spark.read.parquet(self._at(path, "_cells")), meta["nrow"], meta["ncol"], meta["layout"], *labels)
+        m = Matrix(self.spark.read.parquet(self._at(path, meta.get("cells", "_cells"))), meta["nrow"], meta["ncol"], meta["layout"], *labels)
+        base, latest = meta.get("base", 0), meta.get("version", 0)
+        wanted = latest if version is None else version
+        if not base <= wanted <= latest:
+            raise ValueError(f"{path!r} has the versions {base} to {latest}")
+        if wanted == base:
+            return m
+        patches = self.spark.read.schema("i long, j int, w double, version int").parquet(self._at(path, "_patches"))
+        return assign_cells(m, patches.where(F.col("version").between(base + 1, wanted)).withColumnRenamed("version", "at"))
+
+    def versions(self, path: str) -> tuple[int, int]:
+        """The oldest and the newest version that can be opened."""
+        meta = self._meta(path)
+        return meta.get("base", 0), meta.get("version", 0)
+
+    def assign(self, path: str, rows, cols, value) -> Matrix:
+        """``m[rows, cols] = value`` in the store: the cells alone are written."""
+        return self.assign_cells(path, patch_of(self.open(path), rows, cols, value))
+
+    def assign_cells(self, path: str, patch: DataFrame) -> Matrix:
+        """Cells ``i, j, w`` of any number as the dataset's next version. Of several values for one cell the one with the
+        largest ``at`` counts, if there is such a column, then the largest; a cell without a value becomes NaN."""
+        meta = self._meta(path)
+        version, order = meta.get("version", 0) + 1, ["at"] if "at" in patch.columns else []
+        held = patch.select(F.col("i").cast("long").alias("i"), F.col("j").cast("int").alias("j"), F.coalesce(F.col("w").cast("double"), F.lit(float("nan"))).alias("w"), *order)
+        # a version that isn't in the description yet is what an interrupted job left
+        last_cells(held, *order).write.mode("overwrite").parquet(self._at(path, "_patches", f"version={version}"))
+        self._write_meta(path, meta | {"version": version})
+        return self.open(path)
+
+    def compact(self, path: str) -> Matrix:
+        """Write the newest version as the dataset's cells; older versions, and handles on them, end."""
+        meta = self._meta(path)
+        base, latest = self.versions(path)
+        if base == latest:
+            return self.open(path)
+        before, after = meta.get("cells", "_cells"), f"_cells-{latest}"
+        self.open(path).df.write.mode("overwrite").option("compression", resolve("compression", None, "zstd")).parquet(self._at(path, after))
+        self._write_meta(path, meta | {"cells": after, "base": latest})
+        for old in (before, "_patches"):
+            self._fs.delete(self._path(self._at(path, old)), True)
+        return self.open(path)
 
     def list(self, group: str = "", *, recursive: bool = True, prefix: str = "") -> DataFrame:
         """``name, nrow, ncol`` of the datasets under a group."""
