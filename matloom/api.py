@@ -29,6 +29,7 @@ from matloom.operators.elementwise import diag, diag_op, diag_scale, diagonal_ma
 from matloom.operators.factor import cca, chol, eigen, inverse, ols, ols_of, pca, power_iteration, pseudoinverse, pseudoinverse_product, qr, solve, svd
 from matloom.operators.genotype import filter_low_coverage, filter_maf
 from matloom.operators.genotype import impute as impute_snps
+from matloom.operators.jacobi import eigen_blocks
 from matloom.operators.krylov import eigs, truncated_svd
 from matloom.operators.products import crossprod, matmul, multiply_sparse, tcrossprod, weighted_product
 from matloom.operators.reflectors import reflectors

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from matloom import api
 from matloom.matrix import Matrix
-from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, krylov, products, reflectors, restructure, subset
+from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, jacobi, krylov, products, reflectors, restructure, subset
 from matloom.plans.durable import durable, shared_folder
 from matloom.plans.index import with_position
 from matloom.sources.store import Store
@@ -701,6 +701,15 @@ def eigen_values(spark, d):
     return _rounded(_rounded(_row(spark, trace=float(values.sum()), squares=float((values**2).sum())), 4, "trace"), 2, "squares")
 
 
+@query(_GRAM + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) + 0.0 AS v FROM g")
+def eigen_in_blocks(spark, d):
+    # V diag(values) t(V) is the matrix again
+    found = jacobi.eigen_blocks(products.crossprod(em(spark, d)), side=16)
+    v = found.vectors.to_rows()
+    scaled = elementwise.sweep(v, spark.createDataFrame(list(enumerate(map(float, found.values))), "k long, w double"), 2, "*")
+    return _cells(products.tcrossprod(scaled, v), 5)
+
+
 @query("SELECT true AS dominant, true AS satisfies")
 def eigen_power(spark, d):
     g = products.crossprod(sp(spark, d))
