@@ -247,15 +247,16 @@ def _collected(m: Matrix) -> np.ndarray:
 @dataclass
 class Eigen:
     values: np.ndarray
-    vectors: np.ndarray | None
+    vectors: np.ndarray | Matrix | None
 
 
 def eigen(m: Matrix, k: int = 0, which: str = "LM", *, vectors: bool = True, tol: float = 1e-10, max_iter: int = 1000) -> Eigen:
     """Eigenvalues, decreasing, of a square matrix; k of them by ``which``: LM, SM, LA, SA, LR, SR, LI, SI.
 
     Symmetry is found out. Values of a matrix that isn't symmetric may be complex. k of more than ``COLLECTED`` rows are
-    iterated by products alone (``krylov.eigs``), to ``tol`` in at most ``max_iter`` restarts; smaller matrices, and all
-    eigenvalues (of up to ``LARGEST`` rows), are exact on the driver."""
+    iterated by products alone (``krylov.eigs``), to ``tol`` in at most ``max_iter`` restarts; all eigenvalues of a symmetric
+    one of more than ``LARGEST`` rows come from ``jacobi.eigen_blocks``, whose vectors are a Matrix. Smaller matrices are
+    exact on the driver."""
     keys = {"LM": lambda x: -np.abs(x), "SM": np.abs, "LA": lambda x: -x.real, "SA": lambda x: x.real, "LR": lambda x: -x.real, "SR": lambda x: x.real, "LI": lambda x: -np.abs(x.imag), "SI": lambda x: np.abs(x.imag)}
     if which not in keys:
         raise ValueError(f"unknown selection {which!r}")
@@ -263,6 +264,12 @@ def eigen(m: Matrix, k: int = 0, which: str = "LM", *, vectors: bool = True, tol
         from matloom.operators.krylov import eigs
 
         return eigs(m, k, which, tol=tol, max_iter=max_iter, vectors=vectors)
+    if m.nrow == m.ncol and m.nrow > LARGEST:
+        from matloom.operators.jacobi import eigen_blocks
+        from matloom.operators.krylov import is_symmetric
+
+        if is_symmetric(m):
+            return eigen_blocks(m, vectors=vectors, tol=tol)
     a = _collected(m)
     symmetric = np.allclose(a, a.T, rtol=1e-12, atol=1e-12 * max(1.0, np.abs(a).max(initial=0)))
     values, found = np.linalg.eigh(a) if symmetric else np.linalg.eig(a)

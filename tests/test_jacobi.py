@@ -49,3 +49,14 @@ def test_values_alone_and_refusals(spark):
         jacobi.eigen_blocks(of(spark, np.ones((2, 3))))
     with pytest.raises(ValueError):
         jacobi.eigen_blocks(of(spark, np.full((4, 4), np.nan)), side=2)
+
+
+def test_eigen_leaves_the_driver_beyond_its_size(spark, monkeypatch):
+    from matloom.operators import factor
+
+    monkeypatch.setattr(factor, "LARGEST", 4)
+    found = factor.eigen(of(spark, np.diag([1.0, 5, 3, 2, 4])))
+    np.testing.assert_allclose(found.values, [5, 4, 3, 2, 1])
+    assert isinstance(found.vectors, Matrix)
+    with pytest.raises(ValueError):
+        factor.eigen(of(spark, np.triu(np.ones((5, 5)))))
