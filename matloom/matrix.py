@@ -9,6 +9,7 @@ Layouts (rows and columns count from 0):
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -29,13 +30,16 @@ class Matrix:
     #: ``idx, name`` tables of labels
     row_labels: DataFrame | None = None
     col_labels: DataFrame | None = None
+    #: who numbered the rows: "key" or, without one, a name of this handle's own; None isn't known
+    numbered: str | None = None
 
     # ---- construction
 
     @staticmethod
     def from_columns(df: DataFrame, columns: list[str], key: str | None = None, *, dense: bool = True, nrow: int | None = None) -> "Matrix":
         """From numeric columns. ``key`` orders the rows (``dense``: positions by it; else it is the row number itself).
-        Without a key, rows get numbers in no particular order, for operators that don't need any."""
+        Without a key, rows get numbers in no particular order, for operators that don't need any; such a matrix isn't
+        joined with another one."""
         values = [F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]
         if key is None:
             wide = df.select(F.monotonically_increasing_id().alias("i"), *values)
@@ -43,7 +47,7 @@ class Matrix:
             wide = with_position(df.select(F.col(key).alias("_key"), *values), ["_key"]).select("i", *[f"c{k}" for k in range(len(columns))])
         else:
             wide = df.select(F.col(key).cast("long").alias("i"), *values)
-        return Matrix(wide, df.count() if nrow is None else nrow, len(columns), "wide")
+        return Matrix(wide, df.count() if nrow is None else nrow, len(columns), "wide", numbered=uuid.uuid4().hex if key is None else "key")
 
     @staticmethod
     def from_vectors(df: DataFrame, vector: str, key: str, *, dense: bool = True) -> "Matrix":
@@ -52,7 +56,7 @@ class Matrix:
         if size[0] and size[1] != size[2]:
             raise ValueError("vectors differ in length")
         rows = with_position(vectors, ["_key"]).select("i", "vec") if dense else vectors.select(F.col("_key").cast("long").alias("i"), "vec")
-        return Matrix(rows, size[0], size[1] or 0, "rows")
+        return Matrix(rows, size[0], size[1] or 0, "rows", numbered="key")
 
     @staticmethod
     def from_coo(df: DataFrame, nrow: int, ncol: int) -> "Matrix":
@@ -215,6 +219,13 @@ class Matrix:
 def same_shape(a: Matrix, b: Matrix) -> None:
     if a.dim != b.dim:
         raise ValueError(f"non-conformable: {a.dim} and {b.dim}")
+    numbered_together(a, b)
+
+
+def numbered_together(a: Matrix, b: Matrix) -> None:
+    """Refuse to join rows of a matrix without a key with those of another one."""
+    if None not in (a.numbered, b.numbered) and a.numbered != b.numbered:
+        raise ValueError("rows without a key have no order: give from_columns a key to join them with another matrix")
 
 
 def chain(matrices: list[Matrix]) -> Matrix:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matloom.functions.options import resolve, tasks
-from matloom.matrix import Matrix, small
+from matloom.matrix import Matrix, numbered_together, small
 from matloom.operators.elementwise import sweep
 from matloom.plans.durable import durable
 
@@ -248,6 +248,7 @@ def crossprod(x: Matrix, y: Matrix | None = None, *, weights: DataFrame | None =
     other = x if y is None else y
     if x.nrow != other.nrow:
         raise ValueError(f"non-conformable: {x.nrow} and {other.nrow} rows")
+    numbered_together(x, other)
     if y is None and x.layout == "wide" and x.ncol <= WIDE and tile is None:
         df, w = (x.df, None) if weights is None else (x.df.join(weights.toDF("i", "w"), "i"), F.col("w"))
         pairs = [(j, k) for j in range(x.ncol) for k in range(j, x.ncol)]

@@ -7,22 +7,24 @@ from functools import reduce as fold
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matloom.matrix import Matrix, same_shape, small, union_all
+from matloom.matrix import Matrix, numbered_together, same_shape, small, union_all
 
 
 def cbind(*matrices: Matrix) -> Matrix:
-    """Side by side; equal numbers of rows. Rows join once; cells stored one by one only get other column numbers."""
+    """Side by side; equal numbers of rows. Rows join once; cells stored one by one only get other column numbers. Names of
+    columns are kept if all have some."""
     if len({m.nrow for m in matrices}) != 1:
         raise ValueError("non-conformable: numbers of rows differ")
+    for m in matrices[1:]:
+        numbered_together(matrices[0], m)
     width = sum(m.ncol for m in matrices)
+    starts = [sum(m.ncol for m in matrices[:k]) for k in range(len(matrices))]
+    titles = None if any(m.col_labels is None for m in matrices) else union_all([m.col_labels.withColumn("idx", F.col("idx") + at) for m, at in zip(matrices, starts)])
     if all(m.layout != "coo" for m in matrices):
         joined = fold(lambda a, b: a.join(b, "i"), [m.to_rows().df.withColumnRenamed("vec", f"v{k}") for k, m in enumerate(matrices)])
-        return Matrix(joined.select("i", F.concat(*[f"v{k}" for k in range(len(matrices))]).alias("vec")), matrices[0].nrow, width, "rows", matrices[0].row_labels)
-    frames, before = [], 0
-    for m in matrices:
-        frames.append(m.to_coo().df.withColumn("j", (F.col("j") + before).cast("int")))
-        before += m.ncol
-    return Matrix(union_all(frames), matrices[0].nrow, width, "coo", matrices[0].row_labels)
+        return Matrix(joined.select("i", F.concat(*[f"v{k}" for k in range(len(matrices))]).alias("vec")), matrices[0].nrow, width, "rows", matrices[0].row_labels, titles)
+    frames = [m.to_coo().df.withColumn("j", (F.col("j") + at).cast("int")) for m, at in zip(matrices, starts)]
+    return Matrix(union_all(frames), matrices[0].nrow, width, "coo", matrices[0].row_labels, titles)
 
 
 def rbind(*matrices: Matrix) -> Matrix:

@@ -623,6 +623,18 @@ def qr_householder(spark, d):
     return _checks(spark, m, *factor.qr(m, thin=True, method="householder"))
 
 
+@query(f"WITH {EM} SELECT i, j, round(v, 6) + 0.0 AS v FROM ec")
+def qr_tall_product(spark, d):
+    q, r = factor.qr(em(spark, d), thin=True, method="tsqr")
+    return _cells(factor.project(q, r))
+
+
+@query(f"WITH {EM} SELECT i, j, round(v, 6) + 0.0 AS v FROM ec")
+def svd_product(spark, d):
+    found = factor.svd(em(spark, d), center=False, scaled=False)
+    return _cells(factor.project(found.u, np.diag(found.d) @ found.v.to_numpy().T))
+
+
 @query(f"WITH {EM} SELECT i, j, round(v, 6) + 0.0 AS v FROM ec")
 def q_applied_and_undone(spark, d):
     m = em(spark, d)

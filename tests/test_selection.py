@@ -101,3 +101,23 @@ def test_heavy_inner_indexes(spark, most):
     for k in range(8):
         pairs = np.count_nonzero(a[:, k]) * np.count_nonzero(b[k])
         assert (k in heavy) == (pairs > most) and heavy.get(k, 1) >= pairs / most / 1.0001 or pairs <= most
+
+
+def test_rows_without_a_key_do_not_meet_others(spark):
+    from matloom.operators.restructure import cbind
+
+    table = spark.createDataFrame([(3, 1.0), (1, 2.0), (2, 3.0)], "k long, x double")
+    loose, other, keyed = (Matrix.from_columns(table, ["x"], key) for key in (None, None, "k"))
+    for a, b in ((loose, other), (loose, keyed), (keyed, loose)):
+        for join in (lambda: a + b, lambda: cbind(a, b), lambda: products.crossprod(a, b)):
+            with pytest.raises(ValueError, match="key"):
+                join()
+    assert sorted((loose + loose).to_coo().df.toPandas()["v"]) == [2, 4, 6] and (keyed + keyed).to_numpy().ravel().tolist() == [4, 6, 2]
+
+
+def test_names_of_bound_columns(spark):
+    from matloom.operators.restructure import cbind
+
+    a, b = (Matrix.from_numpy(spark, np.ones((2, 2))).with_labels(None, names) for names in (["a", "b"], ["c", "d"]))
+    assert [r["name"] for r in cbind(a, b).col_labels.orderBy("idx").collect()] == ["a", "b", "c", "d"]
+    assert cbind(a, Matrix.from_numpy(spark, np.ones((2, 1)))).col_labels is None
