@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matloom import api
+from matloom.exact_sql import inverted, rotated, two_sided, upper_factor
 from matloom.matrix import Matrix
 from matloom.operators import aggregates, batch, blocks, correlation, elementwise, factor, genotype, jacobi, krylov, products, reflectors, restructure, subset
 from matloom.plans.durable import durable, shared_folder
@@ -412,12 +413,17 @@ def cor_of_rows(spark, d):
     return _r(correlation.cor(sp(spark, d), transpose_x=True))
 
 
-@query(f"WITH {EM} SELECT j, l, round(abs(r) * sqrt(n - 2) / sqrt(1 - r * r), 4) AS t, true AS in_range, true AS symmetric FROM (SELECT a.j AS j, b.j AS l, corr(a.v, b.v) AS r, count(*) AS n FROM ec a JOIN ec b USING (i) WHERE a.j <> b.j GROUP BY a.j, b.j)")
+@query(f"WITH {EM}, c AS (SELECT a.j AS j, b.j AS l, corr(a.v, b.v) AS r, count(*) AS n FROM ec a JOIN ec b USING (i) WHERE a.j <> b.j GROUP BY a.j, b.j), t AS (SELECT j, l, n, abs(r) * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM c) SELECT j, l, round(t, 4) AS t, round({two_sided('t', 'n')}, 6) + 0.0 AS p FROM t")
 def cor_p_values(spark, d):
-    cells = correlation.cor(em(spark, d)).cells.where("j <> l")
-    other = cells.select(F.col("l").alias("j"), F.col("j").alias("l"), F.col("p").alias("q"))
     t = F.abs("r") * F.sqrt(F.col("n") - 2) / F.sqrt(1 - F.col("r") * F.col("r"))
-    return cells.join(other, ["j", "l"]).select("j", "l", F.round(t, 4).alias("t"), F.col("p").between(0, 1).alias("in_range"), (F.abs(F.col("p") - F.col("q")) < 1e-9).alias("symmetric"))
+    return correlation.cor(em(spark, d)).cells.where("j <> l").select("j", "l", F.round(t, 4).alias("t"), (F.round("p", 6) + 0.0).alias("p"))
+
+
+@query(f"WITH {SP}, a AS (SELECT i, j, v FROM sp), c AS (SELECT CAST(a.i AS INTEGER) AS j, CAST(b.i AS INTEGER) AS l, corr(a.v, b.v) AS r, count(*) AS n FROM a JOIN a b USING (j) WHERE a.i <> b.i GROUP BY a.i, b.i), t AS (SELECT j, l, n, abs(r) * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM c) SELECT j, l, round({two_sided('t', 'n')}, 5) + 0.0 AS p FROM t")
+def cor_p_values_few(spark, d):
+    # seven observations of each pair: Student's t with five degrees
+    found = correlation.cor(sp(spark, d), transpose_x=True).cells.where("j <> l")
+    return found.select(F.col("j").cast("int").alias("j"), F.col("l").cast("int").alias("l"), (F.round("p", 5) + 0.0).alias("p"))
 
 
 # ---- binding, splitting, subsets
@@ -601,26 +607,63 @@ def code_counts(spark, d):
 
 # ---- factorizations, by what is the same whatever the signs
 
-_TRUE = "SELECT true AS reconstructs, true AS orthonormal"
-_MOMENTS = "WITH {base}, g AS (SELECT a.j AS j, b.j AS l, sum(a.v * b.v) AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j) SELECT round(sum(CASE WHEN j = l THEN v END), 3) AS second, round(sum(v * v) / 1e3, 3) AS fourth FROM g"
 _SCALED = EM + ", s AS (SELECT j, avg(v) AS m, stddev_samp(v) AS s FROM ec GROUP BY j), x AS (SELECT i, j, (v - m) / s AS v FROM ec JOIN s USING (j))"
+_TYPIFIED = _SCALED.replace("(v - m) / s AS v", "(v - m) / (s * sqrt((SELECT count(*) - 1 FROM em))) AS v")
+_GRAM = f"WITH RECURSIVE {EM}, g AS (SELECT a.j AS j, b.j AS l, sum(a.v * b.v) AS v FROM ec a JOIN ec b USING (i) GROUP BY a.j, b.j)"
+_GRAM_OF = "WITH RECURSIVE {}, g AS (SELECT a.j AS j, b.j AS l, sum(a.v * b.v) AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j)"
+_UPPER = _GRAM + ", " + upper_factor("u", "g", 64) + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) + 0.0 AS v FROM u"
+_INVERSE = _GRAM + ", " + inverted("w", "g", 64) + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 6) + 0.0 AS v FROM w"
+
+
+def _all_values(gram: str, expression: str, digits: int) -> str:
+    """SQL: every eigenvalue of the Gram matrix, descending."""
+    return f"{gram}, {rotated('e', 'g', 64)} SELECT k, round({expression}, {digits}) + 0.0 AS v FROM e"
+
+
+def _numbered(spark: SparkSession, values: np.ndarray, digits: int) -> DataFrame:
+    return _rounded(spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k long, v double"), digits, "v")
+
+
+_OTHER_SIDE = "b AS (SELECT j, i % 3 AS c, sum(v) AS v FROM ec GROUP BY j, i % 3)"
+_SOLVED = _GRAM + ", " + _OTHER_SIDE + ", " + inverted("w", "g", 64) + " SELECT CAST(w.j AS BIGINT) AS i, CAST(b.c AS INTEGER) AS j, round(sum(w.v * b.v), 5) + 0.0 AS v FROM w JOIN b ON b.j = w.l GROUP BY w.j, b.c"
 
 
-def _moments(spark: SparkSession, d: np.ndarray) -> DataFrame:
-    return _rounded(_row(spark, second=float((d**2).sum()), fourth=float((d**4).sum() / 1e3)), 3, "second", "fourth")
+def _thirds(m: Matrix) -> Matrix:
+    """Column c: sums over the rows i with i % 3 = c."""
+    sums = m.to_coo().df.groupBy(F.col("j").cast("long").alias("i"), (F.col("i") % 3).cast("int").alias("j")).agg(F.sum("v").alias("v"))
+    return Matrix(sums, m.ncol, 3, "coo")
+
 
+def _upper(spark: SparkSession, r: np.ndarray) -> DataFrame:
+    return _cells(Matrix.from_numpy(spark, r), 5).where("i <= j")
 
-def _checks(spark, m: Matrix, q: Matrix, r: np.ndarray) -> DataFrame:
-    back = factor.project(q, r).df.withColumnRenamed("vec", "w")
-    apart = m.to_rows().df.join(back, "i").agg(F.max(F.aggregate(F.zip_with("vec", "w", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, a: F.greatest(t, a)))).first()[0]
-    gram = products.crossprod(q).to_numpy()
-    return _row(spark, reconstructs=bool(apart < 1e-8), orthonormal=bool(np.abs(gram - np.eye(len(gram))).max() < 1e-10))
 
+_QR = _UPPER.replace("round(v, 5) + 0.0 AS v", "round(v, 5) + 0.0 AS v, CASE WHEN j = l THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS q")
 
-@query(_TRUE)
+
+def _factors(spark: SparkSession, q: Matrix, r: np.ndarray) -> DataFrame:
+    """The cells of R, and beside each that of t(Q) Q."""
+    return _upper(spark, r).join(_cells(products.crossprod(q), 8).withColumnRenamed("v", "q"), ["i", "j"])
+
+
+def _spectrum(k: int, squarings: int = 12) -> str:
+    """SQL: the k largest eigenvalues of ``g`` (j, l, v), each by squaring the matrix over and over, then taken out of it."""
+    steps = ["d0 AS MATERIALIZED (SELECT j, l, v FROM g)"]
+    for at in range(k):
+        steps.append(f"s{at}_0 AS MATERIALIZED (SELECT j, l, v / (SELECT max(abs(v)) FROM d{at}) AS v FROM d{at})")
+        for t in range(squarings):
+            square = f"(SELECT a.j AS j, b.l AS l, sum(a.v * b.v) AS v FROM s{at}_{t} a JOIN s{at}_{t} b ON a.l = b.j GROUP BY a.j, b.l)"
+            steps.append(f"q{at}_{t} AS MATERIALIZED {square}, s{at}_{t + 1} AS MATERIALIZED (SELECT j, l, v / (SELECT max(abs(v)) FROM q{at}_{t}) AS v FROM q{at}_{t})")
+        last = f"s{at}_{squarings}"
+        steps.append(f"x{at} AS MATERIALIZED (SELECT j, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE l = (SELECT arg_max(l, v) FROM {last} WHERE j = l))")
+        steps.append(f"e{at} AS MATERIALIZED (SELECT sum(a.v * g.v * b.v) AS v FROM g JOIN x{at} a ON a.j = g.j JOIN x{at} b ON b.j = g.l)")
+        steps.append(f"d{at + 1} AS MATERIALIZED (SELECT d.j AS j, d.l AS l, d.v - (SELECT v FROM e{at}) * a.v * b.v AS v FROM d{at} d JOIN x{at} a ON a.j = d.j JOIN x{at} b ON b.j = d.l)")
+    return ", ".join(steps)
+
+
+@query(_QR)
 def qr_householder(spark, d):
-    m = em(spark, d)
-    return _checks(spark, m, *factor.qr(m, thin=True, method="householder"))
+    return _factors(spark, *factor.qr(em(spark, d), thin=True, method="householder"))
 
 
 @query(f"WITH {EM} SELECT i, j, round(v, 6) + 0.0 AS v FROM ec")
@@ -652,10 +695,9 @@ def qr_dependent_columns(spark, d):
     return _cells(Matrix.from_numpy(spark, r.T @ r), 5).withColumn("rank", F.lit(found.rank).cast("long"))
 
 
-@query(_TRUE)
+@query(_QR)
 def qr_tall(spark, d):
-    m = em(spark, d)
-    return _checks(spark, m, *factor.qr(m, thin=True, method="tsqr"))
+    return _factors(spark, *factor.qr(em(spark, d), thin=True, method="tsqr"))
 
 
 @query(f"WITH {LI} " + " UNION ALL ".join(f"SELECT CAST({j} AS BIGINT) AS i, {k} AS j, round(sum(c{j} * c{k}) / 1e6, 4) AS v FROM li" for j in range(4) for k in range(4)))
@@ -664,32 +706,31 @@ def r_factor_gram(spark, d):
     return _cells(Matrix.from_numpy(spark, r.T @ r / 1e6), 4)
 
 
-@query(_MOMENTS.format(base=_SCALED))
+@query(_all_values(_GRAM_OF.format(_SCALED), "sqrt(v)", 5))
 def svd_values(spark, d):
-    return _moments(spark, factor.svd(em(spark, d)).d)
+    return _numbered(spark, factor.svd(em(spark, d)).d, 5)
 
 
-@query(_MOMENTS.format(base=_SCALED))
+@query(_all_values(_GRAM_OF.format(_SCALED), "sqrt(v)", 5))
 def svd_blocks(spark, d):
-    return _moments(spark, factor.svd(em(spark, d), method="blocks", k=2, q=2).d)
+    return _numbered(spark, factor.svd(em(spark, d), method="blocks", k=2, q=2).d, 5)
 
 
-@query(_MOMENTS.format(base=EM + ", x AS (SELECT * FROM ec)"))
+@query(_all_values(_GRAM, "sqrt(v)", 5))
 def svd_raw(spark, d):
-    return _moments(spark, factor.svd(em(spark, d), center=False, scaled=False).d)
+    return _numbered(spark, factor.svd(em(spark, d), center=False, scaled=False).d, 5)
 
 
-@query(_TRUE)
+@query(_GRAM + ", " + _spectrum(3, 16) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, i, round(sum(ec.v * x.v) * (SELECT sign(arg_max(v, abs(v))) FROM x{k}) / (SELECT sqrt(v) FROM e{k}), 6) + 0.0 AS v FROM ec JOIN x{k} x USING (j) GROUP BY i" for k in range(3)))
 def svd_vectors(spark, d):
-    m = em(spark, d)
-    found = factor.svd(m, center=False, scaled=False)
-    return _checks(spark, m, found.u, np.diag(found.d) @ found.v.to_numpy().T)
+    # left vectors of the three largest values; signs make the largest entry of a right vector positive
+    cells = factor.svd(em(spark, d), 3, 3, center=False, scaled=False).u.to_coo().df
+    return cells.select(F.col("j").cast("int").alias("k"), "i", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query(_MOMENTS.format(base=EM + ", s AS (SELECT j, avg(v) AS m, stddev_samp(v) * sqrt(count(*) - 1) AS s FROM ec GROUP BY j), x AS (SELECT i, j, (v - m) / s AS v FROM ec JOIN s USING (j))").replace("/ 1e3", "* 1e3"))
+@query(_all_values(_GRAM_OF.format(_TYPIFIED), "v", 6))
 def pca_eigenvalues(spark, d):
-    lam = factor.pca(em(spark, d), scaled=True).eigenvalues
-    return _rounded(_row(spark, second=float(lam.sum()), fourth=float((lam**2).sum() * 1e3)), 3, "second", "fourth")
+    return _numbered(spark, factor.pca(em(spark, d), scaled=True).eigenvalues, 6)
 
 
 @query(f"WITH {EM}, s AS (SELECT j, avg(v) AS m, stddev_pop(v) AS s FROM ec GROUP BY j) SELECT i, round(sqrt(sum(pow((v - m) / s, 2))), 5) AS v FROM ec JOIN s USING (j) GROUP BY i")
@@ -697,20 +738,16 @@ def pca_distances(spark, d):
     return _rounded(factor.pca(em(spark, d), scaled=True).ind_dist, 5, "v")
 
 
-@query("SELECT CAST(64 AS BIGINT) AS components, true AS contributions, true AS cumulative")
+@query(_GRAM_OF.format(_TYPIFIED) + ", " + _spectrum(3, 16) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, i, round(100 * pow(sum(x.v * w.v), 2) / (SELECT v FROM e{k}), 5) + 0.0 AS contribution, round(100 * (SELECT v FROM e{k}) / 64, 5) AS share FROM x JOIN x{k} w USING (j) GROUP BY i" for k in range(3)))
 def pca_individuals(spark, d):
-    p = factor.pca(em(spark, d), scaled=True)
-    totals = aggregates.col_stats(p.ind_contrib, ["sum"]).agg(F.min("sum"), F.max("sum")).first()
-    return _row(spark, components=len(p.sdev), contributions=bool(abs(totals[0] - 100) < 1e-6 and abs(totals[1] - 100) < 1e-6), cumulative=bool(abs(p.cumulative[-1] - 100) < 1e-9))
+    p = factor.pca(em(spark, d), scaled=True, rank=3)
+    share = F.element_at(F.array(*map(F.lit, map(float, p.variance))), F.col("j").cast("int") + 1)
+    return p.ind_contrib.to_coo().df.select(F.col("j").cast("int").alias("k"), "i", (F.round("v", 5) + 0.0).alias("contribution"), F.round(share, 5).alias("share"))
 
 
-_GRAM = f"WITH {EM}, g AS (SELECT a.j AS j, b.j AS l, sum(a.v * b.v) AS v FROM ec a JOIN ec b USING (i) GROUP BY a.j, b.j)"
-
-
-@query(_GRAM + " SELECT round(sum(CASE WHEN j = l THEN v END), 4) AS trace, round(sum(v * v), 2) AS squares FROM g")
+@query(_all_values(_GRAM, "v", 5))
 def eigen_values(spark, d):
-    values = factor.eigen(products.crossprod(em(spark, d))).values
-    return _rounded(_rounded(_row(spark, trace=float(values.sum()), squares=float((values**2).sum())), 4, "trace"), 2, "squares")
+    return _numbered(spark, factor.eigen(products.crossprod(em(spark, d))).values, 5)
 
 
 @query(_GRAM + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) + 0.0 AS v FROM g")
@@ -722,25 +759,20 @@ def eigen_in_blocks(spark, d):
     return _cells(products.tcrossprod(scaled, v), 5)
 
 
-@query("SELECT true AS dominant, true AS satisfies")
+@query(f"WITH {SP}, g AS (SELECT a.j AS j, b.j AS l, sum(a.v * b.v) AS v FROM sp a JOIN sp b USING (i) GROUP BY ALL), {_spectrum(1)} SELECT CAST(j AS INTEGER) AS j, round(abs(v), 4) AS v, (SELECT round(v, 1) FROM e0) AS value FROM x0")
 def eigen_power(spark, d):
-    g = products.crossprod(sp(spark, d))
-    value, vector = factor.power_iteration(g, tol=1e-12, max_iter=60)
-    a = g.to_numpy()
-    top = np.linalg.eigvalsh(a)[-1]
-    return _row(spark, dominant=bool(abs(value - top) < 1e-6 * top), satisfies=bool(np.linalg.norm(a @ vector - value * vector) < 1e-3 * top))
+    value, vector = factor.power_iteration(products.crossprod(sp(spark, d)), tol=1e-14, max_iter=60)
+    return spark.createDataFrame([(j, round(abs(float(v)), 4), round(value, 1)) for j, v in enumerate(vector)], "j int, v double, value double")
 
 
-@query(_GRAM + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) AS v FROM g")
+@query(_UPPER)
 def chol_product(spark, d):
-    u = factor.chol(products.crossprod(em(spark, d)))
-    return _cells(Matrix.from_numpy(spark, u.T @ u), 5)
+    return _upper(spark, factor.chol(products.crossprod(em(spark, d))))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
+@query(_INVERSE)
 def inverse_product(spark, d):
-    g = products.crossprod(em(spark, d))
-    return _cells(g.to_rows() @ Matrix.from_numpy(spark, factor.inverse(g)), 6)
+    return _cells(Matrix.from_numpy(spark, factor.inverse(products.crossprod(em(spark, d)))), 6)
 
 
 @query(_GRAM + " SELECT CAST(j AS BIGINT) AS i, l AS j, round(v, 5) AS v FROM g")
@@ -749,16 +781,15 @@ def chol_blocks_product(spark, d):
     return _cells(products.crossprod(u.to_rows()), 5)
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
+@query(_INVERSE)
 def inverse_blocks_product(spark, d):
-    g = products.crossprod(em(spark, d))
-    return _cells(g.to_rows() @ blocks.inverse_blocks(g, side=20), 6)
+    return _cells(blocks.inverse_blocks(products.crossprod(em(spark, d)), side=20), 6)
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
+@query(_SOLVED)
 def solve_blocks_identity(spark, d):
-    g = products.crossprod(em(spark, d))
-    return _cells(blocks.solve_blocks(g, g, side=20), 6)
+    m = em(spark, d)
+    return _cells(blocks.solve_blocks(products.crossprod(m), _thirds(m), side=20), 5)
 
 
 @query("SELECT CAST(i AS BIGINT) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v FROM range(64) AS a(i), range(64) AS b(j)")
@@ -773,30 +804,21 @@ def least_squares(spark, d):
     return _rounded(_rounded(_row(spark, intercept=float(b[0]), slope=float(b[1])), 3, "intercept"), 4, "slope")
 
 
-@query(f"WITH {EM} SELECT DISTINCT CAST(j AS BIGINT) AS i, 0 AS j, CAST(CASE WHEN j = 0 THEN 1 ELSE 0 END AS DOUBLE) AS v FROM ec")
+@query(_SOLVED)
 def linear_solve(spark, d):
     m = em(spark, d)
-    x = factor.solve(products.crossprod(m), products.crossprod(m, m[:, :1]))
-    return _cells(Matrix.from_numpy(spark, x), 6)
+    return _cells(Matrix.from_numpy(spark, factor.solve(products.crossprod(m), _thirds(m))), 5)
 
 
-@query(f"WITH {EM} SELECT round(abs(corr(a.v, b.v)), 6) AS r FROM ec a JOIN ec b USING (i) WHERE a.j = 0 AND b.j = 1")
+# X: the first 32 columns, Y: the others. Whitened by the factors of their own Gram matrices, all of them have the eigenvalues 1 + r and 1 - r.
+@query(_GRAM_OF.format(_SCALED) + ", h AS (SELECT j, l, CASE WHEN (j < 32) = (l < 32) THEN v ELSE 0.0 END AS v FROM g), " + upper_factor("u", "h", 64) + ", uf AS (SELECT a.j AS j, b.j AS l, coalesce(u.v, 0.0) AS v FROM (SELECT DISTINCT j FROM g) a CROSS JOIN (SELECT DISTINCT j FROM g) b LEFT JOIN u ON u.j = a.j AND u.l = b.j), " + inverted("w", "uf", 64) + ", gw AS (SELECT g.j AS j, w.l AS l, sum(g.v * w.v) AS v FROM g JOIN w ON w.j = g.l GROUP BY ALL), z AS (SELECT w.l AS j, gw.l AS l, sum(w.v * gw.v) AS v FROM w JOIN gw ON gw.j = w.j GROUP BY ALL), " + rotated("e", "z", 64) + " SELECT k, round(v - 1, 6) + 0.0 AS v FROM e WHERE k < 32")
 def canonical_correlation(spark, d):
     m = em(spark, d)
-    return _rounded(_row(spark, r=float(factor.cca(m[:, :1], m[:, 1:2])[0])), 6, "r")
+    return _numbered(spark, factor.cca(m[:, :32], m[:, 32:]), 6)
 
 
 # ---- solvers and spectra of matrices that nobody collects
 
-_OTHER_SIDE = "b AS (SELECT j, i % 3 AS c, sum(v) AS v FROM ec GROUP BY j, i % 3)"
-
-
-def _thirds(m: Matrix) -> Matrix:
-    """Column c: sums over the rows i with i % 3 = c."""
-    sums = m.to_coo().df.groupBy(F.col("j").cast("long").alias("i"), (F.col("i") % 3).cast("int").alias("j")).agg(F.sum("v").alias("v"))
-    return Matrix(sums, m.ncol, 3, "coo")
-
-
 def _residual(a: Matrix, b: Matrix) -> DataFrame:
     """A X for the solution X of A X = B: all of B again."""
     return _cells(products.matmul(a.to_rows(), blocks.solve_general(a, b, side=20)), 4)
@@ -829,21 +851,6 @@ def chol_blocks_sparse(spark, d):
     return _cells(products.crossprod(u)).where("v <> 0")
 
 
-def _spectrum(k: int, squarings: int = 12) -> str:
-    """SQL: the k largest eigenvalues of ``g`` (j, l, v), each by squaring the matrix over and over, then taken out of it."""
-    steps = ["d0 AS MATERIALIZED (SELECT j, l, v FROM g)"]
-    for at in range(k):
-        steps.append(f"s{at}_0 AS MATERIALIZED (SELECT j, l, v / (SELECT max(abs(v)) FROM d{at}) AS v FROM d{at})")
-        for t in range(squarings):
-            square = f"(SELECT a.j AS j, b.l AS l, sum(a.v * b.v) AS v FROM s{at}_{t} a JOIN s{at}_{t} b ON a.l = b.j GROUP BY a.j, b.l)"
-            steps.append(f"q{at}_{t} AS MATERIALIZED {square}, s{at}_{t + 1} AS MATERIALIZED (SELECT j, l, v / (SELECT max(abs(v)) FROM q{at}_{t}) AS v FROM q{at}_{t})")
-        last = f"s{at}_{squarings}"
-        steps.append(f"x{at} AS MATERIALIZED (SELECT j, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE l = (SELECT arg_max(l, v) FROM {last} WHERE j = l))")
-        steps.append(f"e{at} AS MATERIALIZED (SELECT sum(a.v * g.v * b.v) AS v FROM g JOIN x{at} a ON a.j = g.j JOIN x{at} b ON b.j = g.l)")
-        steps.append(f"d{at + 1} AS MATERIALIZED (SELECT d.j AS j, d.l AS l, d.v - (SELECT v FROM e{at}) * a.v * b.v AS v FROM d{at} d JOIN x{at} a ON a.j = d.j JOIN x{at} b ON b.j = d.l)")
-    return ", ".join(steps)
-
-
 @query(_GRAM + ", " + _spectrum(3) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS k, round(v, 4) AS v FROM e{k}" for k in range(3)))
 def eigen_krylov(spark, d):
     values = krylov.eigs(products.crossprod(em(spark, d)), 3, "LA", symmetric=True).values
