@@ -6,7 +6,8 @@
 * two large factors are cut into square blocks; a block goes to all cells of the grid (output block, part of the inner
   index) that need it. A cell adds up its products in numpy, and the parts' sums meet in a tree: so neither an inner index
   nor an output block gathers a task's worth of rows, and few output blocks with a long inner index use all tasks
-* sparse factors join cell by cell; an inner index with many cells on both sides is cut into parts
+* sparse factors meet as tiles of neighbouring inner indexes, whose compressed rows are multiplied in tasks, or, where tiles
+  would be nearly empty, join cell by cell; a tile or an inner index with many cells on both sides is cut into parts
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ SMALL, WIDE, SIDE = 1_000_000, 48, 512
 LONGEST, FANIN = 64, 16
 #: Pairs of cells of one inner index that one task joins.
 MOST_PAIRS = 1 << 24
+#: Pairs of cells, and cells of one side, in one part of a tile of inner indexes; pairs of a tile from which tiles pay.
+TILE_PAIRS, TILE_CELLS, TILE_PAYS = 1 << 22, 1 << 19, 1 << 14
+#: Products of cells that are held at once.
+AT_ONCE = 1 << 20
 
 
 def _check(a: int, b: int) -> None:
@@ -189,30 +194,92 @@ def block_cells(blocks: DataFrame, side: int) -> DataFrame:
     return blocks.select("bi", "bj", "planes", "nr", "nc", "data").mapInPandas(cells, "i long, j int, v double")
 
 
-def multiply_sparse(a: Matrix, b: Matrix, *, most: int = MOST_PAIRS) -> Matrix:
-    """The product by stored cells alone: zeros are filtered in the scan, cells join on the inner index k and add up.
+def multiply_sparse(a: Matrix, b: Matrix, *, strategy: str = "auto", side: int = SIDE, most: int | None = None) -> Matrix:
+    """The product by stored cells alone, zeros are filtered in the scan. ``strategy``:
 
-    A k with more than ``most`` pairs of cells is cut: the longer of its two sides is dealt to parts by the other index, the
-    shorter one copied to each, so that no task joins more than about ``most`` pairs of one k. Tables that are both long
-    for a k are dealt on both sides, as a grid. Weights are counted for every k and shuffled once, by k."""
+    ``tiles``: the cells of ``side`` neighbouring inner indexes form a tile, in which each left cell is multiplied by the
+    compressed row of its inner index; a part sends one sum for each cell of the result that it reaches. A tile with more
+    than ``most`` (``TILE_PAIRS``) pairs of cells or ``TILE_CELLS`` cells is dealt by rows of the left and columns of the right.
+    ``cells``: cells join on the inner index and add up; an index with more than ``most`` (``MOST_PAIRS``) pairs is cut.
+    ``auto``: tiles where they hold ``TILE_PAYS`` pairs on the average.
+
+    Cells of both sides are counted for each inner index, once; no tile or index sits in one task, however heavy."""
     _check(a.ncol, b.nrow)
-    left = a.to_coo().df.where("v <> 0").select("i", F.col("j").cast("long").alias("k"), "v")
-    right = b.to_coo().df.where("v <> 0").select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
+    if strategy not in ("auto", "tiles", "cells"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    left = a.to_coo().df.where("v <> 0").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("k"), "v")
+    right = b.to_coo().df.where("v <> 0").select(F.col("i").cast("long").alias("k"), F.col("j").cast("int").alias("j"), F.col("v").alias("w"))
+    if strategy != "cells":
+        tiles = durable(_tiles(left, right, side, most or TILE_PAIRS), "tiles")
+        found, pairs = tiles.agg(F.count(F.lit(1)), F.sum("pairs")).first()
+        if strategy == "tiles" or found and pairs >= TILE_PAYS * found:
+            return Matrix(_by_tiles(left, right, tiles, found, side), a.nrow, b.ncol, "coo", a.row_labels, b.col_labels)
     cells = left.join(right, "k")
-    heavy = durable(_heavy(left, right, most), "heavy")
+    heavy = durable(_heavy(left, right, most or MOST_PAIRS), "heavy")
     found = heavy.count()
     if found:
-        # parts over rows of the left (x) and over columns of the right (y); a k that isn't heavy has one of each
-        sizes = small(heavy, found)
-        one = lambda name: F.coalesce(name, F.lit(1))
-        every = lambda name: F.explode(F.sequence(F.lit(0), one(name) - 1))
-        mine = left.join(sizes, "k", "left").select("k", "i", "v", F.pmod(F.hash("i"), one("nx")).alias("x"), every("ny").alias("y"))
-        other = right.join(sizes, "k", "left").select("k", "j", "w", F.pmod(F.hash("j"), one("ny")).alias("y"), every("nx").alias("x"))
+        mine, other = _copies(left, right, small(heavy, found), "k", "left")
         cells = mine.join(other, ["k", "x", "y"])
     sums = cells.groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     return Matrix(sums, a.nrow, b.ncol, "coo", a.row_labels, b.col_labels)
 
 
+def _copies(left: DataFrame, right: DataFrame, sizes: DataFrame, key: str, how: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to ``nx`` parts over rows of the left (x) and ``ny`` over columns of the right (y), and copied to
+    the parts of the other side; a key without sizes has one part."""
+    one = lambda name: F.coalesce(name, F.lit(1))
+    every = lambda name: F.explode(F.sequence(F.lit(0), one(name) - 1))
+    mine = left.join(sizes, key, how).select(*left.columns, F.pmod(F.hash("i"), one("nx")).alias("x"), every("ny").alias("y"))
+    other = right.join(sizes, key, how).select(*right.columns, F.pmod(F.hash("j"), one("ny")).alias("y"), every("nx").alias("x"))
+    return mine, other
+
+
+def _tiles(left: DataFrame, right: DataFrame, side: int, most: int) -> DataFrame:
+    """``t, pairs, nx, ny``: the pairs of cells of each tile that has any, and into how many parts its sides are cut."""
+    count = lambda df, name: df.groupBy("k").agg(F.count(F.lit(1)).alias(name))
+    both = count(left, "a").join(count(right, "b"), "k", "full").select("k", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    tiles = both.groupBy(F.floor(F.col("k") / side).alias("t")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a").cast("double") * F.col("b")).alias("pairs")).where("pairs > 0")
+    parts = F.greatest(F.lit(1.0), F.col("pairs") / most)
+    nx = F.greatest(F.lit(1), F.ceil(F.col("a") / TILE_CELLS), F.ceil(F.sqrt(parts * F.col("a") / F.col("b")))).cast("int")
+    ny = F.greatest(F.lit(1), F.ceil(F.col("b") / TILE_CELLS), F.ceil(parts / F.col("nx"))).cast("int")
+    # a side needn't be cut into more parts than the product asks for
+    return tiles.select("t", "a", "b", "pairs", F.least(nx, F.greatest(F.ceil(parts), F.ceil(F.col("a") / TILE_CELLS))).cast("int").alias("nx")).select("t", "pairs", "nx", ny.alias("ny"))
+
+
+def _by_tiles(left: DataFrame, right: DataFrame, tiles: DataFrame, found: int, side: int) -> DataFrame:
+    """``i, j, v``: sums of all products, one for each part of a tile first."""
+
+    def multiply(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        y = y.sort_values("k", kind="stable")
+        inner = y["k"].to_numpy()
+        first, last = (np.searchsorted(inner, x["k"].to_numpy(), at) for at in ("left", "right"))
+        rows, i = np.unique(x["i"].to_numpy(), return_inverse=True)
+        columns, j = np.unique(y["j"].to_numpy(), return_inverse=True)
+        order = np.argsort(i, kind="stable")
+        order = order[(last > first)[order]]
+        first, length, i, v, w = first[order], (last - first)[order], i[order], x["v"].to_numpy(float)[order], y["w"].to_numpy(float)
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        ends = np.cumsum(length)
+        at = 0
+        while at < len(length):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - length[at] + AT_ONCE, "right")))
+            n = length[at:upto]
+            of = np.repeat(np.arange(at, upto), n)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+            key, where = np.unique(i[of] * len(columns) + j[place], return_inverse=True)
+            keys.append(key)
+            sums.append(np.bincount(where, v[of] * w[place], len(key)))
+            at = upto
+        key = np.concatenate(keys)
+        return pd.DataFrame({"i": rows[key // len(columns)] if len(columns) else key, "j": columns[key % len(columns)] if len(columns) else key, "v": np.concatenate(sums)})
+
+    tile = F.floor(F.col("k") / side).alias("t")
+    mine, other = _copies(left.select("*", tile), right.select("*", tile), small(tiles.select("t", "nx", "ny"), found), "t", "inner")
+    of = ("t", "x", "y")
+    sums = mine.groupBy(*of).cogroup(other.groupBy(*of)).applyInPandas(multiply, "i long, j int, v double")
+    return sums.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def _heavy(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """``k, nx, ny``: into how many parts both sides of a k are cut, of those with more than ``most`` pairs."""
     count = lambda df, name: df.groupBy("k").agg(F.count(F.lit(1)).cast("double").alias(name))

@@ -306,7 +306,14 @@ def multiply_sparse(spark, d):
 def multiply_sparse_split(spark, d):
     # most parts have more pairs of suppliers than one task may join here
     m = ps(spark, d)
-    return _cells(products.multiply_sparse(m.t(), m, most=9), 2)
+    return _cells(products.multiply_sparse(m.t(), m, strategy="cells", most=9), 2)
+
+
+@query(f"WITH {PS} SELECT CAST(a.j AS BIGINT) AS i, b.j AS j, round(sum(a.v * b.v), 2) AS v FROM ps a JOIN ps b USING (i) GROUP BY a.j, b.j")
+def multiply_sparse_tiles(spark, d):
+    # tiles of 100 parts, cut at 5000 pairs of cells
+    m = ps(spark, d)
+    return _cells(products.multiply_sparse(m.t(), m, strategy="tiles", side=100, most=5000), 2)
 
 
 @query(f"WITH {PS}, s AS (SELECT j, avg(v) AS m FROM pd GROUP BY j) SELECT i, j, round(v - m, 6) + 0.0 AS v FROM pd JOIN s USING (j)")

@@ -96,7 +96,7 @@ def test_heavy_inner_indexes(spark, most):
     b[6] = 0
     b[6, 3] = 4
     left, right = Matrix.from_numpy(spark, a).to_coo(), Matrix.from_numpy(spark, b).to_coo()
-    np.testing.assert_array_equal(products.multiply_sparse(left, right, most=most).to_numpy(), a @ b)
+    np.testing.assert_array_equal(products.multiply_sparse(left, right, strategy="cells", most=most).to_numpy(), a @ b)
     heavy = {r["k"]: r["nx"] * r["ny"] for r in products._heavy(left.df.where("v <> 0").select("i", "j", "v").withColumnRenamed("j", "k"), right.df.where("v <> 0").withColumnRenamed("i", "k"), most).collect()}
     for k in range(8):
         pairs = np.count_nonzero(a[:, k]) * np.count_nonzero(b[k])

@@ -258,3 +258,27 @@ def test_sizes_that_may_be_collected(spark):
     assert m.to_numpy(max_size_mb=0.2, force=True).shape == (400, 400)
     with pytest.raises(MemoryError, match="subset"):
         m.to_numpy(max_size_mb=0.1, force=True)
+
+
+@pytest.mark.parametrize("shape", ["random", "hot inner index", "hot row", "one side empty"])
+@pytest.mark.parametrize("side,most", [(4, 30), (512, None)])
+def test_sparse_products_by_tiles(spark, shape, side, most):
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(-3, 4, (23, 31)) * (rng.random((23, 31)) < 0.2)).astype(float), (rng.integers(-3, 4, (31, 17)) * (rng.random((31, 17)) < 0.2)).astype(float)
+    if shape == "hot inner index":
+        x[:, 7], y[7] = 2.0, rng.standard_normal(17)
+    elif shape == "hot row":
+        x[5], y[:, 2] = 1.5, 1.0
+    elif shape == "one side empty":
+        y[:] = 0
+    cells = lambda a: Matrix.from_coo(spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*a.nonzero())], "i long, j int, v double"), *a.shape)
+    found = products.multiply_sparse(cells(x), cells(y), strategy="tiles", side=side, most=most)
+    assert found.df.groupBy("i", "j").count().where("count > 1").count() == 0
+    assert np.allclose(found.to_numpy(), x @ y)
+
+
+def test_tiles_of_heavy_indexes_are_cut(spark):
+    left = spark.range(3000).selectExpr("id AS i", "7L AS k", "1.0D AS v")
+    right = spark.range(50).selectExpr("7L AS k", "CAST(id AS INT) AS j", "1.0D AS w")
+    (row,) = products._tiles(left, right, 512, 10_000).collect()
+    assert row["pairs"] == 150_000 and row["nx"] * row["ny"] >= 15 and row["nx"] <= 15
