@@ -191,7 +191,7 @@ def block_cells(blocks: DataFrame, side: int) -> DataFrame:
                 r, c = np.indices((nr, nc))
                 yield pd.DataFrame({"i": r.ravel() + bi * side, "j": (c.ravel() + bj * side).astype(np.int32), "v": np.frombuffer(data).reshape(planes, nr, nc)[0].ravel()})
 
-    return blocks.select("bi", "bj", "planes", "nr", "nc", "data").mapInPandas(cells, "i long, j int, v double")
+    return blocks.select("bi", "bj", "planes", "nr", "nc", "data").mapInPandas(cells, "i long, j int, v double").withColumn("v", F.coalesce("v", F.lit(float("nan"))))  # NaN leaves pandas as null
 
 
 def multiply_sparse(a: Matrix, b: Matrix, *, strategy: str = "auto", side: int = SIDE, most: int | None = None) -> Matrix:
@@ -277,7 +277,8 @@ def _by_tiles(left: DataFrame, right: DataFrame, tiles: DataFrame, found: int, s
     mine, other = _copies(left.select("*", tile), right.select("*", tile), small(tiles.select("t", "nx", "ny"), found), "t", "inner")
     of = ("t", "x", "y")
     sums = mine.groupBy(*of).cogroup(other.groupBy(*of)).applyInPandas(multiply, "i long, j int, v double")
-    return sums.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    # NaN leaves pandas as null
+    return sums.groupBy("i", "j").agg(F.sum(F.coalesce("v", F.lit(float("nan")))).alias("v"))
 
 
 def _heavy(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
@@ -305,7 +306,8 @@ def gram_in_tasks(df: DataFrame, left: str, right: str, p: int, q: int, weight:
         yield pd.DataFrame({"j": j.ravel(), "l": other.ravel(), "v": total.ravel()})
 
     rows = df.select(F.col(left).alias("x"), F.col(right).alias("y"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
-    return rows.mapInPandas(partial, "j int, l int, v double").groupBy("j", "l").agg(F.sum("v").alias("v"))
+    # NaN leaves pandas as null
+    return rows.mapInPandas(partial, "j int, l int, v double").groupBy("j", "l").agg(F.sum(F.coalesce("v", F.lit(float("nan")))).alias("v"))
 
 
 def crossprod(x: Matrix, y: Matrix | None = None, *, weights: DataFrame | None = None, tile: int | None = None) -> Matrix:
@@ -320,7 +322,8 @@ def crossprod(x: Matrix, y: Matrix | None = None, *, weights: DataFrame | None =
         df, w = (x.df, None) if weights is None else (x.df.join(weights.toDF("i", "w"), "i"), F.col("w"))
         pairs = [(j, k) for j in range(x.ncol) for k in range(j, x.ncol)]
         product = lambda j, k: F.col(f"c{j}") * F.col(f"c{k}") if w is None else w * F.col(f"c{j}") * F.col(f"c{k}")
-        row = df.agg(*[F.sum(product(j, k)).alias(f"s{j}_{k}") for j, k in pairs])
+        # a null cell counts as NaN
+        row = df.agg(*[F.sum(F.coalesce(product(j, k), F.lit(float("nan")))).alias(f"s{j}_{k}") for j, k in pairs])
         cells = [F.struct(F.lit(j).cast("long").alias("i"), F.lit(k).alias("j"), F.col(f"s{min(j, k)}_{max(j, k)}").alias("v")) for j in range(x.ncol) for k in range(x.ncol)]
         return Matrix(row.select(F.inline(F.array(*cells))), x.ncol, x.ncol, "coo", x.col_labels, x.col_labels)
     if tile is None and "coo" in (x.layout, other.layout) and weights is None:

@@ -282,3 +282,34 @@ def test_tiles_of_heavy_indexes_are_cut(spark):
     right = spark.range(50).selectExpr("7L AS k", "CAST(id AS INT) AS j", "1.0D AS w")
     (row,) = products._tiles(left, right, 512, 10_000).collect()
     assert row["pairs"] == 150_000 and row["nx"] * row["ny"] >= 15 and row["nx"] <= 15
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_correlation_of_wide_columns_is_that_of_rows(spark, missing):
+    rng = np.random.default_rng(8)
+    a = np.column_stack([rng.standard_normal(40) + 1e6, rng.standard_normal(40), np.full(40, 3.0), rng.standard_normal(40)])
+    rows = [tuple([i, *map(float, r)]) for i, r in enumerate(a)]
+    if missing:
+        rows[4] = (*rows[4][:2], None, *rows[4][3:])
+        rows[9] = (*rows[9][:4], float("nan"))
+    frame = spark.createDataFrame(rows, "key long, a double, b double, c double, d double")
+    wide = Matrix.from_columns(frame, ["a", "b", "c", "d"], "key")
+    told = lambda m: np.array([tuple(r) for r in correlation.cor(m).cells.orderBy("j", "l").select("r", "n", "p").collect()], float)
+    found, expected = told(wide), told(wide.to_rows())
+    assert np.allclose(found, expected, atol=1e-9, equal_nan=True)
+    tiled = np.array([tuple(r) for r in correlation.cor(wide, tile=2).cells.orderBy("j", "l").select("r", "n", "p").collect()], float)
+    assert np.allclose(found, tiled, atol=1e-9, equal_nan=True)
+    gram = np.array([[v for (v,) in products.crossprod(m).df.orderBy("i", "j").select("v").collect()] for m in (wide, wide.to_rows())], float)
+    assert np.allclose(*gram, equal_nan=True) and np.isnan(gram).any() == missing
+    if not missing:
+        assert np.isclose(found[1, 0], np.corrcoef(a[:, 0], a[:, 1])[0, 1]) and found[2, 0] == 0
+
+
+def test_products_keep_missing_values(spark):
+    a = np.arange(24, dtype=float).reshape(6, 4) + 1
+    a[2, 1] = np.nan
+    m = Matrix.from_columns(spark.createDataFrame([tuple([i, *map(float, r)]) for i, r in enumerate(a)], "key long, a double, b double, c double, d double"), ["a", "b", "c", "d"], "key")
+    right = np.arange(12, dtype=float).reshape(4, 3)
+    for strategy in ("broadcast", "block", "cells"):
+        found = products.matmul(m.to_rows(), Matrix.from_numpy(spark, right), strategy=strategy, side=2)
+        assert np.allclose(found.to_numpy(), a @ right, equal_nan=True), strategy
