@@ -74,3 +74,24 @@ def test_absent_cells_are_filled_without_a_shuffled_grid(spark):
     twice = Matrix(m.df.union(m.df.where(F.col("i") == 6)), 7, 50, "coo")
     with pytest.raises(Exception, match="stored twice"):
         twice.to_rows().to_numpy()
+
+
+@pytest.mark.parametrize("strategy,most", [("tiles", 30), ("cells", 9), ("auto", None)])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_sparse_products_add_up_in_blocks_of_the_result(spark, strategy, most, parts, monkeypatch):
+    for name, value in (("GRID", 8), ("FULL", 40), ("AT_ONCE", 25), ("TILE_PAYS", 1), ("GRID_CELLS", 1 << 23 if parts == 1 else 60)):
+        monkeypatch.setattr(products, name, value)
+    rng = np.random.default_rng(3)
+    x, y = (rng.integers(-3, 4, (23, 31)) * (rng.random((23, 31)) < 0.6)).astype(float), (rng.integers(-3, 4, (31, 17)) * (rng.random((31, 17)) < 0.6)).astype(float)
+    x[:, 7], x[3, 2] = 2.0, np.nan
+    called = []
+    grid = products._by_grid
+    monkeypatch.setattr(products, "_by_grid", lambda *a: called.append(grid(*a)) or called[-1])
+    found = products.multiply_sparse(cells(spark, x), cells(spark, y), strategy=strategy, side=4, most=most)
+    assert len(called) == 1 and called[0] is not None  # products don't leave their tasks one by one
+    assert found.df.groupBy("i", "j").count().where("count > 1").isEmpty()
+    with np.errstate(invalid="ignore"):
+        wanted = np.array([[sum(x[i, k] * y[k, j] for k in range(31) if x[i, k] != 0 and y[k, j] != 0) for j in range(17)] for i in range(23)])
+    np.testing.assert_allclose(found.to_numpy(), wanted)
+    reached = ((x != 0).astype(int) @ (y != 0).astype(int)) > 0
+    assert found.df.count() == reached.sum()
