@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matloom.functions import student
+from matloom.functions import options, student
 from matloom.matrix import Matrix
-from matloom.operators import correlation, elementwise, products
+from matloom.operators import batch, correlation, elementwise, products
 
 
 def cells(spark, a):
@@ -95,3 +95,19 @@ def test_sparse_products_add_up_in_blocks_of_the_result(spark, strategy, most, p
     np.testing.assert_allclose(found.to_numpy(), wanted)
     reached = ((x != 0).astype(int) @ (y != 0).astype(int)) > 0
     assert found.df.count() == reached.sum()
+
+
+def test_products_of_datasets_in_fields(spark, monkeypatch):
+    for name, value in (("HELD", 12), ("AT_ONCE", 10)):
+        monkeypatch.setattr(batch, name, value)
+    draw = np.random.default_rng(5)
+    x = {"a": draw.standard_normal((23, 4)), "b": draw.standard_normal((3, 4))}
+    found = batch.apply_function({k: Matrix.from_numpy(spark, v) for k, v in x.items()}, "tCrossProd")
+    got = {k: np.zeros((len(v), len(v))) for k, v in x.items()}
+    for r in found.collect():
+        got[r["dataset"]][r["i"], r["j"]] += r["v"]
+    for k, v in x.items():
+        np.testing.assert_allclose(got[k], v @ v.T, atol=1e-12)
+    monkeypatch.setattr(options, "TASK_CELLS", 50)  # tasks follow the cells that are made, not the bytes that are read
+    many = batch.apply_function({k: Matrix.from_numpy(spark, v) for k, v in x.items()}, "tCrossProd")
+    assert many.rdd.getNumPartitions() >= 538 // 50
