@@ -4,7 +4,7 @@ with tournament pivoting for any others.
 Cholesky: the matrix is a table of square blocks (``products.to_blocks``), of which the lower triangle is read. A step finishes one
 column (Cholesky) or one row (inverse of the factor) of blocks from the finished ones by a join on the inner index and a
 sum in numpy, and appends it to a table in the shared folder, so that lineage never exceeds one step and a lost executor
-costs one step at most. One block of ``side`` x ``side`` cells reaches the driver at a time.
+costs one step at most. Neighbouring columns with few blocks (of band matrices, say) are one step. One block of ``side`` x ``side`` cells reaches the driver at a time.
 
 LU: rows keep their numbers and never move. A step takes one column of blocks; tasks choose ``side`` pivot rows among their
 own by partial pivoting, and the chosen ones of several tasks play again in a tree, until ``side`` rows are left. They leave
@@ -29,6 +29,9 @@ from matloom.plans.durable import Steps, durable, shared_folder
 BLOCK = "bi long, bj long, nr int, nc int, data binary"
 #: Cells of a row of blocks up to which it is broadcast to its join.
 MOST_SENT = 4_000_000
+#: Cells of neighbouring columns of blocks, fill-in included, that one step of Cholesky finishes in a task.
+PANEL = 1 << 23
+INDEFINITE = "the matrix may not be positive definite"
 #: Sets of candidate rows that meet in one task of a tournament.
 FANIN = 16
 
@@ -88,6 +91,26 @@ def _sent(df: DataFrame, cells: int) -> DataFrame:
     return F.broadcast(df) if cells <= MOST_SENT else df
 
 
+def _panels(stored: set[tuple[int, int]], n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring columns that have ``most`` blocks at most, with the blocks that elimination fills in."""
+    below: list[set[int]] = [set() for _ in range(n)]
+    for bi, bj in stored:
+        if bi > bj:
+            below[bj].add(bi)
+    panels, first, size = [], 0, 0
+    for j in range(n):
+        if below[j]:
+            parent = min(below[j])
+            below[parent] |= below[j] - {parent}
+        own = 1 + len(below[j])
+        if j > first and size + own > most:
+            panels.append((first, j))
+            first, size = j, 0
+        size += own
+        below[j] = set()
+    return [*panels, (first, n)] if n else []
+
+
 def _factor(m: Matrix, side: int) -> _Grid:
     """The lower factor's blocks on and below the diagonal."""
     if m.nrow != m.ncol:
@@ -115,14 +138,65 @@ def _factor(m: Matrix, side: int) -> _Grid:
         both = own.join(sums, "bi", "full").select("bi", F.lit(j).cast("long").alias("bj"), F.coalesce("nr", "nr2").alias("nr"), F.coalesce("nc", "nc2").alias("nc"), "data", "gone")
         return both.mapInPandas(less, BLOCK)
 
-    for j in range(-(-m.nrow // side)):
+    n = -(-m.nrow // side)
+
+    def of_panel(first: int, last: int) -> DataFrame:
+        """Blocks of columns ``first`` to ``last`` less what the finished columns explain, finished in one task."""
+        both = given.where((F.col("bj") >= first) & (F.col("bj") < last)).select("bi", "bj", "nr", "nc", "data")
+        if first:
+            left = done.read().where(F.col("bi") >= first).withColumnRenamed("bj", "k")
+            right = done.read().where((F.col("bi") >= first) & (F.col("bi") < last)).select(F.col("bj").alias("k"), F.col("bi").alias("at"), F.col("nr").alias("nr2"), F.col("nc").alias("nc2"), F.col("data").alias("other"))
+            pairs = left.join(right, "k").where("bi >= at").withColumn("key", F.col("bi") * n + F.col("at"))
+            gone = _sums(pairs, "key", True).select(F.floor(F.col("key") / n).alias("bi"), (F.col("key") % n).alias("bj"), "nr", "nc", "data")
+            both = both.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
+        else:
+            both = both.withColumn("gone", F.lit(False))
+
+        def finished(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for frame in frames:
+                for bi, bj, nr, nc, data, gone in frame[["bi", "bj", "nr", "nc", "data", "gone"]].itertuples(index=False):
+                    block = -_block(data, nr, nc) if gone else _block(data, nr, nc)
+                    held[bi, bj] = held[bi, bj] + block if (bi, bj) in held else block
+            for j in range(first, last):
+                try:
+                    corner = np.linalg.cholesky(held[j, j])
+                except (KeyError, np.linalg.LinAlgError):
+                    raise ValueError(INDEFINITE) from None
+                inverse = np.linalg.inv(corner).T
+                rows = sorted(bi for bi, bj in held if bj == j and bi > j)
+                held[j, j] = corner
+                for bi in rows:
+                    held[bi, j] = held[bi, j] @ inverse
+                for at in rows:
+                    for bi in rows:
+                        if at < last and bi >= at:
+                            gone = held[bi, j] @ held[at, j].T
+                            held[bi, at] = held[bi, at] - gone if (bi, at) in held else -gone
+                out = [_told(bi, j, held.pop((bi, j))) for bi in [j, *rows]]
+                yield pd.DataFrame(out, columns=["bi", "bj", "nr", "nc", "data"])
+
+        return both.repartition(1).mapInPandas(finished, BLOCK)  # PANEL cells at most
+
+    stored = {(r["bi"], r["bj"]) for r in given.select("bi", "bj").collect()}
+    if any((j, j) not in stored for j in range(n)):  # a matrix of cells with a block of zeros on its diagonal
+        raise np.linalg.LinAlgError(INDEFINITE)
+    for j, last in _panels(stored, n, PANEL // (side * side)):
+        if last > j + 1:
+            try:
+                done.append(of_panel(j, last))
+            except Exception as problem:
+                if INDEFINITE in str(problem):
+                    raise np.linalg.LinAlgError(INDEFINITE) from None
+                raise
+            continue
         row = remaining(j, F.col("bi") == j).first()
-        if row is None:  # a matrix of cells with a block of zeros on its diagonal
-            raise np.linalg.LinAlgError("the matrix may not be positive definite")
+        if row is None:
+            raise np.linalg.LinAlgError(INDEFINITE)
         try:
             corner = np.linalg.cholesky(_block(bytes(row["data"]), row["nr"], row["nc"]))
         except np.linalg.LinAlgError:
-            raise np.linalg.LinAlgError("the matrix may not be positive definite") from None
+            raise np.linalg.LinAlgError(INDEFINITE) from None
         held = done.spark.sparkContext.broadcast((corner, np.linalg.inv(corner).T))
 
         def scaled(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -173,7 +247,9 @@ def chol_blocks(m: Matrix, *, lower: bool = False, side: int = SIDE) -> Matrix:
         for frame in frames:
             for bi, bj, nr, nc, data in frame.itertuples(index=False):
                 i, j = np.tril_indices(nr, 0, nc) if bi == bj else (x.ravel() for x in np.indices((nr, nc)))
-                i, j, v = i + bi * side, j + bj * side, _block(data, nr, nc)[i, j]
+                v = _block(data, nr, nc)[i, j]
+                kept = v != 0  # absent cells are zeros
+                i, j, v = i[kept] + bi * side, j[kept] + bj * side, v[kept]
                 yield pd.DataFrame({"i": i, "j": j.astype(np.int32), "v": v} if lower else {"i": j, "j": i.astype(np.int32), "v": v})
 
     return Matrix(blocks.mapInPandas(cells, "i long, j int, v double"), *m.dim, "coo", m.row_labels, m.col_labels)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matloom.functions import options, student
 from matloom.matrix import Matrix
-from matloom.operators import batch, correlation, elementwise, products
+from matloom.operators import batch, blocks, correlation, elementwise, products
 
 
 def cells(spark, a):
@@ -111,3 +111,23 @@ def test_products_of_datasets_in_fields(spark, monkeypatch):
     monkeypatch.setattr(options, "TASK_CELLS", 50)  # tasks follow the cells that are made, not the bytes that are read
     many = batch.apply_function({k: Matrix.from_numpy(spark, v) for k, v in x.items()}, "tCrossProd")
     assert many.rdd.getNumPartitions() >= 538 // 50
+
+
+def test_cholesky_of_a_band_takes_few_steps(spark, monkeypatch):
+    assert blocks._panels({(k, k) for k in range(40)} | {(k + 1, k) for k in range(39)}, 40, 8) == [(k, k + 4) for k in range(0, 40, 4)]
+    full = {(i, j) for i in range(5) for j in range(i + 1)}
+    assert blocks._panels(full, 5, 4) == [(0, 1), (1, 2), (2, 3), (3, 5)]
+    steps = []
+    append = blocks._Grid.append
+    monkeypatch.setattr(blocks._Grid, "append", lambda self, df: (steps.append(1), append(self, df))[1])
+    a = np.diag(np.arange(40) % 3 + 4.0) + np.eye(40, k=1) + np.eye(40, k=-1)
+    a[30, 2] = a[2, 30] = 0.5  # fills in
+    for most in (6, 10, 1000):
+        monkeypatch.setattr(blocks, "PANEL", most * 16)
+        steps.clear()
+        u = blocks.chol_blocks(cells(spark, a), side=4)
+        np.testing.assert_allclose(u.to_numpy(), np.linalg.cholesky(a).T, atol=1e-12)
+        assert u.df.where("v = 0").isEmpty() and len(steps) <= {6: 6, 10: 3, 1000: 1}[most]
+    a[25, 25] = -4
+    with pytest.raises(np.linalg.LinAlgError):
+        blocks.chol_blocks(cells(spark, a), side=4)
