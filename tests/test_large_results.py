@@ -71,6 +71,8 @@ def test_absent_cells_are_filled_without_a_shuffled_grid(spark):
     stats = spark.createDataFrame([(k, float(k)) for k in range(50)], "k long, w double")
     np.testing.assert_allclose(elementwise.sweep(m, stats, 2, "-").to_numpy(), a - np.arange(50.0))
     np.testing.assert_allclose(elementwise.sweep(m.to_rows(), stats, 2, "-").to_numpy(), a - np.arange(50.0))
+    outside = Matrix(m.df.union(m.df.sparkSession.createDataFrame([(3, -1, 1.0), (3, 50, 1.0), (-1, 2, 1.0), (7, 2, 1.0)], m.df.schema)), 7, 50, "coo")
+    np.testing.assert_array_equal(outside.every_cell().to_numpy(), a)  # cells outside of the shape are no cells, as in the grid
     twice = Matrix(m.df.union(m.df.where(F.col("i") == 6)), 7, 50, "coo")
     with pytest.raises(Exception, match="stored twice"):
         twice.to_rows().to_numpy()
