@@ -78,6 +78,45 @@ def test_absent_cells_are_filled_without_a_shuffled_grid(spark):
         twice.to_rows().to_numpy()
 
 
+def test_cells_that_a_statistic_makes_of_zero_are_written_in_runs(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    a = rng.integers(1, 50, (600, 5000)) * (rng.random((600, 5000)) < 0.0005).astype(float)
+    m, stats = cells(spark, a), spark.createDataFrame([(k, k / 7) for k in range(5000)], "k long, w double")
+    found = elementwise.sweep(m, stats, 2, "-", finish=lambda v: F.round(v, 3))
+    found.df.write.parquet(str(tmp_path / "cells"))
+    np.testing.assert_allclose(Matrix(spark.read.parquet(str(tmp_path / "cells")), *a.shape, "coo").to_numpy(), np.round(a - np.arange(5000) / 7, 3), atol=1e-9)
+    assert sum(f.stat().st_size for f in (tmp_path / "cells").glob("*.parquet")) < 0.5 * a.size  # bytes
+
+
+@pytest.mark.parametrize("margin", [1, 2])
+@pytest.mark.parametrize("at_once,rows", [(1 << 20, 512), (12, 3), (1, 1)])
+def test_tiles_of_filled_cells(spark, margin, at_once, rows, monkeypatch):
+    from matloom import matrix
+
+    monkeypatch.setattr(matrix, "AT_ONCE", at_once)
+    monkeypatch.setattr(matrix, "TILE_ROWS", rows)
+    a = np.zeros((7, 11))
+    a[2, 3], a[2, 10], a[6, 0], a[0, 1], a[5, 5] = 1.5, np.nan, -2, 4, 7
+    m, n = cells(spark, a), a.shape[margin - 1] if margin == 1 else 11
+    np.testing.assert_array_equal(m.every_cell().to_numpy(), a)
+    w = {k: float(k) for k in range(n) if k not in (0, 4)} | {3: None, 2: np.nan}  # no statistic, null and NaN
+    found = elementwise.sweep(m, spark.createDataFrame(list(w.items()) + [(-1, 1.0), (n, 1.0)], "k long, w double"), margin, "-")
+    got = {(r["i"], r["j"]): r["v"] for r in found.df.collect()}
+    wanted = {(i, j): w[(i, j)[margin - 1]] for i in range(7) for j in range(11) if (i, j)[margin - 1] in w}
+    assert found.df.count() == len(got) and got.keys() == wanted.keys()
+    for (i, j), s in wanted.items():
+        assert got[i, j] is None if s is None else got[i, j] == pytest.approx(a[i, j] - s, nan_ok=True)
+    two = Matrix(m.df.union(m.df.where(F.col("i") == 6)), 7, 11, "coo")
+    with pytest.raises(Exception, match="stored twice"):
+        two.every_cell().to_numpy()
+    with pytest.raises(Exception, match="given twice"):
+        elementwise.sweep(m, spark.createDataFrame([(1, 1.0), (1, 2.0)], "k long, w double"), margin, "+").df.collect()
+    for op, none in (("/", np.nan), ("pow", 1.0)):
+        ratio = elementwise.binary(m, cells(spark, a * 2), op)
+        assert ratio.df.count() == 77
+        np.testing.assert_allclose(ratio.to_numpy()[a == 0], none)
+
+
 @pytest.mark.parametrize("strategy,most", [("tiles", 30), ("cells", 9), ("auto", None)])
 @pytest.mark.parametrize("parts", [1, 3])
 def test_sparse_products_add_up_in_blocks_of_the_result(spark, strategy, most, parts, monkeypatch):
