@@ -154,6 +154,27 @@ def test_products_of_datasets_in_fields(spark, monkeypatch):
     assert many.rdd.getNumPartitions() >= 538 // 50
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_rows_come_to_projections_without_their_factors(spark, few, monkeypatch):
+    monkeypatch.setattr(batch, "SMALL", few)
+    monkeypatch.setattr(batch, "PART", 8)
+    draw = np.random.default_rng(6)
+    x = {f"d{k}": draw.standard_normal((n, p)) for k, (n, p) in enumerate([(50, 3), (9, 4), (30, 1), (40, 12)])}
+    rows = spark.createDataFrame([(k, i, r.tolist(), len(a)) for k, a in x.items() for i, r in enumerate(a)], "dataset string, i long, vec array<double>, nrow long")
+    upper = {k: np.linalg.qr(a, mode="r") for k, a in x.items() if k != "d2"}  # rows of a dataset without a factor stay out
+    factors = spark.createDataFrame([(k, r.shape[1], bytearray(r.tobytes())) for k, r in upper.items()], "dataset string, p int, r binary")
+    sent = []
+    frames = type(rows).mapInPandas
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda df, f, schema: sent.append(df) or frames(df, f, schema))
+    found = {(r["dataset"], r["i"]): r["vec"] for r in batch._projected(rows, factors).collect()}
+    assert found.keys() == {(k, i) for k in upper for i in range(len(x[k]))}
+    for (k, i), vec in found.items():
+        np.testing.assert_allclose(np.array(vec) @ upper[k], x[k][i], atol=1e-12)
+    copies = sent[0].where("r is not null").count() if "r" in sent[0].columns else 0
+    assert copies == (0 if few else 7 + 2 + 4)  # one for each 8 rows, or 12 of 12 columns, instead of one for each row
+    monkeypatch.undo()
+
+
 def test_cholesky_of_a_band_takes_few_steps(spark, monkeypatch):
     assert blocks._panels({(k, k) for k in range(40)} | {(k + 1, k) for k in range(39)}, 40, 8) == [(k, k + 4) for k in range(0, 40, 4)]
     full = {(i, j) for i in range(5) for j in range(i + 1)}
