@@ -193,3 +193,36 @@ def test_cholesky_of_a_band_takes_few_steps(spark, monkeypatch):
     a[25, 25] = -4
     with pytest.raises(np.linalg.LinAlgError):
         blocks.chol_blocks(cells(spark, a), side=4)
+
+
+@pytest.mark.parametrize("field, splits", [(1, 3), (3, 1)])
+def test_rows_and_columns_of_blocks_keep_their_numbers(spark, field, splits, monkeypatch):
+    monkeypatch.setattr(products, "field_side", lambda *_: field)
+    monkeypatch.setattr(products, "ORDERED", 0, raising=False)
+    draw = np.random.default_rng(5)
+    x, y = draw.integers(0, 2, (23, 10)).astype(float), draw.standard_normal((3, 10))[draw.integers(0, 3, 18)]
+    x[3], x[20], y[7], y[9, 2] = 0, 0, 0, np.nan  # rows without cells
+    for left, right in ((cells(spark, x), cells(spark, y)), (Matrix.from_numpy(spark, x), Matrix.from_numpy(spark, y))):
+        found = products.matmul(left, right, transpose_b=True, strategy="block", side=4, splits=splits)
+        assert found.df.groupBy("i", "j").count().where("count > 1").isEmpty()
+        np.testing.assert_allclose(np.nan_to_num(found.to_numpy()[:, np.arange(18) != 9]), (x @ y.T)[:, np.arange(18) != 9], atol=1e-12)
+        assert np.isnan(found.to_numpy()[0, 9])
+    for left, right in ((cells(spark, x.T), cells(spark, x.T)), (Matrix.from_numpy(spark, x.T), Matrix.from_numpy(spark, x.T))):
+        found = products.matmul(left, right, transpose_a=True, strategy="block", side=4, splits=splits)
+        np.testing.assert_allclose(found.to_numpy(), x @ x.T)
+
+
+def test_repeated_rows_take_few_written_bytes(spark, tmp_path):
+    # 300 rows, seven times each, in no order: a cell for each pair
+    draw = np.random.default_rng(6)
+    x = draw.integers(1, 4000, (300, 7)).astype(float)[draw.permutation(2100) % 300]
+    m = cells(spark, x)
+    products.matmul(m, m.t(), strategy="block").df.write.parquet(str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == 2100 * 2100
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2100 * 2100
+    wanted = x @ x.T
+    got = np.zeros_like(wanted)
+    table = written.toPandas()
+    got[table["i"], table["j"]] = table["v"]
+    np.testing.assert_array_equal(got, wanted)
