@@ -5,6 +5,7 @@ Cholesky: the matrix is a table of square blocks (``products.to_blocks``), of wh
 column (Cholesky) or one row (inverse of the factor) of blocks from the finished ones by a join on the inner index and a
 sum in numpy, and appends it to a table in the shared folder, so that lineage never exceeds one step and a lost executor
 costs one step at most. Neighbouring columns with few blocks (of band matrices, say) are one step. One block of ``side`` x ``side`` cells reaches the driver at a time.
+Of a matrix of cells the cells alone are kept: a step makes the blocks of its columns, and these are smaller where larger ones would be nearly empty.
 
 LU: rows keep their numbers and never move. A step takes one column of blocks; tasks choose ``side`` pivot rows among their
 own by partial pivoting, and the chosen ones of several tasks play again in a tree, until ``side`` rows are left. They leave
@@ -15,7 +16,7 @@ table. Right-hand sides are further columns, so only a back substitution is left
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,10 @@ BLOCK = "bi long, bj long, nr int, nc int, data binary"
 MOST_SENT = 4_000_000
 #: Cells of neighbouring columns of blocks, fill-in included, that one step of Cholesky finishes in a task.
 PANEL = 1 << 23
+#: The smallest side of blocks of a sparse matrix, blocks whose numbers the driver holds, and the share of cells from which smaller blocks pay.
+LEAST_SIDE, MOST_BLOCKS, PAYS = 16, 1 << 20, 0.75
+#: Cells of finished blocks that leave a task at once.
+AT_ONCE = 1 << 20
 INDEFINITE = "the matrix may not be positive definite"
 #: Sets of candidate rows that meet in one task of a tournament.
 FANIN = 16
@@ -47,8 +52,8 @@ def _told(bi: int, bj: int, block: np.ndarray) -> tuple:
 class _Grid:
     """A table of finished blocks that steps append to."""
 
-    def __init__(self, like: DataFrame, name: str) -> None:
-        self.spark = like.sparkSession
+    def __init__(self, like: DataFrame, name: str, side: int | None = None) -> None:
+        self.spark, self.side = like.sparkSession, side
         self.path = f"{shared_folder(self.spark)}/matloom/{name}-{uuid.uuid4().hex}"
         self.started = False
 
@@ -91,38 +96,84 @@ def _sent(df: DataFrame, cells: int) -> DataFrame:
     return F.broadcast(df) if cells <= MOST_SENT else df
 
 
-def _panels(stored: set[tuple[int, int]], n: int, most: int) -> list[tuple[int, int]]:
-    """Ranges of neighbouring columns that have ``most`` blocks at most, with the blocks that elimination fills in."""
-    below: list[set[int]] = [set() for _ in range(n)]
+def _counts(stored: Iterable[tuple[int, int]], n: int) -> Iterator[int]:
+    """The number of blocks of each column on and below the diagonal, with those that elimination fills in."""
+    below: dict[int, set[int]] = {}
     for bi, bj in stored:
         if bi > bj:
-            below[bj].add(bi)
-    panels, first, size = [], 0, 0
+            below.setdefault(bj, set()).add(bi)
     for j in range(n):
-        if below[j]:
-            parent = min(below[j])
-            below[parent] |= below[j] - {parent}
-        own = 1 + len(below[j])
+        own = below.pop(j, ())
+        yield 1 + len(own)
+        if own:
+            parent = min(own)
+            own.discard(parent)
+            if own:
+                below.setdefault(parent, set()).update(own)
+
+
+def _panels(stored: Iterable[tuple[int, int]], n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring columns that have ``most`` blocks at most, with the blocks that elimination fills in."""
+    panels, first, size = [], 0, 0
+    for j, own in enumerate(_counts(stored, n)):
         if j > first and size + own > most:
             panels.append((first, j))
             first, size = j, 0
         size += own
-        below[j] = set()
     return [*panels, (first, n)] if n else []
 
 
-def _factor(m: Matrix, side: int) -> _Grid:
-    """The lower factor's blocks on and below the diagonal."""
+def _pairs(blocks: np.ndarray) -> Iterator[tuple[int, int]]:
+    return zip(blocks[:, 0].tolist(), blocks[:, 1].tolist())
+
+
+def _fitting_side(cells: DataFrame, n: int) -> int:
+    """``SIDE`` for the factor of a matrix of cells ``i, j``, or less where its blocks, those that elimination fills in among them,
+    take more than one panel and blocks of half the side hold far fewer cells (``PAYS``)."""
+    sides = [SIDE]
+    while sides[-1] // 2 >= LEAST_SIDE:
+        sides.append(sides[-1] // 2)
+    of = lambda c, side: F.floor(F.col(c) / side)
+    found = cells.agg(*[F.approx_count_distinct(F.xxhash64(of("i", s), of("j", s))) for s in sides]).first()
+    sides = [s for s, blocks in zip(sides, found) if blocks <= MOST_BLOCKS] or sides[:1]
+    fine = cells.select(of("i", sides[-1]).alias("bi"), of("j", sides[-1]).alias("bj")).distinct().toPandas().to_numpy(np.int64)
+    best, least = sides[0], None
+    for side in sides:
+        coarse, held = np.unique(fine // (side // sides[-1]), axis=0), 0
+        for own in _counts(_pairs(coarse), -(-n // side)):
+            held += own * side * side
+            if least is not None and held > PAYS * least:
+                return best
+        best, least = side, held
+        if held <= PANEL:
+            break
+    return best
+
+
+def _factor(m: Matrix, side: int | None) -> _Grid:
+    """The lower factor's blocks on and below the diagonal. ``side``: None chooses one that fits the cells."""
     if m.nrow != m.ncol:
         raise ValueError("square matrices only")
-    if side < 1:
+    if side is not None and side < 1:
         raise ValueError("blocks have at least one row")
-    given = durable(to_blocks(m, side).where("bi >= bj"), "given")
-    done = _Grid(given, "factor")
-
-    def remaining(j: int, rows: Column) -> DataFrame:
-        """Blocks of column j less what the finished columns explain."""
-        own = given.where((F.col("bj") == j) & rows)
+    size, sparse, within = m.nrow, m.layout == "coo", lambda c, first, last: (F.col(c) >= first * side) & (F.col(c) < last * side)
+    if sparse:  # cells take far less than blocks, which are made when their columns are finished
+        lower = m.df.where((F.col("j") >= 0) & (F.col("i") >= F.col("j")) & (F.col("i") < size)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
+        given = durable(lower.repartitionByRange("j", "i"), "given")
+        side = side or (SIDE if size <= SIDE else _fitting_side(given, size))
+    else:
+        side = side or SIDE
+        given = durable(to_blocks(m, side).where("bi >= bj"), "given")
+    done = _Grid(given, "factor", side)
+
+    def remaining(j: int, corner: bool) -> DataFrame:
+        """Blocks of column j (its ``corner`` alone) less what the finished columns explain."""
+        rows = F.col("bi") == j if corner else F.col("bi") >= j
+        if sparse:
+            own = given.where(within("j", j, j + 1) & (within("i", j, j + 1) if corner else F.lit(True)))
+            own = to_blocks(Matrix(own, size, size, "coo"), side)
+        else:
+            own = given.where((F.col("bj") == j) & rows)
         if not j:
             return own
         row = done.read().where(F.col("bi") == j).select("bj", F.col("nr").alias("nr2"), F.col("nc").alias("nc2"), F.col("data").alias("other"))
@@ -142,29 +193,50 @@ def _factor(m: Matrix, side: int) -> _Grid:
 
     def of_panel(first: int, last: int) -> DataFrame:
         """Blocks of columns ``first`` to ``last`` less what the finished columns explain, finished in one task."""
-        both = given.where((F.col("bj") >= first) & (F.col("bj") < last)).select("bi", "bj", "nr", "nc", "data")
+        if sparse:  # a cell is a row without a block
+            none = F.lit(0)
+            both = given.where(within("j", first, last)).select(F.col("i").alias("bi"), F.col("j").alias("bj"), none.alias("nr"), none.alias("nc"), F.lit(None).cast("binary").alias("data"), "v")
+        else:
+            both = given.where((F.col("bj") >= first) & (F.col("bj") < last)).select("bi", "bj", "nr", "nc", "data", F.lit(0.0).alias("v"))
         if first:
             left = done.read().where(F.col("bi") >= first).withColumnRenamed("bj", "k")
             right = done.read().where((F.col("bi") >= first) & (F.col("bi") < last)).select(F.col("bj").alias("k"), F.col("bi").alias("at"), F.col("nr").alias("nr2"), F.col("nc").alias("nc2"), F.col("data").alias("other"))
             pairs = left.join(right, "k").where("bi >= at").withColumn("key", F.col("bi") * n + F.col("at"))
-            gone = _sums(pairs, "key", True).select(F.floor(F.col("key") / n).alias("bi"), (F.col("key") % n).alias("bj"), "nr", "nc", "data")
+            gone = _sums(pairs, "key", True).select(F.floor(F.col("key") / n).alias("bi"), (F.col("key") % n).alias("bj"), "nr", "nc", "data", F.lit(0.0).alias("v"))
             both = both.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
         else:
             both = both.withColumn("gone", F.lit(False))
 
         def finished(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: dict[tuple[int, int], np.ndarray] = {}
+            less: dict[tuple[int, int], np.ndarray] = {}
             for frame in frames:
-                for bi, bj, nr, nc, data, gone in frame[["bi", "bj", "nr", "nc", "data", "gone"]].itertuples(index=False):
-                    block = -_block(data, nr, nc) if gone else _block(data, nr, nc)
-                    held[bi, bj] = held[bi, bj] + block if (bi, bj) in held else block
+                is_cell = frame["nr"].to_numpy() == 0
+                own = frame[is_cell]
+                i, j, v = own["bi"].to_numpy(np.int64), own["bj"].to_numpy(np.int64), own["v"].to_numpy(float)
+                order = np.lexsort((i // side, j // side))
+                i, j, v = i[order], j[order], v[order]
+                for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i // side) | np.diff(j // side)) + 1) if len(i) else []:
+                    bi, bj = int(i[part[0]]) // side, int(j[part[0]]) // side
+                    if (bi, bj) not in held:
+                        held[bi, bj] = np.zeros((min(side, size - bi * side), min(side, size - bj * side)))
+                    held[bi, bj][i[part] - bi * side, j[part] - bj * side] = v[part]
+                for bi, bj, nr, nc, data, gone in frame.loc[~is_cell, ["bi", "bj", "nr", "nc", "data", "gone"]].itertuples(index=False):
+                    (less if gone else held)[bi, bj] = _block(data, nr, nc)
+            for at, gone in less.items():
+                held[at] = held[at] - gone if at in held else -gone
+            out: list[tuple] = []
+            below: dict[int, set[int]] = {}
+            for bi, bj in held:
+                if bi > bj:
+                    below.setdefault(bj, set()).add(bi)
             for j in range(first, last):
                 try:
                     corner = np.linalg.cholesky(held[j, j])
                 except (KeyError, np.linalg.LinAlgError):
                     raise ValueError(INDEFINITE) from None
                 inverse = np.linalg.inv(corner).T
-                rows = sorted(bi for bi, bj in held if bj == j and bi > j)
+                rows = sorted(below.pop(j, ()))
                 held[j, j] = corner
                 for bi in rows:
                     held[bi, j] = held[bi, j] @ inverse
@@ -173,15 +245,20 @@ def _factor(m: Matrix, side: int) -> _Grid:
                         if at < last and bi >= at:
                             gone = held[bi, j] @ held[at, j].T
                             held[bi, at] = held[bi, at] - gone if (bi, at) in held else -gone
-                out = [_told(bi, j, held.pop((bi, j))) for bi in [j, *rows]]
-                yield pd.DataFrame(out, columns=["bi", "bj", "nr", "nc", "data"])
+                            if bi > at:
+                                below.setdefault(at, set()).add(bi)
+                out += [_told(bi, j, held.pop((bi, j))) for bi in [j, *rows]]
+                if len(out) * side * side >= AT_ONCE or j == last - 1:
+                    yield pd.DataFrame(out, columns=["bi", "bj", "nr", "nc", "data"])
+                    out = []
 
         return both.repartition(1).mapInPandas(finished, BLOCK)  # PANEL cells at most
 
-    stored = {(r["bi"], r["bj"]) for r in given.select("bi", "bj").collect()}
-    if any((j, j) not in stored for j in range(n)):  # a matrix of cells with a block of zeros on its diagonal
+    numbers = given.select(F.floor(F.col("i") / side).alias("bi"), F.floor(F.col("j") / side).alias("bj")).distinct() if sparse else given.select("bi", "bj")
+    stored = numbers.toPandas().to_numpy(np.int64).reshape(-1, 2)
+    if (stored[:, 0] == stored[:, 1]).sum() < n:  # a matrix of cells with a block of zeros on its diagonal
         raise np.linalg.LinAlgError(INDEFINITE)
-    for j, last in _panels(stored, n, PANEL // (side * side)):
+    for j, last in _panels(_pairs(stored), n, PANEL // (side * side)):
         if last > j + 1:
             try:
                 done.append(of_panel(j, last))
@@ -190,7 +267,7 @@ def _factor(m: Matrix, side: int) -> _Grid:
                     raise np.linalg.LinAlgError(INDEFINITE) from None
                 raise
             continue
-        row = remaining(j, F.col("bi") == j).first()
+        row = remaining(j, True).first()
         if row is None:
             raise np.linalg.LinAlgError(INDEFINITE)
         try:
@@ -204,7 +281,7 @@ def _factor(m: Matrix, side: int) -> _Grid:
             for frame in frames:
                 yield pd.DataFrame([_told(bi, bj, corner if bi == bj else _block(data, nr, nc) @ right) for bi, bj, nr, nc, data in frame.itertuples(index=False)], columns=["bi", "bj", "nr", "nc", "data"])
 
-        done.append(remaining(j, F.col("bi") >= j).select("bi", "bj", "nr", "nc", "data").mapInPandas(scaled, BLOCK))
+        done.append(remaining(j, False).select("bi", "bj", "nr", "nc", "data").mapInPandas(scaled, BLOCK))
     return done
 
 
@@ -239,18 +316,30 @@ def _turned(blocks: DataFrame) -> DataFrame:
     return blocks.select("bi", "bj", "nr", "nc", "data").mapInPandas(turn, BLOCK)
 
 
-def chol_blocks(m: Matrix, *, lower: bool = False, side: int = SIDE) -> Matrix:
-    """The upper factor U with A = t(U) U (``lower``: its transpose), as cells; those of the other triangle are absent."""
-    blocks = _factor(m, side).read()
+def chol_blocks(m: Matrix, *, lower: bool = False, side: int | None = None) -> Matrix:
+    """The upper factor U with A = t(U) U (``lower``: its transpose), as cells; those of the other triangle are absent.
+    ``side`` of the blocks: by itself ``SIDE``, less for matrices of few cells."""
+    found = _factor(m, side)
+    blocks, side = found.read(), found.side
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def told() -> pd.DataFrame:
+            i, j, v = (np.concatenate(c) for c in zip(*held))
+            return pd.DataFrame({"i": i, "j": j.astype(np.int32), "v": v} if lower else {"i": j, "j": i.astype(np.int32), "v": v})
+
         for frame in frames:
             for bi, bj, nr, nc, data in frame.itertuples(index=False):
-                i, j = np.tril_indices(nr, 0, nc) if bi == bj else (x.ravel() for x in np.indices((nr, nc)))
-                v = _block(data, nr, nc)[i, j]
-                kept = v != 0  # absent cells are zeros
-                i, j, v = i[kept] + bi * side, j[kept] + bj * side, v[kept]
-                yield pd.DataFrame({"i": i, "j": j.astype(np.int32), "v": v} if lower else {"i": j, "j": i.astype(np.int32), "v": v})
+                block = _block(data, nr, nc)
+                i, j = np.nonzero(np.tril(block) if bi == bj else block)  # absent cells are zeros
+                held.append((i + bi * side, j + bj * side, block[i, j]))
+                size += len(i)
+                if size >= AT_ONCE or len(held) >= AT_ONCE >> 8:
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
 
     return Matrix(blocks.mapInPandas(cells, "i long, j int, v double"), *m.dim, "coo", m.row_labels, m.col_labels)
 

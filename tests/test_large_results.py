@@ -226,3 +226,24 @@ def test_repeated_rows_take_few_written_bytes(spark, tmp_path):
     table = written.toPandas()
     got[table["i"], table["j"]] = table["v"]
     np.testing.assert_array_equal(got, wanted)
+
+
+def test_cholesky_of_few_cells_keeps_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "PANEL", 1 << 14, raising=False)
+    n, draw = 1500, np.random.default_rng(7)
+    a = np.diag(draw.uniform(4, 6, n)) + np.eye(n, k=1) + np.eye(n, k=-1)
+    a[1200, 3] = a[3, 1200] = 0.5  # fills in
+    finished = []
+    read = blocks._Grid.read
+    monkeypatch.setattr(blocks._Grid, "read", lambda self: finished.append(read(self)) or finished[-1])
+    u = blocks.chol_blocks(cells(spark, a))
+    np.testing.assert_allclose(u.to_numpy(), np.linalg.cholesky(a).T, atol=1e-12)
+    held = finished[-1].selectExpr("sum(cast(nr as long) * nc)").first()[0]
+    assert held < 100 * n  # blocks of 512 rows had more than 700 cells for each row
+    every = spark.range(1 << 20).selectExpr("id div 1024 as i", "cast(id % 1024 as int) as j")
+    for whole in (every, every.where("i = j or i = 0 or j = 0")):  # smaller blocks hold as many cells, those of the second one by fill-in
+        assert blocks._fitting_side(whole, 1024) == 512
+    bad = a.copy()
+    bad[700, 700] = -4
+    with pytest.raises(np.linalg.LinAlgError):
+        blocks.chol_blocks(cells(spark, bad))
