@@ -247,3 +247,31 @@ def test_cholesky_of_few_cells_keeps_small_blocks(spark, monkeypatch):
     bad[700, 700] = -4
     with pytest.raises(np.linalg.LinAlgError):
         blocks.chol_blocks(cells(spark, bad))
+
+
+@pytest.mark.parametrize("ties", ["ordinal", "average"])
+@pytest.mark.parametrize("tile", [None, 4])
+def test_ranks_of_absent_cells_are_not_sent(spark, ties, tile, monkeypatch):
+    monkeypatch.setattr(correlation, "RANK_ROWS", 10, raising=False)
+    draw = np.random.default_rng(9)
+    a = draw.integers(-3, 4, (47, 11)) * (draw.random((47, 11)) < 0.2).astype(float)
+    a[:, 6], a[25:35, 1:5], a[:, 9] = 0, 0, draw.integers(1, 5, 47)  # a column and pieces without cells, one without zeros
+    sent = []
+    write = correlation.with_position
+    monkeypatch.setattr(correlation, "with_position", lambda df, *rest: sent.append(df.count()) or write(df, *rest))
+    outside = spark.createDataFrame([(-1, 2, 5.0), (47, 2, 5.0), (3, -1, 5.0), (3, 11, 5.0)], "i long, j int, v double")
+    m = Matrix(cells(spark, a).df.union(outside), *a.shape, "coo")
+    found = correlation.cor(m, method="spearman", ties=ties, tile=tile)
+    order = np.argsort(np.argsort(a, axis=0, kind="stable"), axis=0) + 1.0
+    if ties == "average":
+        order = np.array([[order[a[:, j] == a[i, j], j].mean() for j in range(11)] for i in range(47)])
+    with np.errstate(invalid="ignore"):
+        wanted = np.corrcoef(order.T)
+    if ties == "average":
+        wanted[6], wanted[:, 6] = 0, 0  # no variance
+        wanted[6, 6] = 1
+    assert found.cells.count() == 121 and found.cells.where("n <> 47 or r is null").isEmpty()
+    np.testing.assert_allclose(found.matrix().to_numpy(), wanted, atol=1e-12)
+    p, q = (correlation.cor(c, method="spearman", ties=ties, tile=tile).p_values().to_numpy() for c in (m, Matrix.from_numpy(spark, a)))
+    np.testing.assert_allclose(p, q, atol=1e-9)
+    assert sent[0] == (a != 0).sum()  # zeros were sorted as well
