@@ -1,6 +1,7 @@
 """Products: a join on the inner dimension and a sum, or its equivalents that move less.
 
-* a small right factor (``SMALL`` cells at most) is broadcast and multiplies row blocks in numpy
+* a small right factor (``SMALL`` cells at most) is broadcast and multiplies row blocks in numpy, unless the product has more
+  than ``ORDERED`` cells in rows of more than ``LONG``: written, long rows take more bytes than blocks
 * ``crossprod`` of up to ``WIDE`` columns is one aggregation of column products, of up to a million products one Gram matrix
   per task, of more one tile for each pair of column tiles, the symmetric half alone
 * two large factors are cut into square blocks; a block goes to all cells of the grid (output block, part of the inner
@@ -45,6 +46,8 @@ FULL = 1 << 16
 AT_ONCE = 1 << 20
 #: Cells of a product of blocks from which equal rows and columns of its factors become neighbours.
 ORDERED = 1 << 22
+#: Columns of a product from which a row is long.
+LONG = 1 << 11
 
 
 def _check(a: int, b: int) -> None:
@@ -60,7 +63,8 @@ def matmul(a: Matrix, b: Matrix, *, transpose_a: bool = False, transpose_b: bool
         return crossprod(a, b)
     _check(a.nrow if transpose_a else a.ncol, b.ncol if transpose_b else b.nrow)
     if strategy == "auto":
-        strategy = "broadcast" if len(b) <= SMALL else "block"
+        height, width = a.ncol if transpose_a else a.nrow, b.nrow if transpose_b else b.ncol
+        strategy = "broadcast" if len(b) <= SMALL and (width <= LONG or height * width <= ORDERED) else "block"
     if strategy == "block":
         return _by_blocks(a, b, resolve("block_size", side, SIDE), transpose_a, transpose_b, splits)
     a, b = a.t() if transpose_a else a, b.t() if transpose_b else b

@@ -275,3 +275,18 @@ def test_ranks_of_absent_cells_are_not_sent(spark, ties, tile, monkeypatch):
     p, q = (correlation.cor(c, method="spearman", ties=ties, tile=tile).p_values().to_numpy() for c in (m, Matrix.from_numpy(spark, a)))
     np.testing.assert_allclose(p, q, atol=1e-9)
     assert sent[0] == (a != 0).sum()  # zeros were sorted as well
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_long_rows_of_products_are_written_as_blocks(spark, tmp_path, weighted):
+    draw = np.random.default_rng(6)
+    x = draw.integers(1, 4000, (300, 7)).astype(float)[draw.permutation(2100) % 300]
+    m = Matrix.from_numpy(spark, x)
+    weights = spark.createDataFrame([(k, k + 1.0) for k in range(7)], "k long, w double")
+    (products.weighted_product(m, weights, "XwXt") if weighted else products.tcrossprod(m)).to_coo().df.write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 2100 * 2100
+    table = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(table) == 2100 * 2100
+    got = np.zeros((2100, 2100))
+    got[table["i"], table["j"]] = table["v"]
+    np.testing.assert_array_equal(got, (x * np.arange(1, 8)) @ x.T if weighted else x @ x.T)
