@@ -290,3 +290,19 @@ def test_long_rows_of_products_are_written_as_blocks(spark, tmp_path, weighted):
     got = np.zeros((2100, 2100))
     got[table["i"], table["j"]] = table["v"]
     np.testing.assert_array_equal(got, (x * np.arange(1, 8)) @ x.T if weighted else x @ x.T)
+
+
+def test_cells_of_sparse_factors_move_packed_instead_of_their_products(spark, monkeypatch):
+    for name, value in (("GRID", 8), ("FULL", 40), ("AT_ONCE", 25), ("TILE_PAYS", 1)):
+        monkeypatch.setattr(products, name, value)
+    draw = np.random.default_rng(3)
+    x = np.zeros((60, 200))
+    for k in range(200):  # every tile of inner indexes reaches every block of the result
+        x[draw.permutation(60)[:4], k] = draw.integers(1, 9, 4)
+    made = []
+    grid = products._by_grid
+    monkeypatch.setattr(products, "_by_grid", lambda *a: made.append(grid(*a)) or made[-1])
+    found = products.multiply_sparse(cells(spark, x), cells(spark, x.T), strategy="tiles", side=4)
+    assert made[0] is not None and found.df.groupBy("i", "j").count().where("count > 1").isEmpty()
+    np.testing.assert_array_equal(found.to_numpy(), x @ x.T)
+    assert found.df.count() == ((x @ x.T) > 0).sum()
