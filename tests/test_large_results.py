@@ -306,3 +306,17 @@ def test_cells_of_sparse_factors_move_packed_instead_of_their_products(spark, mo
     assert made[0] is not None and found.df.groupBy("i", "j").count().where("count > 1").isEmpty()
     np.testing.assert_array_equal(found.to_numpy(), x @ x.T)
     assert found.df.count() == ((x @ x.T) > 0).sum()
+
+
+def test_rounded_products_are_written_as_numbers_of_values(spark, tmp_path):
+    x = np.random.default_rng(2).standard_normal((2200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    m = Matrix.from_numpy(spark, x)
+    found = products.matmul(m, m, transpose_b=True, strategy="block", side=24, rounded=True)
+    found.df.withColumn("v", F.round("v", 4)).coalesce(1).write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 4.5 * 2200 * 2200  # bytes; more than 7 in the order of blocks
+    table = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(table) == 2200 * 2200 and not table.duplicated(["i", "j"]).any()
+    got = np.zeros((2200, 2200))
+    got[table["i"], table["j"]] = table["v"]
+    np.testing.assert_allclose(got, x @ x.T, atol=0.51e-4)
