@@ -320,3 +320,17 @@ def test_rounded_products_are_written_as_numbers_of_values(spark, tmp_path):
     got = np.zeros((2200, 2200))
     got[table["i"], table["j"]] = table["v"]
     np.testing.assert_allclose(got, x @ x.T, atol=0.51e-4)
+
+
+def test_rounded_products_of_datasets_are_written_as_numbers_of_values(spark, tmp_path):
+    x = np.random.default_rng(2).standard_normal((2200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cells = Matrix.from_numpy(spark, x).to_coo().df.select(F.lit("a").alias("dataset"), F.lit(0).alias("side"), "i", "j", "v")
+    found = batch.apply_to_groups(cells, "tCrossProd", rounded=True)
+    found.withColumn("v", F.round("v", 4)).coalesce(1).write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 5 * 2200 * 2200  # bytes; more than 7 otherwise
+    table = spark.read.parquet(str(tmp_path / "out")).toPandas()
+    assert len(table) == 2200 * 2200 and not table.duplicated(["i", "j"]).any()
+    got = np.zeros((2200, 2200))
+    got[table["i"], table["j"]] = table["v"]
+    np.testing.assert_allclose(got, x @ x.T, atol=0.51e-4)
